@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.llm import fingerprint, language_id, quality
+from finlark.llm import fingerprint, language_id, quality, secrets, sharding
 from finlark.llm.common import crc_mod, table
 
 
@@ -23,10 +23,27 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(held, model).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.RULES if r.base]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in base]
+    digest = F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
+    return found.select("doc_id", "spans").select("doc_id", *counts, digest.alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_language": op3_language, "op8_fingerprint": op8_fingerprint}
+QUERIES = {"op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
 
 ORACLE_SQL: dict[str, str] = {}
