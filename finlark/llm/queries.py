@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.llm import fingerprint, language_id, quality, secrets, sharding
+from finlark.llm import fingerprint, language_id, neardup, pieces, quality, secrets, sharding
 from finlark.llm.common import crc_mod, table
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed public tokenizer files are; each executor has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
@@ -44,6 +51,14 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path()).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op6_pieces": op6_pieces, "op10_neardup": op10_neardup, "op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
 
 ORACLE_SQL: dict[str, str] = {}
