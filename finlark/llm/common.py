@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE = 2500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,12 +39,12 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``."""
+    """``fn`` on each Arrow batch of ``df``, cut to SLICE rows so that what it makes of them stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                out = fn(whole.slice(at, SLICE))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
@@ -56,7 +59,7 @@ class Tokens:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = texts.fill_null("")
         texts = pc.ascii_lower(texts) if lower else texts
         parts = pc.ascii_split_whitespace(texts)
         flat = parts.flatten()

@@ -8,7 +8,6 @@ n-grams over the root of their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,35 +81,34 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(labelled: DataFrame, *, text: str = "text", label: str = "label", learners: int = 8, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> QualityModel:
+def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", learners: int = 8, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> QualityModel:
     """FTRL on each of ``learners`` parts of the rows; the model is the mean of their weights.
 
     Rows with a null label teach nothing; a null text is empty. Parts go by
-    a hash of the text, so that repeated rows meet in one part. What comes to the driver are
+    a hash of the key, so that copies of a text spread over them. The rows are a bounded sample
+    (see ``labelled_sample``), so a part fits a task; what comes to the driver are
     at most 2**BUCKET_BITS + 1 mean weights. No rows at all: every score is 0.5.
     """
-    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")).where("label is not null").repartition(learners, F.xxhash64("text"))
+    rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(learners)).alias("learner")).where("label is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
         held = []
-        for batch in batches:
+        for batch in rows.to_batches():
             found, at = buckets(batch.column("text"))
             order = np.argsort(at, kind="stable")
             found, ends = found[order], np.cumsum(np.bincount(at, minlength=batch.num_rows))
             for i, y in enumerate(batch.column("label").to_pylist()):
                 own, counts = np.unique(found[(ends[i - 1] if i else 0) : ends[i]], return_counts=True)
                 held.append((np.append(own, 2**BUCKET_BITS), np.append(counts * scale(counts.sum()), 1.0), y))
-        if not held:
-            return
         state, order = Ftrl(alpha, beta, l1, l2), np.random.default_rng(7)
         for _ in range(epochs):
             for i in order.permutation(len(held)):
                 state.learn(*held[i])
         w = state.weights()
         at = np.append(np.flatnonzero(w[:-1]), len(w) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["at", "w"])
+        return pa.table({"at": pa.array(at, pa.int64()), "w": pa.array(w[at])})
 
-    parts = rows.mapInArrow(run, "at bigint, w double")
+    parts = rows.groupBy("learner").applyInArrow(run, "at bigint, w double")
     got = parts.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()
     weights, bias = np.zeros(2**BUCKET_BITS), 0.0
     if len(got):
@@ -135,11 +133,11 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", threshold
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", max_rows: int = 8192) -> DataFrame:
-    """Text and label of at most ``max_rows`` labelled documents, those whose key hashes least.
+    """Key, text and label of at most ``max_rows`` labelled documents, those whose key hashes least.
 
     The picked keys are few by that bound, so they go to every task. A key
     with several labels is left out where they differ and counts once where not.
     """
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("_top")).where("label = _top")
     picked = one.select(key, "label", F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(max_rows).select(key, "label")
-    return docs.select(key, "text").join(F.broadcast(picked), key).select("text", "label")
+    return docs.select(key, "text").join(F.broadcast(picked), key)
