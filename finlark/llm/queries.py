@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.llm import fingerprint, language_id, neardup, pieces, quality, secrets, sharding
+from finlark.llm import decontam, fingerprint, language_id, lm, neardup, pieces, pii, quality, secrets, sharding
 from finlark.llm.common import crc_mod, table
 
 
@@ -55,10 +55,29 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path()).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) != 2)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "base_spans", F.concat("base_spans", "added_spans").alias("all_spans"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(len(pii.KINDS))), F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("all_spans").alias("spans"))
+
+
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op6_pieces": op6_pieces, "op10_neardup": op10_neardup, "op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
+QUERIES = {"op2_pii": op2_pii, "op5_decontam": op5_decontam, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op10_neardup": op10_neardup, "op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
 
 ORACLE_SQL: dict[str, str] = {}
