@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlark.llm.common import map_batches
+from finlark.llm.common import free_name, map_batches, with_fields
 
 MATCHES = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
 ARROW_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -143,7 +143,7 @@ def search(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: s
     rows = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and length(t) > 0")
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields]
+    more = free_name(rest, "more")
     out = rest.withColumn("matches", F.array().cast(MATCHES))
     for b in range(blocks):
         data = pickle.dumps(Items.of([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], error_rate))
@@ -151,7 +151,7 @@ def search(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: s
         def run(batch: pa.RecordBatch, data: bytes = data) -> pa.Table:
             known, automaton = loaded(data)
             found = [known.search(automaton, t) if t and known.texts else [] for t in batch.column(text).to_pylist()]
-            return pa.Table.from_batches([batch]).append_column("more", pa.array(found, ARROW_MATCHES))
+            return pa.Table.from_batches([batch]).append_column(more, pa.array(found, ARROW_MATCHES))
 
-        out = map_batches(out, run, ", ".join([*fields, f"matches {MATCHES}, more {MATCHES}"])).withColumn("matches", F.concat("matches", "more")).drop("more")
+        out = map_batches(out, run, with_fields(out, f"`{more}` {MATCHES}")).withColumn("matches", F.concat("matches", more)).drop(more)
     return out

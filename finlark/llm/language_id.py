@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlark.llm.common import map_batches
+from finlark.llm.common import map_batches, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_LANGUAGES = 256
@@ -100,5 +100,4 @@ def classify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_m
         out = out.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64())).append_column("margin", pa.array(margins, pa.float64()))
         return out.append_column("rejected", pa.array([x == UNDETERMINED or m < min_margin for x, m in zip(langs, margins, strict=True)], pa.bool_()))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields]
-    return map_batches(rest, run, ", ".join([*fields, "lang_pred string, score double, margin double, rejected boolean"]))
+    return map_batches(rest, run, with_fields(rest, "lang_pred string, score double, margin double, rejected boolean"))

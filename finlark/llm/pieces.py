@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from finlark.llm.common import map_batches
+from finlark.llm.common import map_batches, with_fields
 
 MARK = "▁"
 NEVER = math.inf
@@ -247,8 +247,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
         out = pa.Table.from_batches([batch]).append_column("ids", ids)
         return out.append_column("n_tokens", pc.list_value_length(ids).cast(pa.int64())).append_column("round_trip", same)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields]
-    return map_batches(rest, run, ", ".join([*fields, "ids array<int>, n_tokens bigint, round_trip boolean"]))
+    return map_batches(rest, run, with_fields(rest, "ids array<int>, n_tokens bigint, round_trip boolean"))
 
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids") -> DataFrame:
@@ -258,5 +257,4 @@ def decode(rows: DataFrame, model: str, *, ids: str = "ids") -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table:
         return pa.Table.from_batches([batch]).append_column("decoded", compiled(model).decode_column(batch.column(ids)))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields]
-    return map_batches(rest, run, ", ".join([*fields, "decoded string"]))
+    return map_batches(rest, run, with_fields(rest, "decoded string"))

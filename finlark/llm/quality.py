@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlark.llm.common import Tokens, hash_words, map_batches, pair
+from finlark.llm.common import Tokens, hash_words, map_batches, pair, with_fields
 
 BUCKET_BITS = 18
 
@@ -128,8 +128,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", threshold
         out = pa.Table.from_batches([batch])
         return out.append_column("score", pa.array(found)).append_column("predicted", pa.array((found >= threshold).astype(np.int32)))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields]
-    return map_batches(rest, run, ", ".join([*fields, "score double, predicted int"]))
+    return map_batches(rest, run, with_fields(rest, "score double, predicted int"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", max_rows: int = 8192) -> DataFrame:

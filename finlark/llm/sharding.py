@@ -85,9 +85,9 @@ def splitters(keys: DataFrame, targets: list[tuple[int, float]], *, probes: int
 
 
 def with_sort_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds size (UTF-8 bytes and 1), text_crc32, h and d. Null texts count as empty, null keys as the least."""
+    """Adds size (UTF-8 bytes and 1), text_crc32, _h and _d. Null texts count as empty, null keys as the least."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"size": (F.octet_length(body) + 1).cast("bigint"), "text_crc32": F.crc32(body.cast("binary")), "h": F.shiftrightunsigned(F.xxhash64(body), 1), "d": F.coalesce(F.col(key).cast("bigint"), F.lit(LOW))})
+    return docs.withColumns({"size": (F.octet_length(body) + 1).cast("bigint"), "text_crc32": F.crc32(body.cast("binary")), "_h": F.shiftrightunsigned(F.xxhash64(body), 1), "_d": F.coalesce(F.col(key).cast("bigint"), F.lit(LOW))})
 
 
 def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str = "text", law: str = "bytes", tolerance: float = 0.001, pieces: int | None = None) -> DataFrame:
@@ -106,28 +106,31 @@ def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
         raise ValueError(law)
     pieces = max(shards, pieces or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per = -(-pieces // shards)
-    rows = with_sort_key(docs.drop("size", "text_crc32", "law", "shard", "slot", "h", "d"), key, text)
-    keys = cut(rows.select("h", "d", (F.col("size") if law == "bytes" else F.lit(1).cast("bigint")).alias("w")))
+    rows = with_sort_key(docs.drop("size", "text_crc32", "law", "shard", "slot", "_h", "_d"), key, text)
+    keys = cut(rows.select(F.col("_h").alias("h"), F.col("_d").alias("d"), (F.col("size") if law == "bytes" else F.lit(1).cast("bigint")).alias("w")))
     total = keys.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     share = total / (shards * per)
     near = {True: share * per * tolerance if law == "bytes" else 0, False: share * 0.2}
     goals = [(round(i * share), near[i % per == 0]) for i in range(1, shards * per)] if total else []
     cuts = splitters(keys, goals)
     # A piece is the number of splitters at or below the row; a splitter may repeat.
-    place = F.lit(0)
+    place = lambda h, d: F.lit(0)
     if cuts:
         listed = F.expr("array(" + ",".join(f"struct({h}L as h, {_long(d)} as d)" for h, d in cuts) + ")")
-        place = F.size(F.filter(listed, lambda x: x <= F.struct(F.col("h").alias("h"), F.col("d").alias("d"))))
-    counted = {r.p: r.n for r in keys.withColumn("p", place).groupBy("p").agg(F.count("*").alias("n")).collect()}
+
+        def place(h: str, d: str) -> Column:
+            return F.size(F.filter(listed, lambda x: x <= F.struct(F.col(h).alias("h"), F.col(d).alias("d"))))
+
+    counted = {r.p: r.n for r in keys.withColumn("p", place("h", "d")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     offsets, at = [], 0
     for p in range(shards * per):
         at = 0 if p % per == 0 else at
         offsets.append(at)
         at += counted.get(p, 0)
-    order = Window.partitionBy("_piece").orderBy("h", "d", "size")
-    placed = rows.withColumn("_piece", place).withColumn("_rank", F.row_number().over(order))
+    order = Window.partitionBy("_piece").orderBy("_h", "_d", "size")
+    placed = rows.withColumn("_piece", place("_h", "_d")).withColumn("_rank", F.row_number().over(order))
     first = F.element_at(F.expr("array(" + ",".join(f"{x}L" for x in offsets) + ")"), F.col("_piece") + 1)
-    return placed.select(*[c for c in rows.columns if c not in ("h", "d")], F.lit(law).alias("law"), F.expr(f"cast(_piece div {per} as int)").alias("shard"), (first + F.col("_rank") - 1).cast("bigint").alias("slot"))
+    return placed.select(*[c for c in rows.columns if c not in ("_h", "_d")], F.lit(law).alias("law"), F.expr(f"cast(_piece div {per} as int)").alias("shard"), (first + F.col("_rank") - 1).cast("bigint").alias("slot"))
 
 
 def _long(x: int) -> str:
