@@ -66,12 +66,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows:
     return LanguageModel({k: v.encode()[-dict_bytes:] for k, v in content.items()}, {k: counts[k] for k in content})
 
 
-def classify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_margin: float = 0.002) -> DataFrame:
+def classify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_margin: float = 0.005) -> DataFrame:
     """Every row with lang_pred, score (0 to 1), margin and rejected.
 
     Columns of those names in ``docs`` are replaced. Whole texts are encoded,
     in chunks of ``model.chunk`` bytes so that the dictionary stays in reach.
-    margin: how many bytes the runner-up needs more, for each byte of text;
+    margin: how many bytes the runner-up needs more, as a share of all it needs;
     rejected: it is under ``min_margin`` or the language is ``und``, which
     null texts, texts without letters, and all texts of an empty model get.
     """
@@ -95,7 +95,7 @@ def classify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_m
             others = sorted(s - sizes[best] for i, s in enumerate(sizes) if i != best)
             langs.append(state[best][0])
             scores.append(1 / (1 + sum(2.0 ** -min(60, x) for x in others)))
-            margins.append(others[0] / len(data) if others else 1.0)
+            margins.append(others[0] / (sizes[best] + others[0]) if others else 1.0)
         out = pa.Table.from_batches([batch])
         out = out.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64())).append_column("margin", pa.array(margins, pa.float64()))
         return out.append_column("rejected", pa.array([x == UNDETERMINED or m < min_margin for x, m in zip(langs, margins, strict=True)], pa.bool_()))
