@@ -84,14 +84,17 @@ class EliasFano:
         high = (targets >> np.uint64(self.low_bits)).astype(np.int64)
         at, end = self.ones_before_zero(high), self.ones_before_zero(high + 1)
         want = targets & np.uint64((1 << self.low_bits) - 1)
+        # The low parts of one high part ascend: halve the range until it is one place.
+        last = end.copy()
+        while len(live := np.flatnonzero(at < end)):
+            middle = (at[live] + end[live]) >> 1
+            less = unpack(self.data.low, self.low_bits, middle) < want[live]
+            at[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+        inside = np.flatnonzero(at < last)
+        hit = unpack(self.data.low, self.low_bits, at[inside]) == want[inside]
         found = np.full(len(targets), -1)
-        live = np.flatnonzero(at < end)
-        while len(live):
-            have = unpack(self.data.low, self.low_bits, at[live])
-            hit = have == want[live]
-            found[live[hit]] = at[live[hit]]
-            at[live] += 1
-            live = live[(have < want[live]) & (at[live] < end[live])]
+        found[inside[hit]] = at[inside[hit]]
         return found
 
 
