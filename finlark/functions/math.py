@@ -24,7 +24,8 @@ def percent_change(new: Column, old: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within the bounds; null stays null, which greatest and least alone would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def ladder(x: Column, steps: list[tuple[float, str]], last: str, *, strict: bool = False) -> Column:

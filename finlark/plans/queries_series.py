@@ -122,11 +122,11 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.join(owner, "filing_id").select("filing_id", F.round(chosen, 6).alias("price"))
 
 
-@query("J13_date_join_with_default", ", spy as (select day, avg(close) as spy from price where ticker % 5 = 0 group by 1) select p.ticker, p.day, round(p.close - coalesce(s.spy, 0), 2) as gap from price p left join spy s using (day)")
+@query("J13_date_join_with_default", ", spy as (select day, max(close) as spy from price where ticker % 5 = 0 group by 1) select p.ticker, p.day, p.close - coalesce(s.spy, 0) as gap from price p left join spy s using (day)")
 def date_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.prices(spark, sf_dir)
-    spy = rows.where("ticker % 5 = 0").groupBy("day").agg(F.avg("close").alias("spy"))
-    return rows.join(spy, "day", "left").select("ticker", "day", F.round(F.col("close") - F.coalesce("spy", F.lit(0.0)), 2).alias("gap"))
+    spy = rows.where("ticker % 5 = 0").groupBy("day").agg(F.max("close").alias("spy"))
+    return rows.join(spy, "day", "left").select("ticker", "day", (F.col("close") - F.coalesce("spy", F.lit(0.0))).alias("gap"))
 
 
 @query("J19_left_join_defaults", "select c.company_id, coalesce(n, 0) as filings, coalesce(flag, false) as has_annual from company c left join (select company_id, count(*) as n, bool_or(filing_type = '10-K') as flag from filing where value > 300000 group by 1) using (company_id)")
@@ -228,13 +228,13 @@ def prior_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).select("filing_id", F.last(F.when(F.col("concern") > 5, F.col("sentiment")), ignorenulls=True).over(w).alias("prior"))
 
 
-@query("W20_volume_trend", FRAME + "select ticker, date, case when count(*) over r > 1 then round(regr_slope(volume, i) over r * 30 / avg(volume) over r * 100, 4) end as trend, max(volume) over r as spike, count(*) over r as n from s window r as (partition by ticker order by date rows 29 preceding)")
+@query("W20_volume_trend", FRAME + "select ticker, date, case when count(*) over r > 1 then round(regr_slope(volume, i) over r * 30 / avg(volume) over r * 100, 6) + 0.0 end as trend, max(volume) over r as spike, count(*) over r as n from s window r as (partition by ticker order by date rows 29 preceding)")
 def volume_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.series()
     r = W.last_rows(w, 30)
     rows = B.prices(spark, sf_dir).withColumn("i", F.row_number().over(w).cast("double"))
     slope = F.regr_slope("volume", "i").over(r)
-    return rows.select("ticker", "date", F.round(per(slope * 30.0, F.avg("volume").over(r)) * 100.0, 4).alias("trend"), F.max("volume").over(r).alias("spike"), F.count("*").over(r).alias("n"))
+    return rows.select("ticker", "date", (F.round(per(slope * 30.0, F.avg("volume").over(r)) * 100.0, 6) + 0.0).alias("trend"), F.max("volume").over(r).alias("spike"), F.count("*").over(r).alias("n"))
 
 
 @query("W21_forward_fill", ", bounds as (select unnest(range(9500, 9561)) as day), k as (select distinct ticker from price) select k.ticker, b.day, last_value(p.close ignore nulls) over (partition by k.ticker order by b.day range between 5 preceding and current row) as close from k cross join bounds b left join price p on p.ticker = k.ticker and p.day = b.day")
