@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,6 @@ def gram(rows: DataFrame, x: list[str], y: str, by: list[str] | None = None) ->
 
 def solve(g: list[float], c: list[float], penalty: float) -> list[float]:
     """(G + penalty I) b = c for one group's sums."""
-    import numpy as np
-
     p = len(c)
     m = np.zeros((p, p))
     m[np.triu_indices(p)] = g
@@ -110,8 +110,6 @@ def ridge_by(rows: DataFrame, x: list[str], y: str, by: list[str], *, penalty: f
 
     Only the sums of a group, p(p + 3) / 2 numbers, meet in one place, however many rows it has.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def solved(g: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([solve(list(a), list(b), penalty) for a, b in zip(g, c, strict=True)])
@@ -152,7 +150,7 @@ def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dic
     """The parameter table from rows with f_*, sector and a target: global, tier, sector and sector:tier experts."""
     least = least or {"sector": 50, "tier": 50, "both": 30}
     tier = cap_tier(F.col("f_market_cap"))
-    names = F.array(F.struct(F.lit("global").alias("expert"), F.lit(1).alias("need")), F.struct(tier, F.lit(least["tier"])), F.struct(F.col("sector"), F.lit(least["sector"])), F.struct(F.concat_ws(":", "sector", tier), F.lit(least["both"])))
+    names = F.array(*[F.struct(n.alias("expert"), F.lit(k).alias("need")) for n, k in ((F.lit("global"), 1), (tier, least["tier"]), (F.col("sector"), least["sector"]), (F.concat_ws(":", "sector", tier), least["both"]))])
     wide = rows.withColumn("_e", F.explode(names)).select("*", "_e.expert", "_e.need").drop("_e")
     cols = [f"f_{f}" for f in FEATURES]
     z = standardised(wide, cols, ["expert"])
