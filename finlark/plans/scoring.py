@@ -82,10 +82,10 @@ def score(rows: DataFrame, experts: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, x: list[str], y: str, by: list[str] | None = None) -> DataFrame:
-    """Sums of products (upper triangle g, right side c) and the count, in one pass, by group if asked."""
+    """Sums of products (upper triangle, right side) and the count, in one pass, by group if asked."""
     p = len(x)
-    g = F.array(*[F.sum(F.col(x[i]) * F.col(x[j])) for i in range(p) for j in range(i, p)]).alias("g")
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), g, F.array(*[F.sum(F.col(c) * F.col(y)) for c in x]).alias("c"))
+    g = F.array(*[F.sum(F.col(x[i]) * F.col(x[j])) for i in range(p) for j in range(i, p)]).alias("gram_sums")
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), g, F.array(*[F.sum(F.col(c) * F.col(y)) for c in x]).alias("cross_sums"))
 
 
 def solve(g: list[float], c: list[float], penalty: float) -> list[float]:
@@ -114,7 +114,7 @@ def ridge_by(rows: DataFrame, x: list[str], y: str, by: list[str], *, penalty: f
     def solved(g: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([solve(list(a), list(b), penalty) for a, b in zip(g, c, strict=True)])
 
-    return gram(rows, x, y, by).where(F.col("n") >= least).select(*by, "n", solved("g", "c").alias("beta"))
+    return gram(rows, x, y, by).where(F.col("n") >= least).select(*by, "n", solved("gram_sums", "cross_sums").alias("beta"))
 
 
 def folds(rows: DataFrame, order: str, n: int) -> DataFrame:
@@ -139,7 +139,7 @@ def walk_forward(rows: DataFrame, x: list[str], y: str, *, order: str, n: int =
         r = gram(past, x, y).first()
         if not r or not r.n:
             continue
-        beta = solve(list(r.g), list(r.c), penalty)
+        beta = solve(list(r.gram_sums), list(r.cross_sums), penalty)
         guess = sum((F.col(c) * b for c, b in zip(x[1:], beta[1:], strict=True)), F.col(x[0]) * beta[0])
         t = dealt.where(F.col("fold") == k).agg(F.count("*").alias("n"), F.avg((F.signum(guess) == F.signum(y)).cast("double")).alias("d"), F.avg(F.abs(guess - F.col(y))).alias("m")).first()
         found.append((k, r.n, t.n, t.d, t.m))
