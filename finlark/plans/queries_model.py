@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finlark.operators.asof import asof_join, interval_aggregate
 from finlark.operators.windows import every_nth
 from finlark.plans import bindings as B
-from finlark.plans import learning, portfolio, scoring
+from finlark.plans import learning, portfolio, rules, scoring
 from finlark.plans.queries_aggregate import rounded
 from finlark.plans.queries_series import SIDE, sides
 from finlark.streaming import ingest
@@ -192,3 +192,57 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = every_nth(B.companies(spark, sf_dir), bucket="sector", order=[F.col("market_cap").desc(), F.col("company_id")], target=25)
     return picked.groupBy("sector").agg(F.count("*").alias("n"), F.min("market_cap").alias("least"))
+
+
+EVIDENCE = {
+    "risk_score_delta": "case when filing_id % 4 <> 0 then (filing_id % 17 - 8) / 4e0 end",
+    "sentiment_score": "sentiment",
+    "concern_level": "case when filing_id % 6 <> 0 then concern end",
+    "eps_surprise": "case filing_id % 5 when 0 then 'beat' when 1 then 'miss' when 2 then 'inline' when 3 then 'unknown' end",
+    "eps_surprise_magnitude": "cast(filing_id % 23 - 11 as double)",
+    "revenue_surprise": "case filing_id % 3 when 0 then 'beat' when 1 then 'miss' end",
+    "guidance_change": "case filing_id % 7 when 0 then 'raised' when 1 then 'lowered' when 2 then 'new' when 3 then 'maintained' end",
+    "event_type": "case filing_id % 2 when 0 then '8-K-earnings-announcement' else '8-K-other' end",
+    "pe_ratio": "case when filing_id % 8 <> 0 then cast(filing_id % 60 as double) end",
+    "market_cap_b": "case when filing_id % 9 <> 0 then cast((filing_id * 13) % 1500 as double) end",
+    "market_momentum": "case when filing_id % 10 <> 0 then (filing_id % 21 - 10) / 2e0 end",
+    "market_regime": "case filing_id % 3 when 0 then 'bull' when 1 then 'bear' else 'flat' end",
+    "flight_to_quality": "filing_id % 4 = 1",
+    "dollar_strength": "case filing_id % 3 when 0 then 'weak' when 1 then 'strong' end",
+    "growth_trend": "case filing_id % 4 when 0 then 'weak' when 1 then 'strong' end",
+    "analyst_net_upgrades": "case when filing_id % 5 <> 0 then cast(filing_id % 9 - 4 as int) end",
+    "analyst_major_upgrades": "cast(filing_id % 3 as int)",
+    "analyst_major_downgrades": "cast(filing_id % 4 as int)",
+    "analyst_consensus": "case when filing_id % 6 <> 0 then cast(filing_id % 101 as double) end",
+    "analyst_upside": "case when filing_id % 7 <> 0 then cast(filing_id % 81 - 40 as double) end",
+    "historical_return": "case when filing_id % 3 <> 0 then (filing_id % 13 - 6) / 4e0 end",
+    "ticker": "case when filing_id % 11 <> 0 then 'T' end",
+}
+RULES_SQL = ", e as (select filing_id, filing_type, " + ", ".join(f"{x} as {k}" for k, x in EVIDENCE.items()) + """ from filing),
+a as (select *, coalesce(risk_score_delta, 0) * -1.2 + coalesce(sentiment_score, 0) * case when sentiment_score > 0 and coalesce(concern_level, 5) >= 7 then -1.0 when sentiment_score > 0 and coalesce(concern_level, 5) >= 5 then 1.0 else 2.0 end
+  + (coalesce(concern_level, 5) - 5) * -0.9
+  + case eps_surprise when 'beat' then 1.0 + case when eps_surprise_magnitude > 5 then 0.8 else 0 end when 'miss' then -1.0 - case when eps_surprise_magnitude < -5 then 0.7 else 0 end when 'inline' then 0.6 else 0 end
+    * 1.0 * case when pe_ratio is null or pe_ratio <= 0 then 1.0 when pe_ratio < 15 then 0.8 when pe_ratio < 25 then 1.0 when pe_ratio < 40 then 1.2 else 1.5 end
+    * case when market_cap_b is null or market_cap_b <= 0 then 1.0 when market_cap_b < 2 then {c2} when market_cap_b < 10 then {c10} when market_cap_b < 50 then {c50} when market_cap_b < 200 then {c200} else {c} end
+  + case revenue_surprise when 'beat' then 0.8 when 'miss' then -1.5 else 0 end + case guidance_change when 'raised' then 3.5 when 'lowered' then -4.0 when 'new' then 1.0 else 0 end
+  + case filing_type when '10-K' then 0.5 when '10-Q' then 0.3 else case event_type when '8-K-earnings-announcement' then 0.1 else -0.5 end end as t from e),
+b as (select *, t + case when market_momentum is null then 0 else market_momentum * case market_regime when 'bull' then 0.2 when 'bear' then 0.18 else 0.1 end
+  + t * case when market_regime = 'bull' and t < 0 then 0.7 when market_regime = 'bull' then 0.15 when market_regime = 'bear' and t < 0 then 0.2 when market_regime = 'bear' then -0.5 else 0 end
+  + case when flight_to_quality and market_cap_b > 200 then 1.5 when flight_to_quality and market_cap_b > 0 and market_cap_b < 10 then -2 when flight_to_quality and market_cap_b > 0 and market_cap_b < 50 then -1 else 0 end end
+  + case when coalesce(market_cap_b, 0) = 0 then 0 when market_cap_b < 200 then -0.5 when market_cap_b < 500 then case when market_regime = 'bull' then 1.5 else 1.0 end when market_cap_b < 1000 then 0.3 else 0.5 end as u from a),
+d as (select *, case when market_cap_b > 1000 and u < 0 then greatest(u, case market_regime when 'bull' then -1.5 when 'bear' then -7.0 else -5.0 end) else u end
+  + case dollar_strength when 'weak' then 1.0 when 'strong' then -0.6 else 0 end + case growth_trend when 'strong' then 0.7 when 'weak' then -0.5 else 0 end
+  + case when coalesce(analyst_net_upgrades, 0) <> 0 then greatest(-2.0, least(2.0, analyst_net_upgrades * 0.3 + (analyst_major_upgrades - analyst_major_downgrades) * 0.5)) else 0 end
+  + case when analyst_consensus > 80 then 0.8 when analyst_consensus < 40 then -0.5 else 0 end + case when abs(analyst_upside) > 10 then greatest(-1.0, least(1.0, analyst_upside * 0.05)) else 0 end
+  + coalesce(historical_return, 0) * case when ticker is not null then 0.4 else 0.2 end as v from b)
+select filing_id, round(greatest(-10, least(10, v * 0.5)), 10) as predicted_7d, round(least(0.95, 0.4 + case when eps_surprise <> 'unknown' then 0.2 else 0 end + case when guidance_change <> 'maintained' then 0.2 else 0 end + case when risk_score_delta is not null then 0.1 else 0 end + 0.1
+  + case when concern_level <> 5 then 0.1 else 0 end + case when ticker is not null and historical_return is not null then 0.15 else 0 end + case when analyst_net_upgrades is not null or analyst_consensus is not null then 0.1 else 0 end), 10) as certainty from d"""
+for mark, worth in zip(("{c2}", "{c10}", "{c50}", "{c200}", "{c}"), [*[w for _, w in rules.CAP_STEPS], rules.CAP_LAST], strict=True):
+    RULES_SQL = RULES_SQL.replace(mark, str(worth))
+RULES_SQL = RULES_SQL.replace("+ case eps_surprise when", "+ (case eps_surprise when").replace("when 'inline' then 0.6 else 0 end\n    * 1.0", "when 'inline' then 0.6 else 0 end)\n    * 1.0")
+
+
+@query("M3_rule_forecast", RULES_SQL)
+def rule_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.filings(spark, sf_dir).select("filing_id", "filing_type", *[F.expr(x).alias(k) for k, x in EVIDENCE.items()])
+    return rounded(rules.forecast(rows).select("filing_id", "predicted_7d", "certainty"), 10)
