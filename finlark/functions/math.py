@@ -55,7 +55,7 @@ def surprise_class(percent: Column, band: float = 2.0) -> Column:
 
 
 def surprise_size(percent: Column) -> Column:
-    return ladder(F.abs(percent), [(20, "massive"), (10, "large"), (5, "moderate"), (2, "small")], "inline", strict=True)
+    return ladder(F.abs(percent), [(20, "massive"), (10, "large"), (5, "moderate"), (2, "small")], "inline")
 
 
 def winsorised(x: Column, bound: float = 50.0) -> Column:
@@ -69,7 +69,12 @@ def cap_tier(market_cap: Column) -> Column:
 
 def cap_tier_export(market_cap: Column) -> Column:
     """Tiers of the data-set export: 500, 200 and 50 billions."""
-    return F.when(market_cap >= 500e9, "ultra").when(market_cap >= 200e9, "mega").when(market_cap >= 50e9, "large").otherwise("other")
+    return F.when(market_cap >= 500e9, "mega").when(market_cap >= 200e9, "large").when(market_cap >= 50e9, "mid").otherwise("small")
+
+
+def cap_category(market_cap: Column) -> Column:
+    """Categories of the data-set report: 500, 200 and 10 billions."""
+    return F.when(market_cap < 10e9, "microCap").when(market_cap < 200e9, "smallCap").when(market_cap < 500e9, "largeCap").when(market_cap.isNotNull(), "megaCap")
 
 
 def consensus_score(strong_buy: Column, buy: Column, hold: Column, sell: Column, strong_sell: Column) -> Column:

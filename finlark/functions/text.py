@@ -24,20 +24,20 @@ def basename(path: Column) -> Column:
 
 
 #: Entities that are turned into text, in this order.
-ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "-"), ("&ndash;", "-"), ("&rsquo;", "'")]
+ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of a page: scripts and styles go, breaks become line breaks, tags become spaces."""
+    """Readable text of a page: scripts and styles go, entities are turned into text, breaks become line breaks, tags become spaces."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+    for entity, value in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(value))
     out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
     out = F.regexp_replace(out, r"(?i)</p>", "\n\n")
     out = F.regexp_replace(out, r"(?i)</div>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for entity, value in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(value))
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
+    out = F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("\t"), F.lit(" ")), " {2,}", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def percent_number(text: Column) -> Column:
@@ -68,13 +68,27 @@ def holds_any(text: Column, words: list[str]) -> Column:
 
 
 #: What marks an earnings report.
-EARNINGS_WORDS = ["earnings", "revenue", "net income", "eps", "quarterly results", "financial results", "guidance", "outlook"]
+EARNINGS_WORDS = ["earnings", "quarterly results", "financial results", "q1 20", "q2 20", "q3 20", "q4 20", "first quarter", "second quarter", "third quarter", "fourth quarter", "net income", "revenue", "eps", "diluted earnings"]
 
 
 def event_kind(summary: Column) -> Column:
     """What an event filing is about."""
-    low = F.lower(summary)
-    return F.when(holds_any(low, ["earnings", "results"]), "earnings_release").when(holds_any(low, ["announce", "agreement", "acquisition"]), "announcement").otherwise("other")
+    announced = holds_any(summary, ["announcing"]) & holds_any(summary, ["earnings call", "earnings conference"])
+    released = holds_any(summary, ["item 2.02", "results of operations"]) & holds_any(summary, ["financial results", "earnings", "press release", "quarterly results"])
+    return F.when(announced, "8-K-earnings-announcement").when(released, "8-K-earnings-release").otherwise("8-K-other")
+
+
+#: Sector names as they come, and as they are kept.
+SECTOR_NAMES = {
+    "Information Technology": "Technology", "Technology": "Technology", "Health Care": "Healthcare", "Healthcare": "Healthcare", "Financials": "Financials", "Financial Services": "Financials",
+    "Consumer Discretionary": "Consumer Discretionary", "Consumer Cyclical": "Consumer Discretionary", "Consumer Staples": "Consumer Staples", "Consumer Defensive": "Consumer Staples", "Industrials": "Industrials",
+    "Energy": "Energy", "Materials": "Materials", "Basic Materials": "Materials", "Real Estate": "Real Estate", "Utilities": "Utilities", "Communication Services": "Communication Services",
+}
+
+
+def sector_name(name: Column) -> Column:
+    """The sector under the name that is kept; names that aren't known stay."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SECTOR_NAMES.items() for x in pair]), name), name)
 
 
 def quarter_label(date: Column) -> Column:
@@ -124,7 +138,11 @@ def xbrl_value(html: Column, concepts: list[str]) -> Column:
     return F.coalesce(*found)
 
 
-def keyword_risk(text: Column, words: list[str]) -> Column:
+#: Words that speak of risk.
+RISK_WORDS = ["risk", "uncertainty", "adverse", "negative", "decline", "failure", "loss", "damage", "harm", "threat", "vulnerable", "litigation", "regulatory", "competition", "disruption"]
+
+
+def keyword_risk(text: Column, words: list[str] = RISK_WORDS) -> Column:
     """Keywords for each thousand words, a tenth of it, within 0 to 10; null for no text, 5 for no words."""
     low = F.lower(text)
     hits = sum((F.regexp_count(low, F.lit(w)) for w in words[1:]), F.regexp_count(low, F.lit(words[0])))

@@ -28,6 +28,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 P, R, C = F.col("predicted"), F.col("actual"), F.col("confidence")
+#: The report's categories, scaled to the balances of the table.
 TIER = "case when market_cap >= 60e9 then 'mega' when market_cap >= 30e9 then 'large' when market_cap >= 10e9 then 'mid' else 'small' end"
 
 

@@ -92,7 +92,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.logistic(rows, ["predicted", "sentiment", "concern"], "up", order="day"))
 
 
-@query("F54_recommendation", "select filing_id, case when confidence >= 0.65 then 'STRONG_BUY' when confidence >= 0.55 then 'BUY' when confidence <= 0.35 then 'STRONG_SELL' when confidence <= 0.45 then 'SELL' else 'HOLD' end as call from filing")
+@query("F54_recommendation", "select filing_id, case when confidence >= 0.65 then 'BUY FULL' when confidence >= 0.55 then 'BUY HALF' when confidence <= 0.35 then 'SHORT HALF' else 'HOLD SMALL' end as call from filing")
 def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).select("filing_id", learning.baseline_recommendation(F.col("confidence")).alias("call"))
 

@@ -42,9 +42,9 @@ on_filings("F21_quarter_range", {"first": X.quarter_range(F.year(day), F.quarter
 on_filings("F23_whole_days", {"d": X.whole_days(F.lit("2001-08-01 12:00:00").cast("timestamp"), F.col("filing_date").cast("timestamp"))}, {"d": "cast(floor((epoch(timestamp '2001-08-01 12:00:00') - epoch(filing_date)) / 86400) as bigint)"})
 on_filings("F25_epoch_guard", {"d": X.epoch_date(F.col("filing_id") * 1_000_000).cast("date")}, {"d": "case when year(to_timestamp(filing_id * 1000000)) between 1970 and 2100 then cast(to_timestamp(filing_id * 1000000) as date) end"})
 on_filings("F30_surprise", {"x": F.round(M.surprise_percent(a, s), 6)}, {"x": "round(greatest(-1000, least(1000, case when sentiment = 0 then actual * 100 else (actual - sentiment) * 100 / abs(sentiment) end)), 6)"})
-on_filings("F31_F32_classes", {"c": M.surprise_class(p), "m": M.surprise_size(p)}, {"c": "case when predicted > 2 then 'beat' when predicted < -2 then 'miss' else 'inline' end", "m": "case when abs(predicted) > 20 then 'massive' when abs(predicted) > 10 then 'large' when abs(predicted) > 5 then 'moderate' when abs(predicted) > 2 then 'small' else 'inline' end"})
+on_filings("F31_F32_classes", {"c": M.surprise_class(p), "m": M.surprise_size(p)}, {"c": "case when predicted > 2 then 'beat' when predicted < -2 then 'miss' else 'inline' end", "m": "case when abs(predicted) >= 20 then 'massive' when abs(predicted) >= 10 then 'large' when abs(predicted) >= 5 then 'moderate' when abs(predicted) >= 2 then 'small' else 'inline' end"})
 on_filings("F33_winsorised", {"x": M.winsorised(F.nullif(p * 10, F.lit(0.0)))}, {"x": "case when predicted = 0 then 0 else least(50, greatest(-50, predicted * 10)) end"})
-on_filings("F34_cap_tiers", {"t": M.cap_tier(v * 1e6), "e": M.cap_tier_export(v * 1e6)}, {"t": "case when value >= 200000 then 'mega' when value >= 10000 then 'large' when value >= 2000 then 'mid' else 'small' end", "e": "case when value >= 500000 then 'ultra' when value >= 200000 then 'mega' when value >= 50000 then 'large' else 'other' end"})
+on_filings("F34_cap_tiers", {"t": M.cap_tier(v * 1e6), "e": M.cap_tier_export(v * 1e6), "c": M.cap_category(v * 1e6)}, {"t": "case when value >= 200000 then 'mega' when value >= 10000 then 'large' when value >= 2000 then 'mid' else 'small' end", "e": "case when value >= 500000 then 'mega' when value >= 200000 then 'large' when value >= 50000 then 'mid' else 'small' end", "c": "case when value < 10000 then 'microCap' when value < 200000 then 'smallCap' when value < 500000 then 'largeCap' else 'megaCap' end"})
 k = [(F.col("filing_id") + i) % (5 + i) for i in range(5)]
 on_filings("F36_consensus", {"x": M.consensus_score(*k)}, {"x": "floor((100.0 * (filing_id % 5) + 75.0 * ((filing_id + 1) % 6) + 50.0 * ((filing_id + 2) % 7) + 25.0 * ((filing_id + 3) % 8)) / nullif(filing_id % 5 + (filing_id + 1) % 6 + (filing_id + 2) % 7 + (filing_id + 3) % 8 + (filing_id + 4) % 9, 0) + 0.5)"})
 on_filings("F37_F38_upside_rounding", {"u": F.round(M.percent_change(v, v - p), 6), "h": M.half_up(p * 2) / 2}, {"u": "round((value - (value - predicted)) * 100 / (value - predicted), 6)", "h": "floor(predicted * 2 + 0.5) / 2"})
@@ -55,12 +55,15 @@ on_filings("F46_F47_trades", {"size": M.position_value(F.col("confidence"), p, F
 
 html = lambda: F.col("html")
 on_table("F5_html_tags", "pages", "page_id", {"title": lambda: F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), "scripts": lambda: F.regexp_count("html", F.lit("<script")), "bare": lambda: F.length(F.regexp_replace("html", "<[^>]+>", ""))}, {"title": "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)", "scripts": "len(regexp_extract_all(html, '<script'))", "bare": "length(regexp_replace(html, '<[^>]+>', '', 'g'))"})
-ENT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis'), '<br\\s*/?>', chr(10), 'gi'), '</p>', chr(10) || chr(10), 'gi'), '</div>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
+ENT = "regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis')"
 for entity, plain in X.ENTITIES:
     ENT = f"replace({ENT}, '{entity}', '{plain.replace(chr(39), chr(39) * 2)}')"
-on_table("F5_html_text", "pages", "page_id", {"t": lambda: X.html_text(F.col("html"))}, {"t": f"regexp_replace(regexp_replace(regexp_replace({ENT}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"})
+for pattern, plain in (("<br\\s*/?>", "chr(10)"), ("</p>", "chr(10) || chr(10)"), ("</div>", "chr(10)"), ("<[^>]+>", "' '"), ("\\t", "' '"), (" {2,}", "' '"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+    ENT = f"regexp_replace({ENT}, '{pattern}', {plain}, 'gi')"
+on_table("F5_html_text", "pages", "page_id", {"t": lambda: X.html_text(F.col("html"))}, {"t": ENT})
+on_filings("F14_sector_name", {"s": X.sector_name(F.when(F.col("status") == "F", "Financial Services").otherwise(F.col("status")))}, {"s": "case when status = 'F' then 'Financials' else status end"})
 on_table("P17_keyword_any", "documents", "doc_id", {"hit": lambda: X.holds_any(F.col("text"), ["license", "token", "stupid"])}, {"hit": "contains(lower(text), 'license') or contains(lower(text), 'token') or contains(lower(text), 'stupid')"})
-on_table("F8_event_kind", "conversations", "conv_id, turn".split(",")[0], {"turn_no": lambda: F.col("turn"), "kind": lambda: X.event_kind(F.col("text"))}, {"turn_no": "turn", "kind": "case when contains(lower(text), 'earnings') or contains(lower(text), 'results') then 'earnings_release' when contains(lower(text), 'announce') or contains(lower(text), 'agreement') or contains(lower(text), 'acquisition') then 'announcement' else 'other' end"})
+on_table("F8_event_kind", "conversations", "conv_id, turn".split(",")[0], {"turn_no": lambda: F.col("turn"), "kind": lambda: X.event_kind(F.col("text"))}, {"turn_no": "turn", "kind": "case when contains(lower(text), 'announcing') and contains(lower(text), 'earnings c') then '8-K-earnings-announcement' when contains(lower(text), 'item 2.02') and contains(lower(text), 'earnings') then '8-K-earnings-release' else '8-K-other' end"})
 on_table("V12_keyword_risk", "documents", "doc_id", {"risk": lambda: X.keyword_risk(F.col("text"), ["risk", "trash", "worthless", "disgusting"])}, {"risk": "case when length(text) = 0 then null when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) = 0 then 5.0 else round(greatest(0.0, least(10.0, len(regexp_extract_all(lower(text), 'risk|trash|worthless|disgusting')) * 1000.0 / len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) / 10)), 1) end"})
 on_table("F60_F61_json_path", "events", "event_id", {"k": lambda: F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)), "deep": lambda: F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.a.b", "int"), F.lit(0))}, {"k": "coalesce(cast(props->>'$.k' as int), -1)", "deep": "0"})
 on_table("F62_F63_json_overlay", "events", "event_id", {"j": lambda: F.to_json(F.struct(F.from_json("props", "k int")["k"].alias("k"), F.when(F.col("value") > 50, F.lit("big")).alias("size")))}, {"j": "case when value > 50 then '{\"k\":' || (props->>'$.k') || ',\"size\":\"big\"}' else '{\"k\":' || (props->>'$.k') || '}' end"})

@@ -134,7 +134,7 @@ def test_texts(spark):
     assert one(spark, X.accession(F.lit("000032019325000079"))) == "0000320193-25-000079"
     assert one(spark, X.percent_number(F.lit("+1,015.3%"))) == 1015.3 and one(spark, X.percent_number(F.lit("n/a"))) is None
     assert one(spark, X.short_number(F.lit(3.1e12))) == "3.10T" and one(spark, X.short_number(F.lit(None).cast("double"))) == "N/A"
-    assert one(spark, X.html_text(F.lit("<p>A&amp;B</p><script>x</script><div>c<br/>d</div>"))) == " A&B\n\nc\nd\n"
+    assert one(spark, X.html_text(F.lit("<p>A&amp;B</p><script>x</script><div>c<br/>d</div>"))) == "A&B\n\n c\nd"
     assert str(one(spark, X.next_trading_day(F.lit("2025-01-03").cast("date")))) == "2025-01-06"
     assert str(one(spark, X.next_trading_day(F.lit("2025-01-04").cast("date")))) == "2025-01-06"
     page = '<ix:nonFraction name="us-gaap:Revenues" scale="6" sign="-">1,234</ix:nonFraction>'
