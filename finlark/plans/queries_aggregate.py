@@ -27,7 +27,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-P, R, C = F.col("predicted"), F.col("actual"), F.col("confidence")
 #: The report's categories, scaled to the balances of the table.
 TIER = "case when market_cap >= 60e9 then 'mega' when market_cap >= 30e9 then 'large' when market_cap >= 10e9 then 'mid' else 'small' end"
 
@@ -57,7 +56,7 @@ def children_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A6_conditional_counts", "select filing_type, count(*) filter (concern > 6) as high, count(*) filter (sentiment > 0 and confidence >= 0.8) as good, count(*) filter (predicted * actual > 0) as same from filing group by 1")
 def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count_if(F.col("concern") > 6).alias("high"), F.count_if((F.col("sentiment") > 0) & (C >= 0.8)).alias("good"), F.count_if(P * R > 0).alias("same"))
+    return B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count_if(F.col("concern") > 6).alias("high"), F.count_if((F.col("sentiment") > 0) & (F.col("confidence") >= 0.8)).alias("good"), F.count_if(F.col("predicted") * F.col("actual") > 0).alias("same"))
 
 
 @query("A7_first_per_key", "select company_id, filing_id from (select *, row_number() over (partition by company_id order by filing_date desc, filing_id) as k from filing) where k = 1")
@@ -71,59 +70,59 @@ ERR = "count(*) as n, round(avg(abs(predicted - actual)), 6) as mae, round(sqrt(
 
 @query("A8_error_statistics", f"select filing_type, {ERR} from filing group by 1")
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(*A.error_statistics(P, R)))
+    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(*A.error_statistics(F.col("predicted"), F.col("actual"))))
 
 
 @query("A9_alpha_statistics", "select status, round(avg(case when predicted <> 0 then cast(sign(predicted) = sign(actual) as double) end) * 100, 6) as direction, round(avg(case when predicted <> 0 and confidence >= 0.8 then cast(sign(predicted) = sign(actual) as double) end) * 100, 6) as sure_direction, round(avg(actual) filter (predicted > 0), 6) as long, round(avg(actual) filter (predicted < 0), 6) as short, round(avg(actual) filter (predicted > 0) - avg(actual) filter (predicted < 0), 6) as spread from filing group by 1")
 def alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("status").agg(*A.alpha_statistics(P, R, C)))
+    return rounded(B.filings(spark, sf_dir).groupBy("status").agg(*A.alpha_statistics(F.col("predicted"), F.col("actual"), F.col("confidence"))))
 
 
 @query("A10_error_labels", "select case when e < 5 then 'excellent' when e < 15 then 'good' when e < 30 then 'fair' else 'poor' end as label, count(*) as n, count(*) filter ((predicted > 0) = (actual > 0)) as same from (select *, abs((predicted - actual) * 100 / nullif(actual, 0)) as e from filing) group by 1")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.abs(F.try_divide((P - R) * 100, R))
-    return B.filings(spark, sf_dir).groupBy(F.when(e < 5, "excellent").when(e < 15, "good").when(e < 30, "fair").otherwise("poor").alias("label")).agg(F.count("*").alias("n"), F.count_if((P > 0) == (R > 0)).alias("same"))
+    e = F.abs(F.try_divide((F.col("predicted") - F.col("actual")) * 100, F.col("actual")))
+    return B.filings(spark, sf_dir).groupBy(F.when(e < 5, "excellent").when(e < 15, "good").when(e < 30, "fair").otherwise("poor").alias("label")).agg(F.count("*").alias("n"), F.count_if((F.col("predicted") > 0) == (F.col("actual") > 0)).alias("same"))
 
 
 @query("A12_trade_statistics", "select company_id, count(*) as trades, count(*) filter (actual > 0) as wins, round(sum(actual) filter (actual > 0) / nullif(-sum(actual) filter (actual <= 0), 0), 6) as profit_factor, max_by(filing_id, (actual, -filing_id)) as best, min_by(filing_id, (actual, filing_id)) as worst from filing group by 1")
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gain, loss = F.sum(F.when(R > 0, R)), -F.sum(F.when(R <= 0, R))
-    best, worst = F.max_by("filing_id", F.struct(R, -F.col("filing_id"))), F.min_by("filing_id", F.struct(R, F.col("filing_id")))
-    return rounded(B.filings(spark, sf_dir).groupBy("company_id").agg(F.count("*").alias("trades"), F.count_if(R > 0).alias("wins"), F.try_divide(gain, loss).alias("profit_factor"), best.alias("best"), worst.alias("worst")))
+    gain, loss = F.sum(F.when(F.col("actual") > 0, F.col("actual"))), -F.sum(F.when(F.col("actual") <= 0, F.col("actual")))
+    best, worst = F.max_by("filing_id", F.struct(F.col("actual"), -F.col("filing_id"))), F.min_by("filing_id", F.struct(F.col("actual"), F.col("filing_id")))
+    return rounded(B.filings(spark, sf_dir).groupBy("company_id").agg(F.count("*").alias("trades"), F.count_if(F.col("actual") > 0).alias("wins"), F.try_divide(gain, loss).alias("profit_factor"), best.alias("best"), worst.alias("worst")))
 
 
 @query("A13_model_metrics_by_slice", f"select coalesce(filing_type, 'all') as filing_type, coalesce(status, 'all') as status, {ERR}, round(1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual), 6) as r2 from filing group by grouping sets ((filing_type), (status), ())")
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.filings(spark, sf_dir)
-    made = rows.groupingSets([[F.col("filing_type")], [F.col("status")], []], F.col("filing_type"), F.col("status")).agg(*A.error_statistics(P, R), A.r_squared(P, R).alias("r2"))
+    made = rows.groupingSets([[F.col("filing_type")], [F.col("status")], []], F.col("filing_type"), F.col("status")).agg(*A.error_statistics(F.col("predicted"), F.col("actual")), A.r_squared(F.col("predicted"), F.col("actual")).alias("r2"))
     return rounded(made.fillna("all", ["filing_type", "status"]))
 
 
 @query("A13_upper_median", "select filing_type, round(list_sort(list(abs(predicted - actual)))[count(*) // 2 + 1], 6) as median from filing group by 1")
 def median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.upper_median(B.filings(spark, sf_dir), "filing_type", F.abs(P - R)))
+    return rounded(A.upper_median(B.filings(spark, sf_dir), "filing_type", F.abs(F.col("predicted") - F.col("actual"))))
 
 
 @query("A14_ranking", "select status, round(avg(cast(sign(predicted) = sign(actual) as double)) - 10 * avg(abs(predicted - actual)), 6) as score from filing group by 1 order by score desc")
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("status").agg((F.avg((F.signum(P) == F.signum(R)).cast("double")) - 10 * F.avg(F.abs(P - R))).alias("score"))).orderBy(F.col("score").desc())
+    return rounded(B.filings(spark, sf_dir).groupBy("status").agg((F.avg((F.signum(F.col("predicted")) == F.signum(F.col("actual"))).cast("double")) - 10 * F.avg(F.abs(F.col("predicted") - F.col("actual")))).alias("score"))).orderBy(F.col("score").desc())
 
 
 @query("A15_correlation", "select filing_type, round(corr(sentiment, actual), 6) as r, 0.0::double as constant from filing group by 1")
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(A.correlation(F.col("sentiment"), R).alias("r"), A.correlation(F.col("sentiment") * 0, R).alias("constant")))
+    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(A.correlation(F.col("sentiment"), F.col("actual")).alias("r"), A.correlation(F.col("sentiment") * 0, F.col("actual")).alias("constant")))
 
 
 @query("A16_beat_miss_means", "select case when predicted > 2 then 'beat' when predicted < -2 then 'miss' else 'inline' end as kind, count(*) as n, round(avg(actual), 6) as mean from filing group by 1")
 def beat_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     from finlark.functions.math import surprise_class
 
-    return rounded(B.filings(spark, sf_dir).groupBy(surprise_class(P).alias("kind")).agg(F.count("*").alias("n"), F.avg(R).alias("mean")))
+    return rounded(B.filings(spark, sf_dir).groupBy(surprise_class(F.col("predicted")).alias("kind")).agg(F.count("*").alias("n"), F.avg(F.col("actual")).alias("mean")))
 
 
 @query("A17_A18_right_closed_bins", "select case when predicted > -8 and predicted <= -4 then '(-8,-4]' when predicted > -4 and predicted <= 0 then '(-4,0]' when predicted > 0 and predicted <= 4 then '(0,4]' when predicted > 4 and predicted <= 8 then '(4,8]' end as bin, count(*) as n from filing group by 1")
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.filings(spark, sf_dir).groupBy(binned(P, [-8, -4, 0, 4, 8], ["(-8,-4]", "(-4,0]", "(0,4]", "(4,8]"]).alias("bin")).agg(F.count("*").alias("n"))
+    return B.filings(spark, sf_dir).groupBy(binned(F.col("predicted"), [-8, -4, 0, 4, 8], ["(-8,-4]", "(-4,0]", "(0,4]", "(4,8]"]).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("A19_quantiles", "select filing_type, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from filing group by 1")
@@ -138,7 +137,7 @@ def winsorised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A21_months", "select cast(date_trunc('month', filing_date) as date) as month, count(*) as n from filing where abs(actual) > 7 group by 1 order by n desc, month limit 20")
 def months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.filings(spark, sf_dir).where(F.abs(R) > 7).groupBy(F.trunc(F.col("filing_date").cast("date"), "month").alias("month")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "month").limit(20)
+    return B.filings(spark, sf_dir).where(F.abs(F.col("actual")) > 7).groupBy(F.trunc(F.col("filing_date").cast("date"), "month").alias("month")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "month").limit(20)
 
 
 @query("A22_deviations", "select sector, round(stddev_samp(market_cap), 4) as sample, round(stddev_pop(market_cap), 4) as population from company group by 1")
@@ -148,8 +147,8 @@ def deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A23_calibration", f"select case when confidence >= 0.65 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as bucket, {TIER} as tier, grouping({TIER}) as whole, count(*) as n, round(avg(confidence), 6) as mean_confidence, round(avg(cast(sign(predicted) = sign(actual) as double)), 6) as accuracy from filing join company using (company_id) group by rollup (1, 2) having grouping(1) = 0".replace("having grouping(1) = 0", "having bucket is not null"))
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.filings(spark, sf_dir).join(B.companies(spark, sf_dir).select("company_id", "market_cap"), "company_id").withColumns({"bucket": F.when(C >= 0.65, "high").when(C >= 0.5, "medium").otherwise("low"), "tier": F.expr(TIER)})
-    made = rows.rollup("bucket", "tier").agg(F.grouping("tier").cast("bigint").alias("whole"), F.count("*").alias("n"), F.avg(C).alias("mean_confidence"), F.avg((F.signum(P) == F.signum(R)).cast("double")).alias("accuracy"))
+    rows = B.filings(spark, sf_dir).join(B.companies(spark, sf_dir).select("company_id", "market_cap"), "company_id").withColumns({"bucket": F.when(F.col("confidence") >= 0.65, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low"), "tier": F.expr(TIER)})
+    made = rows.rollup("bucket", "tier").agg(F.grouping("tier").cast("bigint").alias("whole"), F.count("*").alias("n"), F.avg(F.col("confidence")).alias("mean_confidence"), F.avg((F.signum(F.col("predicted")) == F.signum(F.col("actual"))).cast("double")).alias("accuracy"))
     return rounded(made.where("bucket is not null"))
 
 
@@ -165,12 +164,12 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A26_confusion", "select filing_type, tp, fp, fn, tn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) as f1, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from (select filing_type, count(*) filter (predicted > 0 and actual > 0) as tp, count(*) filter (predicted > 0 and actual <= 0) as fp, count(*) filter (predicted <= 0 and actual > 0) as fn, count(*) filter (predicted <= 0 and actual <= 0) as tn from filing group by 1)")
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(*A.confusion(P > 0, R > 0)))
+    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(*A.confusion(F.col("predicted") > 0, F.col("actual") > 0)))
 
 
 @query("A26_auc", ", r as (select actual > 0 as y, rank() over (order by confidence) + (count(*) over (partition by confidence) - 1) / 2.0 as k from filing) select round((sum(k) filter (y) - count(*) filter (y) * (count(*) filter (y) + 1) / 2.0) / (count(*) filter (y) * count(*) filter (not y)), 6) as auc from r")
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.auc(B.filings(spark, sf_dir).select("confidence", (R > 0).alias("y")), "confidence", "y"))
+    return rounded(A.auc(B.filings(spark, sf_dir).select("confidence", (F.col("actual") > 0).alias("y")), "confidence", "y"))
 
 
 @query("A27_completeness", "select 'pe_ratio' as column, round(count(pe_ratio) / count(*), 6) as ratio from company union all select 'beta', round(count(beta) / count(*), 6) from company union all select 'market_cap', 1.0 from company limit 3".replace(" union all select 'market_cap', 1.0 from company limit 3", " union all select 'market_cap', round(count(market_cap) / count(*), 6) from company"))
@@ -228,10 +227,10 @@ def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_where(kept, F.col("status") == "P", {"status": F.lit("failed")}).select("filing_id", "status")
 
 
-@query("X9_data_quality", "select filing_type, count(*) as n, count(*) - count(distinct (company_id, day)) as repeats, count(distinct company_id) as companies, count(*) filter (abs(actual) > 7.5) as extreme, round(quantile_cont(actual, 0.05), 6) as p5, round(quantile_cont(actual, 0.95), 6) as p95, count(distinct concern) < 5 as suspicious from filing group by 1")
+@query("X9_data_quality", "select filing_type, count(*) as n, count(*) - count(distinct (company_id, day)) as repeats, count(distinct company_id) as companies, count(*) filter (abs(actual) > 7.5) as extreme, round(quantile_cont(actual, 0.05), 10) as p5, round(quantile_cont(actual, 0.95), 10) as p95, count(distinct concern) < 5 as suspicious from filing group by 1")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count("*").alias("n"), F.count_distinct("company_id", "day").alias("d"), F.count_distinct("company_id").alias("companies"), F.count_if(F.abs(R) > 7.5).alias("extreme"), F.percentile("actual", 0.05).alias("p5"), F.percentile("actual", 0.95).alias("p95"), (F.count_distinct("concern") < 5).alias("suspicious"))
-    return rounded(made.select("filing_type", "n", (F.col("n") - F.col("d")).alias("repeats"), "companies", "extreme", "p5", "p95", "suspicious"))
+    made = B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count("*").alias("n"), F.count_distinct("company_id", "day").alias("d"), F.count_distinct("company_id").alias("companies"), F.count_if(F.abs(F.col("actual")) > 7.5).alias("extreme"), F.percentile("actual", 0.05).alias("p5"), F.percentile("actual", 0.95).alias("p95"), (F.count_distinct("concern") < 5).alias("suspicious"))
+    return rounded(made.select("filing_type", "n", (F.col("n") - F.col("d")).alias("repeats"), "companies", "extreme", "p5", "p95", "suspicious"), 10)
 
 
 @query("X13_job_health", "select action as job, min(ts) as first, max(ts) as last, count(*) as runs, count(*) filter (value > 50) as slow from activity where ts >= timestamp '2024-01-23' group by 1")
@@ -239,11 +238,11 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.activity(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-23")).groupBy(F.col("action").alias("job")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("runs"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
-@query("V14_distribution", "select coalesce(filing_type, 'all') as filing_type, coalesce(cast(year(filing_date) as varchar), 'all') as y, count(*) as n, count(*) filter (actual > 0) as up, round(quantile_cont(actual, 0.25), 6) as p25, round(quantile_cont(actual, 0.75), 6) as p75 from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))".replace("cast(year(filing_date) as varchar), 'all') as y", "yy, 'all') as y").replace("from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))", "from (select *, cast(year(filing_date) as varchar) as yy from filing) group by grouping sets ((filing_type), (yy))"))
+@query("V14_distribution", "select coalesce(filing_type, 'all') as filing_type, coalesce(cast(year(filing_date) as varchar), 'all') as y, count(*) as n, count(*) filter (actual > 0) as up, round(quantile_cont(actual, 0.25), 10) as p25, round(quantile_cont(actual, 0.75), 10) as p75 from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))".replace("cast(year(filing_date) as varchar), 'all') as y", "yy, 'all') as y").replace("from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))", "from (select *, cast(year(filing_date) as varchar) as yy from filing) group by grouping sets ((filing_type), (yy))"))
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.filings(spark, sf_dir).withColumn("y", F.year("filing_date").cast("string"))
-    made = rows.groupingSets([[F.col("filing_type")], [F.col("y")]], F.col("filing_type"), F.col("y")).agg(F.count("*").alias("n"), F.count_if(R > 0).alias("up"), F.percentile("actual", 0.25).alias("p25"), F.percentile("actual", 0.75).alias("p75"))
-    return rounded(made.fillna("all", ["filing_type", "y"]))
+    made = rows.groupingSets([[F.col("filing_type")], [F.col("y")]], F.col("filing_type"), F.col("y")).agg(F.count("*").alias("n"), F.count_if(F.col("actual") > 0).alias("up"), F.percentile("actual", 0.25).alias("p25"), F.percentile("actual", 0.75).alias("p75"))
+    return rounded(made.fillna("all", ["filing_type", "y"]), 10)
 
 
 __all__ = ["QUERIES", "SQL", "Window", "cap_tier"]
