@@ -168,11 +168,11 @@ class Block:
         tokens = Tokens(texts)
         hashes = tokens.hashes()
         words = np.unique(np.concatenate((hashes, np.array([START, END]))))
-        local = np.searchsorted(words, hashes)
+        local = np.searchsorted(words, hashes).astype(np.int32)
         start, end = np.searchsorted(words, START), np.searchsorted(words, END)
         n = len(tokens.rows)
-        token = np.empty(len(tokens.codes) + n, np.int64)
-        row = np.repeat(np.arange(n), tokens.rows + 1)
+        token = np.empty(len(tokens.codes) + n, np.int32)
+        row = np.repeat(np.arange(n, dtype=np.int32), tokens.rows + 1)
         is_end = np.zeros(len(token), bool)
         is_end[np.cumsum(tokens.rows + 1) - 1] = True
         token[is_end] = end
@@ -182,7 +182,7 @@ class Block:
         first = np.concatenate((np.ones(min(1, n), bool), is_end[:-1]))
         before[first] = start
         keys, pair = np.unique((before.astype(np.uint64) << WORD_BITS) | (words[token] >> np.uint64(64 - int(WORD_BITS))), return_inverse=True)
-        return cls(words, keys, token, pair, row)
+        return cls(words, keys, token, pair.astype(np.int32), row)
 
     def context(self) -> np.ndarray:
         return (self.keys >> WORD_BITS).astype(np.int64)
@@ -264,7 +264,7 @@ def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": block.column("doc_id"), "held_out": pa.array(~np.asarray(block.column("train"), dtype=bool)), "n_tokens": np.bincount(b.row, minlength=n), "n_known": known.astype(np.int64), "train_tokens": np.full(n, tokens), "base_score": base, "score": score})
 
 
-def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 1 << 24, discount: float = 0.75, min_count: int = 2) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 1 << 23, discount: float = 0.75, min_count: int = 2) -> DataFrame:
     """Scores of every row, from a model of the rows where ``train`` holds.
 
     held_out: ``train`` doesn't hold (a null counts as true); n_tokens: words
