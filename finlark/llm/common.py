@@ -45,6 +45,19 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def count_at_most(bounds: Column, n: int, x: Column) -> Column:
+    """How many of n ascending bounds (a literal array) are at most x, by halving."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        under = F.element_at(bounds, F.least(middle, F.lit(n - 1)) + 1) <= x
+        more = s["low"] < s["high"]
+        return F.struct(F.when(more & under, middle + 1).otherwise(s["low"]).alias("low"), F.when(more & ~under, middle).otherwise(s["high"]).alias("high"))
+
+    if not n:
+        return F.lit(0)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda s: s["low"])
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
     """``fn`` on each Arrow batch of ``df``, cut to SLICE rows so that what it makes of them stays small."""
 

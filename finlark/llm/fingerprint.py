@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finlark.llm.common import mix
+from finlark.llm.common import count_at_most, mix
 
 PLACES = 128
 BASE = np.uint64(0x100000001B3 | 1)
@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, key: str, parts: int) -> DataFrame:
     bounds = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
     bounds = sorted(set(bounds or []))
     cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    place = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col(key))) if bounds else 0).cast("int")
+    place = F.when(F.col(key).isNull(), 0).otherwise(count_at_most(cuts, len(bounds), F.col(key))).cast("int")
     ranged = docs.withColumn("_range", place)
     heads = sorted((r for r in ranged.groupBy("_range").agg(F.min(key).alias("k"), F.count(F.when(F.col(key).isNull(), 1)).alias("nulls")).collect()), key=lambda r: r._range)
     if not heads:

@@ -16,7 +16,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlark.llm.common import cut
+from finlark.llm.common import count_at_most, cut
 
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -32,16 +32,20 @@ class Span:
 
 
 def _bucket(spans: list[Span], probes: int) -> Column:
-    """Number of the row's span times ``probes`` plus its bucket there; null outside all spans."""
-    found = F.lit(None).cast("bigint")
-    for i, s in reversed(list(enumerate(spans))):
-        width = _width(s, probes)
-        if s.hash is None:
-            inside, at = F.col("h").between(s.lo, s.hi), F.expr(f"(h - {s.lo}L) div {width}L")
-        else:
-            inside, at = (F.col("h") == s.hash) & F.col("d").between(s.lo, s.hi), F.expr(f"cast(floor((cast(d as decimal(20,0)) - {s.lo}BD) / {width}BD) as bigint)")
-        found = F.when(inside, F.lit(i * probes) + at).otherwise(found)
-    return found
+    """Number of the row's span times ``probes`` plus its bucket there; null outside all spans. Spans ascend and don't overlap."""
+    def array(values) -> Column:
+        return F.expr(f"array({','.join(values)})")
+
+    n = len(spans)
+    starts = array(f"struct({s.lo if s.hash is None else s.hash}L as h, {_long(LOW if s.hash is None else s.lo)} as d)" for s in spans)
+    ends = array(f"struct({s.hi if s.hash is None else s.hash}L as h, {_long(HIGH if s.hash is None else s.hi)} as d)" for s in spans)
+    at = F.struct(F.col("h").alias("h"), F.col("d").alias("d"))
+    place = count_at_most(starts, n, at)
+    own = lambda values: F.element_at(array(values), F.greatest(place, F.lit(1)))
+    big = lambda x: x.cast("decimal(20,0)")
+    value = F.when(own("true" if s.hash is None else "false" for s in spans), F.col("h")).otherwise(F.col("d"))
+    bucket = F.floor((big(value) - big(own(_long(s.lo) for s in spans))) / big(own(f"{_width(s, probes)}L" for s in spans))).cast("bigint")
+    return F.when((place > 0) & (at <= F.element_at(ends, F.greatest(place, F.lit(1)))), (place - 1) * F.lit(probes).cast("bigint") + bucket)
 
 
 def _width(s: Span, probes: int) -> int:
@@ -58,7 +62,7 @@ def splitters(keys: DataFrame, targets: list[tuple[int, float]], *, probes: int
     found: dict[int, tuple[int, int]] = {}
     waiting = {Span(None, 0, HIGH, 0): list(range(len(targets)))} if targets else {}
     while waiting:
-        spans = list(waiting)
+        spans = sorted(waiting, key=lambda s: (s.lo, LOW) if s.hash is None else (s.hash, s.lo))
         each = max(16, probes // len(spans))
         counts: dict[int, list] = {i: [] for i in range(len(spans))}
         rows = keys.withColumn("b", _bucket(spans, each)).where("b is not null").groupBy("b").agg(F.sum("w").alias("w"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("d").alias("d0"), F.max("d").alias("d1")).collect()
@@ -119,7 +123,7 @@ def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
         listed = F.expr("array(" + ",".join(f"struct({h}L as h, {_long(d)} as d)" for h, d in cuts) + ")")
 
         def place(h: str, d: str) -> Column:
-            return F.size(F.filter(listed, lambda x: x <= F.struct(F.col(h).alias("h"), F.col(d).alias("d"))))
+            return count_at_most(listed, len(cuts), F.struct(F.col(h).alias("h"), F.col(d).alias("d")))
 
     counted = {r.p: r.n for r in keys.withColumn("p", place("h", "d")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     offsets, at = [], 0
