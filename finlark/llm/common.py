@@ -45,6 +45,22 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def hash_bound(k: int, n: int) -> int:
+    """A bound that about 3 k of n evenly spread 64-bit hashes are under; no bound for small n."""
+    return 2**63 - 1 if n <= 6 * k else -(2**63) + (3 * k << 64) // n
+
+
+def least_hashes(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """The k rows whose 64-bit hash in ``column`` is least.
+
+    Rows over the bound are passed over where they stand, so the one task that
+    orders what is left gets some 3 k rows, not k from each task before it.
+    """
+    near = rows.where(F.col(column) <= hash_bound(k, rows.count()))
+    near = near if near.limit(k).count() == k else rows
+    return near.orderBy(column, *[c for c in rows.columns if c != column]).limit(k)
+
+
 def count_at_most(bounds: Column, n: int, x: Column) -> Column:
     """How many of n ascending bounds (a literal array) are at most x, by halving."""
     def halve(s: Column, _: Column) -> Column:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlark.llm.common import map_batches, with_fields
+from finlark.llm.common import hash_bound, map_batches, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_LANGUAGES = 256
@@ -49,17 +49,20 @@ def normal(text: str) -> str:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 96, sample_chars: int = 2000, dict_bytes: int = 1 << 16) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
-    At most ``sample_rows`` texts a language (smallest hashes first), each with
+    At most ``sample_rows`` different texts a language (smallest hashes first), each with
     at most ``sample_chars`` characters, reach the driver; rows with a null
     text or language teach nothing. More than MAX_LANGUAGES languages raise
-    ValueError. Repeated rows count as often as they occur.
+    ValueError. A text that repeats counts once.
     """
     known = docs.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text")).where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    picked = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("lang", "k", "text").collect()
+    # Rows over their language's bound go at once, so that a language's one task gets a few hundred rows from all others.
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(sample_rows, n))]) if counts else F.lit(None)
+    near = known.withColumn("h", F.xxhash64("text")).where(F.col("h") <= bounds[F.col("lang")]) if counts else known.withColumn("h", F.lit(0)).limit(0)
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    picked = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("lang", "k", "text").collect()
     content: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.k)):
         content[r.lang] = content.get(r.lang, "") + normal(r.text)

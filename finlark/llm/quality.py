@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlark.llm.common import Tokens, hash_words, map_batches, pair, with_fields
+from finlark.llm.common import Tokens, hash_words, least_hashes, map_batches, pair, with_fields
 
 BUCKET_BITS = 18
 
@@ -138,5 +138,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     with several labels is left out where they differ and counts once where not.
     """
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("_top")).where("label = _top")
-    picked = one.select(key, "label", F.xxhash64(key).alias("_h")).orderBy("_h", key).limit(max_rows).select(key, "label")
+    picked = least_hashes(one.select(key, "label", F.xxhash64(key).alias("_h")), "_h", max_rows).select(key, "label")
     return docs.select(key, "text").join(F.broadcast(picked), key)
