@@ -137,3 +137,19 @@ def test_nothing_but_text_scores(docs):
     a = language_id.classify(docs, model).select("doc_id", "lang_pred")
     b = language_id.classify(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("y")), model).select("doc_id", "lang_pred")
     assert a.exceptAll(b).count() == 0
+
+
+def test_least_hashes_are_the_least(spark):
+    from finlark.llm.common import count_at_most, hash_bound, least_hashes
+
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    want = sorted((r.h, r.id) for r in rows.collect())
+    for k in (10, 700, 4000, 9000):
+        assert sorted((r.h, r.id) for r in least_hashes(rows, "h", k).collect()) == want[:k]
+    same = rows.withColumn("h", F.lit(2**62))
+    assert least_hashes(same, "h", 10).count() == 10 and least_hashes(rows.limit(0), "h", 10).count() == 0
+    assert hash_bound(10, 60) == 2**63 - 1 and -(2**63) < hash_bound(10, 10**12) < -(2**63) + 2**40
+    bounds = [3, 3, 7, 20]
+    column = F.array(*[F.lit(b) for b in bounds])
+    got = spark.range(25).select("id", count_at_most(column, 4, F.col("id").cast("int")).alias("n")).collect()
+    assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
