@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.functions.math import binned, cap_tier
+from finlark.functions.math import binned
 from finlark.operators import aggregates as A
 from finlark.plans import bindings as B
 
@@ -244,5 +244,3 @@ def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.groupingSets([[F.col("filing_type")], [F.col("y")]], F.col("filing_type"), F.col("y")).agg(F.count("*").alias("n"), F.count_if(F.col("actual") > 0).alias("up"), F.percentile("actual", 0.25).alias("p25"), F.percentile("actual", 0.75).alias("p75"))
     return rounded(made.fillna("all", ["filing_type", "y"]), 10)
 
-
-__all__ = ["QUERIES", "SQL", "Window", "cap_tier"]
