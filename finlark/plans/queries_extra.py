@@ -162,3 +162,61 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = F.concat(F.lit("Item 1A. Risk Factors "), F.col("text"), F.lit("\nItem 2. Properties. None."))
     return B.table(spark, sf_dir, "documents").select("doc_id", F.length(section(text, "risk_factors")).alias("n"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as job runs: views have started and not ended, errors have failed, the rest took their value in minutes."""
+    rows = B.activity(spark, sf_dir)
+    status = F.when(F.col("action") == "view", "running").when(F.col("action") == "error", "failed").otherwise("success")
+    done = F.when(F.col("action") != "view", F.timestamp_micros(F.unix_micros("ts") + F.floor("value") * 60_000_000))
+    return rows.select("event_id", (F.col("company_id") % 12).cast("string").alias("job_name"), status.alias("status"), F.col("ts").alias("started_at"), done.alias("completed_at"), F.lit(None).cast("string").alias("error_message"))
+
+
+@query("T4s_stuck_runs", "select event_id, case when action = 'view' and ts < timestamp '2024-01-30 23:50:00' then 'failed' when action = 'view' then 'running' when action = 'error' then 'failed' else 'success' end as status from activity")
+def stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finlark.streaming.jobs import with_stuck_failed
+
+    return with_stuck_failed(runs(spark, sf_dir), "2024-01-31 00:00:00").select("event_id", "status")
+
+
+@query("T5s_freshness", ", r as (select cast(company_id % 12 as varchar) as job_name, max(case when action not in ('view', 'error') then ts + to_minutes(cast(floor(value) as int)) end) as last_success from activity group by 1) select job_name, last_success, coalesce(epoch_us(timestamp '2024-01-31 06:00:00') - epoch_us(last_success) > case job_name when '3' then 48 else 7 end * 3600000000, true) as stale from r")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finlark.streaming.jobs import stale
+
+    return stale(runs(spark, sf_dir), "2024-01-31 06:00:00", {"3": 48}, default=7).select("job_name", "last_success", "stale")
+
+
+@query("K3_K10_filtered_page", "select filing_id, value, count(*) over () as total_count from filing where filing_type <> '8-K' and concern > 5 order by value desc, filing_id limit 50 offset 100")
+def third_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finlark.plans.screener import paged
+
+    rows = B.filings(spark, sf_dir).where("filing_type <> '8-K' and concern > 5")
+    return paged(rows, [F.col("value").desc(), F.col("filing_id")], 3).select("filing_id", "value", "total_count")
+
+
+@query("K8_largest_and_smallest", "select filing_type, list_sort(list(actual))[-3:][::-1] as largest, list_sort(list(actual))[1:3] as smallest from filing group by 1".replace("list_sort(list(actual))[-3:][::-1]", "list_reverse_sort(list(actual))[1:3]"))
+def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of each end by type, ranked with a limit that Spark applies before the shuffle too."""
+    rows = B.filings(spark, sf_dir).select("filing_type", "actual", "filing_id")
+
+    def three(order, name: str) -> DataFrame:
+        w = Window.partitionBy("filing_type").orderBy(order, "filing_id")
+        kept = rows.withColumn("k", F.row_number().over(w)).where("k <= 3")
+        return kept.groupBy("filing_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "actual"))), lambda x: x["actual"]).alias(name))
+
+    return three(F.col("actual").desc(), "largest").join(three(F.col("actual").asc(), "smallest"), "filing_type")
+
+
+@query("M14_factor_flags", "select filing_id, concern between 5 and 10 as some_short, concern * 2 > 15 as much_short, confidence < 0.8 as quiet, confidence * 2 > 1.3 as busy, concern * 2 > 15 and confidence * 2 > 1.3 as suspicious from filing")
+def factor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, v = F.col("concern"), F.col("confidence")
+    much, busy = c * 2 > 15, v * 2 > 1.3
+    return B.filings(spark, sf_dir).select("filing_id", c.between(5, 10).alias("some_short"), much.alias("much_short"), (v < 0.8).alias("quiet"), busy.alias("busy"), (much & busy).alias("suspicious"))
+
+
+@query("F41_guidance_shift", "select filing_id, round((predicted + 8 - actual - 8.5) * 100 / nullif(actual + 8.5, 0), 6) as delta, case when (predicted + 8 - actual - 8.5) * 100 / nullif(actual + 8.5, 0) > 1 then 'up' when (predicted + 8 - actual - 8.5) * 100 / nullif(actual + 8.5, 0) < -1 then 'down' else 'flat' end as shift from filing")
+def guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of the guidance against the consensus, in per cent; over 1 either way is a shift."""
+    middle, consensus = F.col("predicted") + 8, F.col("actual") + 8.5
+    delta = percent_change(middle, consensus)
+    return B.filings(spark, sf_dir).select("filing_id", F.round(delta, 6).alias("delta"), F.when(delta > 1, "up").when(delta < -1, "down").otherwise("flat").alias("shift"))
