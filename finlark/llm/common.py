@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 
 SLICE = 2500
+NO_BOUND = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 def hash_bound(k: int, n: int) -> int:
     """A bound that about 3 k of n evenly spread 64-bit hashes are under; no bound for small n."""
-    return 2**63 - 1 if n <= 6 * k else -(2**63) + (3 * k << 64) // n
+    return NO_BOUND if n <= 6 * k else -(2**63) + (3 * k << 64) // n
 
 
 def least_hashes(rows: DataFrame, column: str, k: int) -> DataFrame:

@@ -8,14 +8,15 @@ the choice is rejected when the runner-up is nearly as small.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from finlark.llm.common import hash_bound, map_batches, with_fields
+from finlark.llm.common import NO_BOUND, hash_bound, map_batches, with_fields
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_LANGUAGES = 256
@@ -46,6 +47,12 @@ def normal(text: str) -> str:
     return f" {' '.join(WORD.findall(text.lower()))} "
 
 
+def least(rows: DataFrame, k: int) -> list[Row]:
+    """The k different texts of each language that hash least, with their ranks."""
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    return rows.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("lang", "k", "text").collect()
+
+
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 96, sample_chars: int = 2000, dict_bytes: int = 1 << 16) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
@@ -54,15 +61,19 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows:
     text or language teach nothing. More than MAX_LANGUAGES languages raise
     ValueError. A text that repeats counts once.
     """
-    known = docs.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+    known = docs.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("kinds")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # Rows over their language's bound go at once, so that a language's one task gets a few hundred rows from all others.
-    bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(sample_rows, n))]) if counts else F.lit(None)
-    near = known.withColumn("h", F.xxhash64("text")).where(F.col("h") <= bounds[F.col("lang")]) if counts else known.withColumn("h", F.lit(0)).limit(0)
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).select("lang", "k", "text").collect()
+    counts = {r.lang: r.n for r in found}
+    # Texts over their language's bound go at once, so that a language's one task gets a few hundred rows from all others.
+    bounds = {r.lang: hash_bound(sample_rows, r.kinds) for r in found}
+    picked = least(known.where(F.col("h") <= F.create_map(*[F.lit(x) for b in bounds.items() for x in b])[F.col("lang")]), sample_rows) if bounds else []
+    # The bound rests on an estimate: a language with too few texts under it is read again without one.
+    got = Counter(r.lang for r in picked)
+    short = [x for x, b in bounds.items() if b < NO_BOUND and got[x] < sample_rows]
+    if short:
+        picked = [r for r in picked if r.lang not in short] + least(known.where(F.col("lang").isin(short)), sample_rows)
     content: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.k)):
         content[r.lang] = content.get(r.lang, "") + normal(r.text)

@@ -38,6 +38,20 @@ def test_ftrl_learns_a_word(spark):
     assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
 
 
+def test_language_of_copies_is_learnt(spark, monkeypatch):
+    texts = spark.range(200).select(F.concat(F.lit("la casa numero "), F.expr("translate(cast(id as string), '0123456789', 'abcdefghij')")).alias("text")).where("xxhash64(text) > 0").limit(20)
+    copies = texts.crossJoin(spark.range(500)).select("text", F.lit("it").alias("lang"))
+    other = spark.range(1000).select(F.concat(F.lit("the house "), F.expr("translate(cast(id as string), '0123456789', 'abcdefghij')")).alias("text"), F.lit("en").alias("lang"))
+    docs = copies.union(other)
+    model = language_id.fit(docs)
+    assert model.rows == {"it": 10000, "en": 1000}
+    assert model.content["it"].count(b"casa") == 20
+    assert model.content["en"].count(b"house") == 96
+    # The sample doesn't depend on the bound.
+    monkeypatch.setattr(language_id, "hash_bound", lambda k, n: -(2**63) + 2**50)
+    assert language_id.fit(docs) == model
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op3_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
