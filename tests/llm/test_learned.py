@@ -131,6 +131,22 @@ def test_added_spans_overlap_no_base_span(spark):
     assert not any(a < y and x < b for _, a, b in model.added(rows[0][1], base) for _, x, y in base)
 
 
+def test_missed_spans_are_added(spark):
+    rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} now, number 77{i:04d}123 is not one, mail me{i}@x.org, token ab{i * 7919 + 1000000}cd ok") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+
+    def added(text):
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in model.added(text, pii.base_spans(text))]
+
+    assert added("call (802) 555-1234 now") == [("phone", "(802) 555-1234")]
+    assert added("so mail bob7 [at] x.org, they said") == [("email", "bob7 [at] x.org")]
+    assert added("number 770123123 is not one, token ab2345678cd") == []
+    text = "call +1 (802) 555-1234 now or mail me@x.org"
+    changed, spans = pii.rewritten(text, pii.base_spans(text))
+    assert [k for k, _, _ in spans] == [3, 0] and pii.base_spans(changed) == [] and not any("+" in changed[a:b] or "@" in changed[a:b] for _, a, b in spans)
+
+
 def test_pii_odd_rows(odd, none, docs):
     model = pii.fit(docs)
     got = {r.doc_id: r for r in pii.find(odd, model).collect()}
