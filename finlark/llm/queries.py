@@ -56,7 +56,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) != 2)
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) != 2, min_count=1)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,15 @@ def test_language_model_with_many_shards(docs, texts):
             assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - full) < 2e-4 * n
 
 
+def test_language_model_query_counts_pairs_seen_once(spark, tmp_path):
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
+    train = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 != 2)
+    spark.createDataFrame([(train, "a b"), (held, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_lm(spark, str(tmp_path)).collect()}
+    # Three pairs, each seen once: (1 - 0.75) / 1 and the rest of the unigram's (1 + 1) / (3 + 3 + 1).
+    assert got[held].held_out and abs(got[held].score - 3 * math.log10(0.25 + 0.75 * 2 / 7)) < 6e-4
+
+
 def test_elias_fano_finds_what_is_there():
     rnd = np.random.default_rng(3)
     for n, top in ((0, 10), (1, 1), (5, 6), (1000, 1 << 20), (5000, 1 << 64), (3000, 3001), (9000, 1 << 50)):
