@@ -8,20 +8,24 @@ the item to any part of the text is taken from bit vectors.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import pickle
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from finlark.llm.common import free_name, map_batches, with_fields
+from finlark.llm.common import cut, free_name, map_batches, pair, with_fields
 
-MATCHES = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
-ARROW_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+FILTER_BITS = 26
 
 
 def lowered(text: str) -> str:
@@ -65,33 +69,82 @@ def best_in(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
     return distance, end - back, end
 
 
+def pieces(n: int, k: int) -> list[tuple[int, int]]:
+    """Where the k + 1 pieces of n characters lie."""
+    return [(n * i // (k + 1), n * (i + 1) // (k + 1)) for i in range(k + 1)]
+
+
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending ranges, those that touch made one."""
+    found: list[tuple[int, int]] = []
+    for a, b in ranges:
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], b)
+        else:
+            found.append((a, b))
+    return found
+
+
+def occurrences(item: str, text: str, k: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of occurrences with at most k edits that don't overlap.
+
+    The nearest is taken (of equals the first end, then the longest), then the nearest on either side of it as if
+    that were all there is, until no part holds one. A hit cuts what may begin before it; so distances are
+    taken anew for the ends within reach behind it, and each place is looked at some few times.
+    """
+    n, reach = len(item), len(item) + k
+    taken: list[tuple[int, int, int]] = []  # start, end, distance; ascending
+    at = text.find(item)
+    while at >= 0:
+        taken.append((at, at + n, 0))
+        at = text.find(item, at + n)
+    if not k:
+        return [(d, a, b) for a, b, d in taken]
+    heap: list[tuple[int, int, int]] = []  # distance, end, where the part begins for which it holds
+    for low, high in zip([0, *[b for _, b, _ in taken]], [*[a for a, _, _ in taken], len(text)], strict=True):
+        if high - low >= n - k:
+            heap += [(d, low + e, low) for d, e in ends(item, text[low:high], k)]
+    heapq.heapify(heap)
+    while heap:
+        distance, end, floor = heapq.heappop(heap)
+        place = bisect.bisect_left(taken, (end,))  # hits from here on begin at or after the end
+        low = taken[place - 1][1] if place else 0
+        if end <= low or (floor != low and end - low < reach):
+            continue  # inside a hit, or a hit has come before it and its distance was taken anew
+        back = max(a for d, a in ends(item[::-1], text[max(low, end - reach) : end][::-1], distance) if d == distance)
+        taken.insert(place, (end - back, end, distance))
+        high = min(taken[place + 1][0] if place + 1 < len(taken) else len(text), end + reach)
+        for d, e in ends(item, text[end:high], k) if high - end >= n - k else ():
+            heapq.heappush(heap, (d, end + e, end))
+    return [(d, a, b) for a, b, d in taken]
+
+
 @dataclass(frozen=True)
 class Items:
-    """Test items and their pieces. Items are lower-cased; empty ones can't be found."""
+    """Test items, lower-cased, by place in ``keys``, and their budgets of edits. Empty ones can't be found."""
 
-    texts: dict[int, str]
-    budgets: dict[int, int]
+    keys: list
+    texts: list[str]
+    budgets: list[int]
 
     @classmethod
-    def of(cls, rows: Iterable[tuple[int, str | None]], error_rate: float) -> Items:
-        texts = {i: lowered(t) for i, t in rows if i is not None and t}
-        return cls(texts, {i: int(len(t) * error_rate) for i, t in texts.items()})
+    def of(cls, rows: Iterable[tuple[object, str | None]], error_rate: float) -> Items:
+        kept = sorted({(i, lowered(t)) for i, t in rows if i is not None and t})
+        return cls([i for i, _ in kept], [t for _, t in kept], [int(len(t) * error_rate) for _, t in kept])
 
     def automaton(self) -> ahocorasick.Automaton:
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for i, text in self.texts.items():
-            n = self.budgets[i] + 1
-            for k in range(n):
-                a, b = len(text) * k // n, len(text) * (k + 1) // n
-                pieces.setdefault(text[a:b], []).append((i, b))
+        places: dict[str, list[tuple[int, int]]] = {}
+        for i, (text, k) in enumerate(zip(self.texts, self.budgets, strict=True)):
+            for a, b in pieces(len(text), k):
+                places.setdefault(text[a:b], []).append((i, b))
         found = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            found.add_word(piece, places)
+        for piece, held in places.items():
+            found.add_word(piece, held)
         found.make_automaton()
         return found
 
     def search(self, automaton: ahocorasick.Automaton, text: str) -> list[dict]:
-        """All occurrences, nearest first where several overlap."""
+        """All occurrences that don't overlap: of each item the nearest, then the nearest of what is free, and so on."""
         text = lowered(text)
         seen: dict[int, set[int]] = {}
         for end, places in automaton.iter(text):
@@ -100,28 +153,9 @@ class Items:
         found = []
         for i, begins in seen.items():
             item, k = self.texts[i], self.budgets[i]
-            low = high = None
-            windows = []
-            for at in sorted(begins):
-                if high is not None and at - k <= high:
-                    high = at + len(item) + k
-                else:
-                    if high is not None:
-                        windows.append((low, high))
-                    low, high = at - k, at + len(item) + k
-            windows.append((low, high))
-            for a, b in windows:
+            for a, b in merged((at - k, at + len(item) + k) for at in sorted(begins)):
                 a = max(0, a)
-                part = text[a:b]
-                while part:  # again after each occurrence, as a window may hold several
-                    at = part.find(item)
-                    hit = (0, at, at + len(item)) if at >= 0 else best_in(item, part, k)
-                    if hit is None:
-                        break
-                    found.append({"item_id": i, "distance": hit[0], "start": a + hit[1], "end": a + hit[2]})
-                    if at < 0 and hit[1] > len(item) // 2 and (before := best_in(item, part[: hit[1]], k)):
-                        found.append({"item_id": i, "distance": before[0], "start": a + before[1], "end": a + before[2]})
-                    a, part = a + hit[2], part[hit[2] :]
+                found += [{"item_id": self.keys[i], "distance": d, "start": a + x, "end": a + y} for d, x, y in occurrences(item, text[a:b], k)]
         return sorted(found, key=lambda x: (x["start"], x["item_id"], x["end"]))
 
 
@@ -134,24 +168,91 @@ def loaded(data: bytes) -> tuple[Items, ahocorasick.Automaton]:
 def search(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", error_rate: float = 0.0625, block_chars: int = 1 << 22) -> DataFrame:
     """Every row with ``matches``: item_id, distance, start and end (code points) of each occurrence.
 
-    An item with n characters may differ by int(n * error_rate) edits. Items go
-    out in blocks of about ``block_chars`` characters, each block against all rows,
-    so what a task holds doesn't grow with the benchmark. Null texts, null or
-    empty items have no matches; a column ``matches`` is replaced.
+    An item with n characters may differ by int(n * error_rate) edits. Items of up to ``block_chars``
+    characters in all go to each task as one automaton; more of them are joined
+    with the texts on hashes of their pieces, so that no task holds the
+    benchmark. Null texts, null keys and null or empty items have no matches; items of one
+    key and different texts are all looked for; a column ``matches`` is replaced.
     """
     rest = docs.drop("matches")
-    rows = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and length(t) > 0")
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    more = free_name(rest, "more")
-    out = rest.withColumn("matches", F.array().cast(MATCHES))
-    for b in range(blocks):
-        data = pickle.dumps(Items.of([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], error_rate))
-
-        def run(batch: pa.RecordBatch, data: bytes = data) -> pa.Table:
-            known, automaton = loaded(data)
-            found = [known.search(automaton, t) if t and known.texts else [] for t in batch.column(text).to_pylist()]
-            return pa.Table.from_batches([batch]).append_column(more, pa.array(found, ARROW_MATCHES))
-
-        out = map_batches(out, run, with_fields(out, f"`{more}` {MATCHES}")).withColumn("matches", F.concat("matches", more)).drop(more)
-    return out
+    rows = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).where("i is not null and length(t) > 0").distinct()
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", rows.schema["i"].dataType), *T.StructType.fromDDL("distance int, start int, end int").fields]))
+    arrow = to_arrow_type(kind)
+    schema = T.StructType([*rest.schema.fields, T.StructField("matches", kind)])
+    if (rows.agg(F.sum(F.length("t"))).first()[0] or 0) > block_chars:
+        met, items_of = with_candidates(rest, rows, text, error_rate), free_name(rest, "candidates")
+        met = met.withColumnRenamed("_candidates", items_of)
+
+        def verify(batch: pa.RecordBatch) -> pa.Table:
+            found = []
+            for t, near in zip(batch.column(text).to_pylist(), batch.column(items_of).to_pylist(), strict=True):
+                known = Items.of(((x["i"], x["t"]) for x in near or ()), error_rate)
+                found.append(known.search(known.automaton(), t) if near else [])
+            return pa.Table.from_batches([batch]).drop_columns(items_of).append_column("matches", pa.array(found, arrow))
+
+        return map_batches(met, verify, schema)
+    data = pickle.dumps(Items.of([(r.i, r.t) for r in rows.collect()], error_rate))
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        known, automaton = loaded(data)
+        found = [known.search(automaton, t) if t and known.texts else [] for t in batch.column(text).to_pylist()]
+        return pa.Table.from_batches([batch]).append_column("matches", pa.array(found, arrow))
+
+    return map_batches(rest, run, schema)
+
+
+def hashed(text: str, width: int) -> np.ndarray:
+    """A 63-bit hash of the ``width`` characters from each place on."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = np.full(max(0, len(codes) - width + 1), width, np.uint64)
+    for k in range(width):
+        found = pair(found, codes[k : len(codes) - width + 1 + k])
+    return (found >> np.uint64(1)).astype(np.int64)
+
+
+def width_of(piece: int) -> int:
+    """The largest power of two up to a piece's length, at most 16: so many of its characters are hashed."""
+    return min(16, 1 << (piece.bit_length() - 1))
+
+
+def with_candidates(docs: DataFrame, items: DataFrame, text: str, error_rate: float) -> DataFrame:
+    """docs with _candidates, the items (i, t) of which a piece may occur in the text.
+
+    Hashes of pieces are joined with hashes at all places of the texts. What has no counterpart is kept from the
+    exchange by a bitmap of 2**FILTER_BITS bits. Equal texts are searched once.
+    """
+
+    def of_items(batch: pa.RecordBatch) -> pa.Table:
+        at, found, widths = [], [], []
+        for n, t in enumerate(map(lowered, batch.column("t").to_pylist())):
+            for a, b in pieces(len(t), int(len(t) * error_rate)):
+                at.append(n)
+                widths.append(width_of(b - a))
+                found.append(hashed(t[a : a + widths[-1]], widths[-1])[0])
+        return pa.Table.from_batches([batch]).take(pa.array(at, pa.int64())).append_column("h", pa.array(found, pa.int64())).append_column("width", pa.array(widths, pa.int32()))
+
+    held = cut(map_batches(items, of_items, with_fields(items, "h bigint, width int")).distinct())
+    widths = [r.width for r in held.select("width").distinct().collect()]
+    slot = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = held.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << FILTER_BITS) - 1}L) & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+    known = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def of_docs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, found = [], []
+        for n, t in enumerate(batch.column("text").to_pylist()):
+            for width in widths:
+                h = hashed(lowered(t), width)
+                at = h & ((1 << FILTER_BITS) - 1)
+                h = np.unique(h[(known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0])
+                rows.append(np.full(len(h), n))
+                found.append(h)
+        at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["a", "b", "h"])
+
+    ids = [F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")]
+    bodies = docs.where(F.length(text) > 0).select(*ids, F.col(text).alias("text"))
+    hits = map_batches(bodies, of_docs, "a bigint, b bigint, h bigint").distinct().join(held, "h")
+    near = hits.select("a", "b", "i", "t").distinct().groupBy("a", "b").agg(F.collect_list(F.struct("i", "t")).alias("_candidates"))
+    return docs.join(near, (ids[0] == near.a) & (ids[1] == near.b), "left").select(*[docs[c] for c in docs.columns], "_candidates")

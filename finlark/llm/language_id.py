@@ -7,19 +7,18 @@ the choice is rejected when the runner-up is nearly as small.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from finlark.llm.common import NO_BOUND, hash_bound, map_batches, with_fields
 
-WORD = re.compile(r"[^\W\d_]+")
-MAX_LANGUAGES = 256
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 
 
@@ -47,25 +46,31 @@ def normal(text: str) -> str:
     return f" {' '.join(WORD.findall(text.lower()))} "
 
 
+def window(text: Column, chars: int) -> Column:
+    """At most ``chars`` characters of a text, from a place that its hash picks."""
+    spare = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(text, (F.pmod(F.xxhash64(text, F.lit("place")), spare) + 1).cast("int"), F.lit(chars))
+
+
 def least(rows: DataFrame, k: int) -> list[Row]:
     """The k different texts of each language that hash least, with their ranks."""
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    return rows.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("lang", "k", "text").collect()
+    order = Window.partitionBy("lang").orderBy("h", "part")
+    return rows.groupBy("lang", "h").agg(F.min("part").alias("part")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("lang", "k", "part").collect()
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 96, sample_chars: int = 2000, dict_bytes: int = 1 << 16) -> LanguageModel:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows: int = 96, sample_chars: int = 700, dict_bytes: int = 1 << 16, model_bytes: int = 1 << 25) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
-    At most ``sample_rows`` different texts a language (smallest hashes first), each with
-    at most ``sample_chars`` characters, reach the driver; rows with a null
-    text or language teach nothing. More than MAX_LANGUAGES languages raise
-    ValueError. A text that repeats counts once.
+    Of each language at most ``sample_rows`` different texts (smallest hashes first) reach the
+    driver, of each a window of at most ``sample_chars`` characters at a place that its hash picks.
+    They fill the dictionary in that order up to ``dict_bytes``, which the defaults just do. A language with any text has a
+    dictionary, however many there are: where all would take more than ``model_bytes``, rows and bytes are cut to equal shares of these.
+    Rows with a null text or language teach nothing; a text that repeats counts once.
     """
-    known = docs.select(F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("kinds")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = docs.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), window(F.col(text), sample_chars).alias("part")).where("lang is not null and part is not null")
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("kinds")).collect()
     counts = {r.lang: r.n for r in found}
+    sample_rows = max(1, min(sample_rows, model_bytes // (sample_chars * max(1, len(counts)))))
     # Texts over their language's bound go at once, so that a language's one task gets a few hundred rows from all others.
     bounds = {r.lang: hash_bound(sample_rows, r.kinds) for r in found}
     picked = least(known.where(F.col("h") <= F.create_map(*[F.lit(x) for b in bounds.items() for x in b])[F.col("lang")]), sample_rows) if bounds else []
@@ -74,10 +79,11 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_rows:
     short = [x for x, b in bounds.items() if b < NO_BOUND and got[x] < sample_rows]
     if short:
         picked = [r for r in picked if r.lang not in short] + least(known.where(F.col("lang").isin(short)), sample_rows)
+    share = min(dict_bytes, model_bytes // max(1, len(counts)))
     content: dict[str, str] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.k)):
-        content[r.lang] = content.get(r.lang, "") + normal(r.text)
-    return LanguageModel({k: v.encode()[-dict_bytes:] for k, v in content.items()}, {k: counts[k] for k in content})
+        content[r.lang] = content.get(r.lang, "") + normal(r.part)
+    return LanguageModel({k: v.encode()[:share] for k, v in content.items()}, {k: counts[k] for k in content})
 
 
 def classify(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_margin: float = 0.005) -> DataFrame:

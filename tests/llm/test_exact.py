@@ -144,6 +144,54 @@ def test_decontamination_odd_rows(odd, none, spark):
     assert [m.item_id for m in got[9]] == [1] and got[3] == [] and got[4] == []
     assert decontam.search(odd, bench.limit(0)).where("size(matches) > 0").count() == 0
     assert decontam.search(none, bench).count() == 0 and "more" in decontam.search(odd, bench).columns
+    joined = decontam.search(odd, bench, block_chars=3)
+    assert {r.doc_id: r.matches for r in joined.collect()} == got and joined.count() == odd.count() and joined.columns == [*odd.columns[:5], *odd.columns[6:], "matches"]
+    assert decontam.search(none, bench, block_chars=3).count() == 0
+
+
+def test_all_occurrences_in_one_window(spark):
+    def plain(item, text, k, base=0):
+        hit = decontam.best_in(item, text, k)
+        if hit is None:
+            return []
+        d, a, b = hit
+        return plain(item, text[:a], k, base) + [(d, base + a, base + b)] + plain(item, text[b:], k, base + b)
+
+    rnd = random.Random(1)
+    for _ in range(800):
+        item = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(4, 14)))
+        k, parts = rnd.randrange(min(4, len(item))), []
+        for _ in range(rnd.randrange(6)):
+            c = list(item)
+            for _ in range(rnd.randrange(k + 2)):
+                at = rnd.randrange(len(c))
+                c[at] = rnd.choice(["", "x", c[at] + "y"])
+            parts += ["".join(c), "".join(rnd.choice(" ab") for _ in range(rnd.randrange(4)))]
+        text = "".join(parts)
+        assert decontam.occurrences(item, text, k) == plain(item, text, k), (item, text, k)
+    items = [(f"q{n}", "".join(rnd.choice("abcdefgh ") for _ in range(60))) for n in range(5)]
+    bench = spark.createDataFrame([*items, ("q0", "another text of that key, in truth")], "item_id string, text string")
+    rows = []
+    for n in range(40):
+        text = ""
+        for _ in range(rnd.randrange(2, 6)):
+            c = list(rnd.choice(items)[1])
+            for _ in range(rnd.randrange(5)):
+                c[rnd.randrange(60)] = rnd.choice(["", "X", "y"])
+            text += "".join(c) + rnd.choice(["", " ", "  ", "some more words here "])
+        rows.append((n, text + "another text of that key, in truth" * (n % 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {n: sorted((i, d, a, b) for i, item in [*items, ("q0", "another text of that key, in truth")] for d, a, b in plain(item, t.lower(), len(item) // 16)) for n, t in rows}
+    for chars in (1 << 22, 100):
+        got = {r.doc_id: sorted((m.item_id, m.distance, m.start, m.end) for m in r.matches) for r in decontam.search(docs, bench, block_chars=chars).collect()}
+        assert got == want
+
+
+def test_many_edited_copies_take_linear_time():
+    item = "the quick brown fox jumps over the lazy dog and runs away from it"
+    copy = item.replace("fox", "fax")
+    known = decontam.Items.of([(1, item)], 0.0625)
+    assert len(known.search(known.automaton(), copy * 3000)) == 3000
 
 
 # --- pieces

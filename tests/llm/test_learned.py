@@ -52,6 +52,45 @@ def test_language_of_copies_is_learnt(spark, monkeypatch):
     assert language_id.fit(docs) == model
 
 
+def test_language_sizes_by_hand(spark, docs):
+    """The dictionaries, sizes, choice, score and margin, each worked out row by row."""
+    import regex
+    import zstandard
+
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit("place")).alias("place")).collect()
+    words = lambda t: " " + " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())) + " "
+    coders = {}
+    for lang in {r.lang for r in known}:
+        own = {r.h: r for r in known if r.lang == lang}
+        parts = []
+        for h in sorted(own)[:96]:
+            at = own[h].place % (max(len(own[h].text) - 700, 0) + 1)
+            parts.append(words(own[h].text[at : at + 700]))
+        data = zstandard.ZstdCompressionDict("".join(parts).encode()[:65536], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coders[lang] = zstandard.ZstdCompressor(level=6, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r for r in language_id.classify(docs, language_id.fit(docs)).collect()}
+    for r in docs.collect():
+        data = words(r.text or "").encode()
+        if not data.strip():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = sorted((sum(len(c.compress(data[i : i + 16384])) for i in range(0, len(data), 16384)), lang) for lang, c in coders.items())
+        assert got[r.doc_id].lang_pred in [x for s, x in sizes if s == sizes[0][0]]
+        assert abs(got[r.doc_id].margin - (sizes[1][0] - sizes[0][0]) / sizes[1][0]) < 1e-12
+        assert abs(got[r.doc_id].score - 1 / (1 + sum(2.0 ** -min(60, s - sizes[0][0]) for s, _ in sizes[1:]))) < 1e-12
+
+
+def test_every_language_is_learnt_and_numerals_are_none(spark):
+    rows = [(i, "the same words again and again", "de") for i in range(5000)] + [(5000 + i, f"other words, number {i} of them", "en") for i in range(50)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.content) == {"de", "en"}
+    many = spark.range(900).select(F.concat(F.lit("words of "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    assert len(language_id.fit(many).content) == 300
+    assert {len(v) <= 100 for v in language_id.fit(many, model_bytes=30_000).content.values()} == {True}
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "_ ٣"), (3, "a½")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.classify(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op3_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
