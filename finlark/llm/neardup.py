@@ -4,23 +4,27 @@
    an odd sketch (the samples' parities in a bitmap). Texts of equal sets meet
    under the set's hash and go on as one representative.
 2. Representatives that share a band are compared by the XOR of their
-   sketches, block by block; what comes out are spanning trees of the pairs
-   that look alike, never all pairs.
-3. The trees' components are small families. Within a family full shingle
-   sets are compared, block by block again, and spanning trees of the true
-   links give the result's components.
+   sketches; what comes out are trees of the pairs that look alike, never all
+   pairs. The trees' components are small families.
+3. Within a family full shingle sets are compared in the same way, and the
+   trees of the true links give the result's components.
+
+A large group (a band's, a family) is dealt into blocks. Each row goes to one
+of them, but for a few pivots that go to all and tie the blocks together.
+Rows already in one component need no comparison, so only those outside the
+group's largest component meet the other blocks, in a second pass.
 
 A pair of likeness 0.85 misses all 25 bands of 5 rows with a chance of 4e-7,
-and the sketch's bound with one of about 1e-5.
+one of 0.8 with 5e-5, and the sketch's bound with one of about 1e-5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finlark.llm.common import Tokens, cut, map_batches, mix, pair
@@ -28,7 +32,9 @@ from finlark.llm.common import Tokens, cut, map_batches, mix, pair
 ROWS, BANDS = 5, 25
 SAMPLES = ROWS * BANDS
 BITS = 512
-BLOCK = 512
+BLOCK = 2048  # rows
+BLOCK_SHINGLES = 1 << 22
+PIVOTS = 16  # about so many rows of a large group go to all its blocks
 SLACK = 4.5  # standard errors of the sketch's estimate by which a pair may fall short
 FACTORS = (np.random.default_rng(20).integers(0, 2**63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 PLACES = np.random.default_rng(21).integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -101,18 +107,6 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return map_batches(rows, run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch binary")
 
 
-def in_blocks(rows: DataFrame, group: str, member: str, size: str) -> DataFrame:
-    """Rows copied to each pair of blocks of their group, as columns i, j and own (the row's block).
-
-    A group of up to BLOCK rows is one block, met with itself. A larger one is dealt
-    into n blocks by a hash, and each of its rows goes to n pairs, so that
-    every two rows meet in one task and no task holds more than about two blocks.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / BLOCK)).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", size).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of equal keys of sorted batches, one table a run."""
     held: list[pa.RecordBatch] = []
@@ -134,34 +128,53 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    """Union-find over 0 to n - 1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def alike(sketch: np.ndarray, own: np.ndarray, i: int, j: int, bound: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the later rows it is to be compared with whose sketch differs in few enough bits."""
-    for x in range(len(sketch) - 1):
-        later = np.arange(x + 1, len(sketch)) if i == j else x + 1 + np.flatnonzero(own[x + 1 :] != own[x])
-        if len(later):
-            yield x, later[np.bitwise_count(sketch[later] ^ sketch[x]).sum(axis=1) <= bound]
+def ties(near: Near, label: np.ndarray, guest: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that tie different labels together; rows of one label are not compared.
 
-
-def sketch_rows(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
+    near: of a row and later ones, those that are linked with it. With ``guest``, only guests and others are compared.
+    """
+    label = label.copy()
+    for x in range(len(label) - 1):
+        apart = label[x + 1 :] != label[x]
+        later = x + 1 + np.flatnonzero(apart if guest is None else apart & (guest[x + 1 :] != guest[x]))
+        for y in near(x, later) if len(later) else ():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                yield x, y
+
+
+def by_sketch(table: pa.Table, percent: int) -> Near:
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, BITS // 64)
+    bound = most_bits(percent)
+    return lambda x, later: later[np.bitwise_count(sketch[later] ^ sketch[x]).sum(axis=1) <= bound]
+
+
+def by_sets(table: pa.Table, percent: int) -> Near:
+    """By sketch, then by the full sets: two by two for a few, with one pass over the block's shingles for many."""
+    first = by_sketch(table, percent)
+    sets = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+    size = np.array([len(s) for s in sets])
+    coded: list[np.ndarray] = []
+
+    def near(x: int, later: np.ndarray) -> np.ndarray:
+        later = first(x, later)
+        later = later[100 * np.minimum(size[later], size[x]) >= percent * np.maximum(size[later], size[x])]
+        if len(later) * 16 < len(sets):
+            return np.array([y for y in later if linked(sets[x], sets[y], percent)], np.int64)
+        if not coded:
+            coded.extend((np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size) - size))
+            coded.append(np.zeros(coded[0].max() + 1, np.int32))
+        codes, starts, flags = coded
+        own = codes[starts[x] : starts[x] + size[x]]
+        flags[own] = 1
+        both = np.add.reduceat(flags[codes], starts)[later]
+        flags[own] = 0
+        return later[100 * both >= percent * (size[x] + size[later] - both)]
+
+    return near
 
 
 def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -169,59 +182,78 @@ def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def families(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of trees over the representatives whose sketches look alike in some shared band."""
-    bound = most_bits(percent)
-    banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = in_blocks(banded.join(shared, "band"), "band", "rep", "n")
+def compared(rows: DataFrame, keys: list[str], kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame:
+    """Edges (a, b) from the rows of equal keys: rep, label, guest and what the kernel reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for table in grouped(batches, ["band", "i", "j"]):
-            ids = np.asarray(table.column("rep"))
-            order = np.argsort(ids)
-            table, ids = table.take(order), ids[order]
-            forest = Forest(len(ids))
-            for x, near in alike(sketch_rows(table), np.asarray(table.column("own")), table.column("i")[0].as_py(), table.column("j")[0].as_py(), bound):
-                found += [(int(ids[x]), int(ids[y])) for y in near.tolist() if forest.join(x, y)]
+        for table in grouped(batches, keys):
+            ids, guest = np.asarray(table.column("rep")), np.asarray(table.column("guest"))
+            order = np.argsort(ids, kind="stable")
+            ids, guest, table = ids[order], guest[order], table.take(order)
+            label = np.asarray(table.column("label"))
+            found += [(int(ids[x]), int(ids[y])) for x, y in ties(kernel(table, percent), label, guest if guest.any() else None)]
             if len(found) > 20_000:
                 yield edges_of(found)
                 found = []
         if found:
             yield edges_of(found)
 
-    return rows.select("band", "i", "j", "own", "rep", "sketch").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links(rows: DataFrame, sizes: DataFrame, group: str, kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame:
+    """Edges of trees over the rows of each group that the kernel links.
+
+    rows: ``group``, rep and what the kernel reads; sizes: ``group``, n and blocks of each group with several rows.
+    """
+    met = rows.join(sizes, group)
+    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit("pivot")), "n") < PIVOTS)
+    places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = met.withColumns({"block": F.explode(places), "label": F.col("rep"), "guest": F.lit(False)}).drop("n", "blocks")
+    found = cut(compared(dealt, [group, "block"], kernel, percent))
+    large = sizes.where("blocks > 1")
+    if not large.limit(1).count():
+        return found
+    roots = components(found).select(F.col("node").alias("rep"), "root")
+    split = cut(rows.join(large, group).join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root", "n"))
+    parts = split.groupBy(group, "label").agg(F.count("*").alias("c"))
+    tops = parts.groupBy(group).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
+    rest = split.join(tops.select(group, F.col("top.label").alias("main"), _blocks(F.col("n") - F.col("top.c")).alias("others")), group)
+
+    def at(block: Column, other: Column, guest: bool) -> Column:
+        return F.struct(block.alias("block"), other.alias("other"), F.lit(guest).alias("guest"))
+
+    member = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: at(own, k, False))
+    guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: at(k, F.pmod(F.xxhash64("rep"), "others").cast("int"), True))
+    spread = rest.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), member).otherwise(F.concat(member, guest)))).select(*rows.columns, "label", "at.*")
+    return found.unionByName(cut(compared(spread, [group, "block", "other"], kernel, percent)))
+
+
+def _blocks(n: Column, shingles: Column | None = None) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), *([] if shingles is None else [F.ceil(shingles / BLOCK_SHINGLES)])).cast("int")
+
+
+def families(reps: DataFrame, percent: int) -> DataFrame:
+    """Edges of trees over the representatives whose sketches look alike in some shared band."""
+    banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))
+    sizes = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", _blocks(F.col("n"))))
+    return links(banded, sizes, "band", by_sketch, percent)
 
 
 def true_links(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges of trees over the links of ``percent`` or more, confirmed on full sets, within each family.
 
-    members: rep, sketch, family and size (the family's number of members).
+    members: rep, sketch, n_shingles and family.
     """
-    bound = most_bits(percent)
-
     def expand(batch: pa.RecordBatch) -> pa.Table:
         sets = [s.tobytes() for s in shingles(batch.column("text"), width)]
         return pa.Table.from_batches([batch]).drop_columns("text").append_column("words", pa.array(sets, pa.large_binary()).cast(pa.binary()))
 
-    held = map_batches(docs.join(members, "rep").select("rep", "sketch", "family", "size", "text"), expand, "rep bigint, sketch binary, family bigint, size bigint, words binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["family", "i", "j"]):
-            ids = np.asarray(table.column("rep"))
-            sets = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
-            forest, found = Forest(len(ids)), []
-            for x, near in alike(sketch_rows(table), np.asarray(table.column("own")), table.column("i")[0].as_py(), table.column("j")[0].as_py(), bound):
-                for y in near.tolist():
-                    if forest.top(x) != forest.top(y) and linked(sets[x], sets[y], percent):
-                        forest.join(x, y)
-                        found.append((int(ids[x]), int(ids[y])))
-            if found:
-                yield edges_of(found)
-
-    rows = in_blocks(held, "family", "rep", "size")
-    return rows.select("family", "i", "j", "own", "rep", "sketch", "words").mapInArrow(run, "a bigint, b bigint")
+    held = map_batches(docs.join(members, "rep").select("rep", "sketch", "family", "text"), expand, "rep bigint, sketch binary, family bigint, words binary")
+    sizes = cut(members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("family", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")))
+    return links(held, sizes, "family", by_sets, percent)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -240,16 +272,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: each node's larger neighbours, then its
     smaller ones, are tied to the least of its neighbourhood, until nothing changes.
+    A node's edges are salted by the neighbour, so that those of a hub lie in as many
+    places as there are partitions; the least comes from the least of each place.
     """
+    salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def star(tied: DataFrame, small: bool) -> DataFrame:
         """tied: u, v with v < u after a small star."""
         both = tied if small else tied.unionByName(tied.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = both.join(least, "u")
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        part = both.groupBy("u", "salt").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = part.join(part.groupBy("u").agg(F.min("m").alias("least")), "u")
+        met = both.join(least.select("u", "salt", "least"), ["u", "salt"])
         if small:
-            made = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+            made = met.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
         else:
-            made = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            made = met.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         return made.where("u != v").distinct()
 
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -275,11 +313,10 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     # Equal sets have equal samples, so any row's bands and sketch serve.
     reps = cut(named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("n_shingles", "set_a", "set_b", "rep", "s.*"))
     family = components(families(reps, percent))
-    sizes = family.groupBy("root").agg(F.count("*").alias("size"))
-    members = family.join(sizes, "root").join(reps.select(F.col("rep").alias("node"), "sketch", "n_shingles", "set_a", "set_b"), "node").select(F.col("node").alias("rep"), "sketch", F.col("root").alias("family"), "size")
+    members = family.join(reps.select(F.col("rep").alias("node"), "sketch", "n_shingles"), "node").select(F.col("node").alias("rep"), "sketch", "n_shingles", F.col("root").alias("family"))
     body = docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
     roots = components(true_links(body, cut(members), percent, width))
     tops = reps.join(roots, reps.rep == roots.node, "left").select("n_shingles", "set_a", "set_b", F.coalesce("root", "rep").alias("top"))
-    out = made.select("doc_id", "n_shingles", "set_a", "set_b").join(tops, ["n_shingles", "set_a", "set_b"], "left")
-    top = F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), top).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = named.select("doc_id", "n_shingles", "set_a", "set_b").join(tops, ["n_shingles", "set_a", "set_b"]).select("doc_id", "n_shingles", F.col("top").alias("component_id"))
+    alone = made.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.llm import decontam, fingerprint, language_id, lm, neardup, pieces, pii, quality, secrets, sharding
+from finlark.llm import decontam, fingerprint, language_id, lm, neardup, oracles, pieces, pii, quality, secrets, sharding
 from finlark.llm.common import crc_mod, table
 
 
@@ -78,6 +78,28 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op5_decontam": op5_decontam, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op10_neardup": op10_neardup, "op1_quality": op1_quality, "op3_language": op3_language, "op4_secrets": op4_secrets, "op9_sharding": op9_sharding, "op8_fingerprint": op8_fingerprint}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2_pii."""
+    return op2_pii(spark, sf_dir).drop("spans")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7_lm."""
+    return op7_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether op9_sharding keeps its law: all rows, slots without gaps, sizes within 0.1 % or one row of the mean."""
+    each = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("most"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    gapless = F.bool_and((F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless")
+    mean = F.sum("b") / F.count("*")
+    balanced = (F.greatest(F.max("b") - mean, mean - F.min("b")) <= F.greatest(mean * 0.001, F.max("most"))).alias("balanced")
+    return each.agg(F.sum("n").alias("docs"), F.sum("b").alias("bytes"), F.count("*").alias("shards"), gapless, balanced)
+
+
+QUERIES = {
+    "op1_quality": op1_quality, "op2_pii": op2_pii, "op3_language": op3_language, "op4_secrets": op4_secrets, "op5_decontam": op5_decontam, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_fingerprint": op8_fingerprint,
+    "op9_sharding": op9_sharding, "op10_neardup": op10_neardup, "pii_base": pii_base, "lm_base": lm_base, "shard_balance": shard_balance,
+}
+
+ORACLE_SQL = {"op4_secrets": oracles.OP4_SECRETS, "op10_neardup": oracles.OP10_NEARDUP, "pii_base": oracles.PII_BASE, "lm_base": oracles.LM_BASE, "shard_balance": oracles.SHARD_BALANCE}

@@ -34,7 +34,7 @@ class Rule:
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", 20, base=True),
-    Rule("hex", r"[0-9a-f]+", 24, base=True),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 24, base=True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),

@@ -413,7 +413,7 @@ def test_shards_odd_rows(odd, none):
 # --- near duplicates
 
 
-def plain_groups(rows):
+def plain_groups(rows, percent=85):
     sets = {}
     for d, t in rows:
         w = words(t)
@@ -431,7 +431,7 @@ def plain_groups(rows):
             holders[x].append(d)
     for d, s in sets.items():
         for e, both in Counter(e for x in s for e in holders[x] if e < d).items():
-            if 100 * both >= 85 * (len(s) + len(sets[e]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[e]) - both):
                 a, b = top(d), top(e)
                 up[max(a, b)] = min(a, b)
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
@@ -445,7 +445,7 @@ def test_near_duplicate_query(spark, sf, texts):
     assert groups_of(queries.op10_neardup(spark, sf)) == plain_groups(texts.items())
 
 
-def test_chains_and_a_large_family(spark):
+def test_chains_and_a_large_family(spark, monkeypatch):
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [rnd.choice(vocabulary) for _ in range(160)]
@@ -459,8 +459,31 @@ def test_chains_and_a_large_family(spark):
     for i in range(30):  # each near the next, the ends far apart
         rows.append((6000 + i, " ".join(chain[2 * i : 2 * i + 60])))
     rows += [(7000 + i, "short text") for i in range(5)] + [(7010, "short"), (7011, ""), (7012, None)]
-    got = groups_of(neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == plain_groups(rows)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain_groups(rows)
+    assert groups_of(neardup.groups(docs)) == want
+    # Many blocks, few pivots and a second pass; a hub's edges in several places.
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    for pivots in (0, 1, 16):
+        monkeypatch.setattr(neardup, "PIVOTS", pivots)
+        assert groups_of(neardup.groups(docs)) == want
+
+
+def test_large_family_stays_in_proportion(spark):
+    """Rows that a family's tasks read: its rows, and the pivots once a block."""
+    from unittest import mock
+
+    base = " ".join(f"w{i}" for i in range(150))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base), F.lit(" x"), "id").alias("text"))
+    read = []
+
+    def counted(rows, keys, kernel, percent, was=neardup.compared):
+        read.append(rows.count())
+        return was(rows, keys, kernel, percent)
+
+    with mock.patch.object(neardup, "compared", counted), mock.patch.object(neardup, "BLOCK", 256):
+        got = groups_of(neardup.groups(docs))
+    assert {c for _, c, _ in got.values()} == {0} and len(got) == 6000
+    assert len(read) == 4 and read[1] == read[3] == 0 and read[2] < 6000 + 24 * 40
 
 
 def test_sketch_bound_keeps_near_pairs():

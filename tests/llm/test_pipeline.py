@@ -29,7 +29,7 @@ def test_run_equals_the_plain_version(spark, sf, docs):
 
     bench = [r.text.lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = kept_by_language(docs)
-    groups = plain_groups(kept)
+    groups = plain_groups(kept, 80)
     kept = [(d, t) for d, t in kept if groups[d][2]]
     kept = [(d, t) for d, t in kept if not any(b in t.lower() for b in bench)]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
