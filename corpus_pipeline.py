@@ -20,11 +20,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id.
+    """One document of each group stays, the one with the least doc_id; groups are linked at a likeness of 0.8.
 
     Where a doc_id repeats, its rows go only if none of them would stay.
     """
-    out = neardup.groups(docs).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_gone")
+    out = neardup.groups(docs, percent=80).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_gone")
     return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
