@@ -1,32 +1,42 @@
-"""Language-model scores from an Elias-Fano trie of word n-grams (orders one and two).
-
-The model is dealt by a hash of the context word into shards, and the corpus
-by a hash of the key into blocks of bounded size. A block sends each shard its
-distinct words and pairs with their training counts, as sorted binary columns;
-a shard sums them up, builds its part of the trie and answers each block's
-entries in the block's own order; the block then scores its texts. So no task
-and no machine holds more than a shard or a block, however large the corpus.
-
-Smoothing: P(w | v) = (c(v,w) - D) / c(v) for pairs seen ``min_count`` times or
-more, plus the mass that this leaves times the add-one unigram P(w).
+"""Language-model scores from an Elias-Fano trie of word n-grams (orders one to three).
+
+The corpus is packed into blocks of bounded size, written once. The model is
+dealt into shards by a hash of an n-gram's first word; a word too frequent
+for one shard is spread over several by a hash of the second word. A block sends each shard
+that it has something for its distinct words, pairs and triples with their training
+counts, as sorted and compressed columns; a shard sums them up, builds its part of the trie and
+answers each block's entries in the block's own order; the block then scores
+its texts. So no task holds more than a shard or a block. Rows
+exchanged: one for each block and shard that share an n-gram, so never more than there are n-grams.
+
+Smoothing (interpolated absolute discounting): P(w | u, v) = (c(u,v,w) - D) / c(u,v) for triples seen
+``min_count`` times or more, plus the mass that this leaves times P(w | v), which is
+made of pairs in the same way, with the add-one unigram P(w) beneath it.
 """
 
 from __future__ import annotations
 
 import mmap
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finlark.llm.common import Tokens
+from finlark.llm.common import Tokens, cut, mix
 
 START, END = np.uint64(0x5F3759DF12345678), np.uint64(0xC0FFEE0DDBA11E5D)
-WORD_BITS = np.uint64(40)
+FOLLOWER_BITS = np.uint64(38)
+FOLLOWER = np.uint64((1 << 38) - 1)
 ABSENT = 0xFFFF
 STEP = 8 / 65_000  # of the quantised log10 probabilities
+WINDOW = 1 << 18
+MOST_HOT = 1_000_000
 
 
 class Mapped:
@@ -44,7 +54,7 @@ class Mapped:
 
 
 class EliasFano:
-    """A sorted sequence of distinct uint64 in about 2 + log2(range / length) bits each.
+    """An ascending sequence of uint64 in about 2 + log2(range / length) bits each.
 
     The low bits are packed; the high bits are in unary in a bit vector, with
     the number of ones before each of its words kept for rank and select.
@@ -77,6 +87,17 @@ class EliasFano:
             place = np.where(skip, place + width, place)
         return np.where(k > 0, word * 64 + place + 1 - k, 0)
 
+    def decoded(self, begin: int, end: int) -> np.ndarray:
+        """The values at the places from ``begin`` to ``end``."""
+        if begin >= end:
+            return np.zeros(0, np.uint64)
+        first, last = np.searchsorted(self.data.ones, [begin, end - 1], side="right") - 1
+        bits = np.flatnonzero(np.unpackbits(self.data.words[first : last + 1].view(np.uint8), bitorder="little"))
+        skip = begin - int(self.data.ones[first])
+        places = np.arange(begin, end)
+        high = (64 * first + bits[skip : skip + end - begin] - places).astype(np.uint64)
+        return (high << np.uint64(self.low_bits)) | unpack(self.data.low, self.low_bits, places)
+
     def find(self, targets: np.ndarray) -> np.ndarray:
         """Places of the targets; -1 for those that aren't there. The successor of each is looked for among the values of its high part."""
         if not self.n:
@@ -124,43 +145,125 @@ def quantised(logs: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-logs / STEP), ABSENT - 1).astype(np.uint16)
 
 
+def unquantised(codes: np.ndarray, absent: float) -> np.ndarray:
+    return np.where(codes == ABSENT, absent, 10.0 ** (-STEP * codes))
+
+
 @dataclass
-class Trie:
-    """A shard: its words, and under each the words that follow.
+class Level:
+    """The children of all nodes of the level above.
 
-    The second level is one sequence, made monotone by adding each context's number times 2**40 to
-    its followers, so that the first level needs no pointers of its own: the
-    followers of context v lie between v * 2**40 and (v + 1) * 2**40.
+    pointers: where each node's children begin, and at last their number; followers: the children, each
+    with its parent's number in the bits above it, so that the sequence ascends; data: the quantised share of the child and the
+    mass that its own children leave.
     """
 
-    words: EliasFano
-    pairs: EliasFano
-    data: Mapped  # pair_code, rest_code, counts
+    pointers: EliasFano
+    followers: EliasFano
+    data: Mapped  # code, rest
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, seen: np.ndarray, discount: float, min_count: int) -> Trie:
-        """keys: sorted place of the context in words times 2**40 plus the follower; seen: their counts."""
-        context = (keys >> WORD_BITS).astype(np.int64)
-        total = np.bincount(context, seen, len(words))
-        keep = seen >= min_count
-        share = (seen[keep] - discount) / total[context[keep]]
-        rest = np.maximum(1 - np.bincount(context[keep], share, len(words)), 1e-8)
-        data = Mapped(pair_code=quantised(np.log10(share)), rest_code=quantised(np.log10(rest)), counts=counts.astype(np.int64))
-        return cls(EliasFano(words, 1 << 64), EliasFano(keys[keep], max(1, len(words)) << 40), data)
+    def build(cls, nodes: int, keys: np.ndarray, share: np.ndarray, left: np.ndarray) -> Level:
+        """keys: the parent's number times 2**38 plus the follower, ascending."""
+        begins = np.searchsorted(keys >> FOLLOWER_BITS, np.arange(nodes + 1, dtype=np.uint64))
+        data = Mapped(code=quantised(np.log10(share)), rest=quantised(np.log10(np.maximum(left, 1e-8))))
+        return cls(EliasFano(begins.astype(np.uint64), max(1, len(keys))), EliasFano(keys, max(1, nodes) << int(FOLLOWER_BITS)), data)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each of some ascending keys, -1 where there is none: the successor among its parent's children.
+
+        A window of keys after another: the pointers of its parents say which stretch to decode.
+        """
+        found = np.full(len(keys), -1)
+        for at in range(0, len(keys), WINDOW):
+            want = keys[at : at + WINDOW]
+            parent = (want >> FOLLOWER_BITS).astype(np.int64)
+            low = int(parent[0])
+            pointers = self.pointers.decoded(low, int(parent[-1]) + 2).astype(np.int64)
+            begin, end = pointers[parent - low], pointers[parent - low + 1]
+            children = self.followers.decoded(int(pointers[0]), int(pointers[-1]))
+            place = np.clip(np.searchsorted(children, want) + pointers[0], begin, end)
+            inside = np.flatnonzero(place < end)
+            hit = inside[children[place[inside] - pointers[0]] == want[inside]]
+            found[at + hit] = place[hit]
+        return found
 
-    def pair_codes(self, keys: np.ndarray) -> np.ndarray:
-        at = self.pairs.find(keys)
-        return np.where(at >= 0, self.data.pair_code[at] if self.pairs.n else 0, ABSENT).astype(np.uint16)
+
+@dataclass(frozen=True)
+class Hot:
+    """Words too frequent for one shard: hashes (ascending), training counts, and over how many shards each is spread."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int]], limit: int) -> Hot:
+        words, counts = np.array([h for h, _ in rows], np.int64).view(np.uint64), np.array([c for _, c in rows], np.int64)
+        order = np.argsort(words)
+        return cls(words[order], counts[order], -(-counts[order] // limit))
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word; -1 where it isn't hot."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+
+@dataclass
+class Trie:
+    """A shard: words, the words that follow each, and those that follow each pair."""
+
+    words: EliasFano
+    pairs: Level
+    triples: Level
+    data: Mapped  # counts; rest, of words that aren't hot
+    kept: np.ndarray  # of each word, the mass of its pairs here
+
+    @classmethod
+    def build(cls, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, seen2: np.ndarray, triples: np.ndarray, seen3: np.ndarray, hot: Hot, discount: float, min_count: int) -> Trie:
+        """pairs: number of the first word and follower; triples: number of the pair and follower; both ascending, with those never seen in training."""
+        first, least = (pairs >> FOLLOWER_BITS).astype(np.int64), max(1, min_count)
+        total = np.bincount(first, seen2, len(words))
+        at = hot.place(words)
+        total[at >= 0] = hot.counts[at[at >= 0]]
+        keep2, keep3 = seen2 >= least, seen3 >= least
+        share2 = (seen2[keep2] - discount) / total[first[keep2]]
+        kept = np.bincount(first[keep2], share2, len(words))
+        under = (triples >> FOLLOWER_BITS).astype(np.int64)
+        share3 = (seen3[keep3] - discount) / np.bincount(under, seen3, len(pairs))[under[keep3]]
+        left2 = 1 - np.bincount(under[keep3], share3, len(pairs))
+        # A triple isn't seen more often than its pair, so its pair is kept too.
+        number = (np.cumsum(keep2) - 1).astype(np.uint64)
+        keys3 = (number[under[keep3]] << FOLLOWER_BITS) | (triples[keep3] & FOLLOWER)
+        data = Mapped(counts=counts.astype(np.int64), rest=quantised(np.log10(np.maximum(1 - kept, 1e-8))))
+        level2, level3 = Level.build(len(words), pairs[keep2], share2, left2[keep2]), Level.build(int(keep2.sum()), keys3, share3, np.ones(len(share3)))
+        return cls(EliasFano(words, 1 << 64), level2, level3, data, kept)
+
+    def codes(self, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and rests of ascending pairs, codes of ascending triples (number of the pair in ``pairs``, and follower)."""
+        at = self.pairs.places(pairs)
+        there = at >= 0
+        code, rest, code3 = np.full(len(pairs), ABSENT, np.uint16), np.full(len(pairs), ABSENT, np.uint16), np.full(len(triples), ABSENT, np.uint16)
+        code[there], rest[there] = self.pairs.data.code[at[there]], self.pairs.data.rest[at[there]]
+        parent = at[(triples >> FOLLOWER_BITS).astype(np.int64)] if len(triples) else np.zeros(0, np.int64)
+        asked = np.flatnonzero(parent >= 0)
+        place = self.triples.places((parent[asked].astype(np.uint64) << FOLLOWER_BITS) | (triples[asked] & FOLLOWER))
+        code3[asked[place >= 0]] = self.triples.data.code[place[place >= 0]]
+        return code, rest, code3
 
 
 @dataclass
 class Block:
-    """The words (sorted hashes) and pairs (sorted keys) of some texts, and where each token and pair stands in them."""
+    """The distinct words (sorted hashes), pairs and triples (sorted keys) of some texts, and where each token's stand in them."""
 
     words: np.ndarray
-    keys: np.ndarray
+    pairs: np.ndarray  # place of the first word, and follower
+    triples: np.ndarray  # place of the pair, and follower
     token: np.ndarray
     pair: np.ndarray
+    triple: np.ndarray  # -1 for the first of a text
     row: np.ndarray
 
     @classmethod
@@ -177,94 +280,182 @@ class Block:
         is_end[np.cumsum(tokens.rows + 1) - 1] = True
         token[is_end] = end
         token[~is_end] = local[tokens.codes]
+        first = np.concatenate((np.ones(min(1, n), bool), is_end[:-1]))
         before = np.empty_like(token)
         before[1:] = token[:-1]
-        first = np.concatenate((np.ones(min(1, n), bool), is_end[:-1]))
         before[first] = start
-        keys, pair = np.unique((before.astype(np.uint64) << WORD_BITS) | (words[token] >> np.uint64(64 - int(WORD_BITS))), return_inverse=True)
-        return cls(words, keys, token, pair.astype(np.int32), row)
-
-    def context(self) -> np.ndarray:
-        return (self.keys >> WORD_BITS).astype(np.int64)
+        follower = (words >> np.uint64(64 - int(FOLLOWER_BITS)))[token]
+        pairs, pair = np.unique((before.astype(np.uint64) << FOLLOWER_BITS) | follower, return_inverse=True)
+        later = np.flatnonzero(~first)
+        triples, own = np.unique((pair[later - 1].astype(np.uint64) << FOLLOWER_BITS) | follower[later], return_inverse=True)
+        triple = np.full(len(token), -1, np.int32)
+        triple[later] = own
+        return cls(words, pairs, triples, token, pair.astype(np.int32), triple, row)
+
+    def first(self) -> np.ndarray:
+        return (self.pairs >> FOLLOWER_BITS).astype(np.int64)
+
+    def shares(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What each shard gets, if anything: its number; places of words, their numbers of pairs, places of pairs, their numbers of triples, places of triples."""
+        home, first = shard_of(self.words, shards), self.first()
+        where, at = home[first], hot.place(self.words)[first]
+        some = np.flatnonzero(at >= 0)
+        part = (self.pairs[some] & FOLLOWER) % hot.spread[at[some]].astype(np.uint64) if len(some) else np.zeros(0, np.uint64)
+        where[some] = shard_of(mix(self.words[first[some]] + part + np.uint64(1)), shards)
+        order = np.argsort(where, kind="stable")
+        begins, ends = np.searchsorted(where[order], np.arange(shards)), np.searchsorted(where[order], np.arange(shards), side="right")
+        own = np.searchsorted(home, np.arange(shards + 1))
+        children = np.bincount((self.triples >> FOLLOWER_BITS).astype(np.int64), minlength=len(self.pairs))
+        starts = np.cumsum(children) - children
+        for s in np.unique(np.concatenate((where, home))):
+            pairs = order[begins[s] : ends[s]]
+            words = np.union1d(np.arange(own[s], own[s + 1]), first[pairs])
+            counts = children[pairs]
+            triples = np.repeat(starts[pairs] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            yield int(s), words, np.bincount(np.searchsorted(words, first[pairs]), minlength=len(words)), pairs, counts, triples
 
 
 def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def five(x: np.ndarray) -> bytes:
-    """The low 40 bits of each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def from_five(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.reshape(-1).view("<u8").astype(np.uint64)
-
-
-SENT = "shard bigint, block bigint, words binary, counts binary, followers binary, pairs binary, seen binary"
-ANSWER = "block bigint, shard bigint, tokens bigint, kinds bigint, counts binary, rest binary, codes binary"
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed piece; 64-bit hashes of FOLLOWER_BITS go as five bytes each."""
+    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() if k else a.tobytes() for a, k in ((a, a.dtype == np.uint64 and bool(len(a)) and a.max() <= FOLLOWER) for a in arrays)]
+    kinds = [("5" if len(p) < a.nbytes else a.dtype.str).ljust(4).encode() + len(a).to_bytes(8, "little") for p, a in zip(parts, arrays, strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(4, "little"), *kinds, *parts]))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    found, at = [], 4 + 12 * n
+    for k in range(n):
+        kind, size = data[4 + 12 * k : 8 + 12 * k].decode().strip(), int.from_bytes(data[8 + 12 * k : 16 + 12 * k], "little")
+        if kind == "5":
+            wide = np.zeros((size, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(data, np.uint8, 5 * size, at).reshape(-1, 5)
+            found.append(wide.reshape(-1).view(np.uint64))
+            at += 5 * size
+        else:
+            found.append(np.frombuffer(data, kind, size, at))
+            at += found[-1].nbytes
+    return found
+
+
+BLOCKS = "block bigint, body binary"
+SENT = "shard bigint, block bigint, body binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def send(block: pa.Table, shards: int) -> pa.Table:
-    """A row for each shard: what the block has of it."""
-    texts, train = block.column("text").combine_chunks(), np.asarray(block.column("train"), dtype=bool)
+def blocks_of(block_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of some ``block_chars`` bytes of text, each the compressed columns of a block."""
+    held: list[pa.RecordBatch] = []
+    size = made = 0
+
+    def closed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))), dtype=np.int64)
+        at = done = 0
+        while at < batch.num_rows:
+            upto = min(batch.num_rows, int(np.searchsorted(ends, done + block_chars - size)) + 1)
+            held.append(batch.slice(at, upto - at))
+            size += int(ends[upto - 1]) - done
+            at, done = upto, int(ends[upto - 1])
+            if size >= block_chars:
+                yield closed()
+                held, size, made = [], 0, made + 1
+    if held:
+        yield closed()
+
+
+def opened(body: bytes) -> tuple[pa.Table, pa.Array, np.ndarray]:
+    """The block, its texts, and which of them are for training."""
+    table = pa.ipc.open_stream(body).read_all().combine_chunks()
+    return table, table.column("text").combine_chunks(), np.asarray(table.column("train"), dtype=bool)
+
+
+def counted(body: bytes) -> pa.RecordBatch:
+    """Training counts of a block's words, of ends and of starts."""
+    _, texts, train = opened(body)
+    tokens = Tokens(texts)
+    counts = np.bincount(tokens.codes, train[tokens.row_of()], len(tokens.words)).astype(np.int64)
+    words = np.concatenate((tokens.hashes(), np.array([END, START])))
+    counts = np.concatenate((counts, np.full(2, train.sum())))
+    return pa.RecordBatch.from_arrays([pa.array(words[counts > 0].view(np.int64)), pa.array(counts[counts > 0])], ["h", "c"])
+
+
+def send(block: int, body: bytes, shards: int, hot: Hot) -> Iterator[tuple[int, int, bytes]]:
+    """What the block has of each shard."""
+    _, texts, train = opened(body)
     b = Block.of(texts)
     learnt = train[b.row]
     counts = np.bincount(b.token, learnt, len(b.words)).astype(np.uint32)
-    seen = np.bincount(b.pair, learnt, len(b.keys)).astype(np.uint32)
-    followers = np.bincount(b.context(), minlength=len(b.words)).astype(np.uint32)
-    at = np.searchsorted(shard_of(b.words, shards), np.arange(shards + 1))
-    pair_at = np.concatenate(([0], np.cumsum(followers, dtype=np.int64)))[at]
-    rows = {k: [] for k in ("shard", "block", "words", "counts", "followers", "pairs", "seen")}
-    for s in range(shards):
-        w, p = slice(at[s], at[s + 1]), slice(pair_at[s], pair_at[s + 1])
-        for k, v in zip(rows, (s, block.column("block")[0].as_py(), b.words[w].tobytes(), counts[w].tobytes(), followers[w].tobytes(), five(b.keys[p]), seen[p].tobytes()), strict=True):
-            rows[k].append(v)
-    return pa.table({k: pa.array(v, pa.int64() if k in ("shard", "block") else pa.binary()) for k, v in rows.items()})
-
-
-def answer(sent: pa.Table, discount: float, min_count: int) -> pa.Table:
-    """The shard's trie is built from all blocks' rows, then asked for each block's entries."""
+    seen2 = np.bincount(b.pair, learnt, len(b.pairs)).astype(np.uint32)
+    seen3 = np.bincount(b.triple[b.triple >= 0], learnt[b.triple >= 0], len(b.triples)).astype(np.uint32)
+    home = shard_of(b.words, shards)
+    for s, words, n2, pairs, n3, triples in b.shares(shards, hot):
+        own = np.where(home[words] == s, counts[words], 0).astype(np.uint32)
+        yield s, block, packed(b.words[words], own, n2.astype(np.uint32), b.pairs[pairs] & FOLLOWER, seen2[pairs], n3.astype(np.uint32), b.triples[triples] & FOLLOWER, seen3[triples])
+
+
+def answer(sent: pa.Table, hot: Hot, discount: float, min_count: int) -> pa.Table:
+    """The shard's trie is built from all blocks' rows, then asked for each n-gram once; rows of a block -1 have what is kept here of hot words."""
     blocks = sent.column("block").to_pylist()
-    columns = {k: [np.frombuffer(x, t) for x in sent.column(k).to_pylist()] for k, t in (("words", np.uint64), ("counts", np.uint32), ("followers", np.uint32), ("seen", np.uint32))}
-    words, place = np.unique(np.concatenate(columns["words"]), return_inverse=True)
-    counts = np.bincount(place, np.concatenate(columns["counts"]), len(words)).astype(np.int64)
-    ends = np.cumsum([len(w) for w in columns["words"]])
-    places = np.split(place.astype(np.uint64), ends[:-1])
-    asked = [(np.repeat(at, n) << WORD_BITS) | from_five(p) for at, n, p in zip(places, columns["followers"], sent.column("pairs").to_pylist(), strict=True)]
-    keys, back = np.unique(np.concatenate(asked), return_inverse=True)
-    seen = np.bincount(back, np.concatenate(columns["seen"]), len(keys))
-    learnt = seen > 0
-    trie = Trie.build(words, counts, keys[learnt], seen[learnt], discount, min_count)
-    tokens, kinds = int(counts.sum()), int((counts > 0).sum())
-    rows = {k: [] for k in ("block", "shard", "tokens", "kinds", "counts", "rest", "codes")}
-    for b, s, at, w, q in zip(blocks, sent.column("shard").to_pylist(), places, columns["words"], asked, strict=True):
-        found = trie.words.find(w)
-        for k, v in zip(rows, (b, s, tokens, kinds, trie.data.counts[found].tobytes(), trie.data.rest_code[found].tobytes(), trie.pair_codes(q).tobytes()), strict=True):
-            rows[k].append(v)
-    return pa.table({k: pa.array(v, pa.binary() if k in ("counts", "rest", "codes") else pa.int64()) for k, v in rows.items()})
-
-
-def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
+    columns = list(zip(*(unpacked(x) for x in sent.column("body").to_pylist()), strict=True))
+    words, counts, n2, follower2, seen2, n3, follower3, seen3 = (np.concatenate(c) for c in columns)
+    sizes = [np.cumsum([0, *map(len, columns[k])]) for k in (0, 3, 6)]
+    known, place = np.unique(words, return_inverse=True)
+    pairs, back2 = np.unique((np.repeat(place, n2).astype(np.uint64) << FOLLOWER_BITS) | follower2, return_inverse=True)
+    triples, back3 = np.unique((np.repeat(back2, n3).astype(np.uint64) << FOLLOWER_BITS) | follower3, return_inverse=True)
+    trie = Trie.build(known, np.bincount(place, counts, len(known)), pairs, np.bincount(back2, seen2, len(pairs)), triples, np.bincount(back3, seen3, len(triples)), hot, discount, min_count)
+    code2, rest2, code3 = trie.codes(pairs, triples)
+    at = trie.words.find(words)
+    counts, rest1, code2, rest2, code3 = trie.data.counts[at], trie.data.rest[at], code2[back2], rest2[back2], code3[back3]
+    bodies = []
+    for k in range(len(blocks)):
+        w, p, t = (slice(s[k], s[k + 1]) for s in sizes)
+        bodies.append(packed(counts[w], rest1[w], code2[p], rest2[p], code3[t]))
+    hot_here = np.flatnonzero(hot.place(known) >= 0)
+    blocks, bodies = [*blocks, -1], [*bodies, packed(known[hot_here], trie.kept[hot_here])]
+    shard = sent.column("shard")[0].as_py()
+    return pa.table({"shard": pa.array([shard] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+
+def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest: np.ndarray, tokens: int, kinds: int) -> pa.Table:
     """The scores of a block's texts."""
-    b = Block.of(block.column("text").combine_chunks())
-    answers = answers.sort_by("shard")
-    counts, rest, codes = (np.concatenate([np.frombuffer(x, t) for x in answers.column(k).to_pylist()]) for k, t in (("counts", np.int64), ("rest", np.uint16), ("codes", np.uint16)))
-    tokens, kinds = sum(answers.column("tokens").to_pylist()), sum(answers.column("kinds").to_pylist())
+    if not block.num_rows:
+        return pa.table({f: pa.array([], t) for f, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+    table, texts, train = opened(block.column("body")[0].as_py())
+    b = Block.of(texts)
+    got = dict(zip(answers.column("shard").to_pylist(), answers.column("body").to_pylist(), strict=True))
+    counts, rest1 = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16)
+    code2, rest2, code3 = np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.triples), ABSENT, np.uint16)
+    home = shard_of(b.words, shards)
+    for s, words, _, pairs, _, triples in b.shares(shards, hot):
+        c, r, code2[pairs], rest2[pairs], code3[triples] = unpacked(got[s])
+        own = home[words] == s
+        counts[words[own]], rest1[words[own]] = c[own], r[own]
     unigram = (counts + 1) / (tokens + kinds + 1)
-    left = 10.0 ** (-STEP * rest[b.context()])
-    direct = np.where(codes == ABSENT, 0.0, 10.0 ** (-STEP * codes))
-    n = block.num_rows
-    base = np.bincount(b.row, np.log10(unigram)[b.token], n)
-    score = np.bincount(b.row, np.log10(direct[b.pair] + left[b.pair] * unigram[b.token]), n)
-    known = np.bincount(b.row, counts[b.token] > 0, n)
-    return pa.table({"doc_id": block.column("doc_id"), "held_out": pa.array(~np.asarray(block.column("train"), dtype=bool)), "n_tokens": np.bincount(b.row, minlength=n), "n_known": known.astype(np.int64), "train_tokens": np.full(n, tokens), "base_score": base, "score": score})
-
-
-def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 1 << 23, discount: float = 0.75, min_count: int = 2) -> DataFrame:
+    left1 = unquantised(rest1, 1.0)
+    at = hot.place(b.words)
+    left1[at >= 0] = hot_rest[at[at >= 0]]
+    score = (unquantised(code2, 0.0))[b.pair] + left1[b.first()][b.pair] * unigram[b.token]
+    later = np.flatnonzero(b.triple >= 0)
+    score[later] = unquantised(code3, 0.0)[b.triple[later]] + unquantised(rest2, 1.0)[b.pair[later - 1]] * score[later]
+    n = table.num_rows
+    return pa.table({
+        "doc_id": table.column("doc_id"), "held_out": pa.array(~train), "n_tokens": np.bincount(b.row, minlength=n), "n_known": np.bincount(b.row, counts[b.token] > 0, n).astype(np.int64),
+        "train_tokens": np.full(n, tokens), "base_score": np.bincount(b.row, np.log10(unigram)[b.token], n), "score": np.bincount(b.row, np.log10(score), n),
+    })
+
+
+def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 1 << 23, discount: float = 0.75, min_count: int = 2, hot_tokens: int = 1 << 20) -> DataFrame:
     """Scores of every row, from a model of the rows where ``train`` holds.
 
     held_out: ``train`` doesn't hold (a null counts as true); n_tokens: words
@@ -272,19 +463,45 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
     training; base_score: add-one unigram; score: the smoothed model. A null text is
     empty; an empty table gives none. Other columns are dropped.
 
-    Blocks go by a hash of key and text and have about ``block_chars`` characters.
+    Blocks have some ``block_chars`` bytes of text, or one longer text. Words with more than ``hot_tokens``
+    occurrences in training, or a millionth of all, are spread over shards; so
+    those that go to every task are at most MOST_HOT.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = blocks = max(1, -(-chars // block_chars))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def sending(table: pa.Table) -> pa.Table:
-        return send(table, shards)
-
-    def answering(table: pa.Table) -> pa.Table:
-        return answer(table, discount, min_count)
-
-    sent = dealt.groupBy("block").applyInArrow(sending, SENT)
-    answers = sent.groupBy("shard").applyInArrow(answering, ANSWER)
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCORES)
+    blocks = cut(rows.mapInArrow(lambda batches: blocks_of(block_chars, batches), BLOCKS))
+
+    def each(fn, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+                    yield from fn(block, body.as_py())
+
+        return blocks.mapInArrow(run, schema)
+
+    seen = cut(each(lambda _, body: [counted(body)], "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+    word = F.col("h") != int(START.view(np.int64))
+    tokens, kinds = seen.where(word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    limit = max(hot_tokens, tokens // MOST_HOT)
+    hot = Hot.of([(r.h, r.c) for r in seen.where(F.col("c") > limit).collect()], limit)
+    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-chars // block_chars))
+    held = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def sending(block: int, body: bytes) -> Iterator[pa.RecordBatch]:
+        for s, b, data in send(block, body, shards, held.value):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([b], pa.int64()), pa.array([data], pa.binary())], ["shard", "block", "body"])
+
+    answers = cut(each(sending, SENT).groupBy("shard").applyInArrow(lambda table: answer(table, held.value, discount, min_count), SENT))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                words, mass = unpacked(body)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(mass)], ["h", "kept"])
+
+    hot_rest = np.ones(len(hot.words))
+    if len(hot.words):
+        for r in answers.where("block = -1").select("body").mapInArrow(kept, "h bigint, kept double").groupBy("h").agg(F.sum("kept").alias("kept")).collect():
+            hot_rest[np.searchsorted(hot.words, np.array([r.h]).view(np.uint64))] = max(1 - r.kept, 1e-8)
+    rest = docs.sparkSession.sparkContext.broadcast(hot_rest)
+    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value, rest.value, tokens, kinds), SCORES)

@@ -1,24 +1,36 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Normaliser, pieces and byte fallback are compiled from a model file. A text is
-composed with them lazily: the states of the composition are (place in the
-text, last piece), the arcs are pieces that fit at the place, and the path of
-least weight in the tropical semiring (least sum) is taken.
-
-- Unigram models: an arc weighs the negative score of its piece.
-- BPE models: an arc weighs nothing if the merge rules keep the last piece and
-  the new one apart when they alone stand side by side, and is infinite if not.
+Normaliser, pieces and byte fallback are compiled from a model file:
+
+- the normaliser: longest-match replacements of its character map, its space
+  rules, and the symbols that it leaves as they are;
+- the pieces: states of a prefix tree, an arc back to its root at each piece's end;
+- byte fallback: an arc for each other character, with its bytes as output.
+
+A text is composed with them lazily. States of the composition are (place in
+the text, piece just read); the arcs from one are the pieces that begin at its
+place, and one routine relaxes them in order of the places, which is a
+shortest path in the tropical semiring (least sum), for both kinds of models:
+
+- unigram: an arc weighs the negative score of its piece, whatever came before,
+  so that the state needs no piece;
+- BPE: an arc weighs nothing if the merge rules keep the last piece and the
+  new one apart when they alone stand side by side, and is infinite if not.
   Merges inside a text go as inside each pair of neighbours of its result, so
   exactly one path has a finite weight: the one that merging would give.
 
-No piece holds a space mark after another character, so a text falls into
-chunks, each with its leading marks, that are solved once and looked up after.
+So one state a place suffices for both. Where no piece of a BPE model holds a space mark after
+another character, a text falls into chunks, each with its leading marks, that
+are solved once and looked up after. Unigram texts are solved whole, since
+sums of single precision, all that came before included, decide between equals.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +42,91 @@ from finlark.llm.common import map_batches, with_fields
 MARK = "▁"
 NEVER = math.inf
 CACHE, PAIRS = 100_000, 1_000_000
+UNKNOWN_PENALTY = 10.0  # a fixed value of unigram models: what an unknown character scores under the least piece
+
+
+FLOAT = struct.Struct("f")
+
+
+def single(x: float) -> float:
+    """Rounded as sums of unigram scores are, which decides between equals."""
+    return FLOAT.unpack(FLOAT.pack(x))[0]
+
+
+def character_map(data: bytes) -> dict[str, str]:
+    """The replacements of a compiled character map: a double array of the keys' UTF-8 bytes, then the values, each ended by a zero byte."""
+    if not data:
+        return {}
+    size = int.from_bytes(data[:4], "little")
+    units = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64)
+    values = data[4 + size :]
+    shift = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    places, keys, found = shift(units[:1]), [b""], {}
+    letters = np.arange(1, 256)
+    while len(places):
+        there = places[:, None] ^ letters
+        held = units[np.minimum(there, len(units) - 1)]
+        row, column = np.nonzero((there < len(units)) & ((held & (1 << 31 | 255)) == letters))
+        held, there = held[row, column], there[row, column]
+        places = there ^ shift(held)
+        keys = [keys[r] + bytes([c + 1]) for r, c in zip(row, column, strict=True)]
+        for k in np.flatnonzero((held >> 8) & 1):
+            at = int(units[places[k]] & ((1 << 31) - 1))
+            found[keys[k].decode()] = values[at : values.index(b"\0", at)].decode()
+    return found
+
+
+class Normaliser:
+    """The first transducer: a text as the pieces read it."""
+
+    def __init__(self, spec, symbols: list[str]):
+        self.map = character_map(spec.precompiled_charsmap)
+        self.collapse, self.dummy = spec.remove_extra_whitespaces, spec.add_dummy_prefix
+        self.mark = MARK if spec.escape_whitespaces else " "
+        self.longest: dict[str, int] = {}
+        for key in self.map:
+            self.longest[key[0]] = max(len(key), self.longest.get(key[0], 0))
+        self.first = re.compile("[" + "".join(map(re.escape, sorted(self.longest))) + "]") if self.map else None
+        self.symbols = re.compile("|".join(map(re.escape, sorted(symbols, key=lambda x: (-len(x), x))))) if symbols else None
+        self.simple = not self.map and not self.collapse and not symbols
+
+    def mapped(self, text: str) -> str:
+        """The longest key at each place replaced."""
+        if not self.map:
+            return text
+        out, at = [], 0
+        for m in self.first.finditer(text):
+            i = m.start()
+            for n in range(min(self.longest[text[i]], len(text) - i) if i >= at else 0, 0, -1):
+                value = self.map.get(text[i : i + n])
+                if value is not None:
+                    out += [text[at:i], value]
+                    at = i + n
+                    break
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        if self.symbols is None:
+            made = self.mapped(text)
+        else:
+            out, at = [], 0
+            for m in self.symbols.finditer(text):
+                out += [self.mapped(text[at : m.start()]), m[0]]
+                at = m.end()
+            made = "".join([*out, self.mapped(text[at:])])
+        if self.collapse:
+            made = re.sub(" +", " ", made).lstrip(" ")
+        if not made:
+            return ""
+        made = (self.mark if self.dummy else "") + made.replace(" ", self.mark)
+        return made.rstrip(self.mark) if self.collapse else made
 
 
 class Transducer:
-    """The compiled model. ``encode_chunk`` and ``decode`` are exact; the Arrow forms work on columns."""
+    """The compiled model. ``encode`` and ``decode`` are exact; the Arrow forms work on columns.
+
+    Models of whole words or single characters, and those with the space mark at words' ends, raise ValueError.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -41,16 +134,22 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        norm = model.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            raise ValueError("only normalisers that keep every character are compiled")
+        if model.trainer_spec.model_type not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM) or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("neither a BPE nor a unigram model, or one with marks behind words")
         kinds = pb.ModelProto.SentencePiece
         self.bpe = model.trainer_spec.model_type == pb.TrainerSpec.BPE
-        self.dummy = norm.add_dummy_prefix
+        symbols = [p.piece for p in model.pieces if p.type == kinds.USER_DEFINED]
+        self.normal = Normaliser(model.normalizer_spec, symbols)
+        self.dummy, self.mark = self.normal.dummy, self.normal.mark
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-        self.scores = [p.score for p in model.pieces]
-        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
+        # Merges never cross a symbol of the user's; a unigram path always prefers it.
+        self.frozen = frozenset(symbols) if self.bpe else frozenset()
+        self.rank = {p: -model.pieces[i].score for p, i in self.ids.items() if p not in self.frozen}
+        normal = [p.score for p in model.pieces if p.type == kinds.NORMAL]
+        top, low = max(normal, default=0.0), min(normal, default=0.0)
+        self.cost = {p: -model.pieces[i].score for p, i in self.ids.items()} | {p: 0.1 - len(p.encode()) * max(top, 0.0) for p in symbols}
+        self.unknown_cost = single(UNKNOWN_PENALTY - low)
         self.bytes = [self.unknown] * 256
         self.out: list[bytes] = []
         for i, p in enumerate(model.pieces):
@@ -60,10 +159,15 @@ class Transducer:
             else:
                 self.out.append(b"" if p.type == kinds.CONTROL else " ⁇ ".encode() if p.type == kinds.UNKNOWN else p.piece.replace(MARK, " ").encode())
         self.byte_fallback = model.trainer_spec.byte_fallback
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self.chunks = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        if not self.chunks:
-            raise ValueError("a piece holds a space mark after another character")
+        self.tree: dict = {}
+        for p in self.ids:
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+        self.breaks = not any("\n" in p for p in self.ids)
+        inner = any(self.mark in p.lstrip(self.mark) for p in self.ids)
+        self.chunk = None if inner or not self.bpe else re.compile(rf"(?s)(?:{self.mark}+|.)[^{self.mark}{chr(10) if self.breaks else ''}]*")
         self.pairs: dict[str, dict[str, bool]] = {}
         self.held = 0
         self.known: dict[str, list[int]] = {}
@@ -84,109 +188,93 @@ class Transducer:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the merge rules leave the two as they are; ``left`` is empty before the first piece."""
-        row = self.pairs.get(left)
-        if row is None:
-            row = self.pairs[left] = {}
+        row = self.pairs.setdefault(left, {})
         known = row.get(right)
         if known is None:
             if self.held >= PAIRS:
-                self.pairs, self.held = {left: (row := {})}, 0
+                self.pairs, self.held = {left: row}, 0
+                row.clear()
             known = row[right] = self.merged(left + right) == ([left, right] if left else [right])
             self.held += 1
         return known
 
-    def arcs(self, chunk: str, at: int) -> list[str]:
-        """Pieces that begin at a place; a character that is no piece is one by itself."""
-        found = [chunk[at]]
-        for end in range(at + 1, len(chunk)):
-            if chunk[at:end] not in self.prefixes:
-                break
-            if chunk[at : end + 1] in self.ids:
-                found.append(chunk[at : end + 1])
-        return found
-
     def path(self, chunk: str) -> list[str]:
-        """The pieces of the shortest path."""
-        return self._apart(chunk) if self.bpe else self._cheapest(chunk)
-
-    def _apart(self, chunk: str) -> list[str]:
-        """BPE: all finite paths weigh the same and there is one, so the first one found is it; long pieces are tried first."""
-        found: list[str] = []
-        left: list[list[str]] = []
-        dead: set[tuple[int, str]] = set()
-        at, last, options, n = 0, "", self.arcs(chunk, 0), len(chunk)
-        while at < n:
-            while options:
-                piece = options.pop()
-                if self.fits(last, piece) and (at + len(piece), piece) not in dead:
-                    left.append(options)
-                    found.append(piece)
-                    at, last = at + len(piece), piece
-                    options = self.arcs(chunk, at) if at < n else []
-                    break
-            else:
-                dead.add((at, last))
-                at -= len(found.pop())
-                last, options = found[-1] if found else "", left.pop()
-        return found
-
-    def _cheapest(self, chunk: str) -> list[str]:
-        """Unigram: weights don't depend on the piece before, so the best at each place suffices."""
-        reached: list[tuple[float, str]] = [(0.0, "")] + [(math.inf, "")] * len(chunk)
-        least = min(self.scores) - 10
-        for at in range(len(chunk)):
-            for piece in self.arcs(chunk, at):
-                cost = reached[at][0] - (self.scores[self.ids[piece]] if piece in self.ids else least)
-                if cost < reached[at + len(piece)][0]:
-                    reached[at + len(piece)] = (cost, piece)
-        at, found = len(chunk), []
+        """The pieces of the shortest path; of equals, place by place, the one whose last piece is longest."""
+        n, bpe = len(chunk), self.bpe
+        weights, came = [NEVER] * (n + 1), [""] * (n + 1)
+        weights[0] = 0.0
+        for at in range(n):
+            weight = weights[at]
+            if weight == NEVER:
+                continue
+            node, end, only = self.tree, at, True
+            row = self.pairs.setdefault(came[at], {}) if bpe else None
+            while end < n and (node := node.get(chunk[end])) is not None:
+                end += 1
+                piece = node.get("")
+                if piece is None:
+                    continue
+                only = only and end > at + 1
+                if bpe:
+                    fits = row.get(piece)
+                    if fits if fits is not None else self.fits(came[at], piece):
+                        weights[end], came[end] = weight, piece
+                elif (candidate := single(weight + self.cost[piece])) < weights[end]:
+                    weights[end], came[end] = candidate, piece
+            if only:  # an unknown character
+                piece, end = chunk[at], at + 1
+                if bpe:
+                    if self.fits(came[at], piece):
+                        weights[end], came[end] = weight, piece
+                elif (candidate := single(weight + self.unknown_cost)) < weights[end]:
+                    weights[end], came[end] = candidate, piece
+        found, at = [], n
         while at:
-            found.append(reached[at][1])
-            at -= len(found[-1])
+            found.append(came[at])
+            at -= len(came[at])
         return found[::-1]
 
     def encode_chunk(self, chunk: str) -> list[int]:
         ids = self.known.get(chunk)
         if ids is None:
             ids = []
-            for piece in self.path(chunk):
+            for piece in [chunk] if chunk in self.frozen else self.path(chunk):
                 i = self.ids.get(piece)
                 ids += [i] if i is not None else [self.bytes[b] for b in piece.encode()] if self.byte_fallback else [self.unknown]
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[chunk] = ids
+            if self.chunk is not None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[chunk] = ids
         return ids
 
     def split(self, text: str) -> list[str]:
-        """Chunks of a text: runs of marks with what follows; a line break begins a chunk, as no piece holds one."""
-        text = (MARK if self.dummy and text else "") + text.replace(" ", MARK)
-        found, start, n = [], 0, len(text)
-        while start < n:
-            at = start
-            while at < n and text[at] == MARK:
-                at += 1
-            at += at == start
-            ends = [e for e in (text.find(MARK, at), text.find("\n", at)) if e >= 0]
-            end = min(ends) if ends and "\n" not in self.ids else text.find(MARK, at) if MARK in text[at:] else n
-            end = n if end < 0 else end
-            found.append(text[start:end])
-            start = end
-        return found
+        """Chunks of a text: runs of marks, or one character, with what follows; a line break begins a chunk if no piece holds one."""
+        text = self.normal(text)
+        parts = [text] if text else []
+        if self.frozen and text:
+            cuts = [x for m in self.normal.symbols.finditer(text) for x in m.span()]
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if a < b]
+        return parts if self.chunk is None else [c for p in parts for c in ([p] if p in self.frozen else self.chunk.findall(p))]
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.split(text) for i in self.encode_chunk(c)]
+        ids = [i for c in self.split(text) for i in self.encode_chunk(c)]
+        return ids if self.byte_fallback else [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]
+
+    def stripped(self, data: bytes) -> bytes:
+        return data.lstrip(b" ") if self.normal.collapse else data.removeprefix(b" ") if self.dummy else data
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(self.out[i] for i in ids)
-        return (data.removeprefix(b" ") if self.dummy else data).decode(errors="replace")
+        return self.stripped(b"".join(self.out[i] for i in ids)).decode(errors="replace")
 
     def encode_column(self, texts: pa.Array) -> pa.ListArray:
         """list<int32> of each text; nulls count as empty."""
         texts = texts.fill_null("")
+        if not self.normal.simple or self.chunk is None or self.mark != MARK or not self.byte_fallback:
+            return pa.array([self.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
         plain = pc.invert(pc.match_substring_regex(texts, "  |\x00|▁|^ | $| \n|^$|\r"))
         easy, hard = np.flatnonzero(np.asarray(plain)), np.flatnonzero(~np.asarray(plain))
         # In plain texts every space begins one chunk; \x00 marks those that begin with a line break.
-        lines = pc.replace_substring(texts.take(pa.array(easy)), "\n", " \x00\n") if "\n" not in self.ids else texts.take(pa.array(easy))
+        lines = pc.replace_substring(texts.take(pa.array(easy)), "\n", " \x00\n") if self.breaks else texts.take(pa.array(easy))
         parts = pc.split_pattern(lines, " ")
         counts, coded = [np.diff(np.asarray(parts.offsets))], parts.flatten().dictionary_encode()
         words = [w[1:] if w[:1] == "\x00" else MARK + w for w in coded.dictionary.to_pylist()]
@@ -223,7 +311,7 @@ class Transducer:
         flat = pa.array(self.out, pa.binary()).take(ids.values.slice(offsets[0], offsets[-1] - offsets[0]))
         lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), flat)
         joined = pc.binary_join(lists, b"")
-        return pa.array([(v or b"").removeprefix(b" " if self.dummy else b"").decode(errors="replace") for v in joined.to_pylist()], pa.string())
+        return pa.array([self.stripped(v or b"").decode(errors="replace") for v in joined.to_pylist()], pa.string())
 
 
 @functools.cache

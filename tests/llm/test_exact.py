@@ -221,16 +221,92 @@ def test_pieces_equal_the_library(coder, texts):
         assert coder.encode(v) == w
 
 
-def test_unigram_path_is_the_cheapest(coder):
-    other = object.__new__(pieces.Transducer)
-    other.__dict__ |= coder.__dict__ | {"bpe": False, "ids": {c: i for i, c in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca"])}, "scores": [-3, -3.5, -3, -4, -5.5, -8.5, -4.5], "prefixes": {"a", "b", "c", "ab"}}
+def made_model(tmp_path, name, pieces_, **options):
+    """A model file from pieces (text, score[, kind]); nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = options.pop("kind", pb.TrainerSpec.UNIGRAM)
+    model.trainer_spec.byte_fallback = options.pop("byte_fallback", False)
+    for text, score, *kind in [("<unk>", 0.0, 2), *pieces_]:
+        model.pieces.add(piece=text, score=score, type=kind[0] if kind else 1)
+    for k, v in options.items():
+        setattr(model.normalizer_spec, k, v)
+    path = tmp_path / f"{name}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def normal_map(name):
+    from sentencepiece import SentencePieceNormalizer
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(SentencePieceNormalizer(rule_name=name).serialized_model_proto())
+    return model.normalizer_spec.precompiled_charsmap
+
+
+def vocabulary(seed):
+    rnd = random.Random(seed)
+    texts = {"".join(rnd.choice("abcd") for _ in range(n)) for n in (1, 2, 2, 3, 3, 4, 5) for _ in range(30)}
+    texts |= {pieces.MARK + t for t in texts if rnd.random() < 0.5} | {pieces.MARK, ".", "1", "fi", "カ", "é"}
+    return [(t, round(rnd.uniform(-9, -2), 4) - 3 * len(t) ** 0.5) for t in sorted(texts)]
+
+
+BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rules", ["none", "nmt_nfkc", "nfkc_cf"])
+def test_models_with_character_maps_equal_the_library(tmp_path, kind, rules):
+    """Unigram (1) and BPE (2) models, with maps and space rules, unknown characters or bytes, symbols of the user's, pieces with inner marks."""
+    import sentencepiece
+
+    rnd = random.Random(kind)
+    charsmap = b"" if rules == "none" else normal_map(rules)
+    if charsmap:
+        assert len(pieces.character_map(charsmap)) > 3000
+    values = ["", " ", "  a  b ", "ａｂ ﬁ ½ ①", "ｶﾞ é e\u0301 Å", "a\tb\nc", "ABCD abcd", "...", "zzz aa zz", "\u00a0x\u3000", "a<u>b c<u><u>", "▁a▁", "😀😀 a"]
+    values += ["".join(rnd.choice("abcdabcdABé .1zﬁｂ\u0301 \n<u>") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    for n, options in enumerate([{}, {"byte_fallback": True}, {"symbols": True}, {"inner": True}, {"add_dummy_prefix": False, "remove_extra_whitespaces": False}]):
+        held = vocabulary(n)
+        if options.pop("symbols", False):
+            held.append(("<u>", 0.0, 4))
+        if options.pop("inner", False):
+            held += [("a▁b", -4.0), ("c▁", -5.0)]
+        if options.get("byte_fallback"):
+            held += BYTES
+        path = made_model(tmp_path, f"m{n}", held, kind=kind, precompiled_charsmap=charsmap, **options)
+        library, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+        for v in values:
+            assert coder.encode(v) == library.encode(v), (n, v, library.encode(v, out_type=str))
+        assert coder.encode_column(pa.array(values)).to_pylist() == [library.encode(v) for v in values]
+        for v in values:
+            if coder.unknown not in library.encode(v):
+                assert coder.decode(library.encode(v)) == library.decode(library.encode(v)), v
+
+
+def test_shortest_path_is_the_cheapest_of_all(tmp_path):
+    held = [("a", -3), ("b", -3.5), ("c", -3), ("ab", -4), ("bc", -5.5), ("abc", -8.5), ("ca", -4.5)]
+    coder = pieces.Transducer(made_model(tmp_path, "small", held))
+    scores = dict(held)
 
     def splits(s):
-        return [[s[:k], *r] for k in range(1, len(s) + 1) if s[:k] in other.ids for r in splits(s[k:])] if s else [[]]
+        return [[s[:k], *r] for k in range(1, len(s) + 1) if s[:k] in scores for r in splits(s[k:])] if s else [[]]
 
     for s in ("abc", "abcabc", "cabca", "bcabcca"):
-        cost = lambda p: -sum(other.scores[other.ids[x]] for x in p)
-        assert math.isclose(cost(other.path(s)), min(map(cost, splits(s))))
+        cost = lambda p: -sum(scores[x] for x in p)
+        assert math.isclose(cost(coder.path(s)), min(map(cost, splits(s))))
+
+
+def test_long_texts_take_linear_time(coder):
+    import time
+
+    began = time.perf_counter()
+    for text in ("word▁ " * 400_000, "ab\r " * 600_000, " \x00" * 500_000):
+        assert len(coder.split(text)) >= 400_000
+    column = coder.encode_column(pa.array(["some  words here\n" * 300_000]))
+    assert len(column[0]) >= 1_200_000 and time.perf_counter() - began < 20
 
 
 def test_pieces_odd_rows(odd, none):
@@ -244,30 +320,41 @@ def test_pieces_odd_rows(odd, none):
 # --- language model
 
 
-def plain_scores(texts, train):
+def plain_scores(texts, train, least=2, discount=0.75):
     tokens = {d: [*words(t), None] for d, t in texts.items()}
     c = Counter(w for d in train for w in tokens[d])
     n, v = sum(c.values()), len(c)
-    pairs, context, kept = Counter(), Counter(), defaultdict(float)
+    grams = {2: Counter(), 3: Counter()}
     for d in train:
-        for a, b in zip(["<s>", *tokens[d]], tokens[d], strict=False):
-            pairs[a, b] += 1
-            context[a] += 1
-    for (a, b), k in pairs.items():
-        kept[a] += (k - 0.75) / context[a] if k >= 2 else 0
+        ts = ["<s>", *tokens[d]]
+        grams[2].update(zip(ts, ts[1:]))
+        grams[3].update(zip(ts, ts[1:], ts[2:]))
+    total, kept = {2: Counter(), 3: Counter()}, {2: defaultdict(float), 3: defaultdict(float)}
+    for k in (2, 3):
+        for g, m in grams[k].items():
+            total[k][g[:-1]] += m
+        for g, m in grams[k].items():
+            kept[k][g[:-1]] += (m - discount) / total[k][g[:-1]] if m >= least else 0
+
+    def mixed(k, g, lower):
+        m = grams[k][g]
+        return ((m - discount) / total[k][g[:-1]] if m >= least else 0) + (1 - kept[k].get(g[:-1], 0)) * lower
+
     out = {}
     for d, ts in tokens.items():
         uni = [(c[w] + 1) / (n + v + 1) for w in ts]
-        full = [((pairs[a, b] - 0.75) / context[a] if pairs[a, b] >= 2 else 0) + (1 - kept[a]) * u for a, b, u in zip(["<s>", *ts], ts, uni, strict=False)]
-        out[d] = (len(ts), sum(c[w] > 0 for w in ts), n, sum(map(math.log10, uni)), sum(map(math.log10, full)))
+        ts = ["<s>", *ts]
+        two = [mixed(2, g, u) for g, u in zip(zip(ts, ts[1:]), uni, strict=True)]
+        full = [two[0], *(mixed(3, g, p) for g, p in zip(zip(ts, ts[1:], ts[2:]), two[1:], strict=True))]
+        out[d] = (len(uni), sum(c[w] > 0 for w in ts[1:]), n, sum(map(math.log10, uni)), sum(map(math.log10, full)))
     return out
 
 
 def test_language_model_with_many_shards(docs, texts):
     train = {d for d in texts if zlib.crc32(str(d).encode()) % 7 != 2}
-    want = plain_scores(texts, train)
-    for chars in (1 << 24, 60_000):
-        got = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, block_chars=chars).collect()
+    for chars, least, hot in ((1 << 24, 2, 1 << 20), (60_000, 2, 1 << 20), (60_000, 1, 300), (20_000, 1, 40)):
+        want = plain_scores(texts, train, least)
+        got = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, block_chars=chars, min_count=least, hot_tokens=hot).collect()
         assert len(got) == len(texts)
         for r in got:
             n, known, total, base, full = want[r.doc_id]
@@ -280,8 +367,32 @@ def test_language_model_query_counts_pairs_seen_once(spark, tmp_path):
     train = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 != 2)
     spark.createDataFrame([(train, "a b"), (held, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op7_lm(spark, str(tmp_path)).collect()}
-    # Three pairs, each seen once: (1 - 0.75) / 1 and the rest of the unigram's (1 + 1) / (3 + 3 + 1).
-    assert got[held].held_out and abs(got[held].score - 3 * math.log10(0.25 + 0.75 * 2 / 7)) < 6e-4
+    # Pairs and triples, each seen once: (1 - 0.75) / 1 and the rest of what is beneath, at last the unigram's (1 + 1) / (3 + 3 + 1).
+    two = 0.25 + 0.75 * 2 / 7
+    assert got[held].held_out and abs(got[held].score - math.log10(two) - 2 * math.log10(0.25 + 0.75 * two)) < 6e-4
+
+
+def test_levels_find_children_by_their_pointers():
+    rnd = np.random.default_rng(5)
+    for nodes, n in ((1, 0), (1, 5), (50, 400), (3000, 2000)):
+        keys = np.unique((rnd.integers(0, nodes, n, dtype=np.uint64) << lm.FOLLOWER_BITS) | rnd.integers(0, 90, n, dtype=np.uint64))
+        level = lm.Level.build(nodes, keys, np.full(len(keys), 0.5), np.ones(len(keys)))
+        asked = np.unique(np.concatenate((keys, (rnd.integers(0, nodes, 700, dtype=np.uint64) << lm.FOLLOWER_BITS) | rnd.integers(0, 90, 700, dtype=np.uint64))))
+        place = {int(k): i for i, k in enumerate(keys)}
+        assert level.places(asked).tolist() == [place.get(int(a), -1) for a in asked]
+        assert level.followers.decoded(0, len(keys)).tolist() == keys.tolist()
+        assert level.pointers.decoded(0, nodes + 1).tolist() == [int((keys >> lm.FOLLOWER_BITS < i).sum()) for i in range(nodes + 1)]
+
+
+def test_shards_get_only_what_they_have():
+    texts = pa.array(["a b c", "a a b"])
+    b = lm.Block.of(texts)
+    hot = lm.Hot.of([(int(b.words[0].view(np.int64)), 100)], 10)
+    sent = list(b.shares(1000, hot))
+    assert len(sent) <= len(b.words) + len(b.pairs) and sorted(np.concatenate([x[3] for x in sent]).tolist()) == list(range(len(b.pairs)))
+    assert sorted(np.concatenate([x[5] for x in sent]).tolist()) == list(range(len(b.triples)))
+    arrays = [b.words, b.pairs & lm.FOLLOWER, np.zeros(0, np.uint64), np.arange(3, dtype=np.uint16)]
+    assert [x.tolist() for x in lm.unpacked(lm.packed(*arrays))] == [x.tolist() for x in arrays]
 
 
 def test_elias_fano_finds_what_is_there():
@@ -483,7 +594,7 @@ def test_large_family_stays_in_proportion(spark):
     with mock.patch.object(neardup, "compared", counted), mock.patch.object(neardup, "BLOCK", 256):
         got = groups_of(neardup.groups(docs))
     assert {c for _, c, _ in got.values()} == {0} and len(got) == 6000
-    assert len(read) == 4 and read[1] == read[3] == 0 and read[2] < 6000 + 24 * 40
+    assert len(read) == 2 and read[1] < 6000 + 24 * 40  # all are tied in the first pass
 
 
 def test_sketch_bound_keeps_near_pairs():
