@@ -10,9 +10,10 @@
    trees of the true links give the result's components.
 
 A large group (a band's, a family) is dealt into blocks. Each row goes to one
-of them, but for a few pivots that go to all and tie the blocks together.
-Rows already in one component need no comparison, so only those outside the
-group's largest component meet the other blocks, in a second pass.
+of them, but for a few pivots that go to all and tie the blocks together. The rows of a large band
+go on as one family without comparing sketches, as a family need only hold all links.
+In a family rows already in one component need no comparison, so only those outside the
+largest component meet the other blocks, in a second pass.
 
 A pair of likeness 0.85 misses all 25 bands of 5 rows with a chance of 4e-7,
 one of 0.8 with 5e-5, and the sketch's bound with one of about 1e-5.
@@ -32,7 +33,7 @@ from finlark.llm.common import Tokens, cut, map_batches, mix, pair
 ROWS, BANDS = 5, 25
 SAMPLES = ROWS * BANDS
 BITS = 512
-BLOCK = 2048  # rows
+BLOCK = 512  # rows
 BLOCK_SHINGLES = 1 << 22
 PIVOTS = 16  # about so many rows of a large group go to all its blocks
 SLACK = 4.5  # standard errors of the sketch's estimate by which a pair may fall short
@@ -131,8 +132,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def ties(near: Near, label: np.ndarray, guest: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Pairs of rows that tie different labels together; rows of one label are not compared.
+def tied(near: Near, label: np.ndarray, guest: np.ndarray | None) -> np.ndarray:
+    """The labels after those of linked rows are made one; rows of one label are not compared.
 
     near: of a row and later ones, those that are linked with it. With ``guest``, only guests and others are compared.
     """
@@ -143,7 +144,7 @@ def ties(near: Near, label: np.ndarray, guest: np.ndarray | None) -> Iterator[tu
         for y in near(x, later) if len(later) else ():
             if label[y] != label[x]:
                 label[label == label[y]] = label[x]
-                yield x, y
+    return label
 
 
 def by_sketch(table: pa.Table, percent: int) -> Near:
@@ -177,69 +178,80 @@ def by_sets(table: pa.Table, percent: int) -> Near:
     return near
 
 
-def edges_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def edges_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["a", "b"])
 
 
 def compared(rows: DataFrame, keys: list[str], kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame:
-    """Edges (a, b) from the rows of equal keys: rep, label, guest and what the kernel reads."""
+    """Edges (a, b) from the rows of equal keys: rep, label, guest and what the kernel reads.
+
+    Each label that is tied to others gets one edge, to the least row of what it is tied to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for table in grouped(batches, keys):
-            ids, guest = np.asarray(table.column("rep")), np.asarray(table.column("guest"))
-            order = np.argsort(ids, kind="stable")
-            ids, guest, table = ids[order], guest[order], table.take(order)
-            label = np.asarray(table.column("label"))
-            found += [(int(ids[x]), int(ids[y])) for x, y in ties(kernel(table, percent), label, guest if guest.any() else None)]
-            if len(found) > 20_000:
-                yield edges_of(found)
-                found = []
-        if found:
-            yield edges_of(found)
+            table = table.sort_by("rep")
+            ids, guest, label = (np.asarray(table.column(c)) for c in ("rep", "guest", "label"))
+            final = tied(kernel(table, percent), label, guest if guest.any() else None)
+            _, least, place = np.unique(final, return_index=True, return_inverse=True)
+            root, (_, once) = least[place], np.unique(label, return_index=True)
+            more = once[label[once] != label[root[once]]]
+            held.append((ids[root[more]], ids[more]))
+            if len(held) > 1000:
+                yield edges_of(held)
+                del held[1:]
+        yield edges_of(held)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(rows: DataFrame, sizes: DataFrame, group: str, kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame:
-    """Edges of trees over the rows of each group that the kernel links.
-
-    rows: ``group``, rep and what the kernel reads; sizes: ``group``, n and blocks of each group with several rows.
-    """
-    met = rows.join(sizes, group)
+def dealt(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """Rows in the blocks of their group; sizes: ``group``, n, least (rep) and blocks of each group with several rows."""
     own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit("pivot")), "n") < PIVOTS)
+    pivot = (F.col("blocks") > 1) & ((F.col("rep") == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit("pivot")), "n") < PIVOTS))
     places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = met.withColumns({"block": F.explode(places), "label": F.col("rep"), "guest": F.lit(False)}).drop("n", "blocks")
-    found = cut(compared(dealt, [group, "block"], kernel, percent))
-    large = sizes.where("blocks > 1")
+    return rows.join(sizes, group).withColumns({"block": F.explode(places), "label": F.col("rep"), "guest": F.lit(False)}).drop("n", "least")
+
+
+def second_pass(rows: DataFrame, bare: DataFrame, sizes: DataFrame, found: DataFrame, group: str, kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame | None:
+    """Edges between the rows outside a group's largest component and all the rest; none where there are no such rows."""
+    large = sizes.where("blocks > 1").select(group, "blocks")
     if not large.limit(1).count():
-        return found
+        return None
     roots = components(found).select(F.col("node").alias("rep"), "root")
-    split = cut(rows.join(large, group).join(roots, "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root", "n"))
-    parts = split.groupBy(group, "label").agg(F.count("*").alias("c"))
+    label = F.coalesce("root", "rep").alias("label")
+    parts = bare.join(large, group).join(roots, "rep", "left").groupBy(group, label).agg(F.count("*").alias("c"))
     tops = parts.groupBy(group).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
-    rest = split.join(tops.select(group, F.col("top.label").alias("main"), _blocks(F.col("n") - F.col("top.c")).alias("others")), group)
+    tops = cut(tops.select(group, F.col("top.label").alias("main"), _blocks(F.col("n") - F.col("top.c")).alias("others")).join(large, group))
+    if not tops.limit(1).count():
+        return None
+    own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
 
     def at(block: Column, other: Column, guest: bool) -> Column:
         return F.struct(block.alias("block"), other.alias("other"), F.lit(guest).alias("guest"))
 
     member = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: at(own, k, False))
     guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: at(k, F.pmod(F.xxhash64("rep"), "others").cast("int"), True))
+    rest = rows.join(tops, group).join(roots, "rep", "left").withColumn("label", label)
     spread = rest.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), member).otherwise(F.concat(member, guest)))).select(*rows.columns, "label", "at.*")
-    return found.unionByName(cut(compared(spread, [group, "block", "other"], kernel, percent)))
+    return cut(compared(spread, [group, "block", "other"], kernel, percent))
 
 
 def _blocks(n: Column, shingles: Column | None = None) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / BLOCK), *([] if shingles is None else [F.ceil(shingles / BLOCK_SHINGLES)])).cast("int")
 
 
+def all_alike(table: pa.Table, percent: int) -> Near:
+    """Of a large band's block all rows; of others those whose sketches are alike."""
+    return (lambda x, later: later) if table.column("blocks")[0].as_py() > 1 else by_sketch(table, percent)
+
+
 def families(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges of trees over the representatives whose sketches look alike in some shared band."""
+    """Edges of trees over the representatives that share a band and look alike, or share a large band."""
     banded = reps.select("rep", "sketch", F.explode("bands").alias("band"))
-    sizes = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", _blocks(F.col("n"))))
-    return links(banded, sizes, "band", by_sketch, percent)
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").withColumn("blocks", _blocks(F.col("n")))
+    return compared(dealt(banded, sizes, "band"), ["band", "block"], all_alike, percent)
 
 
 def true_links(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
@@ -251,9 +263,11 @@ def true_links(docs: DataFrame, members: DataFrame, percent: int, width: int) ->
         sets = [s.tobytes() for s in shingles(batch.column("text"), width)]
         return pa.Table.from_batches([batch]).drop_columns("text").append_column("words", pa.array(sets, pa.large_binary()).cast(pa.binary()))
 
-    held = map_batches(docs.join(members, "rep").select("rep", "sketch", "family", "text"), expand, "rep bigint, sketch binary, family bigint, words binary")
-    sizes = cut(members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("family", "n", _blocks(F.col("n"), F.col("s")).alias("blocks")))
-    return links(held, sizes, "family", by_sets, percent)
+    held = cut(map_batches(docs.join(members, "rep").select("rep", "sketch", "family", "text"), expand, "rep bigint, sketch binary, family bigint, words binary"))
+    sizes = cut(members.groupBy("family").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.sum("n_shingles").alias("s")).select("family", "n", "least", _blocks(F.col("n"), F.col("s")).alias("blocks")))
+    found = cut(compared(dealt(held, sizes, "family").drop("blocks"), ["family", "block"], by_sets, percent))
+    more = second_pass(held, members.select("family", "rep"), sizes, found, "family", by_sets, percent)
+    return found if more is None else found.unionByName(more)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -271,33 +285,38 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node it reaches) of every node of the edges (a, b).
 
     Large-star and small-star rounds: each node's larger neighbours, then its
-    smaller ones, are tied to the least of its neighbourhood, until nothing changes.
-    A node's edges are salted by the neighbour, so that those of a hub lie in as many
-    places as there are partitions; the least comes from the least of each place.
+    smaller ones, are tied to the least of its neighbourhood, until all are stars.
+    Nodes with over a thousandth of all edges, a thousand at most, get their least neighbour without an exchange of their edges.
     """
-    salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def star(tied: DataFrame, small: bool) -> DataFrame:
-        """tied: u, v with v < u after a small star."""
-        both = tied if small else tied.unionByName(tied.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-        part = both.groupBy("u", "salt").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        least = part.join(part.groupBy("u").agg(F.min("m").alias("least")), "u")
-        met = both.join(least.select("u", "salt", "least"), ["u", "salt"])
-        if small:
-            made = met.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
-        else:
-            made = met.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    def met(both: DataFrame) -> DataFrame:
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.join(least, "u")
+
+    def large_star(ties: DataFrame) -> DataFrame:
+        """ties: u, v with v < u."""
+        many = max(ties.count() // 1000, 50)
+        hubs = [r.v for r in ties.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > many).collect()]
+        under = {r.u: r.m for r in ties.where(F.col("u").isin(hubs)).groupBy("u").agg(F.min("v").alias("m")).collect()} if hubs else {}
+        both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        made = met(both.where(~F.col("u").isin(hubs))).where("v > u").select("u", "v", "m")
+        if hubs:
+            m = F.try_element_at(F.create_map(*[F.lit(x) for h in hubs for x in (h, under.get(h, h))]), F.col("u"))
+            made = made.unionByName(both.where(F.col("u").isin(hubs) & (F.col("v") > F.col("u"))).select("u", "v", m.alias("m")))
+        return made.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+
+    def small_star(ties: DataFrame) -> DataFrame:
+        made = met(ties).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         return made.where("u != v").distinct()
 
+    def stars(ties: DataFrame) -> bool:
+        """Every node has one root, and no root has another."""
+        if ties.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            return False
+        return not ties.select("u").join(ties.select(F.col("v").alias("u")).distinct(), "u").limit(1).count()
+
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        now = cut(star(star(now, small=False), small=True))
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
+    while not stars(now):
+        now = cut(small_star(large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
