@@ -391,8 +391,13 @@ def test_shards_get_only_what_they_have():
     sent = list(b.shares(1000, hot))
     assert len(sent) <= len(b.words) + len(b.pairs) and sorted(np.concatenate([x[3] for x in sent]).tolist()) == list(range(len(b.pairs)))
     assert sorted(np.concatenate([x[5] for x in sent]).tolist()) == list(range(len(b.triples)))
-    arrays = [b.words, b.pairs & lm.FOLLOWER, np.zeros(0, np.uint64), np.arange(3, dtype=np.uint16)]
+    arrays = [b.words, b.pairs & lm.FOLLOWER, np.zeros(0, np.uint64), np.arange(3, dtype=np.uint16), np.array([0.5, -1.0]), np.array([-3, 2**60]), np.arange(900, dtype=np.uint32)]
     assert [x.tolist() for x in lm.unpacked(lm.packed(*arrays))] == [x.tolist() for x in arrays]
+    rnd = np.random.default_rng(1)
+    hashes = rnd.integers(0, 2**63, 400, dtype=np.uint64) << np.uint64(1)
+    for known in (hashes[:0], hashes[:3], hashes):
+        common, followers = lm.Common(known), np.concatenate((hashes, hashes[:50], rnd.integers(0, 2**63, 100, dtype=np.uint64))) >> np.uint64(26)
+        assert common.decoded(len(followers), *common.coded(followers)).tolist() == followers.tolist()
 
 
 def test_elias_fano_finds_what_is_there():
@@ -594,7 +599,7 @@ def test_large_family_stays_in_proportion(spark):
     with mock.patch.object(neardup, "compared", counted), mock.patch.object(neardup, "BLOCK", 256):
         got = groups_of(neardup.groups(docs))
     assert {c for _, c, _ in got.values()} == {0} and len(got) == 6000
-    assert len(read) == 2 and read[1] < 6000 + 24 * 40  # all are tied in the first pass
+    assert len(read) == 2 and max(read) < 25 * 6000 + 25 * 24 * 40 and read[1] < 6000 + 24 * 40  # all are tied in the first pass
 
 
 def test_sketch_bound_keeps_near_pairs():

@@ -186,6 +186,55 @@ def test_missed_spans_are_added(spark):
     assert [k for k, _, _ in spans] == [3, 0] and pii.base_spans(changed) == [] and not any("+" in changed[a:b] or "@" in changed[a:b] for _, a, b in spans)
 
 
+def test_planted_forms_are_found_with_few_mistakes(spark):
+    """Recall and precision by kind, on forms and neighbours that the training texts don't have in this wording."""
+    rnd = random.Random(8)
+
+    def digits(n):
+        return "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        while True:
+            d = "4" + digits(15)
+            if pii.luhn(d):
+                return d
+
+    def noise():
+        return rnd.choice([f"order {digits(7)}", f"dated 20{digits(2)}-0{rnd.randrange(1, 9)}-1{rnd.randrange(9)}", f"version 1.{digits(1)}.{digits(2)}", f"item {digits(4)}-{digits(2)}", f"a sum of {digits(5)}.{digits(2)}", f"isbn 978-3-16-{digits(6)}-{digits(1)}", f"rows {digits(3)} to {digits(4)}"])
+
+    name = lambda: rnd.choice(["bob", "ann.lee", "k_roe", "sales"]) + digits(2)
+    ip = lambda: [str(rnd.randrange(1, 256)) for _ in range(4)]
+    rows = [(i, f"{noise()}, call +1 ({rnd.randrange(200, 990)}) {digits(3)}-{digits(4)} or pay by {' '.join([(c := card())[:4], c[4:8], c[8:12], c[12:]])}, {noise()}, mail {name()}@{rnd.choice(['x.org', 'mail.net'])}, host {'.'.join(ip())}, {noise()}") for i in range(1500)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(model.kinds) == {0, 1, 2, 3}
+    found, right, wanted = {k: 0 for k in range(4)}, {k: 0 for k in range(4)}, {k: 0 for k in range(4)}
+    for _ in range(400):
+        c, parts = card(), [noise()]
+        spans = [
+            (3, rnd.choice([f"({rnd.randrange(200, 990)}) {digits(3)}-{digits(4)}", f"{rnd.randrange(200, 990)}.{digits(3)}.{digits(4)}", f"{rnd.randrange(200, 990)}-{digits(3)}-{digits(4)}"]), "call "), (2, rnd.choice([".", "/"]).join([c[:4], c[4:8], c[8:12], c[12:]]), "pay by "),
+            (0, name() + rnd.choice(["[at]", " (at) "]) + "mail.net", "mail "), (1, rnd.choice(["[.]", " . ", "[dot]"]).join(ip()), "host "),
+        ]
+        rnd.shuffle(spans)
+        text, truth = "", set()
+        for kind, value, cue in spans:
+            text += f"{noise()}, {cue}"
+            truth.add((kind, len(text), len(text) + len(value)))
+            text += f"{value}, "
+        text += noise()
+        got = set(model.added(text, pii.base_spans(text)))
+        for kind in range(4):
+            wanted[kind] += 1
+            found[kind] += any(k == kind and abs(a - x) <= 1 and abs(b - y) <= 1 for k, a, b in got for t, x, y in truth if t == kind)
+            right[kind] += sum(k == kind for k, _, _ in got)
+    assert all(found[k] / wanted[k] >= 0.9 for k in range(4)), (found, wanted)
+    assert all(found[k] / max(1, right[k]) >= 0.95 for k in range(4)), (found, right)
+
+
+def test_proposals_take_linear_time():
+    for text in ("a" * 300_000, "1 " * 60_000, "1" + " " * 300_000, "@" * 100_000, "a@" * 50_000, "(at)" * 50_000, "1.2.3.4-" * 20_000, "x [at] " * 20_000):
+        pii.proposals(text)
+
+
 def test_pii_odd_rows(odd, none, docs):
     model = pii.fit(docs)
     got = {r.doc_id: r for r in pii.find(odd, model).collect()}
