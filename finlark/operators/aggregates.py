@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per
 
+RANGES = 256
+
 
 def share_of_total(rows: DataFrame, bucket: Column, name: str = "bucket") -> DataFrame:
     """Rows and per cent of all for each bucket, from one pass: the total is summed from the few bucket counts."""
@@ -53,8 +57,50 @@ def completeness(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def winsorised_at(rows: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The column clipped to two exact quantiles, as ``<column>_clipped``."""
-    ends = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_ends"))
-    return rows.join(F.broadcast(ends), F.lit(True)).withColumn(f"{column}_clipped", F.greatest(F.col("_ends")[0], F.least(F.col("_ends")[1], F.col(column)))).drop("_ends")
+    least, most = exact_quantiles(rows, column, [low, high])
+    return rows.withColumn(f"{column}_clipped", F.greatest(F.lit(least), F.least(F.lit(most), F.col(column))))
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], *, probes: int = 2048) -> list[float | None]:
+    """Exact quantiles, straight between neighbours; null if there are no values.
+
+    Rounds of histograms: the bucket that holds a wanted place is cut into ``probes`` buckets again, until it holds one value. A round
+    sends a few thousand counts to the driver, and no task sees more than its own rows.
+    """
+    data = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n, low, high = data.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = {k for p in shares for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+    values: dict[int, float] = {}
+    spans = {(low, high, 0): sorted(places)}
+    while spans:
+        listed = list(spans)
+        number, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (a, b, _) in enumerate(listed):
+            inside = F.col("v").between(a, b)
+            number = F.when(inside, i).otherwise(number)
+            bucket = F.when(inside, F.least(F.lit(probes - 1), F.floor((F.col("v") - a) / (b - a) * probes)).cast("int") if b > a else F.lit(0)).otherwise(bucket)
+        counts = data.select(number.alias("i"), bucket.alias("b"), "v").where("i is not null").groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect()
+        found: dict[tuple[float, float, int], list[int]] = {}
+        for i, span in enumerate(listed):
+            below, own = span[2], iter(sorted((r for r in counts if r.i == i), key=lambda r: r.b))
+            r = next(own)
+            for k in spans[span]:
+                while below + r.n <= k:
+                    below, r = below + r.n, next(own)
+                if r.a == r.z:
+                    values[k] = r.a
+                else:
+                    found.setdefault((r.a, r.z, below), []).append(k)
+        spans = found
+
+    def between(p: float) -> float:
+        at = (n - 1) * p
+        a, b = math.floor(at), math.ceil(at)
+        return values[a] if a == b else (b - at) * values[a] + (at - a) * values[b]
+
+    return [between(p) for p in shares]
 
 
 def sweep(rows: DataFrame, thresholds: list[float], *, confidence: str, predicted: str, actual: str) -> DataFrame:
@@ -73,9 +119,17 @@ def confusion(predicted: Column, actual: Column) -> list[Column]:
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from the counts at each distinct score."""
+    """Area under the ROC curve from the counts at each distinct score.
+
+    Scores are dealt into ranges by approximate quantiles; a window runs within a range, and what lies below a range is added up over the ranges.
+    """
     at = rows.groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
-    below = at.withColumn("below", F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)))
+    bounds = sorted(set(at.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []))
+    ranged = at.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(score))) if bounds else F.lit(0))
+    each = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("q").alias("q")).select("_range", F.coalesce(F.sum("q").over(each), F.lit(0)).alias("_under"))  # a row a range
+    inside = Window.partitionBy("_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.join(F.broadcast(sums), "_range").withColumn("below", F.col("_under") + F.coalesce(F.sum("q").over(inside), F.lit(0)))
     return below.agg(per(F.sum(F.col("p") * (F.coalesce("below", F.lit(0)) + F.col("q") / 2.0)), F.sum("p") * F.sum("q") * 1.0).alias("auc"))
 
 

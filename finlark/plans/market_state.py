@@ -122,3 +122,15 @@ def section(text: Column, name: str, most: int = 30_000) -> Column:
         return values.map(one)
 
     return run(text)
+
+
+def row_macro(levels: DataFrame, *, key: str = "ticker", time: str = "date") -> DataFrame:
+    """Changes over 7, 14, 21 and 30 rows, first and last included, with the estimates of the row form.
+
+    Fixed values: the two-year rate counts as 0.85 of the level, the policy rate as the level; momentum has bands at 2 and 0.5 per cent.
+    """
+    w = series(key, time)
+    moved = levels.withColumns({f"return_{n}d": percent_change(F.col("close"), F.lag("close", n - 1).over(w)) for n in (7, 14, 21, 30)})
+    r = F.col("return_7d")
+    name = F.when(r > 2, "strong_up").when(r > 0.5, "up").when(r < -2, "strong_down").when(r < -0.5, "down").when(r.isNotNull(), "flat")
+    return moved.withColumns({"two_year": F.col("close") * 0.85, "fed_funds": F.col("close"), "momentum": name})

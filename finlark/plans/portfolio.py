@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,20 +33,23 @@ def run(signals: DataFrame, *, start: float = 100_000.0, largest: float = 0.1, f
     later trades of its exit day or after are opened. Cash grows by what was paid plus the profit, for shorts too.
     """
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        cash, held, out = start, [], []
+        cash, invested, due, open_in, out = start, 0.0, [], set(), []  # due: a heap of (exit day, trade, what it gives back, what it cost, ticker)
         for r in rows.sort_values(["day", "trade_id"]).itertuples():
-            for due in sorted(h for h in held if h[0] <= r.day):
-                held.remove(due)
-                cash += due[2]
-            value = cash + sum(h[3] for h in held)
+            while due and due[0][0] <= r.day:
+                _, _, got, cost, ticker = heapq.heappop(due)
+                cash, invested = cash + got, invested - cost
+                open_in.discard(ticker)
+            value = cash + (invested if due else 0.0)
             shares = int(min(r.confidence * abs(r.predicted) / 100.0, largest) * value // r.entry) if r.entry > 0 else 0
             paid = shares * r.entry
-            if shares < 1 or paid + fee > cash or any(h[4] == r.ticker for h in held):
+            if shares < 1 or paid + fee > cash or r.ticker in open_in:
                 continue
             got = shares * r.exit
             pnl = (got - paid if r.direction == "LONG" else paid - got) - 2 * fee
             cash -= paid + fee
-            held.append((r.exit_day, r.trade_id, paid + pnl + fee, paid, r.ticker))
+            heapq.heappush(due, (r.exit_day, r.trade_id, paid + pnl + fee, paid, r.ticker))
+            invested += paid
+            open_in.add(r.ticker)
             out.append((r.portfolio_id, r.trade_id, r.ticker, r.direction, r.day, r.exit_day, shares, paid, got, pnl, pnl / paid * 100, cash))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE.split(", ")])
 

@@ -122,19 +122,6 @@ def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.round(F.col("beta")[0], 8).alias("slope"), F.round(F.col("beta")[1], 8).alias("intercept"))
 
 
-@query("M15_M16_polynomial_and_interaction")
-def polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R squared of ridge fits on powers 1 to 3 of one feature, and with an interaction, by degree."""
-    rows = B.filings(spark, sf_dir).withColumns({"one": F.lit(1.0), "p2": F.pow("predicted", 2), "p3": F.pow("predicted", 3), "ps": F.col("predicted") * F.col("sentiment"), "all": F.lit("all")})
-    out = []
-    for name, x in (("degree_1", ["one", "predicted"]), ("degree_2", ["one", "predicted", "p2"]), ("degree_3", ["one", "predicted", "p2", "p3"]), ("interaction", ["one", "predicted", "sentiment", "ps"])):
-        beta = scoring.ridge_by(rows, x, "actual", ["all"], penalty=1e-6).select("beta")
-        met = rows.join(F.broadcast(beta), F.lit(True))
-        guess = sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(x)), F.lit(0.0))
-        out.append(met.agg(F.lit(name).alias("model"), F.round(1 - F.avg((F.col("actual") - guess) ** 2) / F.var_pop("actual"), 6).alias("r2")))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
-
-
 @query("M17_segment_refits", "select status, count(*) as n, round(sum(predicted * actual) / (sum(predicted * predicted) + 100), 8) as beta from filing group by 1 having count(*) >= 10")
 def refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ridge_by(B.filings(spark, sf_dir), ["predicted"], "actual", ["status"], least=10).select("status", "n", F.round(F.col("beta")[0], 8).alias("beta"))

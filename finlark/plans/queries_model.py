@@ -39,17 +39,24 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURE_SQL = ", x as (select filing_id, sector, case when nullif(current_price, 0) is null or fifty_two_week_low = 0 then 1.3638 else current_price / fifty_two_week_low end as price_to_low, case when nullif(current_price, 0) is null or fifty_two_week_high = 0 then 0.8381 else current_price / fifty_two_week_high end as price_to_high, case when nullif(current_price, 0) is null or coalesce(analyst_target_price, 0) = 0 then 29.5690 else (analyst_target_price / current_price - 1) * 100 end as upside, concern, case when market_cap = 0 then 9.8179e10 else market_cap * 10 end as cap, sentiment, coalesce(sentiment - lag(sentiment) over (partition by company_id, filing_type order by filing_date, filing_id), -0.0113) as tone, value / 1e5 as spx, case when filing_id % 3 <> 0 then 12.0 + filing_id % 16 else 20.0 end as vix, filing_id % 3 as up, filing_id % 2 as down, greatest(-50, least(50, predicted * 10)) as eps, case filing_type when '10-K' then 0 when '10-Q' then 1 else 2 end::double as form from filing join company using (company_id)) "
 
 
-@query("M1_features", FEATURE_SQL + "select filing_id, round(price_to_low, 6) as f_price_to_low, round(price_to_high, 6) as f_price_to_high, round(upside, 6) as f_analyst_upside, round(tone, 6) as f_tone_change, eps as f_eps_surprise, form as f_filing_type_factor, vix as f_vix_level from x")
+M1 = "select filing_id, round(price_to_low, 9) as f_price_to_low, down::double as f_major_downgrades, round(upside, 9) as f_analyst_upside, round(price_to_high, 9) as f_price_to_high, concern as f_concern_level, cap as f_market_cap, sentiment as f_sentiment_score, up::double as f_upgrades_30d, form as f_filing_type_factor, round(tone, 9) as f_tone_change, eps as f_eps_surprise, round(spx, 9) as f_spx_trend_30d, vix as f_vix_level from x"
+
+
+@query("M1_features", FEATURE_SQL + M1)
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = scoring.features(inputs(spark, sf_dir))
-    return rounded(made.select("filing_id", *[f"f_{c}" for c in ("price_to_low", "price_to_high", "analyst_upside", "tone_change", "eps_surprise", "filing_type_factor", "vix_level")]))
+    return rounded(made.select("filing_id", *[f"f_{c}" for c in scoring.FEATURES]), 9)
 
 
-TERMS = {"price_to_low": "price_to_low", "major_downgrades": "down", "analyst_upside": "upside", "price_to_high": "price_to_high", "concern_level": "concern", "market_cap": "cap", "sentiment_score": "sentiment", "upgrades_30d": "up", "filing_type_factor": "form", "tone_change": "tone", "eps_surprise": "eps", "spx_trend_30d": "spx", "vix_level": "vix"}
-RAW = " + ".join(f"({TERMS[f]} - ({m}::double)) / {s}::double * ({w}::double)" for f, (m, s, w) in scoring.GLOBAL.items())
+M2 = """, y as (select filing_id, floor((
+    (price_to_low - 1.3638::double) / 0.3776::double * -0.0032::double + (down - 0.0409::double) / 0.2162::double * -0.0007::double + (upside - 29.5690::double) / 55.1452::double * 0.0239::double + (price_to_high - 0.8381::double) / 0.1401::double * -0.0002::double
+    + (concern - 5.3333::double) / 0.8027::double * 0.0050::double + (cap - 9.8179e10::double) / 3.4064e11::double * 0.0001::double + (sentiment - 0.1095::double) / 0.1893::double * 0.0007::double + (up - 0.1130::double) / 0.3751::double * -0.0021::double
+    + (form - 0.7378::double) / 0.4399::double * -0.0058::double + (tone - -0.0113::double) / 0.2243::double * -0.0011::double + (eps - 3.8894::double) / 14.2667::double * 0.0104::double + (spx - 1.8286::double) / 3.4503::double * 0.0100::double + (vix - 18.1503::double) / 4.4550::double * 0.0058::double
+  ) * 10000 + 0.5) / 10000 as raw_score from x)
+select filing_id, raw_score, case when raw_score > 0.0114::double then 'LONG' when raw_score < -0.0158::double then 'SHORT' else 'NEUTRAL' end as signal, case when raw_score > 0.0288::double or raw_score < -0.029::double then 'high' when raw_score > 0.0114::double or raw_score < -0.0158::double then 'medium' else 'low' end as confidence_label, floor((raw_score + 0.8) * 100 + 0.5) / 100 as predicted_30d from y"""
 
 
-@query("M2_alpha_signal", FEATURE_SQL + f", y as (select filing_id, floor(({RAW}) * 10000 + 0.5) / 10000 as raw_score from x) select filing_id, raw_score, case when raw_score > 0.0114::double then 'LONG' when raw_score < -0.0158::double then 'SHORT' else 'NEUTRAL' end as signal, case when raw_score > 0.0288::double or raw_score < -0.029::double then 'high' when raw_score > 0.0114::double or raw_score < -0.0158::double then 'medium' else 'low' end as confidence_label, floor((raw_score + 0.8) * 100 + 0.5) / 100 as predicted_30d from y")
+@query("M2_alpha_signal", FEATURE_SQL + M2)
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(scoring.features(inputs(spark, sf_dir)), scoring.global_expert(spark)).select("filing_id", "raw_score", "signal", "confidence_label", "predicted_30d")
 
@@ -81,17 +88,6 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.walk_forward(B.filings(spark, sf_dir), ["predicted"], "actual", order="day"))
 
 
-@query("M12_model_zoo")
-def zoo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(learning.compare(B.filings(spark, sf_dir), ["predicted", "sentiment", "concern", "confidence"], "actual", order="day", n=2, models=["ols", "ridge", "elastic_net", "forest"]))
-
-
-@query("M13_logistic_baseline")
-def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.filings(spark, sf_dir).withColumn("up", F.col("actual") > 0)
-    return rounded(learning.logistic(rows, ["predicted", "sentiment", "concern"], "up", order="day"))
-
-
 @query("F54_recommendation", "select filing_id, case when confidence >= 0.65 then 'BUY FULL' when confidence >= 0.55 then 'BUY HALF' when confidence <= 0.35 then 'SHORT HALF' else 'HOLD SMALL' end as call from filing")
 def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).select("filing_id", learning.baseline_recommendation(F.col("confidence")).alias("call"))
@@ -221,9 +217,9 @@ EVIDENCE = {
 RULES_SQL = ", e as (select filing_id, filing_type, " + ", ".join(f"{x} as {k}" for k, x in EVIDENCE.items()) + """ from filing),
 a as (select *, coalesce(risk_score_delta, 0) * -1.2 + coalesce(sentiment_score, 0) * case when sentiment_score > 0 and coalesce(concern_level, 5) >= 7 then -1.0 when sentiment_score > 0 and coalesce(concern_level, 5) >= 5 then 1.0 else 2.0 end
   + (coalesce(concern_level, 5) - 5) * -0.9
-  + case eps_surprise when 'beat' then 1.0 + case when eps_surprise_magnitude > 5 then 0.8 else 0 end when 'miss' then -1.0 - case when eps_surprise_magnitude < -5 then 0.7 else 0 end when 'inline' then 0.6 else 0 end
+  + (case eps_surprise when 'beat' then 1.0 + case when eps_surprise_magnitude > 5 then 0.8 else 0 end when 'miss' then -1.0 - case when eps_surprise_magnitude < -5 then 0.7 else 0 end when 'inline' then 0.6 else 0 end)
     * 1.0 * case when pe_ratio is null or pe_ratio <= 0 then 1.0 when pe_ratio < 15 then 0.8 when pe_ratio < 25 then 1.0 when pe_ratio < 40 then 1.2 else 1.5 end
-    * case when market_cap_b is null or market_cap_b <= 0 then 1.0 when market_cap_b < 2 then {c2} when market_cap_b < 10 then {c10} when market_cap_b < 50 then {c50} when market_cap_b < 200 then {c200} else {c} end
+    * case when market_cap_b is null or market_cap_b <= 0 then 1.0 when market_cap_b < 2 then 0.9 when market_cap_b < 10 then 1.0 when market_cap_b < 50 then 1.1 when market_cap_b < 200 then 1.2 else 1.3 end
   + case revenue_surprise when 'beat' then 0.8 when 'miss' then -1.5 else 0 end + case guidance_change when 'raised' then 3.5 when 'lowered' then -4.0 when 'new' then 1.0 else 0 end
   + case filing_type when '10-K' then 0.5 when '10-Q' then 0.3 else case event_type when '8-K-earnings-announcement' then 0.1 else -0.5 end end as t from e),
 b as (select *, t + case when market_momentum is null then 0 else market_momentum * case market_regime when 'bull' then 0.2 when 'bear' then 0.18 else 0.1 end
@@ -237,9 +233,6 @@ d as (select *, case when market_cap_b > 1000 and u < 0 then greatest(u, case ma
   + coalesce(historical_return, 0) * case when ticker is not null then 0.4 else 0.2 end as v from b)
 select filing_id, round(greatest(-10, least(10, v * 0.5)), 10) as predicted_7d, round(least(0.95, 0.4 + case when eps_surprise <> 'unknown' then 0.2 else 0 end + case when guidance_change <> 'maintained' then 0.2 else 0 end + case when risk_score_delta is not null then 0.1 else 0 end + 0.1
   + case when concern_level <> 5 then 0.1 else 0 end + case when ticker is not null and historical_return is not null then 0.15 else 0 end + case when analyst_net_upgrades is not null or analyst_consensus is not null then 0.1 else 0 end), 10) as certainty from d"""
-for mark, worth in zip(("{c2}", "{c10}", "{c50}", "{c200}", "{c}"), [*[w for _, w in rules.CAP_STEPS], rules.CAP_LAST], strict=True):
-    RULES_SQL = RULES_SQL.replace(mark, str(worth))
-RULES_SQL = RULES_SQL.replace("+ case eps_surprise when", "+ (case eps_surprise when").replace("when 'inline' then 0.6 else 0 end\n    * 1.0", "when 'inline' then 0.6 else 0 end)\n    * 1.0")
 
 
 @query("M3_rule_forecast", RULES_SQL)

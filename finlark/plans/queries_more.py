@@ -11,6 +11,7 @@ from finlark.functions import math as M
 from finlark.operators.asof import asof_join, interval_join
 from finlark.operators.windows import last_rows, series
 from finlark.plans import bindings as B
+from finlark.plans import challenger
 from finlark.plans import market_state as S
 from finlark.plans.queries_aggregate import rounded
 from finlark.plans.queries_series import FRAME, SIDE, sides
@@ -93,9 +94,9 @@ def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).groupBy("filing_type").agg(best.alias("best"), worst.alias("worst"))
 
 
-@query("W10_horizon_returns", ", s as (select * from price where ticker < 20) select s.ticker, s.day, round((s.close - p.close) * 100 / p.close, 6) as return_14, round((s.close - q.close) * 100 / q.close, 6) as return_30 from s left join lateral (select close from s x where x.ticker = s.ticker order by abs(x.day - s.day + 14), x.day desc limit 1) p on true left join lateral (select close from s x where x.ticker = s.ticker order by abs(x.day - s.day + 30), x.day desc limit 1) q on true")
+@query("W10_horizon_returns", ", s as (select * from price) select s.ticker, s.day, round((s.close - p.close) * 100 / p.close, 6) as return_14, round((s.close - q.close) * 100 / q.close, 6) as return_30 from s left join lateral (select close from s x where x.ticker = s.ticker order by abs(x.day - s.day + 14), x.day desc limit 1) p on true left join lateral (select close from s x where x.ticker = s.ticker order by abs(x.day - s.day + 30), x.day desc limit 1) q on true")
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.prices(spark, sf_dir).where("ticker < 20").select("ticker", "day", "close")
+    rows = B.prices(spark, sf_dir).select("ticker", "day", "close")
     return rounded(S.horizon_returns(rows, [14, 30]).select("ticker", "day", "return_14", "return_30"))
 
 
@@ -168,9 +169,9 @@ def rating_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).select("filing_id", S.rating_change(before, name(F.floor(key / 6) % 6)).alias("change"))
 
 
-@query("F9_major_firms", "select filing_id, f in ('Goldman Sachs', 'UBS') as exact, f in ('Goldman Sachs', 'UBS') as part from (select filing_id, ['Goldman Sachs', 'UBS', 'Small Firm'][filing_id % 3 + 1] as f from filing)".replace("in ('Goldman Sachs', 'UBS') as exact", "in ('Goldman Sachs', 'UBS', 'Citigroup') as exact"))
+@query("F9_major_firms", "select filing_id, filing_id % 4 < 2 as exact, filing_id % 4 <> 3 and filing_id % 4 <> 0 as part from filing")
 def major(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firm = F.element_at(F.array(F.lit("Goldman Sachs"), F.lit("UBS"), F.lit("Small Firm")), (F.col("filing_id") % 3 + 1).cast("int"))
+    firm = F.element_at(F.array(F.lit("Jefferies"), F.lit("Goldman Sachs"), F.lit("UBS Group"), F.lit("Small Firm")), (F.col("filing_id") % 4 + 1).cast("int"))
     return B.filings(spark, sf_dir).select("filing_id", S.is_major(firm).alias("exact"), S.is_major(firm, exact=False).alias("part"))
 
 
@@ -205,7 +206,7 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M4_M20_piecewise_ensemble", "select filing_id, case when filing_type = '10-K' then round(case when sentiment > 0.3 then 1.2 when sentiment > 0 then 0.5 else -0.4 end + case when concern > 6 then -0.8 else 0.2 end + 0.83, 6) else round(0.1 * predicted + 0.5 * sentiment, 10) end as predicted from filing")
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = F.col("sentiment"), F.col("concern")
-    curved = F.when(s > 0.3, 1.2).when(s > 0, 0.5).otherwise(-0.4) + F.when(c > 6, -0.8).otherwise(0.2) + 0.83
+    curved = challenger.above(s, [(0.3, 1.2), (0.0, 0.5)], -0.4) + challenger.above(c, [(6.0, -0.8)], 0.2) + challenger.BASE
     return B.filings(spark, sf_dir).select("filing_id", F.when(F.col("filing_type") == "10-K", F.round(curved, 6)).otherwise(F.round(0.1 * F.col("predicted") + 0.5 * s, 10)).alias("predicted"))
 
 
@@ -222,11 +223,11 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.fillna({"filing_type": "all", "y": -1}))
 
 
-@query("X6_company_page", "select c.company_id, ticker, n, latest, round(target, 6) as target from company c left join (select company_id, count(*) as n, max(filing_date) as latest from filing group by 1) f using (company_id) left join (select company_id, max_by(value, (ts, event_id)) as target from activity where action <> 'error' group by 1) a using (company_id) where c.company_id < 300")
+@query("X6_company_page", "select c.company_id, ticker, n, latest, round(target, 6) as target from company c left join (select company_id, count(*) as n, max(filing_date) as latest from filing group by 1) f using (company_id) left join (select company_id, max_by(value, (ts, event_id)) as target from activity where action <> 'error' group by 1) a using (company_id)")
 def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = B.filings(spark, sf_dir).groupBy("company_id").agg(F.count("*").alias("n"), F.max("filing_date").alias("latest"))
     target = B.activity(spark, sf_dir).where("action <> 'error'").groupBy("company_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("target"))
-    return rounded(B.companies(spark, sf_dir).where("company_id < 300").select("company_id", "ticker").join(counts, "company_id", "left").join(target, "company_id", "left").select("company_id", "ticker", "n", "latest", "target"))
+    return rounded(B.companies(spark, sf_dir).select("company_id", "ticker").join(counts, "company_id", "left").join(target, "company_id", "left").select("company_id", "ticker", "n", "latest", "target"))
 
 
 @query("X8_alert_digest", ", w as (select distinct company_id % 25 as user_id, company_id from filing), hits as (select user_id, filing_id from w join filing using (company_id) where filing_date >= date '2001-07-20' and concern >= 6) select user_id, count(*) as n, min(filing_id) as first, max(filing_id) as last from hits group by 1")

@@ -59,11 +59,12 @@ asked("N17_operating_margin", "show companies with operating margin > 25", ["com
 asked("N18_undervalued", "show undervalued companies", ["company_id", "round(upside, 6) as upside", "total_count"], "select company_id, round((analyst_target_price - current_price) * 100.0 / current_price, 6) as upside, count(*) over () as total_count from company where current_price < analyst_target_price order by (analyst_target_price - current_price) * 100.0 / current_price desc, market_cap desc, company_id limit 50")
 asked("N19_volatile", "list volatile stocks", ["company_id", "beta"], "select company_id, beta from company where beta >= 1.3 order by beta desc, company_id limit 50")
 asked("N20_near_high", "find companies near 52-week high", ["company_id", "current_price", "fifty_two_week_high"], "select company_id, current_price, fifty_two_week_high from company where current_price > 0 and fifty_two_week_high > 0 and (fifty_two_week_high - current_price) / fifty_two_week_high * 100 <= 5 order by market_cap desc, company_id limit 50")
+asked("N23_fallback", "what a lovely day", ["fallback", "question"], "select true as fallback, 'what a lovely day' as question")
 
 
-@plain("N3_around_filing", ", last as (select company_id, max(filing_date) as filed from filing where company_id < 50 group by 1) select l.company_id, filed, max(ts) filter (ts < filed) as before_at, min(ts) filter (ts >= filed) as after_at, max_by(value, ts) filter (ts < filed) as before_value, min_by(value, ts) filter (ts >= filed) as after_value from last l join activity a on a.company_id = l.company_id group by 1, 2")
+@plain("N3_around_filing", ", last as (select company_id, max(filing_date) as filed from filing group by 1) select l.company_id, filed, max(ts) filter (ts < filed) as before_at, min(ts) filter (ts >= filed) as after_at, max_by(value, ts) filter (ts < filed) as before_value, min_by(value, ts) filter (ts >= filed) as after_value from last l join activity a on a.company_id = l.company_id group by 1, 2")
 def around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = B.filings(spark, sf_dir).where("company_id < 50").groupBy("company_id").agg(F.max("filing_date").alias("filed"))
+    last = B.filings(spark, sf_dir).groupBy("company_id").agg(F.max("filing_date").alias("filed"))
     before, after = F.col("ts") < F.col("filed"), F.col("ts") >= F.col("filed")
     value = lambda pick, c: pick(F.when(c, F.col("value")), F.when(c, F.col("ts")))
     return B.activity(spark, sf_dir).join(last, "company_id").groupBy("company_id", "filed").agg(

@@ -101,10 +101,10 @@ def no_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(newest, "company_id").where("filing_date = newest").select("filing_id")
 
 
-@query("J24_key_difference", "select filing_id from filing where filing_id % 3 = 0 and filing_id not in (select filing_id from filing where value > 200000)")
+@query("J24_key_difference", "select filing_id from filing where filing_id not in (select filing_id from filing where value > 200000)")
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.filings(spark, sf_dir)
-    return rows.where("filing_id % 3 = 0").join(rows.where("value > 200000").select("filing_id"), "filing_id", "left_anti").select("filing_id")
+    return rows.join(rows.where("value > 200000").select("filing_id"), "filing_id", "left_anti").select("filing_id")
 
 
 @query("J25_children_top_2", "select company_id, filing_id, k from (select company_id, filing_id, row_number() over (partition by company_id order by filing_date desc, filing_id desc) as k from filing) where k <= 2")
@@ -237,9 +237,11 @@ def volume_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "date", (F.round(per(slope * 30.0, F.avg("volume").over(r)) * 100.0, 6) + 0.0).alias("trend"), F.max("volume").over(r).alias("spike"), F.count("*").over(r).alias("n"))
 
 
-@query("W21_forward_fill", ", bounds as (select unnest(range(9500, 9561)) as day), k as (select distinct ticker from price) select k.ticker, b.day, last_value(p.close ignore nulls) over (partition by k.ticker order by b.day range between 5 preceding and current row) as close from k cross join bounds b left join price p on p.ticker = k.ticker and p.day = b.day")
+@query("W21_forward_fill", ", bounds as (select unnest(range(min(day), max(day) + 1)) as day from price), k as (select distinct ticker from price) select k.ticker, b.day, last_value(p.close ignore nulls) over (partition by k.ticker order by b.day range between 5 preceding and current row) as close from k cross join bounds b left join price p on p.ticker = k.ticker and p.day = b.day")
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.forward_filled(B.prices(spark, sf_dir), 9500, 9560, key="ticker", day="day", value="close").select("ticker", "day", "close")
+    rows = B.prices(spark, sf_dir)
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    return W.forward_filled(rows, first, last, key="ticker", day="day", value="close").select("ticker", "day", "close")
 
 
 @query("W23_drawdown", ", e as (select company_id, filing_date, filing_id, 1000 + sum(actual) over (partition by company_id order by filing_date, filing_id) as equity from filing), p as (select *, max(equity) over (partition by company_id order by filing_date, filing_id) as peak from e) select company_id, max(round((peak - equity) * 100 / peak, 6)) as worst from p group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import cap_tier, half_up, per, winsorised
+from finlark.operators.aggregates import exact_quantiles
 
 #: Mean, deviation and weight of each feature for the global expert, in the model's order.
 GLOBAL = {
@@ -66,10 +67,8 @@ def score(rows: DataFrame, experts: DataFrame) -> DataFrame:
     tier = cap_tier(F.col("f_market_cap"))
     names = [F.concat_ws(":", "sector", tier), F.col("sector"), tier, F.lit("global")]
     out = rows.withColumns({f"_n{i}": n for i, n in enumerate(names)})
-    packed = experts.select("expert", F.struct(*[c for c in experts.columns]).alias("e"))
-    for i in range(len(names)):
-        out = out.join(packed.select(F.col("expert").alias(f"_n{i}"), F.col("e").alias(f"_e{i}")), f"_n{i}", "left")
-    out = out.withColumn("_e", F.coalesce(*[F.col(f"_e{i}") for i in range(len(names))]))
+    table = experts.agg(F.map_from_entries(F.collect_list(F.struct("expert", F.struct(*experts.columns)))).alias("_m"))  # one row
+    out = out.join(F.broadcast(table), F.lit(True)).withColumn("_e", F.coalesce(*[F.try_element_at("_m", F.col(f"_n{i}")) for i in range(len(names))])).drop("_m")
     parts = {f: per(F.col(f"f_{f}") - F.col("_e.mean")[i], F.col("_e.std")[i]) * F.col("_e.weight")[i] for i, f in enumerate(FEATURES)}
     out = out.withColumn("contributions", F.create_map(*[x for f, c in parts.items() for x in (F.lit(f), c)]))
     raw = F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, x: a + x)
@@ -78,7 +77,7 @@ def score(rows: DataFrame, experts: DataFrame) -> DataFrame:
     signal = F.when(s > F.col("_e.p75"), "LONG").when(s < F.col("_e.p25"), "SHORT").otherwise("NEUTRAL")
     sure = F.when((s > F.col("_e.p90")) | (s < F.col("_e.p10")), "high").when(signal != "NEUTRAL", "medium").otherwise("low")
     made = out.withColumns({"expert": F.col("_e.expert"), "signal": signal, "confidence_label": sure, "predicted_30d": half_up(s + MARKET_30D, 2)})
-    return made.drop("_e", *[f"_n{i}" for i in range(len(names))], *[f"_e{i}" for i in range(len(names))])
+    return made.drop("_e", *[f"_n{i}" for i in range(len(names))])
 
 
 def gram(rows: DataFrame, x: list[str], y: str, by: list[str] | None = None) -> DataFrame:
@@ -119,35 +118,41 @@ def ridge_by(rows: DataFrame, x: list[str], y: str, by: list[str], *, penalty: f
 
 def folds(rows: DataFrame, order: str, n: int) -> DataFrame:
     """fold 0 to n by place in time: blocks of equal numbers of rows, found from exact quantiles of the order column."""
-    ends = rows.agg(F.percentile(order, F.array(*[F.lit((i + 1) / (n + 1)) for i in range(n)])).alias("_ends"))
-    met = rows.join(F.broadcast(ends), F.lit(True))
-    return met.withColumn("fold", F.size(F.filter("_ends", lambda e: e < F.col(order)))).drop("_ends")
+    ends = exact_quantiles(rows, order, [(i + 1) / (n + 1) for i in range(n)])
+    return rows.withColumn("fold", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col(order))))
 
 
 def walk_forward(rows: DataFrame, x: list[str], y: str, *, order: str, n: int = 5, penalty: float = 100.0, gap: int = 0) -> DataFrame:
     """For each fold from 1 on: a ridge fit on all rows at least ``gap`` before it, tested on the fold.
 
-    fold, n_train, n_test, direction (share of equal signs) and mae. One pass gives
-    each fold's sums; the fits add up the sums of the folds before, so no row is read twice for training.
+    fold, n_train, n_test, direction (share of equal signs) and mae. One pass gives the sums of
+    the rows that each fold is the first to learn from; a fit adds up those of the folds up to its own. A second pass tests all folds.
     """
     dealt = folds(rows, order, n)
     start = {r.fold: r.at for r in dealt.groupBy("fold").agg(F.min(order).alias("at")).collect()}
-    found = []
+    later = sorted(f for f in start if f > 0)
+    first = F.lit(None).cast("int")
+    for k in reversed(later):
+        first = F.when((F.col("fold") < k) & (F.col(order) < start[k] - gap), k).otherwise(first)
+    sums = {r["from"]: r for r in gram(dealt.withColumn("from", first).where(F.col("from").isNotNull()), x, y, ["from"]).collect()}
+    fits, trained = {}, {}
+    for k in later:
+        past = [sums[f] for f in sums if f <= k]
+        if past:
+            trained[k] = sum(r.n for r in past)
+            fits[k] = solve(np.sum([r.gram_sums for r in past], axis=0), np.sum([r.cross_sums for r in past], axis=0), penalty)
     spark = rows.sparkSession
-    for k in sorted(f for f in start if f > 0):
-        past = dealt.where((F.col("fold") < k) & (F.col(order) < start[k] - gap))
-        r = gram(past, x, y).first()
-        if not r or not r.n:
-            continue
-        beta = solve(list(r.gram_sums), list(r.cross_sums), penalty)
-        guess = sum((F.col(c) * b for c, b in zip(x[1:], beta[1:], strict=True)), F.col(x[0]) * beta[0])
-        t = dealt.where(F.col("fold") == k).agg(F.count("*").alias("n"), F.avg((F.signum(guess) == F.signum(y)).cast("double")).alias("d"), F.avg(F.abs(guess - F.col(y))).alias("m")).first()
-        found.append((k, r.n, t.n, t.d, t.m))
-    return spark.createDataFrame(found, "fold int, n_train bigint, n_test bigint, direction double, mae double")
+    table = spark.createDataFrame([(k, trained[k], beta) for k, beta in fits.items()], "fold int, n_train bigint, beta array<double>")
+    guess = sum((F.col(c) * F.col("beta")[i] for i, c in enumerate(x[1:], 1)), F.col(x[0]) * F.col("beta")[0])
+    met = dealt.join(F.broadcast(table), "fold")  # a row a fold
+    return met.groupBy("fold", "n_train").agg(F.count("*").alias("n_test"), F.avg((F.signum(guess) == F.signum(y)).cast("double")).alias("direction"), F.avg(F.abs(guess - F.col(y))).alias("mae"))
 
 
 def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dict[str, int] | None = None) -> DataFrame:
-    """The parameter table from rows with f_*, sector and a target: global, tier, sector and sector:tier experts."""
+    """The parameter table from rows with f_*, sector and a target: global, tier, sector and sector:tier experts.
+
+    The percentiles of the scores are approximate, to a ten-thousandth of the rows, so that no task holds all scores of an expert.
+    """
     least = least or {"sector": 50, "tier": 50, "both": 30}
     tier = cap_tier(F.col("f_market_cap"))
     names = F.array(*[F.struct(n.alias("expert"), F.lit(k).alias("need")) for n, k in ((F.lit("global"), 1), (tier, least["tier"]), (F.col("sector"), least["sector"]), (F.concat_ws(":", "sector", tier), least["both"]))])
@@ -159,7 +164,7 @@ def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dic
     fitted = stats.join(beta, "expert").where(F.col("n") >= F.col("need")).withColumnRenamed("beta", "weight")
     w = z.join(fitted.select("expert", "weight"), "expert")
     guess = sum((F.col(f"z_{c}") * F.col("weight")[i] for i, c in enumerate(cols[1:], 1)), F.col(f"z_{cols[0]}") * F.col("weight")[0])
-    bounds = w.groupBy("expert").agg(F.percentile(guess, F.array(*[F.lit(q) for q in (0.1, 0.25, 0.75, 0.9)])).alias("b"))
+    bounds = w.groupBy("expert").agg(F.percentile_approx(guess, [0.1, 0.25, 0.75, 0.9], 10_000).alias("b"))
     return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", *[F.col("b")[i].alias(p) for i, p in enumerate(("p10", "p25", "p75", "p90"))])
 
 

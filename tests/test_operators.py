@@ -245,10 +245,14 @@ def test_catch_up(spark):
 @pytest.mark.parametrize(("question", "intent"), [
     ("market cap > 100b and beta < 1", "compound"), ("list companies with pe ratio < 15", "pe"), ("show companies with dividend yield > 3", "yield"), ("show undervalued companies", "undervalued"),
     ("show aapl filings in the last 30 days", "recent"), ("which companies filed 10-k in q1 2025", "period"), ("tech stocks", "sector"), ("real estate companies", "sector"), ("hello", "fallback"), ("8-Ks filed this week", "fallback"),
+    ("show me AAPL target price history", "history"), ("track msft eps estimate over time", "history"), ("companies where analyst target price went down", "moves"), ("what's nvda's stock price", "metrics"), ("get tsla pe", "metrics"),
+    ("show companies with market cap > $40b", "cap"), ("show companies with market cap > 40", "fallback"), ("find low beta stocks", "beta"), ("find beta under 0.5", "beta"), ("list companies with revenue growth above 20", "growth"),
+    ("show companies with net income over $1b", "income"), ("get companies with operating margin > 25", "margin"), ("list volatile stocks", "volatile"), ("find companies near 52-week high", "near_high"), ("list all t3 filings", "filings"),
+    ("find 10-k filed in q1 1998", "quarter"), ("which companies filed 8-k in march", "period"), ("list 10-q filed this month", "this"), ("find companies trading below target", "undervalued"), ("banking firms", "sector"),
     ("show 8-Ks filed this week", "this"), ("energy companies that are undervalued", "sector_undervalued"), ("compare T5 estimates before and after last filing", "around"),
 ])
 def test_questions(spark, question, intent):
-    fields = "company_id long, ticker string, name string, sector string, market_cap double, current_price double, analyst_target_price double, pe_ratio double, dividend_yield double, beta double, latest_revenue_yoy double"
+    fields = "company_id long, ticker string, name string, sector string, market_cap double, current_price double, analyst_target_price double, pe_ratio double, dividend_yield double, beta double, latest_revenue_yoy double, latest_net_income double, latest_operating_margin double, fifty_two_week_high double"
     companies = spark.createDataFrame([], fields)
     filings = spark.createDataFrame([], "filing_id long, company_id long, filing_type string, filing_date timestamp")
     snapshots = spark.createDataFrame([], "company_id long, snapshot_date timestamp, analyst_target_price double")
