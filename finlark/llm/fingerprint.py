@@ -151,7 +151,7 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
         hasher, held, out = PhraseHasher(), None, []
 
         def made(row, after):
-            range_, doc_id, text, tree, node, ends, keep, data, own = row  # noqa: F841
+            _, doc_id, text, tree, node, ends, keep, _, own, _ = row
             cut = len(text) // 4
             edited = keep + after[:cut].encode()
             if cut:
@@ -174,8 +174,8 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
                 more, last = phrases(data[len(keep) :], whole, node, len(keep))
             else:
                 more, last = [], node
-            own = fingerprint_of(data, [*ends, *more, *([len(data)] if last else [])], hasher)
-            return range_, doc_id, text, tree, node, ends, keep, data, own
+            all_ends = [*ends, *more, *([len(data)] if last else [])]
+            return range_, doc_id, text, tree, node, ends, keep, data, fingerprint_of(data, all_ends, hasher), len(all_ends)
 
         def table():
             cols = list(zip(*out, strict=True))
@@ -186,7 +186,7 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
                 now = opened(range_, doc_id, text)
                 if held is not None and held[0] == range_:
                     row = made(held, text)
-                    out.append((*row, likeness(row[3], now[8]), len(held[5])))
+                    out.append((*row, likeness(row[3], now[8]), held[9]))
                 held = None if guest else now
                 if len(out) >= 2000:
                     yield table()

@@ -451,6 +451,7 @@ def test_fingerprint_query(spark, sf, texts):
         r = got[d]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (of(text), of(edited))
+        assert r.n_phrases == len(fingerprint.parse(text.encode()))
         assert (r.near_edited, r.near_next) == (fingerprint.likeness(of(text), of(edited)), fingerprint.likeness(of(text), of(after)))
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.3
 
