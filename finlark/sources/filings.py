@@ -35,7 +35,7 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     title = F.regexp_extract("e", r"(?s)<title>(.*?)</title>", 1)
     at = lambda k: F.regexp_extract(title, r"^([^-]+(?:-[A-Z0-9]+)?)\s+-\s+(.+?)\s*\((\d+)\)", k)
     link = F.regexp_extract("e", r'<link[^>]*href="([^"]*)"', 1)
-    return entry.select(F.trim(at(1)).alias("filing_type"), at(2).alias("company_name"), cik10(at(3)).alias("cik"), F.nullif(F.regexp_extract("e", r"(\d{10}-\d{2}-\d{6})", 1), F.lit("")).alias("accession_number"), F.to_date(F.substring_index(F.regexp_extract("e", r"<updated>(.*?)</updated>", 1), "T", 1)).alias("filing_date"), link.alias("filing_url")).where("cik <> '0000000000'")
+    return entry.select(F.trim(at(1)).alias("filing_type"), at(2).alias("company_name"), cik10(at(3)).alias("cik"), F.nullif(F.regexp_extract("e", r"(\d{10}-\d{2}-\d{6})", 1), F.lit("")).alias("accession_number"), F.to_date(F.substring_index(F.regexp_extract("e", r"<updated>(.*?)</updated>", 1), "T", 1)).alias("filing_date"), link.alias("filing_url"), at(3).alias("_cik")).where("_cik <> ''").drop("_cik")
 
 
 def daily_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -91,3 +91,14 @@ def year_on_year(facts: DataFrame) -> DataFrame:
 def concept_or(values: DataFrame, concepts: list[str]) -> Column:
     """Of wide columns the first that is there."""
     return F.coalesce(*[F.col(c) for c in concepts if c in values.columns])
+
+
+def inline_facts(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, context, unit, scale, sign and value of each tagged number of inline-tagged pages, in order of place. Values are scaled; what is no number is null."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    tags = raw.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)<ix:nonFraction\b[^>]*>.*?</ix:nonFraction>"), F.lit(0))).alias("place", "tag"))
+    at = lambda name: F.nullif(F.regexp_extract("tag", rf'(?i)\b{name}="([^"]*)"', 1), F.lit(""))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_extract("tag", r"(?is)^<ix:nonFraction\b[^>]*>(.*)</ix:nonFraction>$", 1), r"<[^>]*>", ""), r"[,\s]", "")
+    scale = F.coalesce(at("scale").try_cast("int"), F.lit(0))
+    value = body.try_cast("double") * F.pow(F.lit(10.0), scale) * F.when(at("sign") == "-", -1.0).otherwise(1.0)
+    return tags.select("file", "place", at("name").alias("name"), at("contextRef").alias("context"), at("unitRef").alias("unit"), scale.alias("scale"), value.alias("value"))

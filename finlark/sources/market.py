@@ -59,7 +59,7 @@ def news(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with a header; '', null and undefined are null. Without a schema the types are inferred in a further pass."""
-    rows = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, nullValue="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, nullValue="", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     missing = ["null", "undefined"]
     return rows.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
 
@@ -73,3 +73,15 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def describe(rows: DataFrame, date: str, buckets: dict[str, str]) -> DataFrame:
     """One row of metadata: number of rows, first and last date, and the size of each bucket (a condition by name)."""
     return rows.agg(F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), F.struct(*[F.count_if(F.expr(c)).alias(n) for n, c in buckets.items()]).alias("buckets"))
+
+
+SERIES = "struct<`Meta Data`:struct<`2. Symbol`:string>,`Time Series (Daily)`:map<string,struct<`1. open`:string,`2. high`:string,`3. low`:string,`4. close`:string,`5. volume`:string>>>"
+
+
+def daily_series(spark: SparkSession, path: str) -> DataFrame:
+    """Daily prices from time-series files, one object a file with its days as keys; files with an error message give no rows."""
+    doc = F.from_json("value", SERIES)
+    raw = spark.read.option("wholetext", True).text(path).select(doc.alias("d"))
+    days = raw.select(F.upper(F.col("d.Meta Data").getField("2. Symbol")).alias("ticker"), F.explode(F.col("d.Time Series (Daily)")).alias("day", "p"))
+    at = lambda name, kind: F.col("p").getField(name).try_cast(kind)
+    return days.select("ticker", F.to_date("day").alias("date"), at("1. open", "double").alias("open"), at("2. high", "double").alias("high"), at("3. low", "double").alias("low"), at("4. close", "double").alias("close"), at("5. volume", "bigint").alias("volume"))
