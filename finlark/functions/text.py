@@ -148,3 +148,18 @@ def keyword_risk(text: Column, words: list[str] = RISK_WORDS) -> Column:
     hits = sum((F.regexp_count(low, F.lit(w)) for w in words[1:]), F.regexp_count(low, F.lit(words[0])))
     n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     return F.when(F.length(text) == 0, None).when(n == 0, 5.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.try_divide(hits * 1000.0, n) / 10.0)), 1))
+
+
+#: How the discussion begins and the headings that end it, and how much of it is kept.
+DISCUSSION = r"(?i)(?:item\s+[27]\.?\s*)?management['’]?s\s+discussion\s+and\s+analysis(?:\s+of\s+financial\s+condition)?"
+DISCUSSION_END, DISCUSSION_CHARS = r"(?i)\bitem\s+(?:3|7a|8)\b\.?|quantitative\s+and\s+qualitative\s+disclosures|financial\s+statements\s+and\s+supplementary", 15_000
+
+
+def discussion_text(html: Column) -> Column:
+    """The management's discussion of a page as plain text, from its first heading to the next item; null if there is none."""
+    plain = F.trim(F.regexp_replace(html_text(html), r"\s+", " "))
+    start = F.regexp_instr(plain, F.lit(DISCUSSION))
+    rest = F.substring(plain, start + F.length(F.regexp_substr(plain, F.lit(DISCUSSION))), F.length(plain))
+    end = F.regexp_instr(rest, F.lit(DISCUSSION_END))
+    cut = F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
+    return F.when(start > 0, F.trim(F.substring(cut, 1, DISCUSSION_CHARS)))

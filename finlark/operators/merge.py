@@ -27,3 +27,10 @@ def update_where(rows: DataFrame, condition: Column, new: dict[str, Column]) ->
 
 def delete_matching(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(keys, key, "left_anti")
+
+
+def upsert_whole(base: DataFrame, delta: DataFrame, key: list[str], valid: Column) -> DataFrame:
+    """``upsert``, if every row of the delta is valid (a null isn't); else the base as it is. One flag decides, which is joined on as a row."""
+    fine = delta.agg(F.coalesce(F.bool_and(F.coalesce(valid, F.lit(False))), F.lit(True)).alias("_fine"))
+    kept = delta.join(F.broadcast(fine), F.lit(True)).where("_fine").select(*base.columns)
+    return upsert(base, kept, key)
