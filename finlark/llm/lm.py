@@ -1,6 +1,6 @@
 """Language-model scores from an Elias-Fano trie of word n-grams (orders one to three).
 
-The corpus is packed into blocks of bounded size, written once. The model is
+The corpus is dealt by a hash of the row into blocks of bounded size, exchanged once in compressed pieces. The model is
 dealt into shards by a hash of an n-gram's first word; a word too frequent
 for one shard is spread over several by a hash of the second word. A block sends each shard
 that it has something for its distinct words, pairs and triples with their training
@@ -8,6 +8,7 @@ counts, as sorted and compressed columns; a shard sums them up, builds its part
 answers each block's entries in the block's own order; the block then scores
 its texts. So no task holds more than a shard or a block. Rows
 exchanged: one for each block and shard that share an n-gram, so never more than there are n-grams.
+In what is sent the COMMON most frequent words stand for their hashes by rank.
 
 Smoothing (interpolated absolute discounting): P(w | u, v) = (c(u,v,w) - D) / c(u,v) for triples seen
 ``min_count`` times or more, plus the mass that this leaves times P(w | v), which is
@@ -16,19 +17,18 @@ made of pairs in the same way, with the add-one unigram P(w) beneath it.
 
 from __future__ import annotations
 
+import itertools
 import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finlark.llm.common import Tokens, cut, mix
+from finlark.llm.common import SLICE, Tokens, cut, mix
 
 START, END = np.uint64(0x5F3759DF12345678), np.uint64(0xC0FFEE0DDBA11E5D)
 FOLLOWER_BITS = np.uint64(38)
@@ -37,6 +37,9 @@ ABSENT = 0xFFFF
 STEP = 8 / 65_000  # of the quantised log10 probabilities
 WINDOW = 1 << 18
 MOST_HOT = 1_000_000
+COMMON = 1 << 16
+HELD = 1 << 22
+OFTEN = 16
 
 
 class Mapped:
@@ -219,7 +222,6 @@ class Trie:
     pairs: Level
     triples: Level
     data: Mapped  # counts; rest, of words that aren't hot
-    kept: np.ndarray  # of each word, the mass of its pairs here
 
     @classmethod
     def build(cls, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, seen2: np.ndarray, triples: np.ndarray, seen3: np.ndarray, hot: Hot, discount: float, min_count: int) -> Trie:
@@ -239,7 +241,7 @@ class Trie:
         keys3 = (number[under[keep3]] << FOLLOWER_BITS) | (triples[keep3] & FOLLOWER)
         data = Mapped(counts=counts.astype(np.int64), rest=quantised(np.log10(np.maximum(1 - kept, 1e-8))))
         level2, level3 = Level.build(len(words), pairs[keep2], share2, left2[keep2]), Level.build(int(keep2.sum()), keys3, share3, np.ones(len(share3)))
-        return cls(EliasFano(words, 1 << 64), level2, level3, data, kept)
+        return cls(EliasFano(words, 1 << 64), level2, level3, data)
 
     def codes(self, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes and rests of ascending pairs, codes of ascending triples (number of the pair in ``pairs``, and follower)."""
@@ -319,97 +321,205 @@ def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed piece; 64-bit hashes of FOLLOWER_BITS go as five bytes each."""
-    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() if k else a.tobytes() for a, k in ((a, a.dtype == np.uint64 and bool(len(a)) and a.max() <= FOLLOWER) for a in arrays)]
-    kinds = [("5" if len(p) < a.nbytes else a.dtype.str).ljust(4).encode() + len(a).to_bytes(8, "little") for p, a in zip(parts, arrays, strict=True)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays).to_bytes(4, "little"), *kinds, *parts]))
+def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays in one compressed piece. 64-bit ones have as many bytes as the largest needs, byte by byte of all values; where it is shorter, 16-bit ones go by rank of frequency in the same way."""
+    heads, parts = [], []
+    coder = zstandard.ZstdCompressor(level=level)
 
+    def planes(a: np.ndarray, used: int) -> bytes:
+        return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :used].T).tobytes()
 
-def unpacked(data: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(data[:4], "little")
-    found, at = [], 4 + 12 * n
-    for k in range(n):
-        kind, size = data[4 + 12 * k : 8 + 12 * k].decode().strip(), int.from_bytes(data[8 + 12 * k : 16 + 12 * k], "little")
-        if kind == "5":
-            wide = np.zeros((size, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(data, np.uint8, 5 * size, at).reshape(-1, 5)
-            found.append(wide.reshape(-1).view(np.uint64))
-            at += 5 * size
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        kind, used = b"p", a.itemsize
+        if a.dtype != np.uint16 and a.dtype.kind in "iu" and a.itemsize > 1 and len(a) and a.min() >= 0:
+            used = max(1, (int(a.max()).bit_length() + 7) // 8)
+            kind, best = b"w", coder.compress(planes(a, used))
         else:
-            found.append(np.frombuffer(data, kind, size, at))
-            at += found[-1].nbytes
+            best = coder.compress(a.tobytes())
+        if a.dtype == np.uint16 and len(a):
+            values, place, counts = np.unique(a, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(values), np.uint16)
+            rank[order] = np.arange(len(order))
+            other = coder.compress(len(order).to_bytes(4, "little") + values[order].tobytes() + planes(rank[place], 2))
+            kind, best = (b"r", other) if len(other) < len(best) else (kind, best)
+        heads.append(a.dtype.str.ljust(4).encode() + kind + bytes([used]) + len(a).to_bytes(5, "little") + len(best).to_bytes(5, "little"))
+        parts.append(best)
+    return b"".join([bytes([len(arrays)]), *heads, *parts])
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    found, at, coder = [], 1 + 16 * data[0], zstandard.ZstdDecompressor()
+    for k in range(data[0]):
+        head = data[1 + 16 * k : 17 + 16 * k]
+        dtype, kind, used, n, size = np.dtype(head[:4].decode().strip()), head[4:5], head[5], int.from_bytes(head[6:11], "little"), int.from_bytes(head[11:], "little")
+        plain = coder.decompress(data[at : at + size])
+        at += size
+        if kind == b"p":
+            found.append(np.frombuffer(plain, dtype, n))
+            continue
+        begin = 4 + 2 * int.from_bytes(plain[:4], "little") if kind == b"r" else 0
+        wide = np.zeros((n, dtype.itemsize), np.uint8)
+        wide[:, :used] = np.frombuffer(plain, np.uint8, used * n, begin).reshape(used, n).T
+        values = wide.reshape(-1).view(dtype)
+        found.append(np.frombuffer(plain, np.uint16, (begin - 4) // 2, 4)[values] if kind == b"r" else values)
     return found
 
 
+class Common:
+    """Followers that go by their rank instead of their hash."""
+
+    def __init__(self, words: np.ndarray):
+        """words: hashes, the most frequent first."""
+        followers = words >> np.uint64(64 - int(FOLLOWER_BITS))
+        self.table = followers[np.sort(np.unique(followers, return_index=True)[1])]
+        self.rank = np.argsort(self.table)
+        self.sorted = self.table[self.rank]
+
+    def coded(self, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits that tell the common ones, their ranks, and the others."""
+        if not len(self.table):
+            return np.packbits(np.zeros(len(followers), bool)), np.zeros(0, np.uint16), followers
+        at = np.minimum(np.searchsorted(self.sorted, followers), len(self.sorted) - 1)
+        common = self.sorted[at] == followers
+        return np.packbits(common), self.rank[at[common]].astype(np.uint16), followers[~common]
+
+    def decoded(self, n: int, bits: np.ndarray, ranks: np.ndarray, others: np.ndarray) -> np.ndarray:
+        common, found = np.unpackbits(bits, count=n).astype(bool), np.empty(n, np.uint64)
+        found[common] = self.table[ranks] if len(ranks) else ranks
+        found[~common] = others
+        return found
+
+
+PIECE = 1 << 25
 BLOCKS = "block bigint, body binary"
 SENT = "shard bigint, block bigint, body binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def blocks_of(block_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of some ``block_chars`` bytes of text, each the compressed columns of a block."""
-    held: list[pa.RecordBatch] = []
-    size = made = 0
-
-    def closed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(held).combine_chunks())
-        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
-
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block and body: a task's rows of each block in a compressed piece, some PIECE bytes of text at a time."""
+    def closed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = np.asarray(table.column("block"))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+        key, train, texts = table.column("doc_id").combine_chunks(), np.asarray(table.column("train"), dtype=bool), table.column("text").combine_chunks().cast(pa.large_string())
+        ids, none = np.asarray(key.fill_null(0)), np.asarray(key.is_null())
+        ends, data = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset), texts.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        bodies = [packed(ids[a:b], none[a:b].astype(np.uint8), train[a:b].astype(np.uint8), np.diff(ends[a : b + 1]), data[ends[a] : ends[b]], level=6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(bodies, pa.binary())], ["block", "body"])
+
+    held, size = [], 0
     for batch in batches:
-        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))), dtype=np.int64)
-        at = done = 0
-        while at < batch.num_rows:
-            upto = min(batch.num_rows, int(np.searchsorted(ends, done + block_chars - size)) + 1)
-            held.append(batch.slice(at, upto - at))
-            size += int(ends[upto - 1]) - done
-            at, done = upto, int(ends[upto - 1])
-            if size >= block_chars:
-                yield closed()
-                held, size, made = [], 0, made + 1
-    if held:
-        yield closed()
-
-
-def opened(body: bytes) -> tuple[pa.Table, pa.Array, np.ndarray]:
-    """The block, its texts, and which of them are for training."""
-    table = pa.ipc.open_stream(body).read_all().combine_chunks()
-    return table, table.column("text").combine_chunks(), np.asarray(table.column("train"), dtype=bool)
-
-
-def counted(body: bytes) -> pa.RecordBatch:
-    """Training counts of a block's words, of ends and of starts."""
-    _, texts, train = opened(body)
+        for at in range(0, batch.num_rows, SLICE):
+            held.append(batch.slice(at, SLICE))
+            size += held[-1].column("text").nbytes
+            if size > PIECE:
+                yield closed(held)
+                held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield closed(held)
+
+
+def opened(bodies: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Keys and texts of a block's pieces, and which of them are for training."""
+    ids, none, train, sizes, data = (np.concatenate(c) for c in zip(*map(unpacked, bodies), strict=True))
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    return pa.array(ids, pa.int64(), mask=none.astype(bool)), texts.cast(pa.string()) if len(data) < 1 << 31 else texts, train.astype(bool)
+
+
+def summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and sums of their counts; given out when more than HELD keys are there."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for k, c in parts:
+        keys, at = np.unique(np.concatenate((keys, k)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, c)), len(keys)).astype(np.int64)
+        if len(keys) > HELD:
+            yield keys, counts
+            keys, counts = keys[:0], counts[:0]
+    yield keys, counts
+
+
+def counted(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of the texts' words, of ends and of starts."""
     tokens = Tokens(texts)
     counts = np.bincount(tokens.codes, train[tokens.row_of()], len(tokens.words)).astype(np.int64)
     words = np.concatenate((tokens.hashes(), np.array([END, START])))
     counts = np.concatenate((counts, np.full(2, train.sum())))
-    return pa.RecordBatch.from_arrays([pa.array(words[counts > 0].view(np.int64)), pa.array(counts[counts > 0])], ["h", "c"])
-
-
-def send(block: int, body: bytes, shards: int, hot: Hot) -> Iterator[tuple[int, int, bytes]]:
-    """What the block has of each shard."""
-    _, texts, train = opened(body)
+    return words[counts > 0], counts[counts > 0]
+
+
+def often(sent: pa.Table) -> pa.Table:
+    """A shard's words that are seen OFTEN times or more, then its tokens and kinds, starts left out."""
+    words, counts = (np.concatenate(c) for c in zip(*(unpacked(x) for x in sent.column("body").to_pylist()), strict=True))
+    words, at = np.unique(words, return_inverse=True)
+    counts = np.bincount(at, counts, len(words)).astype(np.int64)
+    own, some = words != START, counts >= OFTEN
+    h = pa.array([*words[some].view(np.int64).tolist(), None], pa.int64())
+    return pa.table({"h": h, "c": pa.array(np.append(counts[some], counts[own].sum())), "kinds": pa.array(np.append(np.zeros(some.sum(), np.int64), own.sum()))})
+
+
+def hot_pairs(texts: pa.Array, train: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the hot word and follower, in one key, and training counts."""
+    tokens = Tokens(texts.filter(pa.array(train)))
+    hashes = np.concatenate((tokens.hashes(), np.array([END, START])))
+    n = len(tokens.rows)
+    line = np.full(len(tokens.codes) + 2 * n, len(hashes) - 1)  # starts, words, ends
+    ends = np.cumsum(tokens.rows + 2) - 1
+    line[ends] = len(hashes) - 2
+    inner = np.ones(len(line), bool)
+    inner[ends] = inner[ends - tokens.rows - 1] = False
+    line[inner] = tokens.codes
+    at = hot.place(hashes)[line]
+    at[ends] = -1
+    some = np.flatnonzero(at >= 0)
+    keys, counts = np.unique((at[some].astype(np.uint64) << FOLLOWER_BITS) | (hashes >> np.uint64(64 - int(FOLLOWER_BITS)))[line[some + 1]], return_counts=True)
+    return keys, counts
+
+
+def kept_of(rows: pa.Table, hot: Hot, common: Common, discount: float, min_count: int) -> pa.Table:
+    """The mass that a hot word gives to the followers that stand here."""
+    followers, counts = [], []
+    for body in rows.column("body").to_pylist():
+        n, *rest, seen = unpacked(body)
+        followers.append(common.decoded(int(n[0]), *rest))
+        counts.append(seen)
+    _, at = np.unique(np.concatenate(followers), return_inverse=True)
+    seen = np.bincount(at, np.concatenate(counts))
+    seen = seen[seen >= max(1, min_count)]
+    word = rows.column("word")[0].as_py()
+    return pa.table({"word": pa.array([word], pa.int32()), "kept": [float((seen - discount).sum() / hot.counts[word])]})
+
+
+def send(block: pa.Table, shards: int, hot: Hot, common: Common) -> pa.Table:
+    """What the block has of each shard it has something of."""
+    _, texts, train = opened(block.column("body").to_pylist())
     b = Block.of(texts)
     learnt = train[b.row]
     counts = np.bincount(b.token, learnt, len(b.words)).astype(np.uint32)
     seen2 = np.bincount(b.pair, learnt, len(b.pairs)).astype(np.uint32)
     seen3 = np.bincount(b.triple[b.triple >= 0], learnt[b.triple >= 0], len(b.triples)).astype(np.uint32)
-    home = shard_of(b.words, shards)
+    home, sent = shard_of(b.words, shards), []
     for s, words, n2, pairs, n3, triples in b.shares(shards, hot):
         own = np.where(home[words] == s, counts[words], 0).astype(np.uint32)
-        yield s, block, packed(b.words[words], own, n2.astype(np.uint32), b.pairs[pairs] & FOLLOWER, seen2[pairs], n3.astype(np.uint32), b.triples[triples] & FOLLOWER, seen3[triples])
+        sent.append((s, packed(b.words[words], own, n2.astype(np.uint32), *common.coded(b.pairs[pairs] & FOLLOWER), seen2[pairs], n3.astype(np.uint32), *common.coded(b.triples[triples] & FOLLOWER), seen3[triples])))
+    number = block.column("block")[0].as_py()
+    return pa.table({"shard": pa.array([s for s, _ in sent], pa.int64()), "block": pa.array([number] * len(sent), pa.int64()), "body": pa.array([x for _, x in sent], pa.binary())})
 
 
-def answer(sent: pa.Table, hot: Hot, discount: float, min_count: int) -> pa.Table:
-    """The shard's trie is built from all blocks' rows, then asked for each n-gram once; rows of a block -1 have what is kept here of hot words."""
+def answer(sent: pa.Table, hot: Hot, common: Common, discount: float, min_count: int) -> pa.Table:
+    """The shard's trie is built from all blocks' rows, then asked for each n-gram once."""
     blocks = sent.column("block").to_pylist()
-    columns = list(zip(*(unpacked(x) for x in sent.column("body").to_pylist()), strict=True))
+    rows = []
+    for words, counts, n2, *coded2, seen2, n3, bits3, ranks3, others3, seen3 in map(unpacked, sent.column("body").to_pylist()):
+        rows.append((words, counts, n2, common.decoded(len(seen2), *coded2), seen2, n3, common.decoded(len(seen3), bits3, ranks3, others3), seen3))
+    columns = list(zip(*rows, strict=True))
     words, counts, n2, follower2, seen2, n3, follower3, seen3 = (np.concatenate(c) for c in columns)
     sizes = [np.cumsum([0, *map(len, columns[k])]) for k in (0, 3, 6)]
+    del rows, columns
     known, place = np.unique(words, return_inverse=True)
     pairs, back2 = np.unique((np.repeat(place, n2).astype(np.uint64) << FOLLOWER_BITS) | follower2, return_inverse=True)
     triples, back3 = np.unique((np.repeat(back2, n3).astype(np.uint64) << FOLLOWER_BITS) | follower3, return_inverse=True)
@@ -421,8 +531,6 @@ def answer(sent: pa.Table, hot: Hot, discount: float, min_count: int) -> pa.Tabl
     for k in range(len(blocks)):
         w, p, t = (slice(s[k], s[k + 1]) for s in sizes)
         bodies.append(packed(counts[w], rest1[w], code2[p], rest2[p], code3[t]))
-    hot_here = np.flatnonzero(hot.place(known) >= 0)
-    blocks, bodies = [*blocks, -1], [*bodies, packed(known[hot_here], trie.kept[hot_here])]
     shard = sent.column("shard")[0].as_py()
     return pa.table({"shard": pa.array([shard] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
@@ -431,7 +539,7 @@ def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest:
     """The scores of a block's texts."""
     if not block.num_rows:
         return pa.table({f: pa.array([], t) for f, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-    table, texts, train = opened(block.column("body")[0].as_py())
+    keys, texts, train = opened(block.column("body").to_pylist())
     b = Block.of(texts)
     got = dict(zip(answers.column("shard").to_pylist(), answers.column("body").to_pylist(), strict=True))
     counts, rest1 = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16)
@@ -448,14 +556,14 @@ def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest:
     score = (unquantised(code2, 0.0))[b.pair] + left1[b.first()][b.pair] * unigram[b.token]
     later = np.flatnonzero(b.triple >= 0)
     score[later] = unquantised(code3, 0.0)[b.triple[later]] + unquantised(rest2, 1.0)[b.pair[later - 1]] * score[later]
-    n = table.num_rows
+    n = len(texts)
     return pa.table({
-        "doc_id": table.column("doc_id"), "held_out": pa.array(~train), "n_tokens": np.bincount(b.row, minlength=n), "n_known": np.bincount(b.row, counts[b.token] > 0, n).astype(np.int64),
+        "doc_id": keys, "held_out": pa.array(~train), "n_tokens": np.bincount(b.row, minlength=n), "n_known": np.bincount(b.row, counts[b.token] > 0, n).astype(np.int64),
         "train_tokens": np.full(n, tokens), "base_score": np.bincount(b.row, np.log10(unigram)[b.token], n), "score": np.bincount(b.row, np.log10(score), n),
     })
 
 
-def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 1 << 23, discount: float = 0.75, min_count: int = 2, hot_tokens: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", block_chars: int = 6 << 20, discount: float = 0.75, min_count: int = 2, hot_tokens: int = 1 << 20) -> DataFrame:
     """Scores of every row, from a model of the rows where ``train`` holds.
 
     held_out: ``train`` doesn't hold (a null counts as true); n_tokens: words
@@ -463,45 +571,64 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
     training; base_score: add-one unigram; score: the smoothed model. A null text is
     empty; an empty table gives none. Other columns are dropped.
 
-    Blocks have some ``block_chars`` bytes of text, or one longer text. Words with more than ``hot_tokens``
+    Blocks go by a hash of key and text and have about ``block_chars`` bytes. Words with more than ``hot_tokens``
     occurrences in training, or a millionth of all, are spread over shards; so
-    those that go to every task are at most MOST_HOT.
+    those that go to every task are at most MOST_HOT. The mass that such a word leaves is summed up
+    beforehand, since no shard sees all its followers.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    blocks = cut(rows.mapInArrow(lambda batches: blocks_of(block_chars, batches), BLOCKS))
-
-    def each(fn, schema: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
-                    yield from fn(block, body.as_py())
-
-        return blocks.mapInArrow(run, schema)
-
-    seen = cut(each(lambda _, body: [counted(body)], "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
-    word = F.col("h") != int(START.view(np.int64))
-    tokens, kinds = seen.where(word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    limit = max(hot_tokens, tokens // MOST_HOT)
-    hot = Hot.of([(r.h, r.c) for r in seen.where(F.col("c") > limit).collect()], limit)
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-chars // block_chars))
-    held = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def sending(block: int, body: bytes) -> Iterator[pa.RecordBatch]:
-        for s, b, data in send(block, body, shards, held.value):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([b], pa.int64()), pa.array([data], pa.binary())], ["shard", "block", "body"])
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                yield batch.column("text"), np.asarray(batch.column("train"), dtype=bool)
+
+    texts = rows.select("text", "train")
 
-    answers = cut(each(sending, SENT).groupBy("shard").applyInArrow(lambda table: answer(table, held.value, discount, min_count), SENT))
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c in summed(counted(*part) for part in parts(batches)):
+            at = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(at)):
+                part = slice(at[s], at[s + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int64()), pa.array([packed(h[part], c[part])], pa.binary())], ["shard", "body"])
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                words, mass = unpacked(body)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(mass)], ["h", "kept"])
+    # The words that are seen often, and in a row without a word what each shard has of tokens and of kinds.
+    seen = cut(texts.mapInArrow(counting, "shard bigint, body binary").groupBy("shard").applyInArrow(often, "h bigint, c bigint, kinds bigint"))
+    tokens, kinds = seen.where("h is null").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    limit = max(hot_tokens, tokens // MOST_HOT)
+    hot = Hot.of([(r.h, r.c) for r in seen.where(F.col("h").isNotNull() & (F.col("c") > limit)).collect()], limit)
+    # As many of the most frequent words as fit, by steps of a tenth in frequency.
+    step = F.floor(F.log2("c") * 8)
+    steps, least = sorted(((r.s, r.n) for r in seen.where("h is not null").groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True), None
+    for total, (s, _) in zip(itertools.accumulate(n for _, n in steps), steps, strict=True):
+        least = s if total <= COMMON else least
+    frequent = seen.where(F.col("h").isNotNull() & (step >= least)).collect() if least is not None else []
+    common = Common(np.array([r.h for r in sorted(frequent, key=lambda r: (-r.c, r.h))], np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast((hot, common))
+
+    def pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, common = held.value
+        for keys, counts in summed(hot_pairs(*part, hot) for part in parts(batches)):
+            owner, follower = (keys >> FOLLOWER_BITS).astype(np.int64), keys & FOLLOWER
+            part = (follower % hot.spread[owner].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((follower, part, owner))
+            cuts = np.flatnonzero(np.diff(owner[order]) | np.diff(part[order])) + 1
+            for own in np.split(order, cuts) if len(order) else ():
+                data = packed(np.array([len(own)]), *common.coded(follower[own]), counts[own])
+                yield pa.RecordBatch.from_arrays([pa.array([int(owner[own[0]])], pa.int32()), pa.array([int(part[own[0]])], pa.int64()), pa.array([data], pa.binary())], ["word", "part", "body"])
 
     hot_rest = np.ones(len(hot.words))
     if len(hot.words):
-        for r in answers.where("block = -1").select("body").mapInArrow(kept, "h bigint, kept double").groupBy("h").agg(F.sum("kept").alias("kept")).collect():
-            hot_rest[np.searchsorted(hot.words, np.array([r.h]).view(np.uint64))] = max(1 - r.kept, 1e-8)
+        kept = texts.mapInArrow(pairing, "word int, part bigint, body binary").groupBy("word", "part").applyInArrow(lambda table: kept_of(table, *held.value, discount, min_count), "word int, kept double")
+        for r in kept.groupBy("word").agg(F.sum("kept").alias("kept")).collect():
+            hot_rest[r.word] = max(1 - r.kept, 1e-8)
     rest = docs.sparkSession.sparkContext.broadcast(hot_rest)
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value, rest.value, tokens, kinds), SCORES)
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    blocks = dealt.mapInArrow(pieces_of, BLOCKS).groupBy("block")
+    sent = blocks.applyInArrow(lambda table: send(table, shards, *held.value), SENT)
+    answers = sent.groupBy("shard").applyInArrow(lambda table: answer(table, *held.value, discount, min_count), SENT)
+    return blocks.cogroup(answers.groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value[0], rest.value, tokens, kinds), SCORES)
