@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,31 +94,25 @@ SECTIONS = {
     "risk_factors": [r"item\s+1a\.?\s*[-:.]?\s*risk\s+factors", r"risk\s+factors"],
     "discussion": [r"item\s+[27]\.?\s*[-:.]?\s*management.{0,3}s\s+discussion", r"management.{0,3}s\s+discussion\s+and\s+analysis"],
 }
-NEXT_ITEM = re.compile(r"\n\s*item\s+\d+[a-z]?\.", re.I)
+NEXT_ITEM = r"(?i)\n\s*item\s+\d+[a-z]?\."
+#: What follows a heading that isn't one of a table of contents: over 200 characters without a row of dots, with sentences among the first 500.
+PROSE = r"(?=.{201})(?!.{0,494}\.{6})(?=.{0,498}(?:\. [A-Z]|ollowing))"
 
 
 def section(text: Column, name: str, most: int = 30_000) -> Column:
-    """The section's text: from the first heading that prose follows to the next item.
+    """The section's text: from the first heading that prose follows to the next item, at least 100 characters on.
 
-    Headings in a table of contents are passed over: what follows must be
-    over 200 characters with sentences in them. A null text, or none found: null.
+    Headings in a table of contents are passed over. A null text, or none found: null.
     """
-    patterns = [re.compile(p, re.I) for p in SECTIONS[name]]
-
-    def one(value: str | None) -> str | None:
-        for p in patterns if value else []:
-            for m in p.finditer(value):
-                after = value[m.end() : m.end() + 500]
-                if len(after.strip()) > 200 and "......" not in after and (re.search(r"\. [A-Z]", after) or "ollowing" in after):
-                    stop = NEXT_ITEM.search(value, m.end() + 100)
-                    return value[m.end() : stop.start() if stop else len(value)][:most].strip()
-        return None
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(one)
-
-    return run(text)
+    begin = F.lit(None).cast("int")
+    for p in reversed(SECTIONS[name]):
+        heading = F.lit(f"(?s)(?i:{p}){PROSE}")
+        at = F.regexp_instr(text, heading)
+        begin = F.when(at > 0, at + F.length(F.regexp_substr(text, heading))).otherwise(begin)
+    rest = F.substring(text, begin, F.length(text))
+    stop = F.regexp_instr(F.substring(rest, F.lit(101), F.length(text)), F.lit(NEXT_ITEM))
+    found = F.when(stop > 0, F.substring(rest, F.lit(1), stop + 99)).otherwise(rest)
+    return F.when(begin.isNotNull(), F.trim(F.substring(found, 1, most), F.lit(" \n\r\t")))
 
 
 def row_macro(levels: DataFrame, *, key: str = "ticker", time: str = "date") -> DataFrame:

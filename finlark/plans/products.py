@@ -203,3 +203,70 @@ def daily_close(trades: DataFrame, portfolios: DataFrame, prices: DataFrame, tod
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     valued = portfolios.where("is_active").join(sums, "portfolio_id", "left").select("portfolio_id", (F.col("cash") + zero("_got")).alias("cash"), zero("market_value").cast("double").alias("market_value"), zero("closed").alias("closed"), zero("open").alias("open"))
     return closed.drop("_price", "_active", "_due"), valued.withColumn("total_value", F.col("cash") + F.col("market_value"))
+
+
+#: What a missing training feature counts as.
+TRAINING_MEANS = {"price_to_low": 1.3978, "price_to_high": 0.8588, "analyst_upside": 13.518, "concern_level": 5.345, "market_cap": 682_892_847_207.0}
+FORMS = {"10-K": 0.0, "10-Q": 1.0, "8-K": 2.0}
+
+
+def training_set(filings: DataFrame, companies: DataFrame, snapshots: DataFrame, activity: DataFrame, macro: DataFrame) -> DataFrame:
+    """filing_id, sector, tier, target and the 13 features f_*, a row a filing with a 30-day return against the market and a sentiment.
+
+    Prices are those of the filing's last snapshot if it has one, else the company's, field by field where a snapshot lacks one; without a price there
+    is no row. The tone's change is against the filing before of that company and form (of one date, both look to the one before them), what analysts did
+    counts over the 30 days before, the market's state is the nearest under 7 days away.
+    """
+    from pyspark.sql import Window
+
+    from finlark.functions.math import cap_tier, winsorised
+    from finlark.operators.asof import interval_aggregate
+
+    kept = filings.where("actual_30d_alpha is not null and sentiment is not null").where(F.col("filing_type").isin(*FORMS))
+    days = kept.groupBy("company_id", "filing_type", "day").agg(F.max_by("sentiment", "filing_id").alias("last"))
+    w = Window.partitionBy("company_id", "filing_type").orderBy("day")
+    prior = days.select("company_id", "filing_type", "day", F.lag("last").over(w).alias("prior"))
+    met = kept.join(prior, ["company_id", "filing_type", "day"], "left")
+    shot = snapshots.groupBy("filing_id").agg(F.max_by(F.struct(*[F.col(c).alias(f"s_{c}") for c in PRICES]), "snapshot_day").alias("s")).select("filing_id", "s.*")
+    met = met.join(shot, "filing_id", "left").join(companies.select("company_id", "sector", "market_cap", *PRICES), "company_id")
+    c, m = F.col("change_right"), F.col("major_right")
+    moved = interval_aggregate(kept.select("filing_id", "company_id", "day"), activity.select("company_id", "day", "change", "major"), key="filing_id", by=["company_id"], on="day", low=-30, high=0, closed_high=False, aggregates=lambda: [F.count_if(c == "upgrade").alias("ups"), F.count_if((c == "downgrade") & m).alias("downs")])
+    met = met.join(moved.select("filing_id", "ups", "downs"), "filing_id", "left").withColumn("_all", F.lit(1))
+    known = macro.where("spx_return_30d is not null or vix_close is not null").select(F.lit(1).alias("_all"), "day", "spx_return_30d", "vix_close")
+    met = asof_join(met, known, by=["_all"], on="day", take=["spx_return_30d", "vix_close"], direction="nearest", tolerance=7, strict_tolerance=True)
+    has = F.coalesce(F.col("s_current_price") != 0, F.lit(False))
+    p = {name: F.when(has, F.coalesce(F.col(f"s_{name}"), F.col(name))).otherwise(F.col(name)) for name in PRICES}
+    price = F.coalesce(p["current_price"], F.lit(0.0))
+    over = lambda x: F.when(p[x] > 0, price / p[x])
+    cap = F.coalesce("market_cap", F.lit(TRAINING_MEANS["market_cap"]))
+    f = {
+        "price_to_low": F.coalesce(over("fifty_two_week_low"), F.lit(TRAINING_MEANS["price_to_low"])), "major_downgrades": F.coalesce("downs", F.lit(0)).cast("double"),
+        "analyst_upside": F.coalesce((F.nullif(p["analyst_target_price"], F.lit(0.0)) / price - 1) * 100, F.lit(TRAINING_MEANS["analyst_upside"])), "price_to_high": F.coalesce(over("fifty_two_week_high"), F.lit(TRAINING_MEANS["price_to_high"])),
+        "concern_level": F.coalesce("concern", F.lit(TRAINING_MEANS["concern_level"])), "market_cap": cap, "sentiment_score": F.col("sentiment"), "upgrades_30d": F.coalesce("ups", F.lit(0)).cast("double"),
+        "filing_type_factor": F.element_at(F.create_map(*[F.lit(x) for kv in FORMS.items() for x in kv]), F.col("filing_type")), "tone_change": F.coalesce(F.col("sentiment") - F.col("prior"), F.lit(0.0)), "eps_surprise": winsorised(F.col("eps_surprise")),
+        "spx_trend_30d": F.coalesce("spx_return_30d_right", F.lit(0.0)), "vix_level": F.coalesce("vix_close_right", F.lit(20.0)),
+    }
+    return met.where(price > 0).select("filing_id", "sector", cap_tier(cap).alias("tier"), F.col("actual_30d_alpha").alias("target"), *[v.alias(f"f_{k}") for k, v in f.items()])
+
+
+PRICES = ["current_price", "fifty_two_week_high", "fifty_two_week_low", "analyst_target_price"]
+#: Share of right directions by ticker in the record, in per cent, and that of the model.
+ACCURACY = {
+    "HD": 80.0, "JPM": 75.0, "AMD": 73.3, "PYPL": 66.7, "MA": 66.7, "META": 66.7, "AAPL": 60.0, "MSFT": 60.0, "GOOGL": 57.1, "AMZN": 53.3,
+    "TSLA": 53.3, "NFLX": 50.0, "NVDA": 46.7, "INTC": 46.7, "WMT": 60.0, "COST": 60.0, "PG": 60.0, "V": 60.0, "DIS": 53.3, "AVGO": 53.3,
+}
+MODEL_ACCURACY = 56.8
+
+
+def record(ticker: Column) -> Column:
+    """The ticker's share of right directions; the model's where it has no record."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ACCURACY.items() for x in kv]), F.upper(ticker)), F.lit(MODEL_ACCURACY))
+
+
+def adjusted_confidence(confidence: Column, ticker: Column) -> Column:
+    """A confidence moved by the ticker's record, within 0.1 and 0.95."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(0.95), confidence + (record(ticker) - MODEL_ACCURACY) / 100))
+
+
+def record_tier(ticker: Column) -> Column:
+    return F.when(record(ticker) >= 70, "high").when(record(ticker) >= 55, "medium").otherwise("low")

@@ -248,3 +248,34 @@ def row_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = rows(B.prices(spark, sf_dir))
     return made.select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("return_7d", "return_14d", "return_21d", "return_30d")], F.round(F.col("two_year") / F.col("close"), 6).alias("two_year_share"), "fed_funds", "momentum")
+
+
+@query("F50_record_by_ticker", """, t as (select filing_id, confidence, ['hd', 'JPM', 'AMD', 'PYPL', 'MA', 'META', 'aapl', 'MSFT', 'GOOGL', 'AMZN', 'TSLA', 'NFLX', 'NVDA', 'INTC', 'WMT', 'COST', 'PG', 'V', 'DIS', 'AVGO', 'ZZZ'][filing_id % 21 + 1] as ticker, [80.0, 75.0, 73.3, 66.7, 66.7, 66.7, 60.0, 60.0, 57.1, 53.3, 53.3, 50.0, 46.7, 46.7, 60.0, 60.0, 60.0, 60.0, 53.3, 53.3, 56.8][filing_id % 21 + 1]::double as acc from filing)
+select filing_id, ticker, round(greatest(0.1, least(0.95, confidence + (acc - 56.8) / 100)), 8) as confidence, case when acc >= 70 then 'high' when acc >= 55 then 'medium' else 'low' end as tier from t""")
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["hd", "JPM", "AMD", "PYPL", "MA", "META", "aapl", "MSFT", "GOOGL", "AMZN", "TSLA", "NFLX", "NVDA", "INTC", "WMT", "COST", "PG", "V", "DIS", "AVGO", "ZZZ"]
+    rows = B.filings(spark, sf_dir).withColumn("ticker", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("filing_id") % 21 + 1).cast("int")))
+    return rows.select("filing_id", "ticker", F.round(products.adjusted_confidence(F.col("confidence"), F.col("ticker")), 8).alias("confidence"), products.record_tier(F.col("ticker")).alias("tier"))
+
+
+M10 = KEYED + """, fi as (select filing_id, company_id, filing_type, day, sentiment, case when filing_id % 5 <> 0 then concern end as concern, case when filing_id % 4 <> 0 then predicted * 10 end as eps, actual / 2 as alpha from filing where filing_id % 7 <> 0),
+snaps as (select filing_id, case when filing_id % 4 <> 0 then value / 1e3 end as cp, case when filing_id % 8 <> 1 then value / 5e2 end as hi, value / 2e3 as lo, null::double as tp from filing where filing_id % 2 = 0),
+pr as (select company_id, filing_type, day, lag(last) over (partition by company_id, filing_type order by day) as prior from (select company_id, filing_type, day, max_by(sentiment, filing_id) as last from fi group by all)),
+act as (select company_id, day + o as day, change, major from (select company_id, day, filing_id % 61 - 30 as o, ['upgrade', 'downgrade', 'reiterated'][filing_id % 3 + 1] as change, filing_id % 2 = 0 as major from filing)),
+mv as (select f.filing_id, count(*) filter (change = 'upgrade') as ups, count(*) filter (change = 'downgrade' and major) as downs from fi f join act a on a.company_id = f.company_id and a.day >= f.day - 30 and a.day < f.day group by 1),
+x as (select fi.*, c.sector, c.market_cap, prior, coalesce(ups, 0) as ups, coalesce(downs, 0) as downs, m.spx_return_30d as spx, m.vix_close as vix, case when cp <> 0 then cp else c.current_price end as price, case when cp <> 0 then coalesce(hi, fifty_two_week_high) else fifty_two_week_high end as high, case when cp <> 0 then coalesce(lo, fifty_two_week_low) else fifty_two_week_low end as low, case when cp <> 0 then coalesce(tp, analyst_target_price) else analyst_target_price end as target
+  from fi join company c using (company_id) left join snaps using (filing_id) left join pr using (company_id, filing_type, day) left join mv using (filing_id) left join lateral (select spx_return_30d, vix_close from macro p where abs(p.day - fi.day) < 7 order by abs(p.day - fi.day), p.day limit 1) m on true)
+select filing_id, sector, case when market_cap >= 200e9 then 'mega' when market_cap >= 10e9 then 'large' when market_cap >= 2e9 then 'mid' else 'small' end as tier, alpha as target, round(coalesce(case when low > 0 then price / low end, 1.3978), 8) as f_price_to_low, downs::double as f_major_downgrades, round(coalesce((nullif(target, 0) / price - 1) * 100, 13.518), 8) as f_analyst_upside,
+  round(coalesce(case when high > 0 then price / high end, 0.8588), 8) as f_price_to_high, coalesce(concern, 5.345) as f_concern_level, market_cap as f_market_cap, sentiment as f_sentiment_score, ups::double as f_upgrades_30d, case filing_type when '10-K' then 0 when '10-Q' then 1 else 2 end::double as f_filing_type_factor, coalesce(sentiment - prior, 0) as f_tone_change,
+  case when eps is null then 0 else greatest(-50, least(50, eps)) end as f_eps_surprise, coalesce(spx, 0) as f_spx_trend_30d, coalesce(vix, 20) as f_vix_level from x where coalesce(price, 0) > 0"""
+
+
+@query("M10_training_set", M10)
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = B.filings(spark, sf_dir), F.col("filing_id")
+    filings = rows.where("filing_id % 7 <> 0").select("filing_id", "company_id", "filing_type", "day", "sentiment", F.when(k % 5 != 0, F.col("concern")).alias("concern"), F.when(k % 4 != 0, F.col("predicted") * 10).alias("eps_surprise"), (F.col("actual") / 2).alias("actual_30d_alpha"))
+    shots = rows.where("filing_id % 2 = 0").select("filing_id", F.col("day").alias("snapshot_day"), F.when(k % 4 != 0, F.col("value") / 1e3).alias("current_price"), F.when(k % 8 != 1, F.col("value") / 5e2).alias("fifty_two_week_high"), (F.col("value") / 2e3).alias("fifty_two_week_low"), F.lit(None).cast("double").alias("analyst_target_price"))
+    moves = rows.select("company_id", (F.col("day") + k % 61 - 30).cast("int").alias("day"), F.element_at(F.array(F.lit("upgrade"), F.lit("downgrade"), F.lit("reiterated")), (k % 3 + 1).cast("int")).alias("change"), (k % 2 == 0).alias("major"))
+    out = products.training_set(filings, B.companies(spark, sf_dir), shots, moves, macro(spark, sf_dir))
+    exact = {"f_price_to_low", "f_analyst_upside", "f_price_to_high"}
+    return out.select(*[F.round(c, 8).alias(c) if c in exact else c for c in out.columns])
