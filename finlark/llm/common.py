@@ -23,19 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, made the session's checkpoint folder if it has none."""
+    """The folder of ``spark.checkpoint.dir``, made the session's checkpoint folder if it has none.
+
+    Only a session on a single machine may go without: it gets a temporary folder. On a cluster that would be
+    each machine's own, so ValueError is raised.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    named, held = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="finlark-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that its lineage ends there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where it names none.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -19,6 +19,61 @@ def test_quality_ranks_held_out_rows(spark, sf):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def plain_grams(text):
+    """Buckets of a text's n-grams with Python's own integers."""
+    import pandas as pd
+    import regex
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    def pair(a, b):
+        return mix((a * 0x9E3779B97F4A7C15 + b) & top)
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    shape = lambda w: regex.sub("[0-9]+", "0", regex.sub(r"\p{Lu}+", "A", regex.sub(r"\p{Ll}+", "a", w)))
+    found = []
+    for salt, view in ((1, [w.lower() for w in words]), (2, [shape(w) for w in words])):
+        one = [pair(int(pd.util.hash_array(np.array([w], object), categorize=False)[0]), salt) for w in view]
+        found += one + [pair(a, b) for a, b in zip(one, one[1:])]
+    return [g >> 46 for g in found]
+
+
+def test_quality_by_hand(spark):
+    """Learning and scoring beside dictionaries and loops."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(["Good", "bad", "Neutral", "12", "ÉTÉ", "fine", "x9"]) for _ in range(rnd.randrange(12))), i % 3 == 0) for i in range(60)]
+    rows = [(i, t, int(good or "Good" in t)) for i, t, good in rows] + [(60, None, 0), (61, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, learners=1)).collect()}
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.3, 1.0, 0.02, 0.5
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + n.get(k, 0.0) ** 0.5) / alpha + l2)
+
+    def inputs(text):
+        grams = plain_grams(text)
+        return {**{g: grams.count(g) / max(1, len(grams)) ** 0.5 for g in grams}, "bias": 1.0}
+
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for i in order.permutation(len(rows)):
+            x = inputs(rows[i][1])
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, (v, w) in {k: (v, weight(k)) for k, v in x.items()}.items():
+                g = (p - rows[i][2]) * v
+                more = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha
+                z[k], n[k] = z.get(k, 0.0) + g - more * w, n.get(k, 0.0) + g * g
+    for i, text, _ in rows:
+        want = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in inputs(text).items())))
+        assert abs(got[i] - want) < 1e-5, (i, text)
+
+
 def test_quality_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (7, 1), (7, 0), (4, None)], "doc_id long, quality int")
     model = quality.fit(quality.labelled_sample(odd.drop("label"), labels))
