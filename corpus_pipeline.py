@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlark.llm import decontam, language_id, neardup, pieces, pii
-from finlark.llm.common import shared_folder, table
+from finlark.llm.common import delete, shared_folder, table
 from finlark.llm.queries import model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read from there."""
+    """All stages over documents; each result is written to the shared folder and read from there, and goes once the next one is written."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     top = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}_{name}")
         docs = spark.read.parquet(f"{top}/{k}_{name}")
+        if k:
+            delete(spark, f"{top}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
