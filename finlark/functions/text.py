@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,9 +159,17 @@ DISCUSSION_END, DISCUSSION_CHARS = r"(?i)\bitem\s+(?:3|7a|8)\b\.?|quantitative\s
 
 def discussion_text(html: Column) -> Column:
     """The management's discussion of a page as plain text, from its first heading to the next item; null if there is none."""
-    plain = F.trim(F.regexp_replace(html_text(html), r"\s+", " "))
-    start = F.regexp_instr(plain, F.lit(DISCUSSION))
-    rest = F.substring(plain, start + F.length(F.regexp_substr(plain, F.lit(DISCUSSION))), F.length(plain))
-    end = F.regexp_instr(rest, F.lit(DISCUSSION_END))
-    cut = F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
-    return F.when(start > 0, F.trim(F.substring(cut, 1, DISCUSSION_CHARS)))
+    def rest(plain: Column) -> Column:
+        start = F.regexp_instr(plain, F.lit(DISCUSSION))
+        return F.when(start > 0, F.substring(plain, start + F.length(F.regexp_substr(plain, F.lit(DISCUSSION))), F.length(plain)))
+
+    def kept(rest: Column) -> Column:
+        end = F.regexp_instr(rest, F.lit(DISCUSSION_END))
+        return F.trim(F.substring(F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest), 1, DISCUSSION_CHARS))
+
+    return once(once(F.trim(F.regexp_replace(html_text(html), r"\s+", " ")), rest), kept)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

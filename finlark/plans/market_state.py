@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per, percent_change
+from finlark.functions.text import once
 from finlark.operators.asof import asof_join
 from finlark.operators.windows import last_rows, series
 
@@ -107,12 +108,19 @@ def section(text: Column, name: str, most: int = 30_000) -> Column:
     begin = F.lit(None).cast("int")
     for p in reversed(SECTIONS[name]):
         heading = F.lit(f"(?s)(?i:{p}){PROSE}")
-        at = F.regexp_instr(text, heading)
-        begin = F.when(at > 0, at + F.length(F.regexp_substr(text, heading))).otherwise(begin)
-    rest = F.substring(text, begin, F.length(text))
-    stop = F.regexp_instr(F.substring(rest, F.lit(101), F.length(text)), F.lit(NEXT_ITEM))
-    found = F.when(stop > 0, F.substring(rest, F.lit(1), stop + 99)).otherwise(rest)
-    return F.when(begin.isNotNull(), F.trim(F.substring(found, 1, most), F.lit(" \n\r\t")))
+        begin = F.coalesce(_after(text, heading), begin)
+
+    def kept(rest: Column) -> Column:
+        stop = F.regexp_instr(F.substring(rest, F.lit(101), F.length(rest)), F.lit(NEXT_ITEM))
+        found = once(stop, lambda at: F.when(at > 0, F.substring(rest, F.lit(1), at + 99)).otherwise(rest))
+        return F.trim(F.substring(found, 1, most), F.lit(" \n\r\t"))
+
+    return once(once(begin, lambda at: F.when(at.isNotNull(), F.substring(text, at, F.length(text)))), kept)
+
+
+def _after(text: Column, pattern: Column) -> Column:
+    """The place behind the first match; null if there is none."""
+    return once(F.regexp_instr(text, pattern), lambda at: F.when(at > 0, at + F.length(F.regexp_substr(text, pattern))))
 
 
 def row_macro(levels: DataFrame, *, key: str = "ticker", time: str = "date") -> DataFrame:
