@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carried(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], bin_width: int, back: bool, inclusive: bool) -> DataFrame:
-    """left and _r: the struct (on, take...) of the last right row before (or first after); ``on`` is a number."""
-    names = [on, *take]
-    payload = F.struct(*[F.col(c) for c in names])
+def _whole(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], bin_width: int, right_rank: int) -> DataFrame:
+    """Both sides under one another: the keys, _at, _l and _p (a row of the left or the right), _bin and _rank."""
+    payload = F.struct(*[F.col(c) for c in [on, *take]])
     mine = left.select(*[F.col(b) for b in by], F.col(on).alias("_at"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"), F.lit(True).alias("_left"))
     yours = right.where(F.col(on).isNotNull()).select(*[F.col(b) for b in by], F.col(on).alias("_at"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_l"), payload.alias("_p"), F.lit(False).alias("_left"))
+    return mine.unionByName(yours).withColumns({"_bin": F.floor(F.col("_at") / bin_width), "_rank": F.when(F.col("_left"), 1).otherwise(right_rank)})
+
+
+def _carried(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], bin_width: int, back: bool, inclusive: bool) -> DataFrame:
+    """left and _r: the struct (on, take...) of the last right row before (or first after); ``on`` is a number."""
     # At equal times right rows come first where they count, else after the left ones.
-    rank = F.when(F.col("_left"), 1).otherwise(0 if inclusive else 2)
-    whole = mine.unionByName(yours).withColumns({"_bin": F.floor(F.col("_at") / bin_width), "_rank": rank})
+    whole = _whole(left, right, by, on, take, bin_width, 0 if inclusive else 2)
     order = [F.col("_at").asc() if back else F.col("_at").desc(), F.col("_rank"), *[(F.col(f"_p.{c}").asc_nulls_first() if back else F.col(f"_p.{c}").desc_nulls_last()) for c in take]]
     inside = Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     near = whole.withColumn("_r", F.last("_p", ignorenulls=True).over(inside)).where("_left")
@@ -33,6 +36,20 @@ def _carried(left: DataFrame, right: DataFrame, by: list[str], on: str, take: li
     return near.join(far, [*by, "_bin"], "left").select("_l.*", F.coalesce("_r", "_far").alias("_r"))
 
 
+def _carried_both(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], bin_width: int) -> DataFrame:
+    """left, _before (the last right row up to its time) and _after (the first from it on), from one exchange of both sides."""
+    whole = _whole(left, right, by, on, take, bin_width, 0)
+    own, so_far = F.when(~F.col("_left"), F.col("_p")), (Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*by, "_bin").orderBy("_at", "_rank", *[F.col(f"_p.{c}").asc_nulls_first() for c in take]).rowsBetween(*so_far)
+    down = Window.partitionBy(*by, "_bin").orderBy(F.col("_at").desc(), "_rank", *[F.col(f"_p.{c}").desc_nulls_last() for c in take]).rowsBetween(*so_far)
+    near = whole.withColumns({"_b": F.last("_p", ignorenulls=True).over(up), "_a": F.last("_p", ignorenulls=True).over(down)}).where("_left")
+    each = whole.groupBy(*by, "_bin").agg(F.max(own).alias("_high"), F.min(own).alias("_low"))
+    across = Window.partitionBy(*by)
+    earlier, later = (across.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_bin").asc(), F.col("_bin").desc()))
+    far = each.select(*by, "_bin", F.last("_high", ignorenulls=True).over(earlier).alias("_fb"), F.last("_low", ignorenulls=True).over(later).alias("_fa"))
+    return near.join(far, [*by, "_bin"], "left").select("_l.*", F.coalesce("_b", "_fb").alias("_before"), F.coalesce("_a", "_fa").alias("_after"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, take: list[str], direction: str = "backward", inclusive: bool = True, tolerance: int | None = None, strict_tolerance: bool = False, tie: str = "earlier", bin_width: int = 365) -> DataFrame:
     """Left rows with ``on`` and ``take`` of the matching right row, named with ``_right`` at the end; null if none.
 
@@ -41,17 +58,13 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], on: str, take
     distance allowed, or the least that is not. Of right rows at the same time the one with the
     greatest ``take`` wins backward, the least forward. Left rows with a null time match nothing.
     """
-    def matched(back: bool, inc: bool) -> DataFrame:
-        return _carried(left, right, by, on, take, bin_width, back, inc)
-
     if direction != "nearest":
-        met = matched(direction == "backward", inclusive)
+        met = _carried(left, right, by, on, take, bin_width, direction == "backward", inclusive)
     else:
-        both = matched(True, True).withColumnRenamed("_r", "_before")
-        met = _carried(both, right, by, on, take, bin_width, False, True)
-        before, after = F.col(on) - F.col(f"_before.{on}"), F.col(f"_r.{on}") - F.col(on)
+        met = _carried_both(left, right, by, on, take, bin_width)
+        before, after = F.col(on) - F.col(f"_before.{on}"), F.col(f"_after.{on}") - F.col(on)
         first = before <= after if tie == "earlier" else before < after
-        met = met.withColumn("_r", F.when(F.col("_r").isNull() | first, F.coalesce("_before", "_r")).otherwise(F.col("_r"))).drop("_before")
+        met = met.withColumn("_r", F.when(F.col("_after").isNull() | first, F.coalesce("_before", "_after")).otherwise(F.col("_after"))).drop("_before", "_after")
     if tolerance is not None:
         gap = F.abs(F.col(on) - F.col(f"_r.{on}"))
         met = met.withColumn("_r", F.when(gap < tolerance if strict_tolerance else gap <= tolerance, F.col("_r")))

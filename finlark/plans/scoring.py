@@ -154,18 +154,37 @@ def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dic
     The percentiles of the scores are approximate, to a ten-thousandth of the rows, so that no task holds all scores of an expert.
     """
     least = least or {"sector": 50, "tier": 50, "both": 30}
+    cols, p = [f"f_{f}" for f in FEATURES], len(FEATURES)
+    # Sums by sector and tier, the finest key, from one pass; those of the other experts are sums of these few hundred rows. Centred, so that squares lose nothing.
+    near = rows.select("sector", cap_tier(F.col("f_market_cap")).alias("tier"), F.lit(1.0).alias("one"), F.col(y).alias("y"), *[(F.col(c) - GLOBAL[f][0]).alias(c) for c, f in zip(cols, FEATURES, strict=True)])
+    sums: dict[str, list] = {}
+    for r in gram(near, ["one", *cols], "y", ["sector", "tier"]).collect():
+        own = np.asarray([r.n, *r.gram_sums, *r.cross_sums], float)
+        names = [("global", 1), (r.tier, least["tier"]), *([(r.sector, least["sector"]), (f"{r.sector}:{r.tier}", least["both"])] if r.sector is not None else [])]
+        for name, need in names:
+            sums[name] = [need, own + sums[name][1] if name in sums else own]
+    found = []
+    for name, (need, total) in sums.items():
+        n = total[0]
+        if n < need:
+            continue
+        g = np.zeros((p + 1, p + 1))
+        g[np.triu_indices(p + 1)] = total[1 : -(p + 1)]
+        g, c = g + np.triu(g, 1).T, total[-(p + 1) :]
+        mean = g[0, 1:] / n
+        cov = g[1:, 1:] - n * np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0) / max(n - 1, 1))
+        scale = np.where(sd < 1e-8, 1.0, sd)
+        weight = np.linalg.solve(cov / np.outer(scale, scale) + penalty * np.eye(p), (c[1:] - mean * c[0]) / scale)
+        found.append((name, (mean + [GLOBAL[f][0] for f in FEATURES]).tolist(), np.where(sd > 0, sd, 1.0).tolist(), weight.tolist(), scale.tolist()))
+    fitted = rows.sparkSession.createDataFrame(found, "expert string, mean array<double>, std array<double>, weight array<double>, scale array<double>")
+    # Each row's scores by all of its experts, at most four.
     tier = cap_tier(F.col("f_market_cap"))
-    names = F.array(*[F.struct(n.alias("expert"), F.lit(k).alias("need")) for n, k in ((F.lit("global"), 1), (tier, least["tier"]), (F.col("sector"), least["sector"]), (F.concat_ws(":", "sector", tier), least["both"]))])
-    wide = rows.withColumn("_e", F.explode(names)).select("*", "_e.expert", "_e.need").drop("_e")
-    cols = [f"f_{f}" for f in FEATURES]
-    z = standardised(wide, cols, ["expert"])
-    beta = ridge_by(z, [f"z_{c}" for c in cols], y, ["expert"], penalty=penalty, least=1)
-    stats = wide.groupBy("expert").agg(F.max("need").alias("need"), F.array(*[F.avg(c) for c in cols]).alias("mean"), F.array(*[F.coalesce(F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(1.0)) for c in cols]).alias("std"))
-    fitted = stats.join(beta, "expert").where(F.col("n") >= F.col("need")).withColumnRenamed("beta", "weight")
-    w = z.join(fitted.select("expert", "weight"), "expert")
-    guess = sum((F.col(f"z_{c}") * F.col("weight")[i] for i, c in enumerate(cols[1:], 1)), F.col(f"z_{cols[0]}") * F.col("weight")[0])
-    bounds = w.groupBy("expert").agg(F.percentile_approx(guess, [0.1, 0.25, 0.75, 0.9], 10_000).alias("b"))
-    return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", *[F.col("b")[i].alias(p) for i, p in enumerate(("p10", "p25", "p75", "p90"))])
+    names = F.array(F.lit("global"), tier, "sector", F.when(F.col("sector").isNotNull(), F.concat_ws(":", "sector", tier)))
+    met = rows.select(*cols, F.explode(names).alias("expert")).join(F.broadcast(fitted), "expert")  # a few hundred rows
+    guess = sum(((F.col(c) - F.col("mean")[i]) / F.col("scale")[i] * F.col("weight")[i] for i, c in enumerate(cols)), F.lit(0.0))
+    bounds = met.groupBy("expert").agg(F.percentile_approx(guess, [0.1, 0.25, 0.75, 0.9], 10_000).alias("b"))
+    return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", *[F.col("b")[i].alias(q) for i, q in enumerate(("p10", "p25", "p75", "p90"))])
 
 
 def tone_change(filings: DataFrame) -> DataFrame:
