@@ -73,11 +73,12 @@ def least_hashes(rows: DataFrame, column: str, k: int) -> DataFrame:
     return near.orderBy(column, *[c for c in rows.columns if c != column]).limit(k)
 
 
-def count_at_most(bounds: Column, n: int, x: Column) -> Column:
-    """How many of n ascending bounds (a literal array) are at most x, by halving."""
+def count_at_most(bounds: Column, n: int, x: Column, strict: bool = False) -> Column:
+    """How many of n ascending bounds (a literal array) are at most x (under it, if strict), by halving."""
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        under = F.element_at(bounds, F.least(middle, F.lit(n - 1)) + 1) <= x
+        bound = F.element_at(bounds, F.least(middle, F.lit(n - 1)) + 1)
+        under = bound < x if strict else bound <= x
         more = s["low"] < s["high"]
         return F.struct(F.when(more & under, middle + 1).otherwise(s["low"]).alias("low"), F.when(more & ~under, middle).otherwise(s["high"]).alias("high"))
 

@@ -110,26 +110,31 @@ def fingerprint(texts: Column) -> Column:
 def with_next(docs: DataFrame, key: str, parts: int) -> DataFrame:
     """Rows dealt into key ranges, each in order and followed by the row after it.
 
-    Adds _range, _turn and _guest: a guest is the copy of the row that follows
-    the range's last, and is there to be looked at only. Ranges split at
-    approximate quantiles of the key, the nulls first; no task gets all rows.
+    Adds _range, _turn, _tie and _guest: a guest is the copy of the row that follows
+    the range's last, and is there to be looked at only. Rows of one key follow one another in order of a hash
+    of the rest (_tie), null keys come first. Ranges split at approximate quantiles of the key; a key that fills several
+    has its rows dealt to these by the hash, and so have the nulls. So no task gets all rows.
     """
-    spark = docs.sparkSession
-    bounds = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    place = F.when(F.col(key).isNull(), 0).otherwise(count_at_most(cuts, len(bounds), F.col(key))).cast("int")
-    ranged = docs.withColumn("_range", place)
-    heads = sorted((r for r in ranged.groupBy("_range").agg(F.min(key).alias("k"), F.count(F.when(F.col(key).isNull(), 1)).alias("nulls")).collect()), key=lambda r: r._range)
+    spark, rest = docs.sparkSession, [c for c in docs.columns if c != key]
+    tied = docs.withColumn("_tie", F.xxhash64(*rest))
+    n, none, bounds = tied.select(F.count("*"), F.count_if(F.col(key).isNull()), F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts)) if parts > 1 else F.array()).first()
+    bounds, first = sorted(bounds or []), -(-none * parts // n) if n else 0
+    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.lit(None)
+    share = F.col("_tie").cast("double") / 2.0**64 + 0.5
+    low, high = count_at_most(cuts, len(bounds), F.col(key), strict=True), count_at_most(cuts, len(bounds), F.col(key))
+    spread = lambda k: F.least(F.floor(share * k), k - 1).cast("int")
+    place = F.when(F.col(key).isNull(), spread(F.lit(max(1, first)))).otherwise(first + low + F.when(high > low, spread(high - low + 1)).otherwise(0)).cast("int")
+    ranged = tied.withColumn("_range", place)
+    heads = sorted((r for r in ranged.groupBy("_range").agg(F.min(F.struct(key, "_tie")).alias("h")).collect()), key=lambda r: r._range)
+    home = ranged.select("*", F.lit(0).alias("_turn"), F.lit(False).alias("_guest"))
     if not heads:
-        return ranged.select("*", F.lit(0).alias("_turn"), F.lit(False).alias("_guest"))
-    follow = [(heads[i]._range, None if heads[i].nulls else heads[i].k, heads[i - 1]._range, i == 0) for i in range(len(heads))]
-    guests = spark.createDataFrame(follow, T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_head", docs.schema[key].dataType), T.StructField("_to", T.IntegerType()), T.StructField("_wraps", T.BooleanType())]))
-    met = ranged.join(F.broadcast(guests), "_range", "left")
-    home = F.struct(F.col("_range").alias("r"), F.lit(0).alias("t"), F.lit(False).alias("g"))
-    away = F.struct(F.col("_to").alias("r"), F.lit(1).alias("t"), F.lit(True).alias("g"))
-    spread = met.withColumn("_at", F.explode(F.when(F.col(key).eqNullSafe(F.col("_head")), F.array(home, away)).otherwise(F.array(home))))
-    return spread.select(*docs.columns, F.col("_at.r").alias("_range"), F.col("_at.t").alias("_turn"), F.col("_at.g").alias("_guest")).repartition(parts, "_range").sortWithinPartitions("_range", "_turn", key, *[c for c in docs.columns if c != key])
+        return home
+    follow = [(r._range, r.h[0], r.h[1], heads[i - 1]._range) for i, r in enumerate(heads)]
+    told = spark.createDataFrame(follow, T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_head", docs.schema[key].dataType), T.StructField("_head_tie", T.LongType()), T.StructField("_to", T.IntegerType())]))
+    # A row a range: of rows that are alike in all, one.
+    guests = ranged.join(F.broadcast(told), "_range").where(F.col(key).eqNullSafe(F.col("_head")) & (F.col("_tie") == F.col("_head_tie"))).dropDuplicates(["_range"])
+    away = guests.select(*docs.columns, "_tie", F.col("_to").alias("_range"), F.lit(1).alias("_turn"), F.lit(True).alias("_guest"))
+    return home.select(*away.columns).unionByName(away).repartition(parts, "_range").sortWithinPartitions("_range", "_turn", key, "_tie", *rest)
 
 
 EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_phrases bigint"
@@ -141,7 +146,7 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     The edited text has the last quarter of the code points replaced by the
     first as many of the document next in order of the key (after the last:
     the first). A null text is empty; a lone document follows itself; rows
-    of equal keys follow one another in order of their text; null keys come
+    of equal keys follow one another in order of a hash of their text; null keys come
     first. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

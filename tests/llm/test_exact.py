@@ -482,6 +482,26 @@ def test_fingerprint_odd_rows(odd, none):
     assert odd.select(fingerprint.fingerprint(F.col("text")).alias("f"), "doc_id").where("doc_id = 9").first().f == one[9].fingerprint
 
 
+def test_fingerprint_of_hot_keys(spark):
+    """A key and the nulls with a third of all rows each: each row meets the one after it, and no range holds all of a key."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of some {i % 11} words") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranged = fingerprint.with_next(docs, "doc_id", 12)
+    dealt = ranged.where("not _guest")
+    assert dealt.count() == 600 and ranged.count() <= 600 + 12 + 4
+    for where in ("doc_id is null", "doc_id = 7"):
+        sizes = [r["count"] for r in dealt.where(where).groupBy("_range").count().collect()]
+        assert sum(sizes) == 200 and max(sizes) < 110
+    order = [r.text for r in docs.withColumn("t", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "t").collect()]
+    got = Counter((r.doc_id, r.edited_sha256) for r in fingerprint.compare_edits(docs, parts=12).collect())
+    key = {t: d for d, t in rows}
+    want = Counter()
+    for t, after in zip(order, [*order[1:], order[0]]):
+        k = len(t) // 4
+        want[key[t], hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 # --- shards
 
 
