@@ -40,7 +40,7 @@ def merge_into(source: DataFrame, target: str, key: list[str], order: list[str],
         before = standing(spark, target, number)
         old = [path for bucket, path in before.items() if bucket in touched]
         merged = upsert(spark.read.option("basePath", target).parquet(*old).drop("version"), newest, key) if old else newest
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number:08d}")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number:08d}")
         newest.unpersist()
         needed = {path.rpartition("/")[0] for path in before.values()}
         for path in versions(spark, target):
