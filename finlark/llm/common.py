@@ -52,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, everything else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's text modulo ``modulus``; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

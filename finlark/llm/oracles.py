@@ -96,3 +96,58 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = componen
 SHARD_BALANCE = """
 SELECT count(*) AS docs, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, 8::BIGINT AS shards, true AS gapless, true AS balanced FROM documents
 """
+
+OP13_DEDUP = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)
+"""
+
+
+def _grams(name: str, key: str, table: str) -> str:
+    """Features of a table, one row each."""
+    return f"""{name}_w AS (SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}),
+{name} AS (SELECT id, len(w) AS n, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM {name}_w)"""
+
+
+OP11_RESAMPLE = f"""
+WITH RECURSIVE {CRC_TABLE}, {_grams("docs", "doc_id", "documents")}, {_grams("goal", "item_id", "benchmark")},
+named AS (SELECT f, [('0x' || hex(encode(f))[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(octet_length(encode(f)))] AS b FROM (SELECT f FROM docs UNION SELECT f FROM goal)),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, l[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket FROM named, crcs),
+seen AS (SELECT bucket, count(*) AS s FROM docs JOIN hashed USING (f) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0)::DOUBLE FROM seen) AS total_s, (SELECT coalesce(sum(t), 0)::DOUBLE FROM wanted) AS total_t),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (total_s + 10000)) / ((s + 1)::DOUBLE * (total_t + 10000))))::BIGINT AS gain FROM seen LEFT JOIN wanted USING (bucket), totals),
+summed AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS g FROM docs JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY id),
+weighed AS (SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight FROM docs_w w LEFT JOIN summed USING (id)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+
+def op12_vector_codes() -> str:
+    """Four parts of 16 components, 256 entries, four rounds, each written out; whole numbers are exact in doubles."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, x.part, arg_min(entry, (sq - 2 * list_inner_product(v, c) + list_inner_product(c, c)) * 1024 + entry) AS entry, min(sq - 2 * list_inner_product(v, c) + list_inner_product(c, c))::BIGINT AS d
+  FROM x JOIN b{k} b ON x.part = b.part GROUP BY vec_id, x.part
+),"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} AS (SELECT a.part, a.entry, i, floor(sum(v[i]) / count(*)) AS c FROM a{k} a JOIN x USING (vec_id, part), unnest(range(1, 17)) AS u(i) GROUP BY a.part, a.entry, i),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS c FROM m{k} GROUP BY part, entry) n ON b.part = n.part AND b.entry = n.entry),"""
+
+    steps = "\n".join(assigned(k) + moved(k) for k in range(4)) + assigned(4)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(1024 * e::DOUBLE) FOR e IN embedding] AS g FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+x AS MATERIALIZED (SELECT vec_id, part, g[16 * part + 1:16 * part + 16] AS v, list_inner_product(v, v) AS sq FROM kept, unnest(range(4)) AS u(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM x QUALIFY entry < 256),
+{steps}
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string([e::BIGINT FOR e IN c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), book
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlark.llm import decontam, fingerprint, language_id, lm, neardup, oracles, pieces, pii, quality, secrets, sharding
+from finlark.llm import decontam, dedup, fingerprint, language_id, lm, neardup, oracles, pieces, pii, quality, resample, secrets, sharding, vector_codes
 from finlark.llm.common import crc_mod, table
 
 
@@ -78,6 +78,19 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op2_pii."""
     return op2_pii(spark, sf_dir).drop("spans")
@@ -99,7 +112,7 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality, "op2_pii": op2_pii, "op3_language": op3_language, "op4_secrets": op4_secrets, "op5_decontam": op5_decontam, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_fingerprint": op8_fingerprint,
-    "op9_sharding": op9_sharding, "op10_neardup": op10_neardup, "pii_base": pii_base, "lm_base": lm_base, "shard_balance": shard_balance,
+    "op9_sharding": op9_sharding, "op10_neardup": op10_neardup, "op11_resample": op11_resample, "op12_vector_codes": op12_vector_codes, "op13_dedup": op13_dedup, "pii_base": pii_base, "lm_base": lm_base, "shard_balance": shard_balance,
 }
 
-ORACLE_SQL = {"op4_secrets": oracles.OP4_SECRETS, "op10_neardup": oracles.OP10_NEARDUP, "pii_base": oracles.PII_BASE, "lm_base": oracles.LM_BASE, "shard_balance": oracles.SHARD_BALANCE}
+ORACLE_SQL = {"op4_secrets": oracles.OP4_SECRETS, "op10_neardup": oracles.OP10_NEARDUP, "op11_resample": oracles.OP11_RESAMPLE, "op12_vector_codes": oracles.op12_vector_codes(), "op13_dedup": oracles.OP13_DEDUP, "pii_base": oracles.PII_BASE, "lm_base": oracles.LM_BASE, "shard_balance": oracles.SHARD_BALANCE}
