@@ -54,7 +54,7 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     """bucket and gain, floor(1000 ln of the ratio of the target's smoothed share to the corpus'), for every bucket."""
     spark = corpus.sparkSession
     s, t = corpus.select("bucket", F.col("n").alias("s")), target.select("bucket", F.col("n").alias("t"))
-    both = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"])
+    both = cut(spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"]))
     whole = both.agg(F.sum("s").alias("S"), F.sum("t").alias("T")).first()
     d = lambda x: x.cast("double")
     ratio = (d(F.col("t") + 1) * F.lit(float(whole.S + buckets))) / (d(F.col("s") + 1) * F.lit(float(whole.T + buckets)))
@@ -76,7 +76,7 @@ def weights(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: st
         position_table(docs, key=key, text=text, orders=orders, buckets=buckets).write.parquet(at)
         table = spark.read.parquet(at)
         goal = position_table(target.withColumn("_none", F.lit(None)), key="_none", text=text, orders=orders, buckets=buckets)
-        gain = cut(gains(histogram(table), histogram(goal), buckets))
+        gain = gains(histogram(table), histogram(goal), buckets)
         # The gains have one row a bucket, whatever the input.
         told = _features(table, "_row", "key").join(F.broadcast(gain), "bucket", "left")
         n = F.count("bucket")
