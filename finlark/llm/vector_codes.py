@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finlark.llm.common import cut
 
@@ -56,9 +58,17 @@ def ball_tree(points: np.ndarray, index: np.ndarray | None = None) -> Ball:
 def nearest(tree: Ball, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The index and squared distance of the nearest entry of each row (int64), the least index among equals."""
     best, at = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).max)
+    most = max(np.abs(rows).max(initial=0), np.abs(tree.points).max())
+    small = 4 * rows.shape[1] * int(most) ** 2 < 1 << 53  # whole numbers that doubles hold
+    squares, doubles = (rows * rows).sum(axis=1), rows.astype(np.float64)
+
+    def distances(who: np.ndarray, points: np.ndarray) -> np.ndarray:
+        if small:
+            return (squares[who][:, None] - 2 * (doubles[who] @ points.T.astype(np.float64)) + (points * points).sum(axis=1)).astype(np.int64)
+        return ((rows[who][:, None, :] - points[None]) ** 2).sum(axis=2)
 
     def from_centre(ball: Ball, who: np.ndarray) -> np.ndarray:
-        return np.sqrt(((rows[who] - ball.centre) ** 2).sum(axis=1))
+        return np.sqrt(((doubles[who] - ball.centre) ** 2).sum(axis=1))
 
     def visit(ball: Ball, who: np.ndarray, far: np.ndarray) -> None:
         bound = np.maximum(0.0, far * (1 - SLACK) - SLACK - ball.radius)
@@ -71,7 +81,7 @@ def nearest(tree: Ball, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 for k in (first, 1 - first):
                     visit(ball.halves[k], who[chosen], (left, right)[k][chosen])
             return
-        apart = ((rows[who][:, None, :] - ball.points[None]) ** 2).sum(axis=2)
+        apart = distances(who, ball.points)
         nearby = apart.argmin(axis=1)
         found, index = apart[np.arange(len(who)), nearby], ball.index[nearby]
         better = (found < best[who]) | ((found == best[who]) & (index < at[who]))
@@ -85,7 +95,7 @@ def nearest(tree: Ball, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def whole_vectors(column: pa.Array, width: int, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """Which rows are kept, and floor(scale x) of these: those of ``width`` components, all of them numbers of fitting size."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(pa.compute.list_value_length(column).fill_null(-1))
+    lengths = np.asarray(pc.list_value_length(column).fill_null(-1))
     right = np.flatnonzero(lengths == width)
     values = np.asarray(column.take(pa.array(right)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(-1, width)
     grid = np.floor(values * scale)
@@ -160,8 +170,6 @@ def encode(vectors: DataFrame, books: list[np.ndarray], *, scale: int = SCALE) -
             own = batch.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("label"), pa.array(codes, pa.string()), pa.array(sum(f[1] for f in found))], ["vec_id", "label", "code", "error"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([vectors.schema["vec_id"], vectors.schema["label"], T.StructField("code", T.StringType()), T.StructField("error", T.LongType())])
     return vectors.select("vec_id", "label", "embedding").mapInArrow(run, schema)
 
