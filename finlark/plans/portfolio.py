@@ -24,33 +24,59 @@ def gate(signals: DataFrame, portfolios: DataFrame, open_trades: DataFrame, leas
 TRADE = "portfolio_id bigint, trade_id bigint, ticker bigint, direction string, day int, exit_day int, shares bigint, entry_value double, exit_value double, pnl double, pnl_pct double, cash_after double"
 
 
+class Account:
+    """The cash of one portfolio and what it holds: a heap of (exit day, trade, what it gives back, what it cost, ticker)."""
+
+    def __init__(self, start: float, largest: float, fee: float):
+        self.cash, self.invested, self.largest, self.fee = start, 0.0, largest, fee
+        self.due: list[tuple] = []
+        self.tickers: set = set()
+
+    def resume(self, due: list[tuple]) -> None:
+        self.due = sorted(due)
+        self.tickers = {d[4] for d in due}
+
+    def close(self, day: int) -> list[tuple]:
+        """Takes out what is due by ``day``, in order of exit day and trade."""
+        out = []
+        while self.due and self.due[0][0] <= day:
+            out.append(heapq.heappop(self.due))
+            self.cash, self.invested = self.cash + out[-1][2], self.invested - out[-1][3]
+            self.tickers.discard(out[-1][4])
+        return out
+
+    def open(self, trade: int, ticker: int, direction: str, exit_day: int, entry: float, exit_: float, confidence: float, predicted: float) -> tuple[tuple, tuple] | None:
+        """What becomes due, and (shares, entry_value, exit_value, pnl, pnl_pct, cash_after); None if the trade isn't taken."""
+        value = self.cash + (self.invested if self.due else 0.0)
+        shares = int(min(confidence * abs(predicted) / 100.0, self.largest) * value // entry) if entry > 0 else 0
+        paid = shares * entry
+        if shares < 1 or paid + self.fee > self.cash or ticker in self.tickers:
+            return None
+        got = shares * exit_
+        pnl = (got - paid if direction == "LONG" else paid - got) - 2 * self.fee
+        self.cash -= paid + self.fee
+        self.invested += paid
+        self.tickers.add(ticker)
+        due = (exit_day, trade, paid + pnl + self.fee, paid, ticker)
+        heapq.heappush(self.due, due)
+        return due, (shares, paid, got, pnl, pnl / paid * 100, self.cash)
+
+
 def run(signals: DataFrame, *, start: float = 100_000.0, largest: float = 0.1, fee: float = FEE) -> DataFrame:
     """Trades of each portfolio, taken in order of day and id, with the cash that each leaves.
 
     signals: portfolio_id, trade_id, ticker, direction, day, exit_day, entry, exit, confidence and predicted.
     What a trade may spend depends on what earlier ones have left, so one portfolio is
-    one sequential task; portfolios run side by side. A position is closed before
+    one sequential task, which holds its signals (some hundred bytes each); portfolios run side by side. A position is closed before
     later trades of its exit day or after are opened. Cash grows by what was paid plus the profit, for shorts too.
     """
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        cash, invested, due, open_in, out = start, 0.0, [], set(), []  # due: a heap of (exit day, trade, what it gives back, what it cost, ticker)
+        account, out = Account(start, largest, fee), []
         for r in rows.sort_values(["day", "trade_id"]).itertuples():
-            while due and due[0][0] <= r.day:
-                _, _, got, cost, ticker = heapq.heappop(due)
-                cash, invested = cash + got, invested - cost
-                open_in.discard(ticker)
-            value = cash + (invested if due else 0.0)
-            shares = int(min(r.confidence * abs(r.predicted) / 100.0, largest) * value // r.entry) if r.entry > 0 else 0
-            paid = shares * r.entry
-            if shares < 1 or paid + fee > cash or r.ticker in open_in:
-                continue
-            got = shares * r.exit
-            pnl = (got - paid if r.direction == "LONG" else paid - got) - 2 * fee
-            cash -= paid + fee
-            heapq.heappush(due, (r.exit_day, r.trade_id, paid + pnl + fee, paid, r.ticker))
-            invested += paid
-            open_in.add(r.ticker)
-            out.append((r.portfolio_id, r.trade_id, r.ticker, r.direction, r.day, r.exit_day, shares, paid, got, pnl, pnl / paid * 100, cash))
+            account.close(r.day)
+            made = account.open(r.trade_id, r.ticker, r.direction, r.exit_day, r.entry, r.exit, r.confidence, r.predicted)
+            if made is not None:
+                out.append((r.portfolio_id, r.trade_id, r.ticker, r.direction, r.day, r.exit_day, *made[1]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRADE.split(", ")])
 
     return signals.groupBy("portfolio_id").applyInPandas(fold, TRADE)

@@ -105,6 +105,14 @@ def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{top}/table").drop("batch")
 
 
+def append_to(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """What is new since the last run is added to the table at ``target``; a batch that is run again writes the same folder again."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def invalidated(filings: DataFrame, touched: DataFrame, columns: list[str]) -> DataFrame:
     """Filings with cached columns emptied where their company was touched."""
     flag = touched.select("company_id").distinct().withColumn("_hit", F.lit(True))
