@@ -79,7 +79,7 @@ def test_job_table(spark, tmp_path):
         return ids.writeStream.queryName(name).foreachBatch(body).option("checkpointLocation", f"{tmp_path}/{name}").trigger(**trigger).start()
 
     with jobs.JobRuns(spark, f"{tmp_path}/log") as watch:
-        good, again, bad = (start(n, b, availableNow=True) for n, b in (("good", lambda b, n: None), ("again", lambda b, n: None), ("bad", fail)))
+        good, again, bad = (start(n, b, availableNow=True) for n, b in (("good", lambda b, n: b.count()), ("again", lambda b, n: b.count()), ("bad", fail)))
         still = start("still", lambda b, n: None, processingTime="1 day")
         good.awaitTermination(), again.awaitTermination()
         with pytest.raises(StreamingQueryException):
