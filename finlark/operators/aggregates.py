@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per
+from finlark.operators.order import grouped_quantiles, order_statistics
 
 RANGES = 256
 
@@ -61,46 +60,11 @@ def winsorised_at(rows: DataFrame, column: str, low: float = 0.01, high: float =
     return rows.withColumn(f"{column}_clipped", F.greatest(F.lit(least), F.least(F.lit(most), F.col(column))))
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float], *, probes: int = 2048) -> list[float | None]:
-    """Exact quantiles, straight between neighbours; null if there are no values.
-
-    Rounds of histograms: the bucket that holds a wanted place is cut into ``probes`` buckets again, until it holds one value. A round
-    sends a few thousand counts to the driver, and no task sees more than its own rows.
-    """
-    data = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n, low, high = data.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(shares)
-    places = {k for p in shares for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
-    values: dict[int, float] = {}
-    spans = {(low, high, 0): sorted(places)}
-    while spans:
-        listed = list(spans)
-        number, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for i, (a, b, _) in enumerate(listed):
-            inside = F.col("v").between(a, b)
-            number = F.when(inside, i).otherwise(number)
-            bucket = F.when(inside, F.least(F.lit(probes - 1), F.floor((F.col("v") - a) / (b - a) * probes)).cast("int") if b > a else F.lit(0)).otherwise(bucket)
-        counts = data.select(number.alias("i"), bucket.alias("b"), "v").where("i is not null").groupBy("i", "b").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect()
-        found: dict[tuple[float, float, int], list[int]] = {}
-        for i, span in enumerate(listed):
-            below, own = span[2], iter(sorted((r for r in counts if r.i == i), key=lambda r: r.b))
-            r = next(own)
-            for k in spans[span]:
-                while below + r.n <= k:
-                    below, r = below + r.n, next(own)
-                if r.a == r.z:
-                    values[k] = r.a
-                else:
-                    found.setdefault((r.a, r.z, below), []).append(k)
-        spans = found
-
-    def between(p: float) -> float:
-        at = (n - 1) * p
-        a, b = math.floor(at), math.ceil(at)
-        return values[a] if a == b else (b - at) * values[a] + (at - a) * values[b]
-
-    return [between(p) for p in shares]
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, straight between neighbours; null if there are no values. Nulls and NaN are none; infinities are the ends of the order."""
+    names = [f"q{i}" for i in range(len(shares))]
+    found = grouped_quantiles(rows, [], F.col(column), shares, names).first()
+    return [None] * len(shares) if found is None else [found[n] for n in names]
 
 
 def sweep(rows: DataFrame, thresholds: list[float], *, confidence: str, predicted: str, actual: str) -> DataFrame:
@@ -135,9 +99,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 def upper_median(rows: DataFrame, group: str, value: Column) -> DataFrame:
     """The element at place floor(n / 2) of each group's ascending values."""
-    w = Window.partitionBy(group)
-    placed = rows.select(group, value.alias("v")).withColumns({"i": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    return placed.where(F.col("i") == F.floor(F.col("n") / 2)).select(group, F.col("v").alias("median"))
+    return order_statistics(rows, [group], value, lambda n: [F.floor(n / 2)]).select(group, F.col("at")[0].alias("median"))
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -7,11 +7,11 @@ key; a series is one instrument's history.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per, percent_change
+from finlark.operators.order import ranked_within
 
 
 def series(key: str = "ticker", time: str = "date") -> WindowSpec:
@@ -62,7 +62,7 @@ def indicators(prices: DataFrame, *, key: str = "ticker", time: str = "date") ->
 
 
 def ema(values: np.ndarray, n: int) -> np.ndarray:
-    """Seeded with the mean of the first n values; none before the n-th."""
+    """Of one series in memory: seeded with the mean of the first n values; none before the n-th."""
     out = np.full(len(values), np.nan)
     if len(values) >= n:
         out[n - 1] = values[:n].mean()
@@ -72,16 +72,57 @@ def ema(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def macd(prices: DataFrame, *, key: str = "ticker", time: str = "date", fast: int = 12, slow: int = 26, least: int = 35) -> DataFrame:
-    """key, time, ema_fast, ema_slow and macd (from the ``least``-th row on). The recursion runs along one series a task."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(time, ignore_index=True)
-        a, b = ema(rows["close"].to_numpy(float), fast), ema(rows["close"].to_numpy(float), slow)
-        made = np.where(np.arange(len(rows)) >= least - 1, a - b, np.nan)
-        return pd.DataFrame({key: rows[key], time: rows[time], "ema_fast": pd.Series(a).astype(object).where(~np.isnan(a), None), "ema_slow": pd.Series(b).astype(object).where(~np.isnan(b), None), "macd": pd.Series(made).astype(object).where(~np.isnan(made), None)})
+BLOCK = 256  # rows whose maps are composed by one window, and blocks by one fold
+
+
+def composed(maps: Column) -> Column:
+    """One map a x + b for an array of maps, applied in order."""
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(maps, one, lambda m, x: F.struct((m["a"] * x["a"]).alias("a"), (m["b"] * x["a"] + x["b"]).alias("b")))
+
+
+def positions(rows: DataFrame, *, key: str, time: str) -> DataFrame:
+    """``rows`` in blocks of up to BLOCK in order of time: _part and _block (together ascending), and _i, the row's place in its series, from 0 on."""
+    placed = ranked_within(rows, [key], [F.col(time)], "_i", "_n").drop("_n").withColumn("_i", F.col("_i") - 1)
+    return placed.withColumn("_block", F.floor(F.col("_i") / BLOCK))
+
 
-    kinds = dict(prices.dtypes)
-    return prices.select(key, time, "close").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {time} {kinds[time]}, ema_fast double, ema_slow double, macd double")
+def moving_averages(rows: DataFrame, lengths: list[int], *, key: str, time: str, value: str) -> DataFrame:
+    """``rows`` with _i and ema<n> for each length: seeded with the mean of the first n values, null before the n-th.
+
+    A step x -> a x + b is a map, and maps compose: the first n rows add x / n each, later ones are (1 - k) e + k x. The maps of a
+    block of rows are composed by a window, those of blocks by folds over at most BLOCK of them and over what is left, so a series
+    of any length spreads over tasks. Rows without a value or time are left out.
+    """
+    placed = positions(rows.where(F.col(value).isNotNull() & F.col(time).isNotNull()), key=key, time=time)
+    start = F.col("_block") * BLOCK
+    w = Window.partitionBy(key, "_block").orderBy("_i")
+    made = placed
+    for n in lengths:
+        k = 2 / (n + 1)
+        # The product of the factors from the block's first row to this one; the sum of the addends, each freed of the factors up to it.
+        fell = F.greatest(F.lit(0), F.col("_i") - F.greatest(F.lit(n), start) + 1)
+        made = made.withColumn(f"_a{n}", F.pow(F.lit(1 - k), fell) if n > 1 else F.lit(1.0))
+        made = made.withColumn(f"_s{n}", F.sum(F.when(F.col("_i") < n, F.col(value) / n).otherwise(F.col(value) * k) / F.col(f"_a{n}")).over(w))
+    ends = [F.max_by(F.struct(F.col(f"_a{n}").alias("a"), (F.col(f"_a{n}") * F.col(f"_s{n}")).alias("b")), "_i").alias(f"_m{n}") for n in lengths]
+    blocks = made.groupBy(key, "_block").agg(*ends).withColumn("_super", F.floor(F.col("_block") / BLOCK))
+    before = Window.partitionBy(key, "_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({f"_p{n}": composed(F.collect_list(f"_m{n}").over(before)) for n in lengths})
+    whole = [F.max_by(F.struct((F.col(f"_p{n}.a") * F.col(f"_m{n}.a")).alias("a"), (F.col(f"_p{n}.b") * F.col(f"_m{n}.a") + F.col(f"_m{n}.b")).alias("b")), "_block").alias(f"_m{n}") for n in lengths]
+    supers = blocks.groupBy(key, "_super").agg(*whole)
+    first = Window.partitionBy(key).orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select(key, "_super", *[composed(F.collect_list(f"_m{n}").over(first))["b"].alias(f"_e{n}") for n in lengths])
+    entry = blocks.join(supers, [key, "_super"]).select(key, "_block", *[(F.col(f"_p{n}.a") * F.col(f"_e{n}") + F.col(f"_p{n}.b")).alias(f"_e{n}") for n in lengths])
+    out = made.join(entry, [key, "_block"])
+    value_of = lambda n: F.col(value).cast("double") if n == 1 else F.when(F.col("_i") >= n - 1, F.col(f"_a{n}") * (F.col(f"_e{n}") + F.col(f"_s{n}")))
+    return out.select(*rows.columns, "_i", *[value_of(n).alias(f"ema{n}") for n in lengths])
+
+
+def macd(prices: DataFrame, *, key: str = "ticker", time: str = "date", fast: int = 12, slow: int = 26, least: int = 35) -> DataFrame:
+    """key, time, ema_fast, ema_slow and macd (from the ``least``-th row on) of the rows with a price, by composed maps."""
+    made = moving_averages(prices.select(key, time, "close"), [fast, slow], key=key, time=time, value="close")
+    difference = F.when(F.col("_i") >= least - 1, F.col(f"ema{fast}") - F.col(f"ema{slow}"))
+    return made.select(key, time, F.col(f"ema{fast}").alias("ema_fast"), F.col(f"ema{slow}").alias("ema_slow"), difference.alias("macd"))
 
 
 def year_range(prices: DataFrame, *, key: str = "ticker", day: str = "day", days: int = 365, least: int = 20) -> DataFrame:
@@ -118,7 +159,6 @@ def change_of_rank(events: DataFrame, *, key: str, time: list[str], value: str)
 
 def every_nth(rows: DataFrame, *, bucket: str, order: list[Column], target: int) -> DataFrame:
     """A systematic sample: in each bucket every (n // target)-th row, then the first ``target``."""
-    w = Window.partitionBy(bucket)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
-    return ranked.where((F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < target)).drop("_i", "_n")
+    placed = ranked_within(rows, [bucket], order, "_rank", "_n")
+    step, i = F.greatest(F.lit(1), F.floor(F.col("_n") / target)), F.col("_rank") - 1
+    return placed.where((i % step == 0) & (F.floor(i / step) < target)).select(*rows.columns)

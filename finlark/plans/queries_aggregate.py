@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finlark.functions.math import binned
 from finlark.operators import aggregates as A
+from finlark.operators.order import grouped_quantiles
 from finlark.plans import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,7 +128,7 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A19_quantiles", "select filing_type, round(quantile_cont(value, 0.1), 6) as p10, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from filing group by 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.filings(spark, sf_dir).groupBy("filing_type").agg(*[F.percentile("value", p / 100).alias(f"p{p}") for p in (10, 50, 90)]))
+    return rounded(grouped_quantiles(B.filings(spark, sf_dir), ["filing_type"], F.col("value"), [0.1, 0.5, 0.9], ["p10", "p50", "p90"]).drop("n"))
 
 
 @query("A20_winsorised", "select filing_id, round(greatest(lo, least(hi, value)), 6) as value_clipped from filing, (select quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from filing)")
@@ -229,7 +230,8 @@ def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X9_data_quality", "select filing_type, count(*) as n, count(*) - count(distinct (company_id, day)) as repeats, count(distinct company_id) as companies, count(*) filter (abs(actual) > 7.5) as extreme, round(quantile_cont(actual, 0.05), 10) as p5, round(quantile_cont(actual, 0.95), 10) as p95, count(distinct concern) < 5 as suspicious from filing group by 1")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count("*").alias("n"), F.count_distinct("company_id", "day").alias("d"), F.count_distinct("company_id").alias("companies"), F.count_if(F.abs(F.col("actual")) > 7.5).alias("extreme"), F.percentile("actual", 0.05).alias("p5"), F.percentile("actual", 0.95).alias("p95"), (F.count_distinct("concern") < 5).alias("suspicious"))
+    made = B.filings(spark, sf_dir).groupBy("filing_type").agg(F.count("*").alias("n"), F.count_distinct("company_id", "day").alias("d"), F.count_distinct("company_id").alias("companies"), F.count_if(F.abs(F.col("actual")) > 7.5).alias("extreme"), (F.count_distinct("concern") < 5).alias("suspicious"))
+    made = made.join(grouped_quantiles(B.filings(spark, sf_dir), ["filing_type"], F.col("actual"), [0.05, 0.95], ["p5", "p95"]).drop("n"), "filing_type")
     return rounded(made.select("filing_type", "n", (F.col("n") - F.col("d")).alias("repeats"), "companies", "extreme", "p5", "p95", "suspicious"), 10)
 
 
@@ -241,6 +243,8 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("V14_distribution", "select coalesce(filing_type, 'all') as filing_type, coalesce(cast(year(filing_date) as varchar), 'all') as y, count(*) as n, count(*) filter (actual > 0) as up, round(quantile_cont(actual, 0.25), 10) as p25, round(quantile_cont(actual, 0.75), 10) as p75 from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))".replace("cast(year(filing_date) as varchar), 'all') as y", "yy, 'all') as y").replace("from filing group by grouping sets ((filing_type), (cast(year(filing_date) as varchar)))", "from (select *, cast(year(filing_date) as varchar) as yy from filing) group by grouping sets ((filing_type), (yy))"))
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.filings(spark, sf_dir).withColumn("y", F.year("filing_date").cast("string"))
-    made = rows.groupingSets([[F.col("filing_type")], [F.col("y")]], F.col("filing_type"), F.col("y")).agg(F.count("*").alias("n"), F.count_if(F.col("actual") > 0).alias("up"), F.percentile("actual", 0.25).alias("p25"), F.percentile("actual", 0.75).alias("p75"))
-    return rounded(made.fillna("all", ["filing_type", "y"]), 10)
+    sets = F.array(F.struct("filing_type", F.lit("all").alias("y")), F.struct(F.lit("all").alias("filing_type"), "y"))
+    each = rows.select("actual", F.explode(sets).alias("s")).select("actual", "s.*")
+    made = each.groupBy("filing_type", "y").agg(F.count("*").alias("n"), F.count_if(F.col("actual") > 0).alias("up"))
+    return rounded(made.join(grouped_quantiles(each, ["filing_type", "y"], F.col("actual"), [0.25, 0.75], ["p25", "p75"]).drop("n"), ["filing_type", "y"]), 10)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlark.operators.order import Pages, ranked, ranked_within
 from finlark.plans import bindings as B
 from finlark.plans import screener
+from finlark.streaming.ingest import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,7 +62,6 @@ asked("N17_operating_margin", "show companies with operating margin > 25", ["com
 asked("N18_undervalued", "show undervalued companies", ["company_id", "round(upside, 6) as upside", "total_count"], "select company_id, round((analyst_target_price - current_price) * 100.0 / current_price, 6) as upside, count(*) over () as total_count from company where current_price < analyst_target_price order by (analyst_target_price - current_price) * 100.0 / current_price desc, market_cap desc, company_id limit 50")
 asked("N19_volatile", "list volatile stocks", ["company_id", "beta"], "select company_id, beta from company where beta >= 1.3 order by beta desc, company_id limit 50")
 asked("N20_near_high", "find companies near 52-week high", ["company_id", "current_price", "fifty_two_week_high"], "select company_id, current_price, fifty_two_week_high from company where current_price > 0 and fifty_two_week_high > 0 and (fifty_two_week_high - current_price) / fifty_two_week_high * 100 <= 5 order by market_cap desc, company_id limit 50")
-asked("N23_fallback", "what a lovely day", ["fallback", "question"], "select true as fallback, 'what a lovely day' as question")
 
 
 @plain("N3_around_filing", ", last as (select company_id, max(filing_date) as filed from filing group by 1) select l.company_id, filed, max(ts) filter (ts < filed) as before_at, min(ts) filter (ts >= filed) as after_at, max_by(value, ts) filter (ts < filed) as before_value, min_by(value, ts) filter (ts >= filed) as after_value from last l join activity a on a.company_id = l.company_id group by 1, 2")
@@ -150,9 +152,24 @@ def both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plain("K9_rotating_slice", "select company_id from (select company_id, ntile(6) over (order by company_id) as slice, row_number() over (order by company_id) - 1 as i, count(*) over () as n from company) where i // cast(ceil(n / 6.0) as bigint) = 214 % 6")
 def rotating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sixth of the companies, in order of id, that a day of the year stands for; found by the ids at its two ends."""
-    rows = B.companies(spark, sf_dir).select("company_id")
-    n = rows.count()
-    size, slot = -(-n // 6), 214 % 6
-    ends = rows.orderBy("company_id").offset(slot * size).limit(size)
-    return ends
+    """The sixth of the companies, in order of id, that a day of the year stands for; found by rank."""
+    rows = ranked(B.companies(spark, sf_dir).select("company_id"), [F.col("company_id")])
+    size = F.ceil(F.col("n") / 6)
+    met = rows.join(F.broadcast(rows.agg(F.count("*").alias("n"))), F.lit(True))
+    return met.where(F.floor((F.col("rank") - 1) / size) == 214 % 6).select("company_id")
+
+
+@plain("K3_deep_pages", "select filing_id, value, total_count from (select filing_id, value, row_number() over (order by value desc, filing_id) - 1 as i, count(*) over () as total_count from filing) where i // 50 = total_count // 100 or i // 50 = (total_count - 1) // 50")
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle page and the last one of all filings by value; each reads one range or two of those written."""
+    rows = B.filings(spark, sf_dir).select("filing_id", "value")
+    held = Pages(rows, [F.col("value").desc(), F.col("filing_id")], f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}")
+    middle, last = held.total // 100 + 1, held.pages
+    return held.page(middle) if middle == last else held.page(middle).unionByName(held.page(last))
+
+
+@plain("W25_rank_by_size", "select company_id, row_number() over (order by market_cap desc, company_id) as rank, row_number() over (partition by sector order by market_cap desc, company_id) as sector_rank from company")
+def by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.col("market_cap").desc(), F.col("company_id")]
+    rows = ranked(B.companies(spark, sf_dir).select("company_id", "sector", "market_cap"), order)
+    return ranked_within(rows, ["sector"], order, "sector_rank").select("company_id", "rank", "sector_rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finlark.functions.math import cap_tier, half_up, per, winsorised
 from finlark.operators.aggregates import exact_quantiles
+from finlark.operators.order import grouped_quantiles
 
 #: Mean, deviation and weight of each feature for the global expert, in the model's order.
 GLOBAL = {
@@ -151,7 +152,7 @@ def walk_forward(rows: DataFrame, x: list[str], y: str, *, order: str, n: int =
 def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dict[str, int] | None = None) -> DataFrame:
     """The parameter table from rows with f_*, sector and a target: global, tier, sector and sector:tier experts.
 
-    The percentiles of the scores are approximate, to a ten-thousandth of the rows, so that no task holds all scores of an expert.
+    The percentiles of the scores are exact, by ``order_statistics``, so no task holds all scores of an expert. Experts are as many as sectors times tiers; their sums go to the driver.
     """
     least = least or {"sector": 50, "tier": 50, "both": 30}
     cols, p = [f"f_{f}" for f in FEATURES], len(FEATURES)
@@ -183,8 +184,8 @@ def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dic
     names = F.array(F.lit("global"), tier, "sector", F.when(F.col("sector").isNotNull(), F.concat_ws(":", "sector", tier)))
     met = rows.select(*cols, F.explode(names).alias("expert")).join(F.broadcast(fitted), "expert")  # a few hundred rows
     guess = sum(((F.col(c) - F.col("mean")[i]) / F.col("scale")[i] * F.col("weight")[i] for i, c in enumerate(cols)), F.lit(0.0))
-    bounds = met.groupBy("expert").agg(F.percentile_approx(guess, [0.1, 0.25, 0.75, 0.9], 10_000).alias("b"))
-    return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", *[F.col("b")[i].alias(q) for i, q in enumerate(("p10", "p25", "p75", "p90"))])
+    bounds = grouped_quantiles(met, ["expert"], guess, [0.1, 0.25, 0.75, 0.9], ["p10", "p25", "p75", "p90"]).drop("n")
+    return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", "p10", "p25", "p75", "p90")
 
 
 def tone_change(filings: DataFrame) -> DataFrame:
