@@ -238,11 +238,37 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("user_id").agg(F.count("*").alias("n"), F.min("filing_id").alias("first"), F.max("filing_id").alias("last"))
 
 
-@query("X12_context_rows", "select c.company_id, to_json({'ticker': ticker, 'pe': pe_ratio}) is not null as has, string_agg(filing_id, ',' order by k) as recent from company c join (select company_id, filing_id, row_number() over (partition by company_id order by filing_date desc, filing_id desc) as k from filing) f on f.company_id = c.company_id and k <= 3 group by all")
+CONTEXT = """, c as (select company_id, ticker, name, sector, market_cap, pe_ratio from company),
+f as (select *, case when filing_id % 5 <> 0 then concern end as level, case when filing_id % 4 <> 0 then actual end as came from filing),
+r as (select *, row_number() over (order by filing_date desc, filing_id desc) as newest, row_number() over (partition by company_id order by filing_date desc, filing_id desc) as of_company from f),
+sect as (select company_id, sector, row_number() over (partition by sector order by market_cap desc, company_id) as k from c),
+rows as (
+  select 'company' as kind, ticker as subject, of_company as place, filing_id from r join c using (company_id) where of_company <= 10
+  union all select 'high concern', 'all', row_number() over (order by filing_date desc, filing_id desc), filing_id from f where level >= 5 and came is not null qualify row_number() over (order by filing_date desc, filing_id desc) <= 20
+  union all select 'analysed', 'all', row_number() over (order by filing_date desc, filing_id desc), filing_id from f where level is not null qualify row_number() over (order by filing_date desc, filing_id desc) <= 20
+)
+select kind, subject, place, '{"filing_id":' || filing_id || ',"filing_type":"' || filing_type || '","filing_date":"' || strftime(filing_date, '%Y-%m-%d') || '"' || case when level is null then '' else ',"concern":' || level end || ',"company":{"ticker":"' || ticker || '","name":"' || name || '","sector":"' || sector || '"}}' as row
+from rows join f using (filing_id) join c using (company_id)
+union all select 'sector', sector, k, '{"ticker":"' || ticker || '","name":"' || name || '","sector":"' || sector || '"}' from sect join c using (company_id, sector) where k <= 50"""
+
+
+@query("X12_context_rows", CONTEXT)
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("company_id").orderBy(F.col("filing_date").desc(), F.col("filing_id").desc())
-    recent = B.filings(spark, sf_dir).select("company_id", "filing_id", F.row_number().over(w).alias("k")).where("k <= 3").groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "filing_id"))), lambda x: x["filing_id"].cast("string")), ",").alias("recent"))
-    return B.companies(spark, sf_dir).select("company_id", F.to_json(F.struct("ticker", F.col("pe_ratio").alias("pe"))).isNotNull().alias("has")).join(recent, "company_id")
+    """What a question's answer is given to read, as JSON: a company's ten newest filings, the newest of high concern and of those analysed, a sector's fifty largest companies."""
+    k = F.col("filing_id")
+    rows = B.filings(spark, sf_dir).withColumns({"concern": F.when(k % 5 != 0, F.col("concern")), "actual": F.when(k % 4 != 0, F.col("actual"))})
+    company = F.struct("ticker", "name", "sector")
+    firms = B.companies(spark, sf_dir).select("company_id", "ticker", "sector", "market_cap", company.alias("company"))
+    newest = [F.col("filing_date").desc(), F.col("filing_id").desc()]
+    top = lambda kept, n: kept.orderBy(*newest).limit(n)
+    place = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")
+    said = F.to_json(F.struct("filing_id", "filing_type", F.date_format("filing_date", "yyyy-MM-dd").alias("filing_date"), "concern", "company"))
+    one = rows.withColumn("place", place(["company_id"], newest)).where("place <= 10").withColumn("kind", F.lit("company"))
+    lists = [top(rows.where(bound), 20).withColumn("kind", F.lit(kind)).withColumn("place", place(["kind"], newest)) for kind, bound in (("high concern", "concern >= 5 and actual is not null"), ("analysed", "concern is not null"))]
+    met = one.unionByName(lists[0], allowMissingColumns=True).unionByName(lists[1], allowMissingColumns=True).join(firms, "company_id")
+    of_filings = met.select("kind", F.when(F.col("kind") == "company", F.col("ticker")).otherwise("all").alias("subject"), "place", said.alias("row"))
+    ranked = firms.withColumn("place", place(["sector"], [F.col("market_cap").desc(), F.col("company_id")])).where("place <= 50")
+    return of_filings.unionByName(ranked.select(F.lit("sector").alias("kind"), F.col("sector").alias("subject"), "place", F.to_json("company").alias("row")))
 
 
 @query("J5_revision_pair", SIDE + "select f.filing_id, max_by(p.close, p.day) filter (p.day between f.day - 93 and f.day - 87) as before, max_by(p.close, p.day) filter (p.day between f.day - 1 and f.day + 1) as now from f join price p on p.ticker = f.ticker and p.day between f.day - 93 and f.day + 1 group by 1")

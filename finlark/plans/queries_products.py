@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlark.operators import aggregates
 from finlark.operators.asof import asof_join
 from finlark.plans import bindings as B
-from finlark.plans import challenger, products
+from finlark.plans import challenger, products, scoring
 from finlark.plans.queries_aggregate import rounded
 from finlark.plans.queries_series import SIDE, sides
 
@@ -279,3 +280,27 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = products.training_set(filings, B.companies(spark, sf_dir), shots, moves, macro(spark, sf_dir))
     exact = {"f_price_to_low", "f_analyst_upside", "f_price_to_high"}
     return out.select(*[F.round(c, 8).alias(c) if c in exact else c for c in out.columns])
+
+
+WEIGHED = " + ".join(f"(f_{name} - {mean!r}::double) / {sd!r}::double * {w!r}::double" for name, (mean, sd, w) in scoring.GLOBAL.items())
+X5 = M10.replace("\nselect filing_id, sector, case", ", training as (select filing_id, sector, case") + f"""),
+scored as (select filing_id, target, floor(({WEIGHED}) * 10000 + 0.5) / 10000 as raw from training),
+r as (
+  select s.*, case when raw > 0.0288::double or raw < -0.029::double then 1 else 0 end as sure, filing_type, date_diff('day', cast(filing_date as date), date '2001-08-02') as age, filing_id % 2 = 0 and filing_id % 4 <> 0 as snap
+  from scored s join filing using (filing_id)
+),
+slices as (select *, unnest(['all', filing_type, case when age <= 365 then 'last 12 months' when age <= 730 then '12 to 24 months' else 'older' end, case when snap then 'snapshot' else 'current' end]) as slice from r)
+select slice, count(*) as n, round(coalesce(avg((sign(raw) = sign(target))::int) filter (raw <> 0), 0) * 100, 6) as direction, round(coalesce(avg((sign(raw) = sign(target))::int) filter (raw <> 0 and sure >= 0.8), 0) * 100, 6) as sure_direction,
+  round(coalesce(avg(target) filter (raw > 0), 0), 6) as long, round(coalesce(avg(target) filter (raw < 0), 0), 6) as short, round(coalesce(avg(target) filter (raw > 0), 0) - coalesce(avg(target) filter (raw < 0), 0), 6) as spread
+from slices group by 1"""
+
+
+@query("X5_alpha_backtest", X5)
+def alpha_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set scored and held against what came of it: overall, by form, by age in steps of 12 months, and with or without a snapshot's prices."""
+    made = scoring.score(training(spark, sf_dir), scoring.global_expert(spark)).select("filing_id", "target", "raw_score", F.when(F.col("confidence_label") == "high", 1.0).otherwise(0.0).alias("sure"))
+    k, age = F.col("filing_id"), F.date_diff(F.lit("2001-08-02").cast("date"), F.col("filing_date").cast("date"))
+    aged = F.when(age <= 365, "last 12 months").when(age <= 730, "12 to 24 months").otherwise("older")
+    slices = F.array(F.lit("all"), "filing_type", aged, F.when((k % 2 == 0) & (k % 4 != 0), "snapshot").otherwise("current"))
+    met = made.join(B.filings(spark, sf_dir).select("filing_id", "filing_type", "filing_date"), "filing_id").withColumn("slice", F.explode(slices))
+    return rounded(met.groupBy("slice").agg(F.count("*").alias("n"), *aggregates.alpha_statistics(F.col("raw_score"), F.col("target"), F.col("sure"))))

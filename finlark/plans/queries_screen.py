@@ -64,6 +64,20 @@ asked("N19_volatile", "list volatile stocks", ["company_id", "beta"], "select co
 asked("N20_near_high", "find companies near 52-week high", ["company_id", "current_price", "fifty_two_week_high"], "select company_id, current_price, fifty_two_week_high from company where current_price > 0 and fifty_two_week_high > 0 and (fifty_two_week_high - current_price) / fifty_two_week_high * 100 <= 5 order by market_cap desc, company_id limit 50")
 
 
+#: Questions put into some of the users' turns, the screens that answer them, and which of them name a bound.
+TURNS = [("show volatile stocks", "volatile"), ("find companies near 52-week high", "near_high"), ("List stocks with  pe under {k}", "pe"), ("show companies with market cap > {k}b and beta < 1", "compound"), ("get companies with market cap over {k}", "fallback"), ("what a lovely day {k}", "fallback")]
+ASKED = "case conv_id % 9 " + " ".join(f"when {i} then replace('{q}', '{{k}}', cast(turn + 5 as varchar(20)))" for i, (q, _) in enumerate(TURNS)) + " else text end"
+ANSWERED = "case conv_id % 9 " + " ".join(f"when {i} then '{name}'" for i, (_, name) in enumerate(TURNS)) + " else 'fallback' end"
+
+
+@plain("N23_fallback", f"select conv_id, turn, {ASKED} as question, {ANSWERED} as screen, {ANSWERED} = 'fallback' as fallback from conversations where role = 'user'")
+def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns of all conversations put to the dispatcher: which screen answers, or that none does."""
+    turns = B.table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = turns.select("conv_id", "turn", F.expr(ASKED.replace("varchar(20)", "string")).alias("question")).withColumn("screen", screener.routed(F.col("question")))
+    return said.withColumn("fallback", F.col("screen") == "fallback")
+
+
 @plain("N3_around_filing", ", last as (select company_id, max(filing_date) as filed from filing group by 1) select l.company_id, filed, max(ts) filter (ts < filed) as before_at, min(ts) filter (ts >= filed) as after_at, max_by(value, ts) filter (ts < filed) as before_value, min_by(value, ts) filter (ts >= filed) as after_value from last l join activity a on a.company_id = l.company_id group by 1, 2")
 def around(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = B.filings(spark, sf_dir).groupBy("company_id").agg(F.max("filing_date").alias("filed"))

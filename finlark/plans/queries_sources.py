@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlark.plans import bindings as B
-from finlark.sources import filings, market
+from finlark.sources import days, filings, market
 from finlark.streaming.ingest import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,9 +35,17 @@ def land(texts: DataFrame, alone: bool = False) -> str:
     return path
 
 
-def gathered(rows: DataFrame, item: Column, key: str, parts: int = 8) -> DataFrame:
+BUNDLE = 500  # items a document
+
+
+def parts_of(rows: DataFrame, key: str) -> Column:
+    """The document of a row, so that one has about BUNDLE rows however many there are."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // BUNDLE))))
+
+
+def gathered(rows: DataFrame, item: Column, key: str) -> DataFrame:
     """JSON arrays of ``item``, a row for each of some parts of the keys."""
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts))).agg(F.to_json(F.collect_list(item)).alias("value")).select("value")
+    return rows.groupBy(parts_of(rows, key)).agg(F.to_json(F.collect_list(item)).alias("value")).select("value")
 
 
 def accession(company: Column, filing: Column) -> Column:
@@ -85,16 +93,29 @@ def daily_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.daily_index(spark, land(head.unionByName(met.select(line.alias("value")))))
 
 
-@query("S9_index_days", "select cast(d as date) as day from (select unnest(generate_series(date '1995-01-01', date '1998-12-31', interval 1 day)) as d) where isodow(d) < 6")
+CAUGHT_UP = f"""select cast(filing_date as date) as day, true as found, lpad(company_id::varchar, 10, '0') as cik, filing_type, {ACCESSION} as accession_number from filing where filing_date >= date '1996-01-01' and filing_date < date '1996-04-01' and isodow(filing_date) < 6 and month(filing_date) * day(filing_date) % 4 <> 0
+union all select d, false, null, null, null from (select cast(unnest(generate_series(date '1996-01-01', date '1996-03-31', interval 1 day)) as date) as d) where isodow(d) < 6 and (month(d) * day(d) % 4 = 0 or d not in (select cast(filing_date as date) from filing))"""
+
+
+@query("S9_index_days", CAUGHT_UP)
 def index_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filings.index_days(spark, "1995-01-01", "1998-12-31")
+    """Indexes of the days of three months, of which some are missing, read by day; days without one come out as not found."""
+    met = B.filings(spark, sf_dir).where("filing_date >= '1996-01-01' and filing_date < '1996-04-01'").join(B.companies(spark, sf_dir).select("company_id", "name"), "company_id")
+    number = accession(F.col("company_id"), F.col("filing_id"))
+    line = F.concat_ws("|", F.col("company_id").cast("string"), "name", "filing_type", F.date_format("filing_date", "yyyyMMdd"), F.concat(F.lit("edgar/data/"), "company_id", F.lit("/"), number, F.lit(".txt")))
+    path = folder(spark)
+    there = met.where(F.month("filing_date") * F.dayofmonth("filing_date") % 4 != 0)
+    there.select(F.date_format("filing_date", "yyyyMMdd").alias("day"), line.alias("value")).repartition("day").write.partitionBy("day").text(path)
+    lines = days.catch_up(spark, path, "1996-01-01", "1996-03-31", "day=%Y%m%d")
+    rows = filings.index_rows(lines.where("found"), "day", "found").select("day", "found", "cik", "filing_type", "accession_number")
+    return rows.unionByName(days.skipped(lines).withColumn("found", F.lit(False)), allowMissingColumns=True)
 
 
 @query("S10_tickers", "select ticker, lpad(company_id::varchar, 10, '0') as cik, name as title from company")
 def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.companies(spark, sf_dir)
     item = F.struct(F.col("company_id").cast("string"), F.struct(F.col("company_id").alias("cik_str"), F.lower("ticker").alias("ticker"), F.col("name").alias("title")))
-    docs = rows.groupBy(F.pmod(F.xxhash64("company_id"), F.lit(8))).agg(F.to_json(F.map_from_entries(F.collect_list(item))).alias("value")).select("value")
+    docs = rows.groupBy(parts_of(rows, "company_id")).agg(F.to_json(F.map_from_entries(F.collect_list(item))).alias("value")).select("value")
     return filings.tickers(spark, land(docs, alone=True))
 
 
@@ -147,7 +168,7 @@ def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = rows.groupBy("ticker").agg(F.collect_list("p").alias("p"))
     quote = F.struct(*[F.col(f"p.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
     item = F.struct(F.struct(F.concat(F.lit("t"), "ticker").alias("symbol")).alias("meta"), F.col("p.timestamp").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
-    docs = each.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(8))).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("value")).select("value")
+    docs = each.groupBy(parts_of(each, "ticker")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("value")).select("value")
     return market.chart(spark, land(docs, alone=True)).select("ticker", "date", "open", "high", "low", "close", "volume")
 
 

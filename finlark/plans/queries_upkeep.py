@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,13 @@ from finlark.functions.text import is_weekday
 from finlark.operators import merge
 from finlark.operators.asof import asof_join, interval_aggregate
 from finlark.operators.windows import every_nth
+from finlark.operators.words import matches
 from finlark.plans import bindings as B
 from finlark.plans import portfolio
 from finlark.plans.queries_aggregate import rounded
 from finlark.plans.queries_series import SIDE, sides
+from finlark.sources import commits
+from finlark.streaming.ingest import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +114,32 @@ def all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert_whole(rows.select("company_id", "market_cap"), delta, ["company_id"], F.col("valid"))
 
 
+@query("V30_S28_committed_together", "select 'company' as held, company_id as id, market_cap + case when company_id % 2 = 0 then 1 else 0 end as worth from company union all select 'filing', filing_id, value * case when filing_id % 3 = 0 then 2 else 1 end from filing where company_id % 11 <> 0 or filing_id % 3 = 0")
+def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables updated, deleted from and inserted into by one commit; a later commit that fails half-way, and one from an old version, change nothing."""
+    held = commits.Tables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
+    companies, rows = B.companies(spark, sf_dir).select("company_id", "market_cap"), B.filings(spark, sf_dir).select("filing_id", "company_id", "value")
+    first = held.commit({"company": companies, "filing": rows.where("filing_id % 3 <> 0")})
+    richer = merge.update_where(held.read("company"), F.col("company_id") % 2 == 0, {"market_cap": F.col("market_cap") + 1})
+    kept = held.read("filing").where("company_id % 11 <> 0")
+    second = held.commit({"company": richer, "filing": kept.unionByName(rows.where("filing_id % 3 = 0").withColumn("value", F.col("value") * 2))})
+    worse = held.read("company").withColumn("market_cap", F.lit(0.0))
+    for changes, base in (({"company": worse, "filing": held.read("filing").withColumn("value", F.raise_error(F.lit("half-way")).cast("double"))}, second), ({"company": worse}, first)):
+        try:
+            held.commit(changes, base=base)
+        except (commits.Conflict, SparkRuntimeException):
+            pass
+    return held.read("company").select(F.lit("company").alias("held"), F.col("company_id").alias("id"), F.col("market_cap").alias("worth")).unionByName(held.read("filing").select(F.lit("filing").alias("held"), F.col("filing_id").alias("id"), F.col("value").alias("worth")))
+
+
+@query("P7_P17_words_in_names", ", w as (select distinct substr(p_name, 2, 4) as word from part union select split_part(p_name, ' ', 2) from part union select 'no such word'), n as (select distinct p_name as name from part) select word, name from w join n on contains(name, word)")
+def words_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the parts' names, and the names that hold them, by the index of grams."""
+    names = B.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    words = names.select(F.explode(F.array(F.substring("name", 2, 4), F.split_part("name", F.lit(" "), F.lit(2)), F.lit("no such word"))).alias("word"))
+    return matches(words, "word", names, "name")
+
+
 @query("F24_weekdays", "select filing_id, isodow(filing_date) < 6 as weekday from filing")
 def weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.filings(spark, sf_dir).select("filing_id", is_weekday(F.col("filing_date")).alias("weekday"))

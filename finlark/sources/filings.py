@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlark.functions.text import basename, cik10, filing_url
+from finlark.sources.xml import elements
 
 RECENT = ["accessionNumber", "filingDate", "reportDate", "form", "primaryDocument"]
 SUBMISSIONS = f"cik string, name string, tickers array<string>, filings struct<recent:struct<{','.join(f'{c}:array<string>' for c in RECENT)}>>, _corrupt string"
@@ -28,21 +29,31 @@ def submissions(spark: SparkSession, path: str, forms: list[str] | None = None,
     )
 
 
+ENTRY = "title string, updated string, id string, summary string, link array<struct<_href:string>>"
+
+
 def feed(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of current-filings Atom files: form, company, cik, accession, filing date and link."""
-    raw = spark.read.option("wholetext", True).text(path)
-    entry = raw.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry>(.*?)</entry>"), F.lit(1))).alias("e"))
-    title = F.regexp_extract("e", r"(?s)<title>(.*?)</title>", 1)
-    at = lambda k: F.regexp_extract(title, r"^([^-]+(?:-[A-Z0-9]+)?)\s+-\s+(.+?)\s*\((\d+)\)", k)
-    link = F.regexp_extract("e", r'<link[^>]*href="([^"]*)"', 1)
-    return entry.select(F.trim(at(1)).alias("filing_type"), at(2).alias("company_name"), cik10(at(3)).alias("cik"), F.nullif(F.regexp_extract("e", r"(\d{10}-\d{2}-\d{6})", 1), F.lit("")).alias("accession_number"), F.to_date(F.substring_index(F.regexp_extract("e", r"<updated>(.*?)</updated>", 1), "T", 1)).alias("filing_date"), link.alias("filing_url"), at(3).alias("_cik")).where("_cik <> ''").drop("_cik")
+    """Entries of current-filings Atom files: form, company, cik, accession, filing date and link.
+
+    Files are read in splits, an entry a row; entries that are no XML, and those whose title names no company, give no rows.
+    """
+    entry = elements(spark, path, "entry", ENTRY).where("corrupt is null")
+    at = lambda k: F.regexp_extract("title", r"^([^-]+(?:-[A-Z0-9]+)?)\s+-\s+(.+?)\s*\((\d+)\)", k)
+    link = F.coalesce(F.try_element_at("link", F.lit(1))["_href"], F.lit(""))
+    number = F.nullif(F.regexp_extract(F.concat_ws(" ", "id", "summary", "title", link), r"(\d{10}-\d{2}-\d{6})", 1), F.lit(""))
+    return entry.select(F.trim(at(1)).alias("filing_type"), at(2).alias("company_name"), cik10(at(3)).alias("cik"), number.alias("accession_number"), F.to_date(F.substring_index("updated", "T", 1)).alias("filing_date"), link.alias("filing_url"), at(3).alias("_cik")).where("_cik <> ''").drop("_cik")
 
 
 def daily_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of daily form indexes: five fields between bars; header lines and error pages fall away."""
+    return index_rows(spark.read.text(path))
+
+
+def index_rows(lines: DataFrame, *beside: str) -> DataFrame:
+    """The rows among the lines (value) of daily indexes, with the columns beside them."""
     part = F.split("value", r"\|")
-    rows = spark.read.text(path).where((F.size(part) == 5) & F.col("value").rlike(r"^\d+\|"))
-    return rows.select(cik10(part[0]).alias("cik"), part[1].alias("company_name"), part[2].alias("filing_type"), F.to_date(part[3], "yyyyMMdd").alias("filing_date"), F.replace(basename(part[4]), F.lit(".txt"), F.lit("")).alias("accession_number"), F.concat(F.lit("https://www.sec.gov/Archives/"), part[4]).alias("filing_url"))
+    rows = lines.where((F.size(part) == 5) & F.col("value").rlike(r"^\d+\|"))
+    return rows.select(*beside, cik10(part[0]).alias("cik"), part[1].alias("company_name"), part[2].alias("filing_type"), F.to_date(part[3], "yyyyMMdd").alias("filing_date"), F.replace(basename(part[4]), F.lit(".txt"), F.lit("")).alias("accession_number"), F.concat(F.lit("https://www.sec.gov/Archives/"), part[4]).alias("filing_url"))
 
 
 def index_days(spark: SparkSession, first: str, last: str) -> DataFrame:

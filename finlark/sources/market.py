@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlark.sources.xml import elements
+
 CHART = "chart struct<result:array<struct<meta:struct<symbol:string>,timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<bigint>>>>>>>"
 
 
@@ -51,10 +53,10 @@ def earnings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def news(spark: SparkSession, path: str) -> DataFrame:
-    """Titles of RSS items, split into title and publisher at the first dash between spaces."""
-    item = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("i"))
-    title = F.regexp_extract("i", r"(?s)<title>(.*?)</title>", 1)
-    return item.select(F.regexp_extract(title, r"^(.+?)\s*-\s*(.+?)$", 1).alias("title"), F.regexp_extract(title, r"^(.+?)\s*-\s*(.+?)$", 2).alias("publisher"), F.regexp_extract("i", r"<link>(.*?)</link>", 1).alias("link"))
+    """Titles of RSS items, split into title and publisher at the first dash between spaces. Files are read in splits, an item a row."""
+    item = elements(spark, path, "item", "title string, link string").where("corrupt is null")
+    part = lambda k: F.coalesce(F.regexp_extract("title", r"^(.+?)\s*-\s*(.+?)$", k), F.lit(""))
+    return item.select(part(1).alias("title"), part(2).alias("publisher"), F.coalesce("link", F.lit("")).alias("link"))
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

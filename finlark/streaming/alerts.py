@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finlark.operators.words import matches
+
 
 def matched(events: DataFrame, rules: DataFrame, *, key: str = "filing_id", level: str = "concern", name: str = "sector") -> DataFrame:
     """Events with a level of at least ``least`` whose name holds the rule's word (or any, if it has none).
 
-    Rules: user_id, rule, word and least. The different names, a few dozen, meet the different words first, so events
-    meet rules in an equi-join on the name, however many rules there are. Of a user's rules the lowest number wins.
+    Rules: user_id, rule, word and least. Words find names by an inverted index, and events meet rules in equi-joins on names
+    and words, however many there are. Of a user's rules the lowest number wins.
     """
-    # Names and words share a made-up key: both are short lists of different values.
-    names = events.select(F.col(name).alias("_name")).distinct().withColumn("_all", F.lit(1))
-    words = rules.select(F.col("word").alias("_word")).distinct().withColumn("_all", F.lit(1))
-    pairs = names.join(words, "_all").where("_word is null or contains(_name, _word)").select("_name", "_word")
+    pairs = matches(rules.select(F.col("word").alias("_word")), "_word", events.select(F.col(name).alias("_name")), "_name")
     worded = rules.join(pairs, F.col("word").eqNullSafe(F.col("_word"))).drop("_word")
     hit = events.join(worded, F.col(name).eqNullSafe(F.col("_name"))).drop("_name").where(F.col(level) >= F.col("least"))
     first = Window.partitionBy("user_id", key).orderBy("rule")
