@@ -10,6 +10,7 @@ expression itself. A rule without mandatory trigrams scans every text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,6 +143,41 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return posted.select(F.explode(F.concat(*each)).alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.collect_set("k.kind").alias("kinds"))
 
 
+def running(values: Column, start: Column, levels: int = 3) -> Column:
+    """For each number of an array ``start`` and the sum of those before it.
+
+    Appending copies an array, so sums are appended within blocks of BLOCK numbers, whose starts come from the blocks' sums in the
+    same way, over ``levels`` levels: linear for up to BLOCK ** levels numbers, and nearly so for some times as many.
+    """
+    def plain(numbers: Column, first: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+        return F.aggregate(numbers, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    if levels == 1:
+        return bound(values, lambda x: plain(x, start))
+
+    def over_blocks(numbers: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda i: F.slice(numbers, i * BLOCK + 1, BLOCK))
+
+        def zipped(parts: Column) -> Column:
+            sums = F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda t, v: t + v))
+            return F.flatten(F.zip_with(parts, running(sums, start, levels - 1), plain))
+
+        return F.when(F.size(numbers) <= BLOCK, plain(numbers, start)).otherwise(bound(blocks, zipped))
+
+    return bound(values, over_blocks)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+BLOCK = 64
+
+
 def spans_of(rule: Rule, text: Column, ordinal: int) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, ordinal, kind, end>>, in code points.
 
@@ -149,16 +185,15 @@ def spans_of(rule: Rule, text: Column, ordinal: int) -> Column:
     """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out"))
+    # The last gap, behind all matches, has no hit.
+    sizes = F.filter(F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("hit"), F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part")), lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(ordinal).alias("ordinal"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        starts = running(F.transform(found, lambda x: x["gap"] + x["hit"]), F.lit(0))
+        spans = F.zip_with(found, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(ordinal).alias("ordinal"), F.lit(rule.kind).alias("kind"), (at + x["gap"] + x["hit"]).alias("end"), x["part"].alias("part")))
+        return F.transform(F.filter(spans, lambda s: s["part"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["ordinal"].alias("ordinal"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return bound(sizes, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.expr(EMPTY)))
 
 
 EMPTY = "cast(array() as array<struct<start:int,ordinal:int,kind:string,end:int>>)"

@@ -69,6 +69,28 @@ def test_secrets_on_made_texts(spark):
         assert [(s.start, s.end) for s in r.spans if s.kind == "github"] == more
 
 
+def test_very_many_secrets_take_linear_time(spark):
+    """400,000 hits in one text, and as many matches that are too short; blocks of blocks give the same places as one pass."""
+    import time
+
+    hits = "0123456789abcdef01234567 zz " * 400_000
+    frame = spark.createDataFrame([(1, hits), (2, "token=abcdef " * 5000 + "token=ab " * 5000 + "é " + "0" * 24)], "doc_id long, text string").cache()
+    frame.count()
+    began = time.monotonic()
+    got = {r.doc_id: r for r in secrets.scan(frame).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last"), F.expr("aggregate(spans, 0L, (t, s) -> t + s.start)").alias("sum")).collect()}
+    assert time.monotonic() - began < 60
+    assert (got[1].n, got[1].last.start, got[1].last.end, got[1]["sum"]) == (400_000, 28 * 399_999, 28 * 399_999 + 24, 28 * 400_000 * 399_999 // 2)
+    assert (got[2].n, got[2].last.kind, got[2].last.start) == (5001, "hex", 13 * 5000 + 9 * 5000 + 2)
+
+
+def test_running_sums_over_blocks(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.randrange(9) for _ in range(n)]) for i, n in enumerate((0, 1, 63, 64, 65, 128, 4097, 9000))]
+    got = spark.createDataFrame(rows, "i int, x array<int>").select("i", secrets.running(F.col("x"), F.lit(5), 2).alias("s")).collect()
+    for r in got:
+        assert r.s == [5 + sum(rows[r.i][1][:k]) for k in range(len(rows[r.i][1]))]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("abcd") == {frozenset({"abc", "bcd"})}
