@@ -137,6 +137,8 @@ def with_next(docs: DataFrame, key: str, parts: int) -> DataFrame:
     return home.select(*away.columns).unionByName(away).repartition(parts, "_range").sortWithinPartitions("_range", "_turn", key, "_tie", *rest)
 
 
+PART_BYTES, MOST_PARTS = 128 << 20, 10_000  # text of a key range, and how many ranges' bounds go with the plan
+
 EDITED = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_phrases bigint"
 
 
@@ -147,10 +149,12 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     first as many of the document next in order of the key (after the last:
     the first). A null text is empty; a lone document follows itself; rows
     of equal keys follow one another in order of a hash of their text; null keys come
-    first. Extra columns are ignored.
+    first. Extra columns are ignored. ``parts``: key ranges, by default one for PART_BYTES of text and as many as the session has partitions.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not parts:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, out = PhraseHasher(), None, []
@@ -175,8 +179,10 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
             tree: dict[int, int] = {}
             ends, node = phrases(keep, tree)
             if len(keep) < len(data):
-                whole = dict(tree)
-                more, last = phrases(data[len(keep) :], whole, node, len(keep))
+                before = len(tree)
+                more, last = phrases(data[len(keep) :], tree, node, len(keep))
+                while len(tree) > before:  # the tail's entries, newest first
+                    tree.popitem()
             else:
                 more, last = [], node
             all_ends = [*ends, *more, *([len(data)] if last else [])]
