@@ -151,3 +151,13 @@ coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS
 book AS (SELECT sha256(string_agg(array_to_string([e::BIGINT FOR e IN c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), book
 """
+
+FINGERPRINT_BASE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(after, length(t) // 4)) AS edited_sha256 FROM n
+"""
+
+SHARD_ROWS = """
+SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, 'bytes' AS law FROM documents
+"""

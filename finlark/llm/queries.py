@@ -110,9 +110,20 @@ def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.sum("n").alias("docs"), F.sum("b").alias("bytes"), F.count("*").alias("shards"), gapless, balanced)
 
 
+def fingerprint_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_fingerprint."""
+    return op8_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op9_sharding, row by row."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 QUERIES = {
     "op1_quality": op1_quality, "op2_pii": op2_pii, "op3_language": op3_language, "op4_secrets": op4_secrets, "op5_decontam": op5_decontam, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_fingerprint": op8_fingerprint,
     "op9_sharding": op9_sharding, "op10_neardup": op10_neardup, "op11_resample": op11_resample, "op12_vector_codes": op12_vector_codes, "op13_dedup": op13_dedup, "pii_base": pii_base, "lm_base": lm_base, "shard_balance": shard_balance,
+    "fingerprint_base": fingerprint_base, "shard_rows": shard_rows,
 }
 
-ORACLE_SQL = {"op4_secrets": oracles.OP4_SECRETS, "op10_neardup": oracles.OP10_NEARDUP, "op11_resample": oracles.OP11_RESAMPLE, "op12_vector_codes": oracles.op12_vector_codes(), "op13_dedup": oracles.OP13_DEDUP, "pii_base": oracles.PII_BASE, "lm_base": oracles.LM_BASE, "shard_balance": oracles.SHARD_BALANCE}
+ORACLE_SQL = {"op4_secrets": oracles.OP4_SECRETS, "op10_neardup": oracles.OP10_NEARDUP, "op11_resample": oracles.OP11_RESAMPLE, "op12_vector_codes": oracles.op12_vector_codes(), "op13_dedup": oracles.OP13_DEDUP, "pii_base": oracles.PII_BASE, "lm_base": oracles.LM_BASE, "shard_balance": oracles.SHARD_BALANCE, "fingerprint_base": oracles.FINGERPRINT_BASE, "shard_rows": oracles.SHARD_ROWS}

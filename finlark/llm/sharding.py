@@ -99,9 +99,9 @@ def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
 
     law ``bytes``: shards' sums of size differ from the mean by ``tolerance``
     of it, or by one row where rows are larger than that; ``rows``: the numbers
-    of rows are at most one apart, if no key and text repeats. slot: the row's
-    place in its shard, from 0 on, in sort order. Rows that repeat a key and a
-    text stay together. An empty table gives an empty one. Columns of the
+    of rows are at most one apart. slot: the row's place in its shard, from 0 on, in
+    sort order; where some rows repeat both key and text, equal texts are in order of
+    the rows' numbers instead of their keys, and are cut apart like others. An empty table gives an empty one. Columns of the
     added names are replaced; others are kept.
 
     Each shard is dealt to several tasks (``pieces`` in all) by further, looser splitters.
@@ -111,7 +111,15 @@ def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
     pieces = max(shards, pieces or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per = -(-pieces // shards)
     rows = with_sort_key(docs.drop("size", "text_crc32", "law", "shard", "slot", "_h", "_d"), key, text)
-    keys = cut(rows.select(F.col("_h").alias("h"), F.col("_d").alias("d"), (F.col("size") if law == "bytes" else F.lit(1).cast("bigint")).alias("w")))
+
+    def weighed() -> DataFrame:
+        return cut(rows.select(F.col("_h").alias("h"), F.col("_d").alias("d"), (F.col("size") if law == "bytes" else F.lit(1).cast("bigint")).alias("w")))
+
+    keys = weighed()
+    if keys.groupBy("h", "d").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # Rows that repeat key and text are told apart by their number, so that they can be cut apart; the numbers are written with the rows.
+        rows = cut(rows.withColumn("_d", F.monotonically_increasing_id()))
+        keys = weighed()
     total = keys.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     share = total / (shards * per)
     near = {True: share * per * tolerance if law == "bytes" else 0, False: share * 0.2}

@@ -558,6 +558,34 @@ def test_rows_law_and_a_hot_text(spark):
     assert sum(len(v) > 1 for v in where.values()) <= 8
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_repeated_rows_are_cut_apart(spark, law):
+    """A third of all rows repeat key and text, another third have no key."""
+    rows = [(7, "again and again")] * 200 + [(None, "no key")] * 200 + [(i, f"text {i}") for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 8, law=law).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += 1 if law == "rows" else r.size
+    assert len(got) == 600 and len(sums) == 8
+    assert max(sums.values()) - min(sums.values()) <= (1 if law == "rows" else 2 * 16)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_fingerprint_of_very_long_texts(spark):
+    """The dictionary is undone, not copied, and two ranges give what one gives."""
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefgh ij") for _ in range(400_000))
+    rows = [(1, long), (2, long[:300_000] + "x" * 100_000), (3, "short"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r for r in fingerprint.compare_edits(frame, parts=k).collect()} for k in (1, 2))
+    assert one == two
+    edited = long[:300_000] + rows[1][1][:100_000]
+    hasher = fingerprint.PhraseHasher()
+    assert one[1].edited_fingerprint == fingerprint.fingerprint_of(edited.encode(), fingerprint.parse(edited.encode()), hasher)
+    assert one[1].fingerprint == fingerprint.fingerprint_of(long.encode(), fingerprint.parse(long.encode()), hasher) and one[1].near_next > 0.4
+
+
 def test_shards_odd_rows(odd, none):
     got = sharding.shard(odd.drop("shard", "size"), 4)
     rows = got.collect()
