@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per
-from finlark.operators.order import grouped_quantiles, order_statistics
+from finlark.operators.order import CELLS, grouped_quantiles, order_statistics
 
 RANGES = 256
 
@@ -60,10 +60,10 @@ def winsorised_at(rows: DataFrame, column: str, low: float = 0.01, high: float =
     return rows.withColumn(f"{column}_clipped", F.greatest(F.lit(least), F.least(F.lit(most), F.col(column))))
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles, straight between neighbours; null if there are no values. Nulls and NaN are none; infinities are the ends of the order."""
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], *, probes: int = CELLS) -> list[float | None]:
+    """Exact quantiles, straight between neighbours; null if there are no values. Nulls and NaN are none; infinities are the ends of the order. probes: see ``order_statistics``."""
     names = [f"q{i}" for i in range(len(shares))]
-    found = grouped_quantiles(rows, [], F.col(column), shares, names).first()
+    found = grouped_quantiles(rows, [], F.col(column), shares, names, probes).first()
     return [None] * len(shares) if found is None else [found[n] for n in names]
 
 

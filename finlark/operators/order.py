@@ -39,47 +39,52 @@ def beside(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(F.broadcast(named) if small else named, same).drop(*[f"_by{i}" for i in range(len(by))])
 
 
-def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Callable[[Column], list[Column]]) -> DataFrame:
+def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Callable[[Column], list[Column]], cells: int = CELLS) -> DataFrame:
     """by, n (values of the group) and at: for each wanted place (0 to n - 1, from n) the value there, in ascending order.
 
     Nulls and NaN are no values; infinities are the least and the greatest. Groups without values give no row. The values are exact.
+    cells: points of the sketch between a bracket's ends, 8 at least. What lies strictly inside a bracket is some 3 / cells of
+    what lay inside the one before, however often the ends repeat, so the rounds come to an end.
     """
+    cells, accuracy = max(8, cells), max(ACCURACY, 4 * cells)
     data = rows.select(*by, value.cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    points = [i / CELLS for i in range(CELLS + 1)]
-    first = data.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", points, ACCURACY).alias("_g"))
+    points = [i / cells for i in range(cells + 1)]
+    first = data.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_g"))
     wanted = cut((first if by else first.where("_n > 0")).withColumn("_k", F.array(*[p.cast("bigint") for p in places(F.col("_n"))])))
     if not wanted.limit(1).count():
         return wanted.select(*by, F.col("_n").alias("n"), F.array().cast("array<double>").alias("at"))
     count = wanted.select(F.size("_k")).first()[0]
 
     def cell(grid: Column, n: Column, k: Column, side: int) -> Column:
-        at = F.floor(k * F.lit(CELLS) / F.greatest(n, F.lit(1))).cast("int")
-        return F.element_at(grid, F.least(F.lit(CELLS), F.greatest(F.lit(0), at + side)) + 1)
+        at = F.floor(k * F.lit(cells) / F.greatest(n, F.lit(1))).cast("int")
+        return F.element_at(grid, F.least(F.lit(cells), F.greatest(F.lit(0), at + side)) + 1)
 
-    def brackets(known: DataFrame, inside: Callable[[int], tuple[Column, Column, Column]]) -> DataFrame:
-        ends = [inside(i) for i in range(count)]
-        low = F.array(*[cell(g, n, k, -1) for g, n, k in ends])
-        return known.select(*by, "_n", "_k", low.alias("_low"), F.array(*[cell(g, n, k, 2) for g, n, k in ends]).alias("_high"))
+    def brackets(known: DataFrame, ends: list[tuple[Column, Column]]) -> DataFrame:
+        return known.select(*by, "_n", "_k", F.array(*[low for low, _ in ends]).alias("_low"), F.array(*[high for _, high in ends]).alias("_high"))
 
     small = not wanted.where(F.col("_n") > FEW).limit(1).count()
     if small:
         every = [F.array(*[F.lit(x).cast("double")] * count) for x in (float("-inf"), float("inf"))]
         known = counted = wanted.select(*by, "_n", "_k", every[0].alias("_low"), every[1].alias("_high"), *[F.lit(0).cast("bigint").alias(f"_u{i}") for i in range(count)])
     else:
-        known = cut(brackets(wanted, lambda i: (F.col("_g"), F.col("_n"), F.col("_k")[i])))
+        known = cut(brackets(wanted, [tuple(cell(F.col("_g"), F.col("_n"), F.col("_k")[i], side) for side in (-1, 2)) for i in range(count)]))
     while not small:
         met = beside(data, known.select(*by, "_low", "_high"), by)
         v = F.col("_v")
         each = []
         for i in range(count):
             low, high = F.col("_low")[i], F.col("_high")[i]
-            within = F.when((v >= low) & (v <= high), v)
-            each += [F.count_if(v < low).alias(f"_u{i}"), F.count(within).alias(f"_n{i}"), F.count_if((v > low) & (v < high)).alias(f"_m{i}"), F.percentile_approx(within, points, ACCURACY).alias(f"_g{i}")]
+            inner = F.when((v > low) & (v < high), v)
+            each += [F.count_if(v < low).alias(f"_u{i}"), F.count_if(v == low).alias(f"_t{i}"), F.count(inner).alias(f"_m{i}"), F.percentile_approx(inner, points, accuracy).alias(f"_g{i}")]
         counted = beside(known, cut(met.groupBy(*by).agg(*each)), by)
         wide = counted.where(" or ".join(f"_m{i} > {FEW}" for i in range(count))).limit(1).count()
         if not wide:
             break
-        known = cut(brackets(counted, lambda i: (F.col(f"_g{i}"), F.col(f"_n{i}"), F.col("_k")[i] - F.col(f"_u{i}"))))
+        narrower = []
+        for i in range(count):
+            low, high, m, place = F.col("_low")[i], F.col("_high")[i], F.col(f"_m{i}"), F.col("_k")[i] - F.col(f"_u{i}") - F.col(f"_t{i}")
+            narrower.append(tuple(F.when(place < 0, low).when(place >= m, high).otherwise(cell(F.col(f"_g{i}"), m, place, side)) for side in (-1, 2)))
+        known = cut(brackets(counted, narrower))
     ends = counted.select(*by, "_n", "_k", "_low", "_high", F.array(*[f"_u{i}" for i in range(count)]).alias("_u"))
     spread = beside(data, ends.select(*by, "_low", "_high"), by)
     inside = F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (F.col("_v") >= F.get("_low", i)) & (F.col("_v") <= F.get("_high", i)))
@@ -91,10 +96,10 @@ def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Call
     return listed.select(*by, F.col("_n").alias("n"), F.transform("_at", lambda x: x["_v"]).alias("at"))
 
 
-def grouped_quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float], names: list[str]) -> DataFrame:
+def grouped_quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float], names: list[str], cells: int = CELLS) -> DataFrame:
     """by, n and a column for each share: exact quantiles, straight between neighbours."""
     spot = lambda n, p: (n - 1) * F.lit(float(p))
-    found = order_statistics(rows, by, value, lambda n: [x for p in shares for x in (F.floor(spot(n, p)), F.ceil(spot(n, p)))])
+    found = order_statistics(rows, by, value, lambda n: [x for p in shares for x in (F.floor(spot(n, p)), F.ceil(spot(n, p)))], cells)
 
     def between(i: int, p: float) -> Column:
         at, a, b = spot(F.col("n"), p), F.col("at")[2 * i], F.col("at")[2 * i + 1]

@@ -42,6 +42,15 @@ def test_quantiles_by_group(spark, monkeypatch, few):
             assert r[f"q{i}"] == pytest.approx(want, rel=1e-12, nan_ok=True), (g, p)
 
 
+def test_places_beside_a_hot_value(spark, monkeypatch):
+    """Nearly all rows repeat the bracket's ends, and the wanted places lie between them."""
+    monkeypatch.setattr(O, "FEW", 5)
+    values = [0.0] * 4000 + [i / 100 for i in range(1, 60)] + [1.0] * 4000
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    shares = [0.4965, 0.5, 0.5001, 0.503]
+    assert A.exact_quantiles(frame, "v", shares, probes=8) == pytest.approx([plain_quantile(values, p) for p in shares])
+
+
 def test_quantiles_end_on_odd_numbers(spark):
     values = [float(i) for i in range(1000)] + [float("nan"), float("inf"), None, 1.7e308, -1.7e308]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
