@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS, ACCURACY = 256, 5000  # the sketch errs by 1 / ACCURACY of the rows, far under a cell
-FEW = 10_000  # different values that a bracket may hold at the end, and rows of a side that may be broadcast
+FEW = 10_000  # values that a bracket may hold inside at the end, and rows of a side that may be broadcast; groups of up to 25 times as many go without brackets
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Call
     cells, accuracy = max(8, cells), max(ACCURACY, 4 * cells)
     data = rows.select(*by, value.cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     points = [i / cells for i in range(cells + 1)]
-    first = data.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", points, accuracy).alias("_g"))
-    wanted = cut((first if by else first.where("_n > 0")).withColumn("_k", F.array(*[p.cast("bigint") for p in places(F.col("_n"))])))
+    counts = data.groupBy(*by).agg(F.count("*").alias("_n"))
+    wanted = cut((counts if by else counts.where("_n > 0")).withColumn("_k", F.array(*[p.cast("bigint") for p in places(F.col("_n"))])))
     if not wanted.limit(1).count():
         return wanted.select(*by, F.col("_n").alias("n"), F.array().cast("array<double>").alias("at"))
     count = wanted.select(F.size("_k")).first()[0]
@@ -59,16 +59,21 @@ def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Call
         at = F.floor(k * F.lit(cells) / F.greatest(n, F.lit(1))).cast("int")
         return F.element_at(grid, F.least(F.lit(cells), F.greatest(F.lit(0), at + side)) + 1)
 
+    def listed(hit: DataFrame) -> DataFrame:
+        made = hit.groupBy(*by, "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_at"))  # one a place
+        return made.select(*by, F.col("_n").alias("n"), F.transform("_at", lambda x: x["_v"]).alias("at"))
+
     def brackets(known: DataFrame, ends: list[tuple[Column, Column]]) -> DataFrame:
         return known.select(*by, "_n", "_k", F.array(*[low for low, _ in ends]).alias("_low"), F.array(*[high for _, high in ends]).alias("_high"))
 
-    small = not wanted.where(F.col("_n") > FEW).limit(1).count()
-    if small:
-        every = [F.array(*[F.lit(x).cast("double")] * count) for x in (float("-inf"), float("inf"))]
-        known = counted = wanted.select(*by, "_n", "_k", every[0].alias("_low"), every[1].alias("_high"), *[F.lit(0).cast("bigint").alias(f"_u{i}") for i in range(count)])
-    else:
-        known = cut(brackets(wanted, [tuple(cell(F.col("_g"), F.col("_n"), F.col("_k")[i], side) for side in (-1, 2)) for i in range(count)]))
-    while not small:
+    if not wanted.where(F.col("_n") > 25 * FEW).limit(1).count():
+        values = data.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+        placed = beside(values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))), wanted, by)
+        mine = F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (F.get("_k", i) >= F.col("_upto") - F.col("_c")) & (F.get("_k", i) < F.col("_upto")))
+        return listed(placed.select(*by, "_n", "_v", F.explode(mine).alias("_i")))
+    sketched = beside(wanted, cut(data.groupBy(*by).agg(F.percentile_approx("_v", points, accuracy).alias("_g"))), by)
+    known = cut(brackets(sketched, [tuple(cell(F.col("_g"), F.col("_n"), F.col("_k")[i], side) for side in (-1, 2)) for i in range(count)]))
+    while True:
         met = beside(data, known.select(*by, "_low", "_high"), by)
         v = F.col("_v")
         each = []
@@ -92,8 +97,7 @@ def order_statistics(rows: DataFrame, by: list[str], value: Column, places: Call
     upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v"))
     placed = beside(values.withColumn("_upto", upto), ends, by)
     hit = placed.withColumn("_r", F.get("_k", F.col("_i")) - F.get("_u", F.col("_i"))).where("_r >= _upto - _c and _r < _upto")
-    listed = hit.groupBy(*by, "_n").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_at"))  # one a place
-    return listed.select(*by, F.col("_n").alias("n"), F.transform("_at", lambda x: x["_v"]).alias("at"))
+    return listed(hit)
 
 
 def grouped_quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float], names: list[str], cells: int = CELLS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from finlark.functions.math import cap_tier, half_up, per, winsorised
 from finlark.operators.aggregates import exact_quantiles
-from finlark.operators.order import grouped_quantiles
+from finlark.operators.order import cut, grouped_quantiles
 
 #: Mean, deviation and weight of each feature for the global expert, in the model's order.
 GLOBAL = {
@@ -184,7 +184,8 @@ def train_experts(rows: DataFrame, y: str, *, penalty: float = 100.0, least: dic
     names = F.array(F.lit("global"), tier, "sector", F.when(F.col("sector").isNotNull(), F.concat_ws(":", "sector", tier)))
     met = rows.select(*cols, F.explode(names).alias("expert")).join(F.broadcast(fitted), "expert")  # a few hundred rows
     guess = sum(((F.col(c) - F.col("mean")[i]) / F.col("scale")[i] * F.col("weight")[i] for i, c in enumerate(cols)), F.lit(0.0))
-    bounds = grouped_quantiles(met, ["expert"], guess, [0.1, 0.25, 0.75, 0.9], ["p10", "p25", "p75", "p90"]).drop("n")
+    scores = cut(met.select("expert", guess.alias("score")))  # read by each round, so worked out once
+    bounds = grouped_quantiles(scores, ["expert"], F.col("score"), [0.1, 0.25, 0.75, 0.9], ["p10", "p25", "p75", "p90"]).drop("n")
     return fitted.join(bounds, "expert").select("expert", "mean", "std", "weight", "p10", "p25", "p75", "p90")
 
 
