@@ -12,8 +12,9 @@
 A large group (a band's, a family) is dealt into blocks. Each row goes to one
 of them, but for a few pivots that go to all and tie the blocks together. The rows of a large band
 go on as one family without comparing sketches, as a family need only hold all links.
-In a family rows already in one component need no comparison, so only those outside the
-largest component meet the other blocks, in a second pass.
+In a family rows already in one component need no comparison. Those of different components meet in a second pass
+if they share one of their rarest shingles, as links must: texts from one template that are alike
+but not linked don't, and stay out of it.
 
 A pair of likeness 0.85 misses all 25 bands of 5 rows with a chance of 4e-7,
 one of 0.8 with 5e-5, and the sketch's bound with one of about 1e-5.
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ SAMPLES = ROWS * BANDS
 BITS = 512
 BLOCK = 512  # rows
 BLOCK_SHINGLES = 1 << 22
+SIZE_STEP = 1.01  # ratio of neighbouring classes of set sizes
 PIVOTS = 16  # about so many rows of a large group go to all its blocks
 SLACK = 4.5  # standard errors of the sketch's estimate by which a pair may fall short
 FACTORS = (np.random.default_rng(20).integers(0, 2**63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -214,18 +217,64 @@ def dealt(rows: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     return rows.join(sizes, group).withColumns({"block": F.explode(places), "label": F.col("rep"), "guest": F.lit(False)}).drop("n", "least")
 
 
-def second_pass(rows: DataFrame, bare: DataFrame, sizes: DataFrame, found: DataFrame, group: str, kernel: Callable[[pa.Table, int], Near], percent: int) -> DataFrame | None:
-    """Edges between the rows outside a group's largest component and all the rest; none where there are no such rows."""
-    large = sizes.where("blocks > 1").select(group, "blocks")
+def sharing(rest: DataFrame, percent: int) -> DataFrame:
+    """Edges of trees over the rows of a family that share a shingle which a link between two labels cannot lack.
+
+    rest: rep, family, label and words. Sets that are linked have more in common than either leaves outside a certain
+    prefix, in any one order of shingles; so their prefixes meet. In the order of rarity within a
+    family prefixes mostly hold what sets one text apart. A prefix is the shorter the larger the other set is, so
+    it is taken anew for each class of sizes that a partner may have.
+    """
+
+    def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("words")
+        sizes = np.asarray(pc.binary_length(words)) // 8
+        flat = np.frombuffer(b"".join(words.to_pylist()), np.int64)
+        at = np.repeat(np.arange(batch.num_rows), sizes)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("rep", "family", "label")), pa.array(flat)], ["rep", "family", "label", "shingle"])
+
+    single = map_batches(rest.select("rep", "family", "label", "words"), unpacked, "rep bigint, family bigint, label bigint, shingle bigint")
+    counts = single.groupBy("family", "shingle").agg(F.count("*").alias("c"), (F.min("label") < F.max("label")).alias("ties"))
+    ordered = single.join(counts, ["family", "shingle"]).groupBy("family", "rep", "label").agg(F.array_sort(F.collect_list(F.struct("c", "shingle", "ties"))).alias("set"))
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
+
+    n = F.size("set")
+    least, most = F.ceil(n * percent / 100), F.floor(n * 100 / percent)
+    classed = ordered.select("*", n.alias("n"), size_class(n).alias("own"), least.alias("least"), F.explode(F.sequence(size_class(least), size_class(most))).alias("other"))
+    partner = F.greatest("least", F.floor(F.pow(F.lit(SIZE_STEP), "other")) - 1)  # no set of that class is smaller
+    common = F.ceil((F.col("n") + partner) * percent / (100 + percent) - 1e-6)
+    prefix = F.slice("set", F.lit(1), F.greatest(F.lit(0), F.col("n") - common + 1).cast("int"))
+    place = ["family", "low", "high", "shingle"]
+    entries = cut(classed.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.transform(F.filter(prefix, lambda x: x["ties"]), lambda x: x["shingle"])).alias("shingle"), "rep", "label", "own"))
+    both = (F.min("label") < F.max("label")) & (F.min("own") == F.col("low")) & (F.max("own") == F.col("high"))  # a partner is of the other class
+    met = entries.groupBy(*place).agg(F.min("rep").alias("a"), both.alias("both")).where("both").drop("both")
+    return entries.join(met, place).select("a", F.col("rep").alias("b")).where("a != b").distinct()
+
+
+def second_pass(held: DataFrame, members: DataFrame, sizes: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+    """Edges that the blocks of large families hid from each other; none where the first pass left one component each.
+
+    What may still be linked across components shares a shingle of both prefixes; the rows that do so fall into
+    parts, and in each the rows outside its largest component are compared with all the rest.
+    """
+    large = sizes.where("blocks > 1").select("family")
     if not large.limit(1).count():
         return None
-    roots = components(found).select(F.col("node").alias("rep"), "root")
+    roots = cut(components(found).select(F.col("node").alias("rep"), "root"))
     label = F.coalesce("root", "rep").alias("label")
-    parts = bare.join(large, group).join(roots, "rep", "left").groupBy(group, label).agg(F.count("*").alias("c"))
-    tops = parts.groupBy(group).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
-    tops = cut(tops.select(group, F.col("top.label").alias("main"), _blocks(F.col("n") - F.col("top.c")).alias("others")).join(large, group))
-    if not tops.limit(1).count():
+    labels = members.select("family", "rep").join(large, "family").join(roots, "rep", "left").select("family", "rep", label)
+    apart = labels.groupBy("family").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select("family")
+    rest = cut(labels.join(apart, "family"))
+    if not rest.limit(1).count():
         return None
+    edges = cut(sharing(held.join(rest.select("rep", "label"), "rep"), percent))
+    part = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("part"))
+    rows = held.drop("family").join(part, "rep").join(rest.select("rep", "label"), "rep")
+    by_label = rows.groupBy("part", "label").agg(F.count("*").alias("c"), F.sum(F.length("words") / 8).alias("s"))
+    tops = by_label.groupBy("part").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    tops = cut(tops.select("part", F.col("top.label").alias("main"), _blocks(F.col("n") - F.col("top.c")).alias("others"), _blocks(F.col("n"), F.col("s")).alias("blocks")))
     own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
 
     def at(block: Column, other: Column, guest: bool) -> Column:
@@ -233,9 +282,8 @@ def second_pass(rows: DataFrame, bare: DataFrame, sizes: DataFrame, found: DataF
 
     member = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: at(own, k, False))
     guest = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: at(k, F.pmod(F.xxhash64("rep"), "others").cast("int"), True))
-    rest = rows.join(tops, group).join(roots, "rep", "left").withColumn("label", label)
-    spread = rest.withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), member).otherwise(F.concat(member, guest)))).select(*rows.columns, "label", "at.*")
-    return cut(compared(spread, [group, "block", "other"], kernel, percent))
+    spread = rows.join(tops, "part").withColumn("at", F.explode(F.when(F.col("label") == F.col("main"), member).otherwise(F.concat(member, guest)))).select(*rows.columns, "at.*")
+    return cut(compared(spread, ["part", "block", "other"], by_sets, percent))
 
 
 def _blocks(n: Column, shingles: Column | None = None) -> Column:
@@ -266,7 +314,7 @@ def true_links(docs: DataFrame, members: DataFrame, percent: int, width: int) ->
     held = cut(map_batches(docs.join(members, "rep").select("rep", "sketch", "family", "text"), expand, "rep bigint, sketch binary, family bigint, words binary"))
     sizes = cut(members.groupBy("family").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.sum("n_shingles").alias("s")).select("family", "n", "least", _blocks(F.col("n"), F.col("s")).alias("blocks")))
     found = cut(compared(dealt(held, sizes, "family").drop("blocks"), ["family", "block"], by_sets, percent))
-    more = second_pass(held, members.select("family", "rep"), sizes, found, "family", by_sets, percent)
+    more = second_pass(held, members, sizes, found, percent)
     return found if more is None else found.unionByName(more)
 
 

@@ -673,6 +673,58 @@ def test_large_family_stays_in_proportion(spark):
     assert len(read) == 2 and max(read) < 25 * 6000 + 25 * 24 * 40 and read[1] < 6000 + 24 * 40  # all are tied in the first pass
 
 
+def test_texts_of_one_template_stay_out_of_the_second_pass(spark):
+    """400 common words and 45 of their own: alike (0.80), in one family, not linked; what is compared grows as the texts."""
+    from unittest import mock
+
+    base = " ".join(f"w{i}" for i in range(400))
+    own = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(44)), lambda k: F.concat(F.lit("x"), F.col("id"), F.lit("y"), k)))
+    read = {}
+    for n in (600, 1200):
+        counts = []
+
+        def counted(rows, keys, kernel, percent, was=neardup.compared, counts=counts):
+            counts.append(rows.count() if kernel is neardup.by_sets else 0)
+            return was(rows, keys, kernel, percent)
+
+        with mock.patch.object(neardup, "compared", counted), mock.patch.object(neardup, "BLOCK", 128):
+            got = groups_of(neardup.groups(spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(base), own).alias("text"))))
+        assert all(c == d and kept for d, (_, c, kept) in got.items()) and len(got) == n
+        read[n] = counts[1:]
+        assert counts[1] < n + 16 * 2 * (n // 128 + 1)  # the first pass: each text once, pivots once a block
+    assert all(sum(c[1:]) == 0 for c in read.values()), read
+
+
+def test_links_across_blocks_are_found(spark, monkeypatch):
+    """Texts of one base around the bound, in many small blocks with few pivots: the second pass finds what blocks hide."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        if i % 3:  # clusters that change a stretch in the same way, so that links cross blocks
+            at = 8 * (i % 17)
+            words[at : at + 12] = [f"c{i % 17}_{k}" for k in range(rng.choice([6, 12, 18]))]
+        words[rng.randrange(160) :][:1] = []
+        at = rng.randrange(len(words) - 12)
+        words[at : at + rng.randrange(12)] = [f"r{i}_{k}" for k in range(rng.randrange(14))]
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    found = []
+    monkeypatch.setattr(neardup, "second_pass", lambda *a, was=neardup.second_pass: found.append(was(*a)) or found[-1])
+    got = {d: c for d, (_, c, _) in groups_of(neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))).items()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert got == root
+    assert found and found[0] is not None and found[0].count()
+
+
 def test_sketch_bound_keeps_near_pairs():
     rnd = np.random.default_rng(0)
     bound, missed = neardup.most_bits(85), 0
