@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import heapq
+import itertools
 import pickle
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from finlark.llm.common import cut, free_name, map_batches, pair, with_fields
+from finlark.llm.common import cut, free_name, map_batches, mix
 
 FILTER_BITS = 26
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+WIDEST, SHORTEST = 64, 4  # characters of a piece that are hashed at most, and that one must have left
+MANY = 16  # items that may share a piece
 
 
 def lowered(text: str) -> str:
@@ -201,37 +205,67 @@ def search(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: s
     return map_batches(rest, run, schema)
 
 
-def hashed(text: str, width: int) -> np.ndarray:
-    """A 63-bit hash of the ``width`` characters from each place on."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = np.full(max(0, len(codes) - width + 1), width, np.uint64)
-    for k in range(width):
-        found = pair(found, codes[k : len(codes) - width + 1 + k])
-    return (found >> np.uint64(1)).astype(np.int64)
+def hashed(text: str, widths: Iterable[int]) -> Iterable[np.ndarray]:
+    """For each width 63-bit hashes of as many characters from each place on: differences of one running sum."""
+    codes = mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    powers, back = (np.full(len(codes) + 1, f, np.uint64) for f in (BASE, pow(BASE, -1, 1 << 64)))
+    powers[0] = back[0] = 1
+    with np.errstate(over="ignore"):
+        powers, back = np.cumprod(powers), np.cumprod(back)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers[:-1])))
+        for width in widths:
+            n = max(0, len(codes) - width + 1)
+            window = (sums[width : width + n] - sums[:n]) * back[:n]
+            yield (mix(window + np.uint64(width)) >> np.uint64(1)).astype(np.int64)
 
 
-def width_of(piece: int) -> int:
-    """The largest power of two up to a piece's length, at most 16: so many of its characters are hashed."""
-    return min(16, 1 << (piece.bit_length() - 1))
+def cuts(n: int, k: int) -> list[list[tuple[int, int]]]:
+    """Ways to cut n characters, or all but their beginning or end, into k + 1 pieces; the first is the whole.
 
+    Of any part of an item with k edits one piece occurs unchanged, so each way finds all.
+    """
+    found = [pieces(n, k)]
+    for eighths, end in itertools.product((1, 2, 3, 4), (False, True)):
+        part = n - n * eighths // 8
+        if part // (k + 1) >= SHORTEST:
+            found.append([(a + (0 if end else n - part), b + (0 if end else n - part)) for a, b in pieces(part, k)])
+    return found
 
-def with_candidates(docs: DataFrame, items: DataFrame, text: str, error_rate: float) -> DataFrame:
-    """docs with _candidates, the items (i, t) of which a piece may occur in the text.
 
-    Hashes of pieces are joined with hashes at all places of the texts. What has no counterpart is kept from the
-    exchange by a bitmap of 2**FILTER_BITS bits. Equal texts are searched once.
+def rarest_pieces(items: DataFrame, error_rate: float) -> DataFrame:
+    """h (hash of up to WIDEST characters of a piece), width and the item's p and q, of the way to cut it that fewest items share.
+
+    What many items have in common, a beginning say, would meet every text that holds it. Up to MANY items count as few.
     """
 
-    def of_items(batch: pa.RecordBatch) -> pa.Table:
-        at, found, widths = [], [], []
+    def of_items(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, ways, found, widths = [], [], [], []
         for n, t in enumerate(map(lowered, batch.column("t").to_pylist())):
-            for a, b in pieces(len(t), int(len(t) * error_rate)):
-                at.append(n)
-                widths.append(width_of(b - a))
-                found.append(hashed(t[a : a + widths[-1]], widths[-1])[0])
-        return pa.Table.from_batches([batch]).take(pa.array(at, pa.int64())).append_column("h", pa.array(found, pa.int64())).append_column("width", pa.array(widths, pa.int32()))
+            for way, cut_at in enumerate(cuts(len(t), int(len(t) * error_rate))):
+                for a, b in cut_at:
+                    at.append(n)
+                    ways.append(way)
+                    widths.append(min(b - a, WIDEST))
+                    found.append(next(iter(hashed(t[a : a + widths[-1]], [widths[-1]])))[0])
+        places = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("p").take(places), batch.column("q").take(places), pa.array(ways, pa.int32()), pa.array(found, pa.int64()), pa.array(widths, pa.int32())], ["p", "q", "way", "h", "width"])
+
+    every = cut(map_batches(items.select("p", "q", "t"), of_items, "p bigint, q bigint, way int, h bigint, width int").distinct())
+    shared = every.join(every.select("h", "p", "q").distinct().groupBy("h").agg(F.count("*").alias("c")), "h")
+    cost = F.ceil(F.log2(F.greatest(F.max("c"), F.lit(MANY))))
+    best = shared.groupBy("p", "q", "way").agg(cost.alias("cost")).groupBy("p", "q").agg(F.min(F.struct("cost", "way")).alias("best"))
+    return cut(every.join(best.select("p", "q", F.col("best.way").alias("way")), ["p", "q", "way"]).drop("way"))
 
-    held = cut(map_batches(items, of_items, with_fields(items, "h bigint, width int")).distinct())
+
+def with_candidates(docs: DataFrame, items: DataFrame, text: str, error_rate: float) -> DataFrame:
+    """docs with _candidates, the items (i, t) of which a piece may occur in the text.
+
+    Hashes of pieces are joined with hashes at all places of the texts. What has no counterpart is kept from the
+    exchange by a bitmap of 2**FILTER_BITS bits. Items go through the exchange by number; their texts come
+    once it is known where they are needed. Equal texts are searched once.
+    """
+    items = cut(items.select(F.xxhash64("i", "t").alias("p"), F.xxhash64("t", "i", F.lit(1)).alias("q"), "i", "t"))
+    held = rarest_pieces(items, error_rate)
     widths = [r.width for r in held.select("width").distinct().collect()]
     slot = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
     words = held.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << FILTER_BITS) - 1}L) & 63 as int))")).alias("bits")).toArrow()
@@ -242,8 +276,7 @@ def with_candidates(docs: DataFrame, items: DataFrame, text: str, error_rate: fl
     def of_docs(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, found = [], []
         for n, t in enumerate(batch.column("text").to_pylist()):
-            for width in widths:
-                h = hashed(lowered(t), width)
+            for h in hashed(lowered(t), widths):
                 at = h & ((1 << FILTER_BITS) - 1)
                 h = np.unique(h[(known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0])
                 rows.append(np.full(len(h), n))
@@ -253,6 +286,6 @@ def with_candidates(docs: DataFrame, items: DataFrame, text: str, error_rate: fl
 
     ids = [F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")]
     bodies = docs.where(F.length(text) > 0).select(*ids, F.col(text).alias("text"))
-    hits = map_batches(bodies, of_docs, "a bigint, b bigint, h bigint").distinct().join(held, "h")
-    near = hits.select("a", "b", "i", "t").distinct().groupBy("a", "b").agg(F.collect_list(F.struct("i", "t")).alias("_candidates"))
+    hits = map_batches(bodies, of_docs, "a bigint, b bigint, h bigint").distinct().join(held, "h").select("a", "b", "p", "q").distinct()
+    near = hits.join(items, ["p", "q"]).groupBy("a", "b").agg(F.collect_list(F.struct("i", "t")).alias("_candidates"))
     return docs.join(near, (ids[0] == near.a) & (ids[1] == near.b), "left").select(*[docs[c] for c in docs.columns], "_candidates")

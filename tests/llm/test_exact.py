@@ -209,6 +209,29 @@ def test_all_occurrences_in_one_window(spark):
         assert got == want
 
 
+def test_a_common_beginning_meets_few_texts(spark):
+    """600 items begin alike, and so do 300 texts: joined are those that may match, and both ways find the same."""
+    rnd = random.Random(5)
+
+    def tail():
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(90))
+
+    begin = "answer the following question in one word: "
+    items = [(i, begin + tail()) for i in range(600)]
+    rows = [(d, "so " + begin + tail()) for d in range(300)]
+    for d in range(300, 360):
+        chars = list(items[d][1])
+        for at in rnd.sample(range(len(chars)), 6):
+            chars[at] = rnd.choice(["", "#", chars[at] + "#"])
+        rows.append((d, "x" * (d % 7) + "".join(chars) + " and on"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    joined, plain = ({r.doc_id: sorted((m.item_id, m.distance, m.start, m.end) for m in r.matches) for r in decontam.search(docs, bench, block_chars=n).collect()} for n in (100, 1 << 22))
+    assert joined == plain and all(d in [m[0] for m in joined[d]] for d in range(300, 360))
+    near = decontam.with_candidates(docs, bench.selectExpr("item_id i", "text t"), "text", 0.0625)
+    assert near.selectExpr("sum(coalesce(size(_candidates), 0))").first()[0] < 3 * len(rows)
+
+
 def test_many_edited_copies_take_linear_time():
     item = "the quick brown fox jumps over the lazy dog and runs away from it"
     copy = item.replace("fox", "fax")
