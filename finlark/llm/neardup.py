@@ -229,13 +229,17 @@ def sharing(rest: DataFrame, percent: int) -> DataFrame:
     def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = batch.column("words")
         sizes = np.asarray(pc.binary_length(words)) // 8
-        flat = np.frombuffer(b"".join(words.to_pylist()), np.int64)
         at = np.repeat(np.arange(batch.num_rows), sizes)
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("rep", "family", "label")), pa.array(flat)], ["rep", "family", "label", "shingle"])
+        family = np.asarray(batch.column("family")).view(np.uint64)[at]
+        keys = pair(family, np.frombuffer(b"".join(words.to_pylist()), np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ("rep", "label")), pa.array(keys)], ["rep", "label", "shingle"])
 
-    single = map_batches(rest.select("rep", "family", "label", "words"), unpacked, "rep bigint, family bigint, label bigint, shingle bigint")
-    counts = single.groupBy("family", "shingle").agg(F.count("*").alias("c"), (F.min("label") < F.max("label")).alias("ties"))
-    ordered = single.join(counts, ["family", "shingle"]).groupBy("family", "rep", "label").agg(F.array_sort(F.collect_list(F.struct("c", "shingle", "ties"))).alias("set"))
+    # A shingle is one number with its family; should two share it, an order remains an order.
+    single = map_batches(rest.select("rep", "family", "label", "words"), unpacked, "rep bigint, label bigint, shingle bigint")
+    ties = (F.min("label") < F.max("label")).cast("int")
+    counts = single.groupBy("shingle").agg((2 * F.count("*") + ties).alias("order"))
+    sets = single.select("rep", "shingle").join(counts, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("order", "shingle"))).alias("set"))
+    ordered = sets.join(rest.select("rep", "label"), "rep")
 
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
@@ -246,8 +250,8 @@ def sharing(rest: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest("least", F.floor(F.pow(F.lit(SIZE_STEP), "other")) - 1)  # no set of that class is smaller
     common = F.ceil((F.col("n") + partner) * percent / (100 + percent) - 1e-6)
     prefix = F.slice("set", F.lit(1), F.greatest(F.lit(0), F.col("n") - common + 1).cast("int"))
-    place = ["family", "low", "high", "shingle"]
-    entries = cut(classed.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.transform(F.filter(prefix, lambda x: x["ties"]), lambda x: x["shingle"])).alias("shingle"), "rep", "label", "own"))
+    place = ["low", "high", "shingle"]
+    entries = cut(classed.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.transform(F.filter(prefix, lambda x: x["order"] % 2 == 1), lambda x: x["shingle"])).alias("shingle"), "rep", "label", "own"))
     both = (F.min("label") < F.max("label")) & (F.min("own") == F.col("low")) & (F.max("own") == F.col("high"))  # a partner is of the other class
     met = entries.groupBy(*place).agg(F.min("rep").alias("a"), both.alias("both")).where("both").drop("both")
     return entries.join(met, place).select("a", F.col("rep").alias("b")).where("a != b").distinct()
