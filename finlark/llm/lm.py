@@ -2,7 +2,7 @@
 
 The corpus is dealt by a hash of the row into blocks of bounded size, exchanged once in compressed pieces. The model is
 dealt into shards by a hash of an n-gram's first word; a word too frequent
-for one shard is spread over several by a hash of the second word. A block sends each shard
+for one shard is spread over several by a hash of the second word, a pair too frequent by a hash of the third. A block sends each shard
 that it has something for its distinct words, pairs and triples with their training
 counts, as sorted and compressed columns; a shard sums them up, builds its part of the trie and
 answers each block's entries in the block's own order; the block then scores
@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import itertools
 import mmap
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +194,17 @@ class Level:
 
 @dataclass(frozen=True)
 class Hot:
-    """Words too frequent for one shard: hashes (ascending), training counts, and over how many shards each is spread."""
+    """Words too frequent for one shard: hashes (ascending), training counts, and over how many shards each is spread.
+
+    And pairs too frequent for one, whose first word is such a word: its place and the follower in one key (ascending), and the same figures.
+    """
 
     words: np.ndarray
     counts: np.ndarray
     spread: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_spread: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def of(cls, rows: list[tuple[int, int]], limit: int) -> Hot:
@@ -213,6 +219,23 @@ class Hot:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
+    def with_pairs(self, keys: list[int], counts: list[int], limit: int) -> Hot:
+        order = np.argsort(np.array(keys, np.uint64))
+        counts = np.array(counts, np.int64)[order]
+        return replace(self, pairs=np.array(keys, np.uint64)[order], pair_counts=counts, pair_spread=-(-counts // limit))
+
+    def pair_place(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Place of each pair (ascending; place of its first word in ``words``, and follower); -1 where it isn't hot."""
+        found = np.full(len(pairs), -1)
+        if len(self.pairs) and len(pairs):
+            first = self.words[(self.pairs >> FOLLOWER_BITS).astype(np.int64)]
+            at = np.minimum(np.searchsorted(words, first), len(words) - 1)
+            keys = (at.astype(np.uint64) << FOLLOWER_BITS) | (self.pairs & FOLLOWER)
+            place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+            hit = (words[at] == first) & (pairs[place] == keys)
+            found[place[hit]] = np.flatnonzero(hit)
+        return found
+
 
 @dataclass
 class Trie:
@@ -230,11 +253,16 @@ class Trie:
         total = np.bincount(first, seen2, len(words))
         at = hot.place(words)
         total[at >= 0] = hot.counts[at[at >= 0]]
+        # Of a hot pair a shard may hold some followers only.
+        at = hot.pair_place(words, pairs)
+        seen2 = np.where(at >= 0, hot.pair_counts[at], seen2) if len(hot.pairs) else seen2
         keep2, keep3 = seen2 >= least, seen3 >= least
         share2 = (seen2[keep2] - discount) / total[first[keep2]]
         kept = np.bincount(first[keep2], share2, len(words))
         under = (triples >> FOLLOWER_BITS).astype(np.int64)
-        share3 = (seen3[keep3] - discount) / np.bincount(under, seen3, len(pairs))[under[keep3]]
+        total = np.bincount(under, seen3, len(pairs))
+        total[at >= 0] = hot.pair_counts[at[at >= 0]]
+        share3 = (seen3[keep3] - discount) / total[under[keep3]]
         left2 = 1 - np.bincount(under[keep3], share3, len(pairs))
         # A triple isn't seen more often than its pair, so its pair is kept too.
         number = (np.cumsum(keep2) - 1).astype(np.uint64)
@@ -297,23 +325,44 @@ class Block:
     def first(self) -> np.ndarray:
         return (self.pairs >> FOLLOWER_BITS).astype(np.int64)
 
-    def shares(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """What each shard gets, if anything: its number; places of words, their numbers of pairs, places of pairs, their numbers of triples, places of triples."""
-        home, first = shard_of(self.words, shards), self.first()
-        where, at = home[first], hot.place(self.words)[first]
+    def pair_homes(self, shards: int, hot: Hot) -> np.ndarray:
+        """The shard that answers for each pair: its first word's, or by follower where that is hot."""
+        first = self.first()
+        where, at = shard_of(self.words, shards)[first], hot.place(self.words)[first]
         some = np.flatnonzero(at >= 0)
         part = (self.pairs[some] & FOLLOWER) % hot.spread[at[some]].astype(np.uint64) if len(some) else np.zeros(0, np.uint64)
         where[some] = shard_of(mix(self.words[first[some]] + part + np.uint64(1)), shards)
+        return where
+
+    def spread_triples(self, shards: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+        """The triples of hot pairs, and the shard of each, by pair and follower."""
+        parent = (self.triples >> FOLLOWER_BITS).astype(np.int64)
+        at = hot.pair_place(self.words, self.pairs)[parent] if len(hot.pairs) else np.zeros(0, np.int64)
+        some = np.flatnonzero(at >= 0)
+        own = parent[some]
+        part = (self.triples[some] & FOLLOWER) % hot.pair_spread[at[some]].astype(np.uint64) if len(some) else np.zeros(0, np.uint64)
+        return some, shard_of(mix(mix(self.words[self.first()[own]] ^ (self.pairs[own] & FOLLOWER)) + part + np.uint64(1)), shards)
+
+    def shares(self, shards: int, hot: Hot) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What each shard gets, if anything: its number; places of words, their numbers of pairs, places of pairs, their numbers of triples, places of triples."""
+        home, first, where = shard_of(self.words, shards), self.first(), self.pair_homes(shards, hot)
         order = np.argsort(where, kind="stable")
         begins, ends = np.searchsorted(where[order], np.arange(shards)), np.searchsorted(where[order], np.arange(shards), side="right")
         own = np.searchsorted(home, np.arange(shards + 1))
-        children = np.bincount((self.triples >> FOLLOWER_BITS).astype(np.int64), minlength=len(self.pairs))
+        parent = (self.triples >> FOLLOWER_BITS).astype(np.int64)
+        children = np.bincount(parent, minlength=len(self.pairs))
         starts = np.cumsum(children) - children
-        for s in np.unique(np.concatenate((where, home))):
+        apart, away = self.spread_triples(shards, hot)
+        children[parent[apart]] = 0
+        for s in np.unique(np.concatenate((where, home, away))):
             pairs = order[begins[s] : ends[s]]
-            words = np.union1d(np.arange(own[s], own[s + 1]), first[pairs])
             counts = children[pairs]
             triples = np.repeat(starts[pairs] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            guests = apart[away == s]
+            if len(guests):
+                pairs, triples = np.union1d(pairs, parent[guests]), np.sort(np.concatenate((triples, guests)))
+                counts = np.bincount(np.searchsorted(pairs, parent[triples]), minlength=len(pairs))
+            words = np.union1d(np.arange(own[s], own[s + 1]), first[pairs])
             yield int(s), words, np.bincount(np.searchsorted(words, first[pairs]), minlength=len(words)), pairs, counts, triples
 
 
@@ -462,36 +511,59 @@ def often(sent: pa.Table) -> pa.Table:
     return pa.table({"h": h, "c": pa.array(np.append(counts[some], counts[own].sum())), "kinds": pa.array(np.append(np.zeros(some.sum(), np.int64), own.sum()))})
 
 
-def hot_pairs(texts: pa.Array, train: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the hot word and follower, in one key, and training counts."""
+def lines(texts: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes; places in them of all training texts' starts, words and ends; which places of the line are ends."""
     tokens = Tokens(texts.filter(pa.array(train)))
     hashes = np.concatenate((tokens.hashes(), np.array([END, START])))
-    n = len(tokens.rows)
-    line = np.full(len(tokens.codes) + 2 * n, len(hashes) - 1)  # starts, words, ends
+    line = np.full(len(tokens.codes) + 2 * len(tokens.rows), len(hashes) - 1)
     ends = np.cumsum(tokens.rows + 2) - 1
     line[ends] = len(hashes) - 2
     inner = np.ones(len(line), bool)
     inner[ends] = inner[ends - tokens.rows - 1] = False
     line[inner] = tokens.codes
+    return hashes, line, ends
+
+
+def hot_places(hashes: np.ndarray, line: np.ndarray, ends: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where hot words stand, each one's pair (place of the word, follower), and all followers of the hashes."""
     at = hot.place(hashes)[line]
     at[ends] = -1
-    some = np.flatnonzero(at >= 0)
-    keys, counts = np.unique((at[some].astype(np.uint64) << FOLLOWER_BITS) | (hashes >> np.uint64(64 - int(FOLLOWER_BITS)))[line[some + 1]], return_counts=True)
-    return keys, counts
+    some, followers = np.flatnonzero(at >= 0), hashes >> np.uint64(64 - int(FOLLOWER_BITS))
+    return some, (at[some].astype(np.uint64) << FOLLOWER_BITS) | followers[line[some + 1]], followers
+
+
+def hot_pairs(texts: pa.Array, train: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the hot word and follower, in one key, and training counts."""
+    return np.unique(hot_places(*lines(texts, train), hot)[1], return_counts=True)
+
+
+def hot_triples(texts: pa.Array, train: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the hot pair and follower, in one key, and training counts."""
+    hashes, line, ends = lines(texts, train)
+    some, pairs, followers = hot_places(hashes, line, ends, hot)
+    at = np.minimum(np.searchsorted(hot.pairs, pairs), len(hot.pairs) - 1)
+    last = np.zeros(len(line), bool)
+    last[ends] = True
+    goes_on = (hot.pairs[at] == pairs) & ~last[some + 1]
+    return np.unique((at[goes_on].astype(np.uint64) << FOLLOWER_BITS) | followers[line[some[goes_on] + 2]], return_counts=True)
+
+
+KEPT = "owner int, kept double, followers array<bigint>, counts array<bigint>"
 
 
-def kept_of(rows: pa.Table, hot: Hot, common: Common, discount: float, min_count: int) -> pa.Table:
-    """The mass that a hot word gives to the followers that stand here."""
+def kept_of(rows: pa.Table, totals: np.ndarray, common: Common, discount: float, min_count: int, limit: int) -> pa.Table:
+    """The mass that a hot word or pair gives to the followers that stand here; those of them seen more than ``limit`` times."""
     followers, counts = [], []
     for body in rows.column("body").to_pylist():
         n, *rest, seen = unpacked(body)
         followers.append(common.decoded(int(n[0]), *rest))
         counts.append(seen)
-    _, at = np.unique(np.concatenate(followers), return_inverse=True)
+    known, at = np.unique(np.concatenate(followers), return_inverse=True)
     seen = np.bincount(at, np.concatenate(counts))
-    seen = seen[seen >= max(1, min_count)]
-    word = rows.column("word")[0].as_py()
-    return pa.table({"word": pa.array([word], pa.int32()), "kept": [float((seen - discount).sum() / hot.counts[word])]})
+    many = seen > limit
+    owner, kept = rows.column("owner")[0].as_py(), seen[seen >= max(1, min_count)]
+    found = [pa.array([a[many].astype(np.int64).tolist()], pa.list_(pa.int64())) for a in (known, seen)]
+    return pa.table({"owner": pa.array([owner], pa.int32()), "kept": [float((kept - discount).sum() / totals[owner])], "followers": found[0], "counts": found[1]})
 
 
 def send(block: pa.Table, shards: int, hot: Hot, common: Common) -> pa.Table:
@@ -502,10 +574,10 @@ def send(block: pa.Table, shards: int, hot: Hot, common: Common) -> pa.Table:
     counts = np.bincount(b.token, learnt, len(b.words)).astype(np.uint32)
     seen2 = np.bincount(b.pair, learnt, len(b.pairs)).astype(np.uint32)
     seen3 = np.bincount(b.triple[b.triple >= 0], learnt[b.triple >= 0], len(b.triples)).astype(np.uint32)
-    home, sent = shard_of(b.words, shards), []
+    home, pair_home, sent = shard_of(b.words, shards), b.pair_homes(shards, hot), []
     for s, words, n2, pairs, n3, triples in b.shares(shards, hot):
         own = np.where(home[words] == s, counts[words], 0).astype(np.uint32)
-        sent.append((s, packed(b.words[words], own, n2.astype(np.uint32), *common.coded(b.pairs[pairs] & FOLLOWER), seen2[pairs], n3.astype(np.uint32), *common.coded(b.triples[triples] & FOLLOWER), seen3[triples])))
+        sent.append((s, packed(b.words[words], own, n2.astype(np.uint32), *common.coded(b.pairs[pairs] & FOLLOWER), np.where(pair_home[pairs] == s, seen2[pairs], 0).astype(np.uint32), n3.astype(np.uint32), *common.coded(b.triples[triples] & FOLLOWER), seen3[triples])))
     number = block.column("block")[0].as_py()
     return pa.table({"shard": pa.array([s for s, _ in sent], pa.int64()), "block": pa.array([number] * len(sent), pa.int64()), "body": pa.array([x for _, x in sent], pa.binary())})
 
@@ -535,7 +607,7 @@ def answer(sent: pa.Table, hot: Hot, common: Common, discount: float, min_count:
     return pa.table({"shard": pa.array([shard] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
 
-def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest: np.ndarray, pair_rest: np.ndarray, tokens: int, kinds: int) -> pa.Table:
     """The scores of a block's texts."""
     if not block.num_rows:
         return pa.table({f: pa.array([], t) for f, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
@@ -544,18 +616,22 @@ def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest:
     got = dict(zip(answers.column("shard").to_pylist(), answers.column("body").to_pylist(), strict=True))
     counts, rest1 = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16)
     code2, rest2, code3 = np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.triples), ABSENT, np.uint16)
-    home = shard_of(b.words, shards)
+    home, pair_home = shard_of(b.words, shards), b.pair_homes(shards, hot)
     for s, words, _, pairs, _, triples in b.shares(shards, hot):
-        c, r, code2[pairs], rest2[pairs], code3[triples] = unpacked(got[s])
+        c, r, c2, r2, code3[triples] = unpacked(got[s])
+        own = pair_home[pairs] == s
+        code2[pairs[own]], rest2[pairs[own]] = c2[own], r2[own]
         own = home[words] == s
         counts[words[own]], rest1[words[own]] = c[own], r[own]
     unigram = (counts + 1) / (tokens + kinds + 1)
     left1 = unquantised(rest1, 1.0)
     at = hot.place(b.words)
     left1[at >= 0] = hot_rest[at[at >= 0]]
+    left2, at = unquantised(rest2, 1.0), hot.pair_place(b.words, b.pairs)
+    left2[at >= 0] = pair_rest[at[at >= 0]]
     score = (unquantised(code2, 0.0))[b.pair] + left1[b.first()][b.pair] * unigram[b.token]
     later = np.flatnonzero(b.triple >= 0)
-    score[later] = unquantised(code3, 0.0)[b.triple[later]] + unquantised(rest2, 1.0)[b.pair[later - 1]] * score[later]
+    score[later] = unquantised(code3, 0.0)[b.triple[later]] + left2[b.pair[later - 1]] * score[later]
     n = len(texts)
     return pa.table({
         "doc_id": keys, "held_out": pa.array(~train), "n_tokens": np.bincount(b.row, minlength=n), "n_known": np.bincount(b.row, counts[b.token] > 0, n).astype(np.int64),
@@ -573,8 +649,8 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
 
     Blocks go by a hash of key and text and have about ``block_chars`` bytes. Words with more than ``hot_tokens``
     occurrences in training, or a millionth of all, are spread over shards; so
-    those that go to every task are at most MOST_HOT. The mass that such a word leaves is summed up
-    beforehand, since no shard sees all its followers.
+    those that go to every task are at most MOST_HOT. Pairs with as many are spread by what follows them. The mass that such
+    a word or pair leaves is summed up beforehand, since no shard sees all its followers.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -607,28 +683,38 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
         least = s if total <= COMMON else least
     frequent = seen.where(F.col("h").isNotNull() & (step >= least)).collect() if least is not None else []
     common = Common(np.array([r.h for r in sorted(frequent, key=lambda r: (-r.c, r.h))], np.int64).view(np.uint64))
-    held = docs.sparkSession.sparkContext.broadcast((hot, common))
-
-    def pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, common = held.value
-        for keys, counts in summed(hot_pairs(*part, hot) for part in parts(batches)):
-            owner, follower = (keys >> FOLLOWER_BITS).astype(np.int64), keys & FOLLOWER
-            part = (follower % hot.spread[owner].astype(np.uint64)).astype(np.int64)
-            order = np.lexsort((follower, part, owner))
-            cuts = np.flatnonzero(np.diff(owner[order]) | np.diff(part[order])) + 1
-            for own in np.split(order, cuts) if len(order) else ():
-                data = packed(np.array([len(own)]), *common.coded(follower[own]), counts[own])
-                yield pa.RecordBatch.from_arrays([pa.array([int(owner[own[0]])], pa.int32()), pa.array([int(part[own[0]])], pa.int64()), pa.array([data], pa.binary())], ["word", "part", "body"])
-
-    hot_rest = np.ones(len(hot.words))
-    if len(hot.words):
-        kept = texts.mapInArrow(pairing, "word int, part bigint, body binary").groupBy("word", "part").applyInArrow(lambda table: kept_of(table, *held.value, discount, min_count), "word int, kept double")
-        for r in kept.groupBy("word").agg(F.sum("kept").alias("kept")).collect():
-            hot_rest[r.word] = max(1 - r.kept, 1e-8)
-    rest = docs.sparkSession.sparkContext.broadcast(hot_rest)
+    spark = docs.sparkSession.sparkContext
+
+    def left(found: Callable[[pa.Array, np.ndarray, Hot], tuple[np.ndarray, np.ndarray]], totals: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, list]:
+        """The mass that each owner, a hot word or pair, leaves; its followers seen more than ``limit`` times."""
+        held = spark.broadcast((hot, common, totals, spread))
+
+        def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hot, common, _, spread = held.value
+            for keys, counts in summed(found(*part, hot) for part in parts(batches)):
+                owner, follower = (keys >> FOLLOWER_BITS).astype(np.int64), keys & FOLLOWER
+                part = (follower % spread[owner].astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((follower, part, owner))
+                cuts = np.flatnonzero(np.diff(owner[order]) | np.diff(part[order])) + 1
+                for own in np.split(order, cuts) if len(order) else ():
+                    data = packed(np.array([len(own)]), *common.coded(follower[own]), counts[own])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(owner[own[0]])], pa.int32()), pa.array([int(part[own[0]])], pa.int64()), pa.array([data], pa.binary())], ["owner", "part", "body"])
+
+        rest, many = np.ones(len(totals)), []
+        if len(totals):
+            kept = cut(texts.mapInArrow(dealing, "owner int, part bigint, body binary").groupBy("owner", "part").applyInArrow(lambda table: kept_of(table, held.value[2], held.value[1], discount, min_count, limit), KEPT))
+            for r in kept.groupBy("owner").agg(F.sum("kept").alias("kept")).collect():
+                rest[r.owner] = max(1 - r.kept, 1e-8)
+            many = kept.select("owner", F.explode(F.arrays_zip("followers", "counts")).alias("f")).select("owner", "f.followers", "f.counts").collect()
+        return rest, many
+
+    hot_rest, many = left(hot_pairs, hot.counts, hot.spread)
+    hot = hot.with_pairs([(r.owner << int(FOLLOWER_BITS)) | r.followers for r in many], [r.counts for r in many], limit)
+    pair_rest, _ = left(hot_triples, hot.pair_counts, hot.pair_spread)
+    held, rest = spark.broadcast((hot, common)), spark.broadcast((hot_rest, pair_rest))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     blocks = dealt.mapInArrow(pieces_of, BLOCKS).groupBy("block")
     sent = blocks.applyInArrow(lambda table: send(table, shards, *held.value), SENT)
     answers = sent.groupBy("shard").applyInArrow(lambda table: answer(table, *held.value, discount, min_count), SENT)
-    return blocks.cogroup(answers.groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value[0], rest.value, tokens, kinds), SCORES)
+    return blocks.cogroup(answers.groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value[0], *rest.value, tokens, kinds), SCORES)

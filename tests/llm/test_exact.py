@@ -417,6 +417,34 @@ def test_language_model_query_counts_pairs_seen_once(spark, tmp_path):
     assert got[held].held_out and abs(got[held].score - math.log10(two) - 2 * math.log10(0.25 + 0.75 * two)) < 6e-4
 
 
+def test_what_follows_a_hot_pair_is_spread(spark):
+    """One pair is a tenth of all tokens and more, with many different words behind it: scores as by brute force, and no shard gets most of its triples."""
+    rnd = random.Random(4)
+    rows = [(d, " ".join(x for _ in range(40) for x in ("of", "the", f"w{rnd.randrange(4000)}", "so", f"w{rnd.randrange(30)}"))) for d in range(60)]
+    rows += [(100, "of the"), (101, "of the of the end"), (102, "the of"), (103, "")]
+    texts = dict(rows)
+    train = {d for d in texts if d % 5}
+    for least in (1, 2):
+        want = plain_scores(texts, train, least)
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 0, block_chars=4_000, min_count=least, hot_tokens=100).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert abs(r.score - want[r.doc_id][4]) < 2e-4 * r.n_tokens, r
+    b = lm.Block.of(pa.array([t for _, t in rows]))
+    n, of, the = sum(t.count("of the") for t in texts.values()), *lm.Tokens(pa.array(["of the"])).hashes()
+    hot = lm.Hot.of([(int(of.view(np.int64)), n)], 100)
+    pair = int(the >> np.uint64(64 - int(lm.FOLLOWER_BITS)))
+    its = int(np.flatnonzero((b.words[b.first()] == of) & (b.pairs & lm.FOLLOWER == pair))[0])
+
+    def shares(hot):
+        sent = [x[5] for x in b.shares(50, hot)]
+        assert sorted(np.concatenate(sent).tolist()) == list(range(len(b.triples)))
+        return [n for t in sent if (n := int((b.triples[t] >> lm.FOLLOWER_BITS == its).sum()))]
+
+    alone, spread = shares(hot), shares(hot.with_pairs([pair], [n], 100))
+    assert len(alone) == 1 and sum(spread) == alone[0] > 1000 and len(spread) > 10 and max(spread) < alone[0] / 4
+
+
 def test_levels_find_children_by_their_pointers():
     rnd = np.random.default_rng(5)
     for nodes, n in ((1, 0), (1, 5), (50, 400), (3000, 2000)):
