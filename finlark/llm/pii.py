@@ -32,16 +32,22 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NUMBERS = re.compile(r"[0-9][0-9().\x20/-]*[0-9]")
+DASHES = "‐‑‒–—―-"
+NUMBERS = re.compile(rf"[0-9][0-9()./_|·•\s{DASHES}]*[0-9]")
 GROUP = re.compile("[0-9]+")
-AT = re.compile(r"@|\x20?[(\[]at[)\]]\x20?")
-DOTTED = re.compile(r"[^\s@<>()\[\]]+(?:\x20?[(\[]dot[)\]]\x20?[^\s@<>()\[\]]+)*")
-OUTSIDE = re.compile(r"[\s@<>()\[\]]")
-BETWEEN = r"(?:\x20?[\[(](?:\.|dot)[\])]\x20?|\x20\.\x20|-|,|:)"
+LEFT, RIGHT, OTHERS = r"[(\[{<]\x20?", r"\x20?[)\]}>]", r"[^\s@＠<>()\[\]{}]"
+# Written out, in brackets or, where a written dot follows, bare; spaced; plain.
+AT = re.compile(rf"\x20?{LEFT}(?:at|AT|@){RIGHT}\x20?|\x20(?:at|AT)\x20(?={OTHERS}+\x20(?:dot|DOT)\x20)|\x20@\x20|[@＠]")
+DOT = rf"\x20?{LEFT}(?:dot|DOT|\.){RIGHT}\x20?|\x20(?:dot|DOT)\x20"
+DOTS = re.compile(rf"{DOT}|\.")
+DOTTED = re.compile(rf"{OTHERS}+(?:(?:{DOT}){OTHERS}+)*")
+OUTSIDE = re.compile(r"[\s@＠<>()\[\]{}]")
+BETWEEN = rf"(?:{DOT}|\x20\.\x20|[-,:_/|·•])"
 ADDRESSES = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{BETWEEN}[0-9]{{1,3}}){{3}}(?![0-9])")
+SOME = r"[0-9@\x{ff20}]|[(\[{<] ?(at|AT) ?[)\]}>]| (at|AT) \S+ (dot|DOT) "  # a text without it has no proposals; for Arrow
 DIGITS = re.compile("[0-9]")
 LAST_WORD = re.compile(r"([a-z]+)[^a-z]*$")
-GROUPS, FEWEST, MOST = 8, 7, 19  # of a number: groups at most, digits at least and at most
+FEWEST, MOST = 7, 19  # digits of a number
 
 
 def luhn(digits: str) -> bool:
@@ -79,13 +85,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def numbers(text: str) -> Iterator[tuple[int, int]]:
-    """In each run of digits and separators all stretches of up to GROUPS groups with FEWEST to MOST digits, with a bracket or + before them."""
+    """In each run of digits and separators all stretches of groups with FEWEST to MOST digits, with a bracket or + before them."""
     for run in NUMBERS.finditer(text):
         groups = [m.span() for m in GROUP.finditer(text, *run.span())]
         for i, (start, _) in enumerate(groups):
             digits = 0
             begin = start - (start > 0 and text[start - 1] in "+(")
-            for a, b in groups[i : i + GROUPS]:
+            for a, b in groups[i : i + MOST]:
                 digits += b - a
                 if digits > MOST:
                     break
@@ -94,7 +100,7 @@ def numbers(text: str) -> Iterator[tuple[int, int]]:
 
 
 def addresses(text: str) -> Iterator[tuple[int, int]]:
-    """What stands around an @, [at] or (at), dots written out too."""
+    """What stands around an @, plain, spaced or written out; dots written out too."""
     floor = 0
     for m in AT.finditer(text):
         before = text[floor : m.start()]
@@ -182,22 +188,25 @@ CUES = ("mail", "call", "phone", "tel", "card", "visa", "pay", "ip", "host", "ad
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Format of the span, then of its surroundings."""
+    """Format of the span, then of its surroundings. Separators count by class, so that one never seen in training is known by its like."""
     span = text[start:end]
     digits = re.sub("[^0-9]", "", span)
     groups = re.findall("[0-9]+", span)
     before = DIGITS.split(text[max(0, start - 24) : start].lower())[-1]  # what stands before an earlier number speaks for that
-    tail = span.rpartition("@")[2]
+    ats = list(AT.finditer(span))
+    plain = sum(m[0] in "@\uff20" for m in ats)
+    tail = DOTS.split(span[ats[-1].end() :] if ats else span)
+    blanks, dashes = sum(map(str.isspace, span)), sum(c in DASHES for c in span)
+    marks = sum(not c.isalnum() for c in span) - blanks - dashes - sum(c in "()[]{}<>+@\uff20" for c in span)
     word = LAST_WORD.search(before)
     return [
         len(span), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
-        span.count("."), span.count("-"), span.count(" "), span.count("("), float(span[0] == "+"), span.count("@"), float("at)" in span or "at]" in span),
-        sum(c.isalpha() for c in span), tail.count("."), len(tail.rpartition(".")[2]), max((int(g[:9]) for g in groups), default=0), float(digits[:1] or -1),
+        marks, dashes, blanks, span.count("("), float(span[0] == "+"), plain, float(len(ats) > plain),
+        sum(c.isalpha() for c in span), len(tail) - 1, len(tail[-1]), max((int(g[:9]) for g in groups), default=0), float(digits[:1] or -1),
         float(before[-1:].isalnum()), float(text[end : end + 1].isalnum()), float(before[-1:] in "=:\"'"), float(zlib.crc32(word[1].encode()) % 97 if word else -1), float(len(word[1]) if word else 0), *[float(c in before) for c in CUES],
     ]
 
 
-
 @dataclass
 class Boosted:
     """Logistic gradient boosting over trees of fixed depth on binned features."""
@@ -265,7 +274,7 @@ class PiiModel:
         """Further spans; of those that overlap the longest, of these the surest."""
         if not self.kinds:
             return []
-        free = beside(text, base)
+        free = [(a, b) for a, b in beside(text, base) if any(possible(k, text[a:b]) for k in self.kinds)]
         if not free:
             return []
         x = np.array([features(text, a, b) for a, b in free])
@@ -350,7 +359,7 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), (
 def judged(df: DataFrame, text: str, model: PiiModel, then: Callable[[pa.Table, list, list], pa.Table], schema: T.StructType) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table:
         texts = batch.column(text)
-        some = np.asarray(pc.match_substring_regex(texts.fill_null(""), r"[0-9@]|[(\[]at[)\]]"))
+        some = np.asarray(pc.match_substring_regex(texts.fill_null(""), SOME))
         base: list[list] = [[] for _ in range(len(texts))]
         more: list[list] = [[] for _ in range(len(texts))]
         for i in np.flatnonzero(some):
