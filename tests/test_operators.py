@@ -259,6 +259,14 @@ def test_questions(spark, question, intent):
     assert screener.ask(screener.Tables(companies, filings, snapshots), question)[0] == intent
 
 
+def test_moves_from_zero_and_below(spark):
+    rows = [(1, 1, 0.0), (1, 2, 5.0), (2, 1, 10.0), (2, 2, 30.0), (3, 1, -10.0), (3, 2, -5.0), (4, 1, 0.0), (4, 2, -1.0), (5, 1, 0.0), (5, 2, 0.0), (6, 1, 4.0), (6, 2, 0.0), (7, 1, 9.0)]
+    snapshots = spark.createDataFrame(rows, "company_id long, day int, analyst_target_price double").withColumn("snapshot_date", F.timestamp_seconds("day"))
+    got = lambda up: [(r.company_id, r.change_pct) for r in screener.target_moves(screener.Tables(None, None, snapshots), up).collect()]
+    assert got(True) == [(1, math.inf), (2, 200.0), (3, -50.0)]
+    assert got(False) == [(4, -math.inf), (6, -100.0)]
+
+
 def test_compound_bounds(spark):
     rows = spark.createDataFrame([(1, 2e11, 0.5, 10.0, "Energy"), (2, 2e11, 1.5, 30.0, "Energy"), (3, 1e9, 0.5, 3.0, "Technology")], "company_id int, market_cap double, beta double, latest_revenue_yoy double, sector string")
     got = lambda q: {r.company_id for r in rows.where(screener.compound(q)).collect()}
