@@ -52,7 +52,7 @@ def _width(s: Span, probes: int) -> int:
     return -(-(s.hi - s.lo + 1) // probes)
 
 
-def splitters(keys: DataFrame, targets: list[tuple[int, float]], *, probes: int = 4096) -> list[tuple[int, int]]:
+def splitters(keys: DataFrame, targets: list[tuple[float, float]], *, probes: int = 4096) -> list[tuple[int, int]]:
     """The (h, d) from which on rows lie beyond each target weight.
 
     keys: columns h (0 to 2**63 - 1), d and w (weight). targets: ascending
@@ -122,8 +122,9 @@ def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str =
         keys = weighed()
     total = keys.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     share = total / (shards * per)
-    near = {True: share * per * tolerance if law == "bytes" else 0, False: share * 0.2}
-    goals = [(round(i * share), near[i % per == 0]) for i in range(1, shards * per)] if total else []
+    # A shard has two ends, so each may be off by half the tolerance; where a row is larger than that, by half a row.
+    near = {True: share * per * tolerance / 2 if law == "bytes" else 0, False: share * 0.2}
+    goals = [(i * share if law == "bytes" else round(i * share), near[i % per == 0]) for i in range(1, shards * per)] if total else []
     cuts = splitters(keys, goals)
     # A piece is the number of splitters at or below the row; a splitter may repeat.
     place = lambda h, d: F.lit(0)

@@ -609,6 +609,15 @@ def test_rows_law_and_a_hot_text(spark):
     assert sum(len(v) > 1 for v in where.values()) <= 8
 
 
+@pytest.mark.parametrize("salt", [1, 5, 7])
+def test_shards_of_small_rows_keep_the_tolerance(spark, salt):
+    """Both ends of a shard count: each used to be off by the whole tolerance."""
+    text = F.concat(F.repeat(F.lit("word "), (F.col("id") % 30 + 5).cast("int")), F.lit(f"{salt}:"), "id")
+    sizes = [r.b for r in sharding.shard(spark.range(40_000).select(F.col("id").alias("doc_id"), text.alias("text")), 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    mean = sum(sizes) / 8
+    assert max(abs(s - mean) for s in sizes) <= 0.001 * mean
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_repeated_rows_are_cut_apart(spark, law):
     """A third of all rows repeat key and text, another third have no key."""
