@@ -179,3 +179,20 @@ def test_portfolio_fold_beside_a_plain_one(spark):
             taken += 1
             assert got[p, i].shares == n and math.isclose(got[p, i].pnl, gain, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(got[p, i].cash_after, cash, rel_tol=1e-9)
     assert taken == len(got) > 50
+
+
+@pytest.mark.parametrize("fit", ["forecast", "compare", "classify"])
+def test_fits_are_dealt_over_all_cores(spark, monkeypatch, fit):
+    """A table of one split is no longer learnt from on one core."""
+    seen = []
+    kind = {"forecast": learning.RandomForestRegressor, "compare": learning.LinearRegression, "classify": learning.LogisticRegression}[fit]
+    plain = kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, rows: (seen.append(rows.rdd.getNumPartitions()), plain(self, rows))[1])
+    rows = spark.range(300).select(F.col("id").alias("day"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 - 2).cast("double").alias("y"), (F.col("id") % 2 == 0).alias("up")).coalesce(1)
+    if fit == "forecast":
+        assert learning.forecast(rows, rows, ["a"], "y", trees=2, depth=2).count() == 300
+    elif fit == "compare":
+        assert learning.compare(rows, ["a"], "y", order="day", n=2, models={"ols": learning.regressors()["ols"]}).first().folds == 2
+    else:
+        assert learning.classify(rows, {"one": (["a"], "logistic")}, "up", order="day").first().n_test == 90
+    assert set(seen) == {spark.sparkContext.defaultParallelism}
