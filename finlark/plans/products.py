@@ -22,6 +22,12 @@ def latest(rows: DataFrame, side: DataFrame, by: list[str], take: list[str], tol
     return met.withColumnsRenamed({f"{c}_right": c for c in take})
 
 
+def of_the_day(rows: DataFrame, side: DataFrame, take: list[str], tolerance: int | None = None) -> DataFrame:
+    """``latest`` for a side of one series: worked out for each different day, of which there are some thousands, however many rows share it."""
+    days = rows.select("day").distinct().withColumn("_all", F.lit(1))
+    return rows.join(latest(days, side.select(F.lit(1).alias("_all"), "day", *take), ["_all"], take, tolerance).drop("_all"), "day", "left")
+
+
 def dataset(filings: DataFrame, companies: DataFrame, technical: DataFrame, macro: DataFrame, *, concern: bool = True) -> DataFrame:
     """The modelling data set, a row an annual or quarterly filing that has a 7-day return and scores, and whose company has a value and a price.
 
@@ -33,7 +39,7 @@ def dataset(filings: DataFrame, companies: DataFrame, technical: DataFrame, macr
     facts = ["market_cap", "current_price", "pe_ratio", "forward_pe", "fifty_two_week_high", "fifty_two_week_low", "analyst_target_price"]
     met = kept.join(companies.where("market_cap <> 0 and current_price <> 0").select("company_id", "ticker", "name", *facts), "company_id")
     met = latest(met, technical.select("ticker", "day", *TECHNICAL), ["ticker"], TECHNICAL)
-    met = latest(met.withColumn("_all", F.lit(1)), macro.select(F.lit(1).alias("_all"), "day", *MACRO), ["_all"], MACRO)
+    met = of_the_day(met, macro, MACRO)
     doc = F.from_json("analysis_data", DOCUMENT)
     ratio = lambda c: per(F.col("current_price"), F.col(c)).alias(f"price_to_{c.rpartition('_')[2]}")
     return met.select(
@@ -87,11 +93,11 @@ def relative_strength(stock_90d: Column, sector_30d: Column) -> Column:
     return F.nullif(stock_90d, F.lit(0.0)) - sector_30d
 
 
-def last_in_band(events: DataFrame, side: DataFrame, low: int, high: int, take: str, name: str, first: bool = False) -> DataFrame:
-    """filing_id and ``name``: ``take`` of the side's last (or first) row within the days."""
-    pairs = interval_join(events.select("filing_id", "ticker", "day"), side.select("ticker", "day", take), by=["ticker"], on="day", low=low, high=high, bin_width=high - low + 30)
+def last_in_band(events: DataFrame, side: DataFrame, low: int, high: int, names: dict[str, str], first: bool = False) -> DataFrame:
+    """filing_id and for each name the named column of the side's last (or first) row within the days."""
+    pairs = interval_join(events.select("filing_id", "ticker", "day"), side.select("ticker", "day", *names.values()), by=["ticker"], on="day", low=low, high=high, bin_width=high - low + 30)
     pick = F.min_by if first else F.max_by
-    return pairs.groupBy("filing_id").agg(pick(f"{take}_right", "day_right").alias(name))
+    return pairs.groupBy("filing_id").agg(*[pick(f"{take}_right", "day_right").alias(name) for name, take in names.items()])
 
 
 def aligned_sensitivity(events: DataFrame, prices: DataFrame, macro: DataFrame, days: int = 90, least: int = 30) -> DataFrame:
@@ -103,18 +109,20 @@ def aligned_sensitivity(events: DataFrame, prices: DataFrame, macro: DataFrame,
 
     from finlark.operators.aggregates import correlation
 
-    def changes(side: DataFrame, by: list[str], value: str, ratio: bool) -> DataFrame:
-        keyed = events.withColumn("_all", F.lit(1))
-        pairs = interval_join(keyed.select("filing_id", *by, "day"), side.select(*by, "day", value), by=by, on="day", low=-days, high=0, bin_width=days)
-        w = Window.partitionBy("filing_id").orderBy("day_right")
+    def changes(rows: DataFrame, key: str, side: DataFrame, by: list[str], value: str, ratio: bool) -> DataFrame:
+        pairs = interval_join(rows, side.select(*by, "day", value), by=by, on="day", low=-days, high=0, bin_width=days)
+        w = Window.partitionBy(key).orderBy("day_right")
         before = F.lag(f"{value}_right").over(w)
         moved = per(F.col(f"{value}_right") - before, before) if ratio else F.when((F.col(f"{value}_right") != 0) & (before != 0), F.col(f"{value}_right") - before)
         kept = pairs.withColumn("v", moved).where("v is not null")
-        return kept.select("filing_id", "v", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("filing_id")).alias("n"))
+        return kept.select(key, "day", "v", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n")).where(F.col("n") >= least)
 
-    stock = changes(prices, ["ticker"], "close", True).where(F.col("n") >= least)
-    rate = changes(macro.withColumn("_all", F.lit(1)), ["_all"], "treasury10y", False).where(F.col("n") >= least).select("filing_id", "i", F.col("v").alias("r"))
-    return stock.join(rate, ["filing_id", "i"]).groupBy("filing_id").agg(correlation(F.col("v"), F.col("r")).alias("interest_rate_sensitivity"))
+    # The rate's changes are the same for all events of a day; days with too few of them give nothing, so their events aren't paired with prices.
+    asked = events.select("day").distinct().withColumns({"_day": F.col("day"), "_all": F.lit(1)})
+    rate = changes(asked, "_day", macro.withColumn("_all", F.lit(1)), ["_all"], "treasury10y", False).select("day", "i", F.col("v").alias("r"))
+    enough = events.select("filing_id", "ticker", "day").join(rate.select("day").distinct(), "day", "left_semi")
+    stock = changes(enough, "filing_id", prices, ["ticker"], "close", True)
+    return stock.join(rate, ["day", "i"]).groupBy("filing_id").agg(correlation(F.col("v"), F.col("r")).alias("interest_rate_sensitivity"))
 
 
 def drift_features(events: DataFrame, companies: DataFrame, snapshots: DataFrame, technical: DataFrame, macro: DataFrame, prices: DataFrame, sectors: dict[str, str] | None = None) -> DataFrame:
@@ -128,11 +136,11 @@ def drift_features(events: DataFrame, companies: DataFrame, snapshots: DataFrame
     tech = ["return_90d", "price_to_ma50", "price_to_ma200", "rsi14"]
     met = latest(met, technical.select("ticker", "day", *tech), ["ticker"], tech, 2)
     wide = ["spx_return_7d", "vix_close", "yield_curve", *(sectors or SECTOR_RETURNS).values()]
-    met = latest(met.withColumn("_all", F.lit(1)), macro.select(F.lit(1).alias("_all"), "day", *wide), ["_all"], wide, 2)
-    for name, side in {
-        "old": last_in_band(events, snapshots, -33, -27, "eps_estimate", "old"), "new": last_in_band(events, snapshots, -2, 0, "eps_estimate", "new"), "paid": last_in_band(events, snapshots, -2, 0, "current_price", "paid"),
-        "later": last_in_band(events, prices, 4, 10, "close", "later", first=True), "sensitivity": aligned_sensitivity(events, prices, macro),
-    }.items():
+    met = of_the_day(met, macro, wide, 2)
+    for side in (
+        last_in_band(events, snapshots, -33, -27, {"old": "eps_estimate"}), last_in_band(events, snapshots, -2, 0, {"new": "eps_estimate", "paid": "current_price"}),
+        last_in_band(events, prices, 4, 10, {"later": "close"}, first=True), aligned_sensitivity(events, prices, macro),
+    ):
         met = met.join(side, "filing_id", "left")
     none = lambda c: F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
     consensus, n = none("eps_estimate"), none("rating_count")

@@ -13,7 +13,7 @@ from finlark.operators import aggregates as A
 from finlark.operators import merge
 from finlark.operators import windows as W
 from finlark.operators.asof import asof_join, interval_aggregate, interval_join
-from finlark.plans import portfolio, scoring, screener
+from finlark.plans import portfolio, products, scoring, screener
 from finlark.schemas import ANALYSIS, TABLES, schema
 from finlark.streaming import alerts, ingest, jobs
 
@@ -275,3 +275,24 @@ def test_compound_bounds(spark):
     assert got("revenue growth > 20% and beta > 1") == {2}
     assert got("tech companies with beta < 1 and market cap < 2b") == {3}
     assert math.isclose(screener.UNITS["t"], 1e12)
+
+
+def test_drift_features_meet_macro_rows_by_day(spark, monkeypatch):
+    """Events of a day share its macro row and its rate's changes: 60 events of two days ask for two rows, not for 60."""
+    asked = []
+    plain = products.asof_join
+    monkeypatch.setattr(products, "asof_join", lambda rows, side, **how: (asked.append((how["by"], rows.count())), plain(rows, side, **how))[1])
+    rnd = random.Random(3)
+    close, rate = ([rnd.uniform(1, 9) for _ in range(101)] for _ in range(2))
+    days = spark.createDataFrame([(1, d, close[d], rate[d]) for d in range(101)], "ticker int, day int, close double, treasury10y double")
+    events = spark.range(60).select(F.col("id").alias("filing_id"), F.lit(1).alias("ticker"), F.when(F.col("id") % 2 == 0, 100).otherwise(20).alias("day"), *[F.lit(1.0).alias(c) for c in ("eps_actual", "guidance_low", "guidance_high")])
+    firms = spark.createDataFrame([(1, "Energy", 5.0, 1.0, 9.0)], "ticker int, sector string, market_cap double, beta double, pe_ratio double")
+    snapshots = days.select("ticker", "day", *[F.lit(2.0).alias(c) for c in products.SNAPSHOT[:-1]], F.col("close").alias("current_price"))
+    technical = days.select("ticker", "day", *[F.lit(2.0).alias(c) for c in ("return_90d", "price_to_ma50", "price_to_ma200", "rsi14")])
+    macro = days.select("day", "treasury10y", F.col("day").cast("double").alias("vix_close"), *[F.lit(2.0).alias(c) for c in ("spx_return_7d", "yield_curve", *products.SECTOR_RETURNS.values())])
+    got = {r.filing_id: r for r in products.drift_features(events, firms, snapshots, technical, macro, days.select("ticker", "day", "close")).collect()}
+    c, r = np.array(close[10:101]), np.array(rate[10:101])
+    assert len(got) == 60 and [n for by, n in asked if by == ["_all"]] == [2]
+    for k, row in got.items():
+        assert row.vix == (100 if k % 2 == 0 else 20)
+        assert math.isclose(row.interest_rate_sensitivity or 0, np.corrcoef(np.diff(c) / c[:-1], np.diff(r))[0, 1] if k % 2 == 0 else 0, abs_tol=1e-9)
