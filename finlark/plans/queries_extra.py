@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from finlark.functions import content
 from finlark.functions.math import per, percent_change
 from finlark.operators.asof import asof_join
-from finlark.operators.windows import last_rows, series, sma, volatility
+from finlark.operators.windows import last_rows, placed, series, sma, volatility, with_long_mean
 from finlark.plans import bindings as B
 from finlark.plans import scoring
 from finlark.plans.queries_aggregate import rounded
@@ -60,11 +60,10 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W13_dollar_and_growth", FRAME + "select ticker, date, case when v > 3 then 'strong' when v < -3 then 'weak' when v is not null then 'neutral' end as dollar, case when g > 8 then 'strong' when g < -5 then 'weak' when g is not null then 'neutral' end as growth from (select ticker, date, (close - avg(close) over y) * 100 / avg(close) over y as v, (close - lag(close, 59) over w) * 100 / lag(close, 59) over w as g from s window w as (partition by ticker order by date), y as (partition by ticker order by date rows 274 preceding))")
 def dollar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = series()
-    v = percent_change(F.col("close"), F.avg("close").over(last_rows(w, 275)))
-    g = percent_change(F.col("close"), F.lag("close", 59).over(w))
+    v = percent_change(F.col("close"), F.col("mean"))
+    g = percent_change(F.col("close"), F.lag("close", 59).over(placed()))
     named = lambda c, high, low: F.when(c > high, "strong").when(c < low, "weak").when(c.isNotNull(), "neutral")
-    return B.prices(spark, sf_dir).select("ticker", "date", named(v, 3, -3).alias("dollar"), named(g, 8, -5).alias("growth"))
+    return with_long_mean(B.prices(spark, sf_dir).select("ticker", "date", "close"), "close", 275, "mean").select("ticker", "date", named(v, 3, -3).alias("dollar"), named(g, 8, -5).alias("growth"))
 
 
 @query("W31_legacy_features", FRAME + "select ticker, date, round((close / case when count(*) over r30 = 30 then avg(close) over r30 else close end - 1) * 100, 4) as to_ma30, round(case when count(*) over r30 = 30 then stddev_pop(ret) over r29 * sqrt(252) * 100 else 0 end, 4) as volatility, round(coalesce((close - lag(close, 29) over w) * 100 / lag(close, 29) over w, 0), 4) as return_30 from (select *, (close - before) / before as ret from s) window w as (partition by ticker order by date), r30 as (partition by ticker order by date rows 29 preceding), r29 as (partition by ticker order by date rows 28 preceding)")

@@ -296,3 +296,20 @@ def test_drift_features_meet_macro_rows_by_day(spark, monkeypatch):
     for k, row in got.items():
         assert row.vix == (100 if k % 2 == 0 else 20)
         assert math.isclose(row.interest_rate_sensitivity or 0, np.corrcoef(np.diff(c) / c[:-1], np.diff(r))[0, 1] if k % 2 == 0 else 0, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 4, 7])
+def test_long_means_have_no_wide_frames(spark, n):
+    values = [None if i % 5 == 3 else math.inf if i == 11 else float(i * i % 13) for i in range(30)]
+    rows = spark.createDataFrame([(k, i, v) for k in ("a", "b") for i, v in enumerate(values[: 30 if k == "a" else 3])], "ticker string, date int, close double")
+    made = W.with_long_mean(rows, "close", n, "mean")
+    for r in made.collect():
+        kept = [v for v in values[max(0, r.date - n + 1) : r.date + 1] if v is not None]
+        assert r.mean == (pytest.approx(sum(kept) / len(kept)) if kept else None)
+
+
+def test_long_growth_query_has_no_wide_frame(spark, sf):
+    """A frame of 275 rows was summed anew for each row."""
+    from finlark.plans.queries_extra import QUERIES
+
+    assert "-274, currentrow" not in QUERIES["W13_dollar_and_growth"](spark, sf)._jdf.queryExecution().analyzed().toString()
