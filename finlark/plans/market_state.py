@@ -105,22 +105,21 @@ def section(text: Column, name: str, most: int = 30_000) -> Column:
 
     Headings in a table of contents are passed over. A null text, or none found: null.
     """
-    begin = F.lit(None).cast("int")
+    rest = F.lit(None).cast("string")
     for p in reversed(SECTIONS[name]):
-        heading = F.lit(f"(?s)(?i:{p}){PROSE}")
-        begin = F.coalesce(_after(text, heading), begin)
+        rest = F.coalesce(_after(text, f"(?s)(?i:{p}){PROSE}"), rest)
 
     def kept(rest: Column) -> Column:
         stop = F.regexp_instr(F.substring(rest, F.lit(101), F.length(rest)), F.lit(NEXT_ITEM))
         found = once(stop, lambda at: F.when(at > 0, F.substring(rest, F.lit(1), at + 99)).otherwise(rest))
         return F.trim(F.substring(found, 1, most), F.lit(" \n\r\t"))
 
-    return once(once(begin, lambda at: F.when(at.isNotNull(), F.substring(text, at, F.length(text)))), kept)
+    return once(rest, kept)
 
 
-def _after(text: Column, pattern: Column) -> Column:
-    """The place behind the first match; null if there is none."""
-    return once(F.regexp_instr(text, pattern), lambda at: F.when(at > 0, at + F.length(F.regexp_substr(text, pattern))))
+def _after(text: Column, pattern: str) -> Column:
+    """What is behind the first match, from one search; null if there is none."""
+    return F.get(F.split(text, pattern, 2), 1)
 
 
 def row_macro(levels: DataFrame, *, key: str = "ticker", time: str = "date") -> DataFrame:

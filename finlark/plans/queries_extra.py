@@ -148,14 +148,15 @@ SENTENCES = "'Some of the following may happen. ' || repeat('Prices move. ', 30)
 @query("F6_V13_sections", f"select filing_id, case when filing_id % 4 <> 0 then {SENTENCES} end as risks, case when filing_id % 5 <> 0 then repeat('Sales rose. ', 25) || 'It went on' end as discussion from filing")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sections of a filing; the headings in its table of contents are passed over, and some filings lack one."""
-    from finlark.plans.market_state import section
+    from finlark.plans.market_state import once, section
 
     k = F.col("filing_id")
     contents = F.lit("Contents\nItem 1A. Risk Factors ......... 7\nItem 7. Management's Discussion and Analysis ......... 20\n")
     risks = F.when(k % 4 != 0, F.concat(F.lit("Item 1A. Risk Factors\n"), F.lit("Some of the following may happen. "), F.repeat(F.lit("Prices move. "), 30), k)).otherwise("Item 1A. None")
     talk = F.when(k % 5 != 0, F.concat(F.lit("\nItem 7. Management's Discussion and Analysis\n"), F.repeat(F.lit("Sales rose. "), 25), F.lit("It went on"))).otherwise("\nItem 7. None")
     text = F.concat(contents, risks, F.lit("\nItem 2. Properties. None."), talk, F.lit("\nItem 8. Statements."))
-    found = B.filings(spark, sf_dir).select("filing_id", section(text, "risk_factors").alias("risks"), section(text, "discussion").alias("discussion"))
+    both = once(text, lambda t: F.struct(section(t, "risk_factors").alias("risks"), section(t, "discussion").alias("discussion")))  # the text is put together once
+    found = B.filings(spark, sf_dir).select("filing_id", both.alias("s")).select("filing_id", "s.risks", "s.discussion")
     heading = r"(?is)^\s*(?:of financial condition|and analysis)\s*"
     return found.withColumn("discussion", F.regexp_replace("discussion", heading, ""))
 

@@ -313,3 +313,13 @@ def test_long_growth_query_has_no_wide_frame(spark, sf):
     from finlark.plans.queries_extra import QUERIES
 
     assert "-274, currentrow" not in QUERIES["W13_dollar_and_growth"](spark, sf)._jdf.queryExecution().analyzed().toString()
+
+
+def test_sections_are_searched_for_once(spark):
+    from finlark.plans.market_state import section
+
+    prose = "Some of the following may happen. " + "Prices move. " * 30
+    rows = spark.createDataFrame([(1, "Item 1A. Risk Factors" + prose), (2, "Item 1A. Risk Factors ......... 7\n" + "x" * 300), (3, None), (4, "The Risk factors\n" + prose + "\nItem 2. Properties")], "k int, text string")
+    made = rows.select("k", section(F.col("text"), "risk_factors").alias("s"))
+    assert "regexp_substr" not in made._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.k: r.s for r in made.collect()} == {1: prose.strip(), 2: None, 3: None, 4: prose.strip()}
