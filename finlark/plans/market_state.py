@@ -39,6 +39,12 @@ def is_major(firm: Column, exact: bool = True) -> Column:
     return F.exists(F.array(*[F.lit(x) for x in FIRMS_PART]), lambda x: F.contains(firm, x))
 
 
+def value_back(prices: DataFrame, n: int, look_back: int, *, key: str = "ticker", day: str = "day", value: str = "close", name: str = "back") -> DataFrame:
+    """prices and the value n days back, or the last one of up to ``look_back`` days before that; one window over each series, which has a row a day."""
+    frame = Window.partitionBy(key).orderBy(day).rangeBetween(-(n + look_back), -n)
+    return prices.withColumn(name, F.when(F.col(key).isNotNull() & F.col(day).isNotNull(), F.last(value).over(frame)))
+
+
 def horizon_returns(prices: DataFrame, days: list[int], *, key: str = "ticker", day: str = "day") -> DataFrame:
     """return_<n> against the close nearest to n calendar days before; of equals the later."""
     out = prices

@@ -11,6 +11,7 @@ from finlark.operators import aggregates
 from finlark.operators.asof import asof_join
 from finlark.plans import bindings as B
 from finlark.plans import challenger, products, scoring
+from finlark.plans.market_state import value_back
 from finlark.plans.queries_aggregate import rounded
 from finlark.plans.queries_series import SIDE, sides
 
@@ -232,11 +233,10 @@ def last_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("W22_value_days_back", "select p.ticker, p.day, round(q.close, 6) as back from price p left join lateral (select close from price q where q.ticker = p.ticker and q.day <= p.day - 30 and q.day >= p.day - 35 order by q.day desc limit 1) q on true")
-def value_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+def days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The close 30 days back, or the last one of up to 5 days before that."""
     rows = B.prices(spark, sf_dir).select("ticker", "day", "close")
-    asked = rows.select("ticker", F.col("day").alias("at"), (F.col("day") - 30).alias("day"))
-    return asof_join(asked, rows, by=["ticker"], on="day", take=["close"], tolerance=5).select("ticker", F.col("at").alias("day"), F.round("close_right", 6).alias("back"))
+    return value_back(rows, 30, 5).select("ticker", "day", F.round("back", 6).alias("back"))
 
 
 V3 = """, s as (select *, row_number() over w as k from price window w as (partition by ticker order by date)) select ticker, date, round((close - lag(close, 6) over w) * 100 / lag(close, 6) over w, 6) as return_7d, round((close - lag(close, 13) over w) * 100 / lag(close, 13) over w, 6) as return_14d, round((close - lag(close, 20) over w) * 100 / lag(close, 20) over w, 6) as return_21d, round((close - lag(close, 29) over w) * 100 / lag(close, 29) over w, 6) as return_30d,

@@ -7,13 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from finlark.functions import math as M
 from finlark.functions import text as X
 from finlark.operators import aggregates as A
 from finlark.operators import merge
 from finlark.operators import windows as W
 from finlark.operators.asof import asof_join, interval_aggregate, interval_join
-from finlark.plans import portfolio, products, scoring, screener
+from finlark.plans import market_state, portfolio, products, scoring, screener
 from finlark.schemas import ANALYSIS, TABLES, schema
 from finlark.streaming import alerts, ingest, jobs
 
@@ -54,6 +55,17 @@ def test_asof_join(two_sides, how, bins):
     assert len(got) == len(left)
 
 
+def test_asof_join_null_keys_and_neighbours(spark):
+    """A null key meets nothing, in its own bin neither; what lies within the tolerance is found beyond the bin's edge; names and types stay."""
+    left = spark.createDataFrame([(1, None, 5), (2, "a", 10), (3, "a", 29)], "id int, k string, t int")
+    right = spark.createDataFrame([(None, 4, 1.0), ("a", 9, 2.0), ("a", 31, None)], "k string, t bigint, v double")
+    back = asof_join(left, right, by=["k"], on="t", take=["v"], bin_width=10, tolerance=3)
+    assert back.dtypes == [("id", "int"), ("k", "string"), ("t", "int"), ("t_right", "bigint"), ("v_right", "double")]
+    assert sorted((x.id, x.t_right, x.v_right) for x in back.collect()) == [(1, None, None), (2, 9, 2.0), (3, None, None)]
+    near = asof_join(left, right, by=["k"], on="t", take=["v"], bin_width=10, tolerance=3, direction="nearest")
+    assert sorted((x.id, x.t_right) for x in near.collect()) == [(1, None), (2, 9), (3, 31)]
+
+
 def test_interval_join(two_sides):
     left, right, l, r = two_sides
     for high, closed in ((0, True), (0, False), (4, True)):
@@ -323,3 +335,24 @@ def test_sections_are_searched_for_once(spark):
     made = rows.select("k", section(F.col("text"), "risk_factors").alias("s"))
     assert "regexp_substr" not in made._jdf.queryExecution().analyzed().toString().lower()
     assert {r.k: r.s for r in made.collect()} == {1: prose.strip(), 2: None, 3: None, 4: prose.strip()}
+
+
+@pytest.fixture(scope="module")
+def closes(spark):
+    rnd = random.Random(5)
+    known = [(k, d, None if d % 11 == 0 else float(rnd.randrange(1, 500))) for k in "ab" for d in sorted(rnd.sample(range(0, 400), 90))]
+    return known, spark.createDataFrame([*known, (None, 40, 1.0), (None, 72, 2.0), ("a", None, 3.0)], "ticker string, day int, close double")
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_value_back(spark, sf, closes):
+    known, df = closes
+    got = {(x.ticker, x.day): x.back for x in market_state.value_back(df, 30, 5).collect()}
+    for k, d, _ in known:
+        past = [(e, v) for q, e, v in known if q == k and d - 35 <= e <= d - 30]
+        assert got[k, d] == (max(past)[1] if past else None)
+    assert got[None, 72] is None and got["a", None] is None
+    assert scans(entry.queries()["W22_value_days_back"](spark, sf)) == 1  # the series is made once
