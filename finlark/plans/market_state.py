@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from finlark.functions.math import per, percent_change
 from finlark.functions.text import once
-from finlark.operators.asof import asof_join
 from finlark.operators.windows import last_rows, series
 
 #: Ratings from 1 (sell) to 5 (strong buy).
@@ -46,13 +45,24 @@ def value_back(prices: DataFrame, n: int, look_back: int, *, key: str = "ticker"
 
 
 def horizon_returns(prices: DataFrame, days: list[int], *, key: str = "ticker", day: str = "day") -> DataFrame:
-    """return_<n> against the close nearest to n calendar days before; of equals the later."""
-    out = prices
+    """return_<n> against the close nearest to n calendar days before; of equals the later.
+
+    One sort of each series, which has a row a day, serves all horizons: the last row up to n days before is
+    carried along, and the first one from there on is at most the row itself.
+    """
+    series = Window.partitionBy(key).orderBy(day)
+    row = F.when(F.col(day).isNotNull(), F.struct(F.col(day).alias("at"), F.col("close").alias("close")))
+    out = prices.withColumn("_row", row)
+    for n in days:
+        before = F.last("_row", ignorenulls=True).over(series.rangeBetween(Window.unboundedPreceding, -n))
+        after = F.first("_row", ignorenulls=True).over(series.rangeBetween(-n, 0))
+        out = out.withColumns({f"_before_{n}": before, f"_after_{n}": after})
     for n in days:
-        asked = prices.select(key, F.col(day).alias("_day"), (F.col(day) - n).alias(day))
-        past = asof_join(asked, prices.select(key, day, "close"), by=[key], on=day, take=["close"], direction="nearest", tie="later")
-        out = out.join(past.select(key, F.col("_day").alias(day), F.col("close_right").alias("_past")), [key, day], "left").withColumn(f"return_{n}", percent_change(F.col("close"), F.col("_past"))).drop("_past")
-    return out
+        b, a, then = F.col(f"_before_{n}"), F.col(f"_after_{n}"), F.col(day) - n
+        past = F.when(then - b["at"] < a["at"] - then, b["close"]).otherwise(a["close"])
+        known = F.col(key).isNotNull() & F.col(day).isNotNull()
+        out = out.withColumn(f"return_{n}", F.when(known, percent_change(F.col("close"), past)))
+    return out.drop("_row", *[f"_{side}_{n}" for n in days for side in ("before", "after")])
 
 
 def level_mean(prices: DataFrame, n: int = 30, least: int = 20) -> Column:

@@ -356,3 +356,14 @@ def test_value_back(spark, sf, closes):
         assert got[k, d] == (max(past)[1] if past else None)
     assert got[None, 72] is None and got["a", None] is None
     assert scans(entry.queries()["W22_value_days_back"](spark, sf)) == 1  # the series is made once
+
+
+def test_horizon_returns(spark, sf, closes):
+    known, df = closes
+    got = {(x.ticker, x.day): (x.return_3, x.return_30) for x in market_state.horizon_returns(df, [3, 30]).collect()}
+    for k, d, now in known:
+        for n, have in zip((3, 30), got[k, d], strict=True):
+            past = min(((abs(e - d + n), -e, v) for q, e, v in known if q == k))[2]
+            assert have == (None if now is None or past is None else pytest.approx((now - past) * 100 / past))
+    assert got[None, 72] == (None, None) == got["a", None]
+    assert scans(entry.queries()["W10_horizon_returns"](spark, sf)) == 1  # one sort of the series serves all horizons
