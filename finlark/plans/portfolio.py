@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlark.functions.math import per
+from finlark.operators.asof import asof_join
 from finlark.operators.windows import drawdown
 
 FEE = 1.0
@@ -21,6 +22,19 @@ def gate(signals: DataFrame, portfolios: DataFrame, open_trades: DataFrame, leas
     return kept.join(open_trades.where("status = 'OPEN'").select("portfolio_id", "ticker"), ["portfolio_id", "ticker"], "left_anti")
 
 
+def positions(asked: DataFrame, prices: DataFrame, hold: int, *, inclusive: bool = True) -> DataFrame:
+    """asked (ticker, day and more) with entry_day, entry, exit_day and exit; what finds no close at either end is left out.
+
+    Entry is at the first price from the day on (or after it), exit at the first from ``hold`` days after that: the
+    exit hangs on the entry's row alone, so a window over each series, which has a row a day, gives it to all that enter there.
+    """
+    later = Window.partitionBy("ticker").orderBy(F.col("day").desc()).rangeBetween(Window.unboundedPreceding, -hold)
+    out = prices.select("ticker", "day", "close", F.last(F.struct("day", "close")).over(later).alias("out"))
+    side = out.select("ticker", "day", "close", F.col("out.day").alias("exit_day"), F.col("out.close").alias("exit"))
+    met = asof_join(asked, side, by=["ticker"], on="day", take=["close", "exit_day", "exit"], direction="forward", inclusive=inclusive)
+    return met.drop("day").where("close_right is not null and exit_right is not null").withColumnsRenamed({"day_right": "entry_day", "close_right": "entry", "exit_day_right": "exit_day", "exit_right": "exit"})
+
+
 TRADE = "portfolio_id bigint, trade_id bigint, ticker bigint, direction string, day int, exit_day int, shares bigint, entry_value double, exit_value double, pnl double, pnl_pct double, cash_after double"
 
 

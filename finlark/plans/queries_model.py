@@ -95,13 +95,13 @@ def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of portfolios 0 to 19: entry at the first price from the filing's day on, exit at the first from 30 days later."""
-    left, right = sides(spark, sf_dir)
-    entry = asof_join(left, right, by=["ticker"], on="day", take=["close"], direction="forward").where("close_right is not null")
-    opened = entry.select("filing_id", "ticker", F.col("day_right").alias("entry_day"), F.col("close_right").alias("entry"), (F.col("day_right") + 30).alias("day"))
-    closed = asof_join(opened, right, by=["ticker"], on="day", take=["close"], direction="forward").where("close_right is not null")
-    facts = B.filings(spark, sf_dir).where("abs(predicted) >= 0.5 and confidence >= 0.4").select("filing_id", "company_id", "predicted", "confidence")
-    met = closed.join(facts, "filing_id")
-    return met.select((F.col("company_id") % 20).alias("portfolio_id"), F.col("filing_id").alias("trade_id"), "ticker", F.when(F.col("predicted") > 0, "LONG").otherwise("SHORT").alias("direction"), F.col("entry_day").cast("int").alias("day"), F.col("day_right").cast("int").alias("exit_day"), "entry", F.col("close_right").alias("exit"), "confidence", "predicted")
+    left, right = sides(spark, sf_dir, "abs(predicted) >= 0.5 and confidence >= 0.4", ("company_id", "predicted", "confidence"))
+    return dealt(portfolio.positions(left, right, 30))
+
+
+def dealt(met: DataFrame) -> DataFrame:
+    """Positions of filings as signals of portfolios 0 to 19."""
+    return met.select((F.col("company_id") % 20).alias("portfolio_id"), F.col("filing_id").alias("trade_id"), "ticker", F.when(F.col("predicted") > 0, "LONG").otherwise("SHORT").alias("direction"), F.col("entry_day").cast("int").alias("day"), F.col("exit_day").cast("int"), "entry", "exit", "confidence", "predicted")
 
 
 @query("T8s_portfolio_trades")

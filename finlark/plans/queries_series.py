@@ -25,10 +25,10 @@ def query(name: str, sql: str) -> Callable:
     return register
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Filings, keyed by the supplier that stands for the company's price series, and that series."""
+def sides(spark: SparkSession, sf_dir: str, where: str = "true", more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Filings, keyed by the supplier that stands for the company's price series, and that series. where: of which filings; more: their other columns."""
     n = B.table(spark, sf_dir, "supplier").count()
-    left = B.filings(spark, sf_dir).select("filing_id", (F.col("company_id") % n).alias("ticker"), "day")
+    left = B.filings(spark, sf_dir).where(where).select("filing_id", (F.col("company_id") % n).alias("ticker"), "day", *more)
     return left, B.prices(spark, sf_dir).select("ticker", "day", "close")
 
 

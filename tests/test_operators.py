@@ -367,3 +367,20 @@ def test_horizon_returns(spark, sf, closes):
             assert have == (None if now is None or past is None else pytest.approx((now - past) * 100 / past))
     assert got[None, 72] == (None, None) == got["a", None]
     assert scans(entry.queries()["W10_horizon_returns"](spark, sf)) == 1  # one sort of the series serves all horizons
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_positions(spark, sf, closes, inclusive):
+    known, df = closes
+    asked = [(i, k, d) for i, (k, d) in enumerate((k, d) for k in "ab" for d in range(-3, 400, 9))] + [(900, None, 5), (901, "a", None)]
+    got = {x.id: (x.entry_day, x.entry, x.exit_day, x.exit) for x in portfolio.positions(spark.createDataFrame(asked, "id int, ticker string, day int"), df, 30, inclusive=inclusive).collect()}
+    for i, k, d in asked:
+        first = lambda at: min(((e, v) for q, e, v in known if q == k and e >= at), default=(None, None))
+        entry = first(d + (not inclusive)) if d is not None else (None, None)
+        out = first(entry[0] + 30) if entry[0] is not None else (None, None)
+        assert got.get(i) == (None if entry[1] is None or out[1] is None else (*entry, *out))
+
+
+def test_positions_make_the_series_and_the_join_once(spark, sf):
+    plan = entry.queries()["T8s_portfolio_trades"](spark, sf)
+    assert scans(plan) <= 4  # filings and prices, in the union and for the bins' guests; 11 with a join for either end
