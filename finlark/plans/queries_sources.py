@@ -28,10 +28,10 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
 
 
-def land(texts: DataFrame, alone: bool = False) -> str:
-    """Rows of one text column as files; each row a file of its own if asked."""
+def land(texts: DataFrame, alone: bool = False, between: str = "\n") -> str:
+    """Rows of one text column as files, with ``between`` after each; each row a file of its own if asked."""
     path = folder(texts.sparkSession)
-    texts.write.option("maxRecordsPerFile", 1 if alone else 0).text(path)
+    texts.write.option("maxRecordsPerFile", 1 if alone else 0).option("lineSep", between).text(path)
     return path
 
 
@@ -225,7 +225,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = B.prices(spark, sf_dir).groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct(F.col("date").cast("string"), day))).alias("Time Series (Daily)"))
     docs = each.select(F.to_json(F.struct(F.struct(F.concat(F.lit("t"), "ticker").alias("2. Symbol")).alias("Meta Data"), "Time Series (Daily)")).alias("value"))
     failed = spark.range(1).select(F.lit('{"Error Message": "no such call"}').alias("value"))
-    return market.daily_series(spark, land(docs.unionByName(failed), alone=True))
+    return market.daily_series(spark, land(docs.unionByName(failed), between=market.RECORD))
 
 
 @query("S19_news", "select 'Filing ' || filing_id || ' of ' || filing_type as title, 'Paper ' || (filing_id % 7) as publisher, 'http://x/' || filing_id as link from filing")

@@ -77,13 +77,18 @@ def describe(rows: DataFrame, date: str, buckets: dict[str, str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), F.struct(*[F.count_if(F.expr(c)).alias(n) for n, c in buckets.items()]).alias("buckets"))
 
 
+RECORD = "\x1e"
 SERIES = "struct<`Meta Data`:struct<`2. Symbol`:string>,`Time Series (Daily)`:map<string,struct<`1. open`:string,`2. high`:string,`3. low`:string,`4. close`:string,`5. volume`:string>>>"
 
 
 def daily_series(spark: SparkSession, path: str) -> DataFrame:
-    """Daily prices from time-series files, one object a file with its days as keys; files with an error message give no rows."""
+    """Daily prices from time-series objects with their days as keys; those with an error message give no rows.
+
+    A file holds one object, or many as a JSON text sequence (RFC 7464): apart by RECORD, which no JSON text may
+    contain as it is. So symbols need no files of their own, of which opening and listing cost more than what is in them.
+    """
     doc = F.from_json("value", SERIES)
-    raw = spark.read.option("wholetext", True).text(path).select(doc.alias("d"))
+    raw = spark.read.option("lineSep", RECORD).text(path).select(doc.alias("d"))
     days = raw.select(F.upper(F.col("d.Meta Data").getField("2. Symbol")).alias("ticker"), F.explode(F.col("d.Time Series (Daily)")).alias("day", "p"))
     at = lambda name, kind: F.col("p").getField(name).try_cast(kind)
     return days.select("ticker", F.to_date("day").alias("date"), at("1. open", "double").alias("open"), at("2. high", "double").alias("high"), at("3. low", "double").alias("low"), at("4. close", "double").alias("close"), at("5. volume", "bigint").alias("volume"))

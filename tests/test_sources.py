@@ -68,3 +68,21 @@ def test_csv_round_trip(spark, tmp_path):
     market.write_csv(spark.createDataFrame([(1, 'say "so", twice', True), (2, None, False)], "i int, s string, f boolean").coalesce(1), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("part*")).read_text()
     assert text == 'i,s,f\n1,"say ""so"", twice",1\n2,,0\n'
+
+
+def test_daily_series_alone_and_in_sequence(spark, tmp_path):
+    doc = lambda name, day: {"Meta Data": {"2. Symbol": name}, "Time Series (Daily)": {day: {"1. open": "1.5", "2. high": "2", "3. low": "1", "4. close": "x", "5. volume": "7"}}}
+    put(tmp_path, "one.json", json.dumps(doc("a", "2025-01-02"), indent=1))
+    put(tmp_path, "two.json", "\x1e" + "\n\x1e".join([json.dumps(doc("b", "2025-01-03"), indent=1), json.dumps({"Error Message": "no such call"}), "{broken", json.dumps(doc("c", "2025-01-04"))]) + "\n")
+    put(tmp_path, "none.json", "")
+    got = market.daily_series(spark, str(tmp_path / "*.json")).collect()
+    assert sorted((r.ticker, str(r.date), r.open, r.close, r.volume) for r in got) == [("A", "2025-01-02", 1.5, None, 7), ("B", "2025-01-03", 1.5, None, 7), ("C", "2025-01-04", 1.5, None, 7)]
+
+
+def test_series_share_files(spark, sf, tmp_path, monkeypatch):
+    from finlark.plans import queries_sources
+
+    monkeypatch.setattr(queries_sources, "folder", lambda spark: str(tmp_path / "landed"))
+    symbols = queries_sources.daily_series(spark, sf).select("ticker").distinct().count()
+    files = [p for p in (tmp_path / "landed").iterdir() if p.name.startswith("part-")]
+    assert symbols > 5 and len(files) <= 6  # a file a task (and one of the failed call), however many symbols
