@@ -131,3 +131,13 @@ def test_no_python_in_the_averages(spark):
     rows = spark.range(100).select(F.lit("a").alias("ticker"), F.col("id").alias("date"), F.col("id").cast("double").alias("close"))
     plan = W.macd(rows)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_neighbours_share_a_bracket(spark, monkeypatch):
+    """Both places of a pair are found where they straddle a hot value, the ends, or two far values."""
+    monkeypatch.setattr(O, "FEW", 5)
+    values = [0.0] * 700 + [i / 7 for i in range(1, 900)] + [500.0] * 700 + [1e9]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    firsts = [0, 698, 699, 700, 1100, 1597, 1598, 1599, 2298]
+    got = O.order_statistics(frame, [], F.col("v"), lambda n: [F.lit(k + j) for k in firsts for j in (0, 1)], cells=8, together=2).first()
+    assert list(got["at"]) == [values[k + j] for k in firsts for j in (0, 1)]
