@@ -196,3 +196,17 @@ def test_fits_are_dealt_over_all_cores(spark, monkeypatch, fit):
     else:
         assert learning.classify(rows, {"one": (["a"], "logistic")}, "up", order="day").first().n_test == 90
     assert set(seen) == {spark.sparkContext.defaultParallelism}
+
+
+def test_rows_alike_are_learnt_from_once(spark, monkeypatch):
+    """A forest and boosted trees had each of the rows; ten copies of all give the same scores."""
+    seen = []
+    for kind in (learning.RandomForestClassifier, learning.GBTClassifier):
+        plain = kind._fit
+        monkeypatch.setattr(kind, "_fit", lambda self, rows, plain=plain: (seen.append(rows.count()), plain(self, rows))[1])
+    rows = spark.range(600).select((F.col("id") % 100).alias("day"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 7 + F.col("id") % 3 + F.col("id") % 2 > 4).alias("up"), F.when(F.col("id") % 4 > 0, (F.col("id") % 9 - 4).cast("double")).alias("gain"))
+    sets = {k: (["a", "b"], k) for k in ("logistic", "boosted", "forest")}
+    once, often = ({r.model: r for r in learning.classify(r, sets, "up", order="day", gain="gain", sizes={"trees": 3, "depth": 3, "boosted_depth": 2}).collect()} for r in (rows, rows.crossJoin(spark.range(10).select(F.col("id").alias("copy")))))
+    assert max(seen) <= 42 and often["logistic"].n_test == 10 * once["logistic"].n_test
+    for c in ("accuracy", "auc", "precision", "recall", "f1", "spread"):
+        assert math.isclose(once["boosted"][c], often["boosted"][c], rel_tol=1e-9)
