@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from finlark.functions.math import abnormal_return, cap_tier_export, per
@@ -22,10 +24,14 @@ def latest(rows: DataFrame, side: DataFrame, by: list[str], take: list[str], tol
     return met.withColumnsRenamed({f"{c}_right": c for c in take})
 
 
-def of_the_day(rows: DataFrame, side: DataFrame, take: list[str], tolerance: int | None = None) -> DataFrame:
-    """``latest`` for a side of one series: worked out for each different day, of which there are some thousands, however many rows share it."""
-    days = rows.select("day").distinct().withColumn("_all", F.lit(1))
-    return rows.join(latest(days, side.select(F.lit(1).alias("_all"), "day", *take), ["_all"], take, tolerance).drop("_all"), "day", "left")
+def of_the_day(rows: DataFrame, side: DataFrame, take: list[str], tolerance: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """``latest`` for a side of one series: worked out for each different day, of which there are some thousands, however many rows share it.
+
+    asked: rows that have the same days and cost less.
+    """
+    days = (rows if asked is None else asked).select("day").distinct().withColumn("_all", F.lit(1))
+    known = latest(days, side.select(F.lit(1).alias("_all"), "day", *take), ["_all"], take, tolerance).drop("_all")
+    return rows.join(F.broadcast(known), "day", "left")  # a row a day
 
 
 def dataset(filings: DataFrame, companies: DataFrame, technical: DataFrame, macro: DataFrame, *, concern: bool = True) -> DataFrame:
@@ -93,36 +99,49 @@ def relative_strength(stock_90d: Column, sector_30d: Column) -> Column:
     return F.nullif(stock_90d, F.lit(0.0)) - sector_30d
 
 
-def last_in_band(events: DataFrame, side: DataFrame, low: int, high: int, names: dict[str, str], first: bool = False) -> DataFrame:
-    """filing_id and for each name the named column of the side's last (or first) row within the days."""
-    pairs = interval_join(events.select("filing_id", "ticker", "day"), side.select("ticker", "day", *names.values()), by=["ticker"], on="day", low=low, high=high, bin_width=high - low + 30)
-    pick = F.min_by if first else F.max_by
-    return pairs.groupBy("filing_id").agg(*[pick(f"{take}_right", "day_right").alias(name) for name, take in names.items()])
+def with_days_around(events: DataFrame, sides: dict[str, tuple[DataFrame, list[str]]], back: int, ahead: int, found: Callable[[WindowSpec], dict[str, Column]], bin_width: int = 730) -> DataFrame:
+    """events with the columns ``found`` over windows of days of their ticker, from one exchange and one sort of all rows.
 
+    sides: by name a table with a row a ticker and day, and its columns; a window sees them as a struct of that name, day first.
+    Sides that are one table go as one row. Rows meet within bins of days; a side's row is copied to the bins of events up to ``back`` days after it or ``ahead`` before it.
+    """
+    at = lambda c: F.floor(c / bin_width)
+    whole = events.select("ticker", "day", at(F.col("day")).alias("_bin"), F.struct(*[c for c in events.columns if c not in ("ticker", "day")]).alias("_event"))
+    for table in {id(t): t for t, _ in sides.values()}.values():
+        own = [F.struct("day", *take).alias(name) for name, (t, take) in sides.items() if t is table]
+        rows = table.where("ticker is not null and day is not null").select("ticker", "day", F.explode(F.sequence(at(F.col("day") - ahead), at(F.col("day") + back))).alias("_bin"), *own)
+        whole = whole.unionByName(rows, allowMissingColumns=True)
+    made = found(Window.partitionBy("ticker", "_bin").orderBy("day"))
+    return whole.withColumns(made).where("_event is not null").select("ticker", "day", "_event.*", *made)
 
-def aligned_sensitivity(events: DataFrame, prices: DataFrame, macro: DataFrame, days: int = 90, least: int = 30) -> DataFrame:
-    """filing_id and sensitivity: the correlation of the stock's daily returns with changes of the ten-year rate.
 
-    Both series of the last ``days`` days are paired by place, not by date, as it is defined. Null under ``least`` of either.
-    """
-    from pyspark.sql import Window
+def rate_changes(days: DataFrame, macro: DataFrame, back: int = 90, least: int = 30) -> DataFrame:
+    """day and rates: the changes of the ten-year rate over the last ``back`` days, in order; only days with at least ``least`` of them."""
+    pairs = interval_join(days.select("day").distinct().withColumn("_all", F.lit(1)), macro.select(F.lit(1).alias("_all"), "day", "treasury10y"), by=["_all"], on="day", low=-back, high=0, bin_width=back)
+    before = F.lag("treasury10y_right").over(Window.partitionBy("day").orderBy("day_right"))
+    moved = pairs.withColumn("v", F.when((F.col("treasury10y_right") != 0) & (before != 0), F.col("treasury10y_right") - before)).where("v is not null")
+    kept = moved.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("day_right", "v"))).alias("r")).where(F.size("r") >= least)
+    return kept.select("day", F.col("r.v").alias("rates"))
+
+
+def price_changes(rows: Column) -> Column:
+    """The daily returns between structs with a close, in order; those from or to nothing are left out."""
+    moved = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x, i: per(x["close"] - F.get(rows, i)["close"], F.get(rows, i)["close"]))
+    return F.filter(moved, lambda v: v.isNotNull())
 
-    from finlark.operators.aggregates import correlation
 
-    def changes(rows: DataFrame, key: str, side: DataFrame, by: list[str], value: str, ratio: bool) -> DataFrame:
-        pairs = interval_join(rows, side.select(*by, "day", value), by=by, on="day", low=-days, high=0, bin_width=days)
-        w = Window.partitionBy(key).orderBy("day_right")
-        before = F.lag(f"{value}_right").over(w)
-        moved = per(F.col(f"{value}_right") - before, before) if ratio else F.when((F.col(f"{value}_right") != 0) & (before != 0), F.col(f"{value}_right") - before)
-        kept = pairs.withColumn("v", moved).where("v is not null")
-        return kept.select(key, "day", "v", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n")).where(F.col("n") >= least)
+def paired_correlation(x: Column, y: Column) -> Column:
+    """Pearson's of two arrays paired by place, as far as both go; 0 where one doesn't vary."""
+    pairs = F.slice(F.arrays_zip(x.alias("x"), y.alias("y")), 1, F.least(F.size(x), F.size(y)))
+    names = ("n", "mx", "my", "xy", "xx", "yy")
 
-    # The rate's changes are the same for all events of a day; days with too few of them give nothing, so their events aren't paired with prices.
-    asked = events.select("day").distinct().withColumns({"_day": F.col("day"), "_all": F.lit(1)})
-    rate = changes(asked, "_day", macro.withColumn("_all", F.lit(1)), ["_all"], "treasury10y", False).select("day", "i", F.col("v").alias("r"))
-    enough = events.select("filing_id", "ticker", "day").join(rate.select("day").distinct(), "day", "left_semi")
-    stock = changes(enough, "filing_id", prices, ["ticker"], "close", True)
-    return stock.join(rate, ["day", "i"]).groupBy("filing_id").agg(correlation(F.col("v"), F.col("r")).alias("interest_rate_sensitivity"))
+    def step(s: Column, p: Column) -> Column:
+        n, dx, dy = s["n"] + 1, p["x"] - s["mx"], p["y"] - s["my"]
+        mx, my = s["mx"] + dx / n, s["my"] + dy / n
+        values = (n, mx, my, s["xy"] + dx * (p["y"] - my), s["xx"] + dx * (p["x"] - mx), s["yy"] + dy * (p["y"] - my))
+        return F.struct(*[v.alias(c) for v, c in zip(values, names, strict=True)])
+
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(c) for c in names]), step, lambda s: F.coalesce(F.try_divide(s["xy"] / s["n"], F.sqrt(s["xx"] / s["n"]) * F.sqrt(s["yy"] / s["n"])), F.lit(0.0)))
 
 
 def drift_features(events: DataFrame, companies: DataFrame, snapshots: DataFrame, technical: DataFrame, macro: DataFrame, prices: DataFrame, sectors: dict[str, str] | None = None) -> DataFrame:
@@ -132,16 +151,21 @@ def drift_features(events: DataFrame, companies: DataFrame, snapshots: DataFrame
     if they are at most two days old. A consensus, price or ratio of 0 counts as missing. Net upgrades are 0, as they are defined.
     """
     one = events.join(companies.select("ticker", "sector", "market_cap", "beta", "pe_ratio"), "ticker", "left")
-    met = latest(one, snapshots.select("ticker", "day", *SNAPSHOT), ["ticker"], SNAPSHOT, 2)
     tech = ["return_90d", "price_to_ma50", "price_to_ma200", "rsi14"]
-    met = latest(met, technical.select("ticker", "day", *tech), ["ticker"], tech, 2)
+    # The greatest struct is that of the last day.
+    around = with_days_around(one, {"_shot": (snapshots, SNAPSHOT), "_tech": (technical, tech), "_price": (prices, ["close"])}, 90, 10, lambda w: {
+        "_near": F.max("_shot").over(w.rangeBetween(-2, 0)), "_state": F.max("_tech").over(w.rangeBetween(-2, 0)), "_old": F.max("_shot").over(w.rangeBetween(-33, -27)),
+        "_later": F.min("_price").over(w.rangeBetween(4, 10)), "_closes": F.collect_list("_price").over(w.rangeBetween(-90, 0)),
+    })
+    # The stock's returns and the rate's changes of the last 90 days are paired by place, not by date, as it is defined; 30 of either at least.
+    moves = price_changes(F.col("_closes"))
+    sensitive = around.join(F.broadcast(rate_changes(events, macro)), "day", "left")  # a row a day
+    met = sensitive.select(
+        *one.columns, *[F.col(f"_near.{c}").alias(c) for c in SNAPSHOT], *[F.col(f"_state.{c}").alias(c) for c in tech], F.col("_old.eps_estimate").alias("old"), F.col("_near.eps_estimate").alias("new"), F.col("_near.current_price").alias("paid"), F.col("_later.close").alias("later"),
+        F.when(F.col("rates").isNotNull() & (F.size(moves) >= 30), paired_correlation(moves, F.col("rates"))).alias("interest_rate_sensitivity"),
+    )
     wide = ["spx_return_7d", "vix_close", "yield_curve", *(sectors or SECTOR_RETURNS).values()]
-    met = of_the_day(met, macro, wide, 2)
-    for side in (
-        last_in_band(events, snapshots, -33, -27, {"old": "eps_estimate"}), last_in_band(events, snapshots, -2, 0, {"new": "eps_estimate", "paid": "current_price"}),
-        last_in_band(events, prices, 4, 10, {"later": "close"}, first=True), aligned_sensitivity(events, prices, macro),
-    ):
-        met = met.join(side, "filing_id", "left")
+    met = of_the_day(met, macro, wide, 2, events)
     none = lambda c: F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
     consensus, n = none("eps_estimate"), none("rating_count")
     parts = [F.pow(F.coalesce(F.col(c), F.lit(0)) / n - 0.33, 2) for c in ("buy_count", "hold_count", "sell_count")]

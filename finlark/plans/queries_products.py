@@ -182,7 +182,8 @@ select filing_id, round((eps_actual - cons) / nullif(spread, 0), 6) as sue, eps_
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = B.table(spark, sf_dir, "supplier").count()
     events = B.filings(spark, sf_dir).select("filing_id", (F.col("company_id") % n).alias("ticker"), "day", *[F.expr(e).alias(c) for c, e in EVENTS.items()])
-    out = products.drift_features(events, firms(spark, sf_dir), prices(spark, sf_dir, SNAPSHOTS), prices(spark, sf_dir, TECHNICAL), macro(spark, sf_dir).withColumns({"financial_return_30d": F.lit(None), "healthcare_return_30d": F.lit(None)}), B.prices(spark, sf_dir).select("ticker", "day", "close"), SECTOR_COLUMNS)
+    series = prices(spark, sf_dir, {**SNAPSHOTS, **TECHNICAL, "close": "close"})
+    out = products.drift_features(events, firms(spark, sf_dir), series, series, macro(spark, sf_dir).withColumns({"financial_return_30d": F.lit(None), "healthcare_return_30d": F.lit(None)}), series, SECTOR_COLUMNS)
     exact = ["sue", "guidance_delta", "analyst_revision_30d", "consensus_dispersion", "price_to_ma50", "price_to_ma200", "interest_rate_sensitivity", "abnormal_return_7d", "raw_return_7d"]
     return out.withColumns({c: F.round(c, 6) for c in exact})
 

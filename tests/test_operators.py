@@ -384,3 +384,19 @@ def test_positions(spark, sf, closes, inclusive):
 def test_positions_make_the_series_and_the_join_once(spark, sf):
     plan = entry.queries()["T8s_portfolio_trades"](spark, sf)
     assert scans(plan) <= 4  # filings and prices, in the union and for the bins' guests; 11 with a join for either end
+
+
+def test_drift_features_read_prices_once(spark, sf):
+    """Snapshots, indicators, bands and returns each summed up and sent all prices; now they share one exchange, and macro rows are read apart."""
+    from finlark.plans.queries_products import QUERIES
+
+    plan = QUERIES["M19_F44_drift_features"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") <= 3
+
+
+def test_returns_paired_by_place(spark):
+    closes = [2.0, 3.0, 0.0, None, 4.0, 5.0, 2.5]
+    rows = spark.range(1).select(F.array(*[F.struct(F.lit(c).cast("double").alias("close")) for c in closes]).alias("c"), F.array(F.lit(1.0), F.lit(2.0), F.lit(9.0), F.lit(4.0), F.lit(7.0)).alias("r"))
+    got = rows.select(products.price_changes(F.col("c")).alias("v"), products.paired_correlation(F.array(F.lit(1.0), F.lit(3.0), F.lit(2.0)), F.col("r")).alias("x"), products.paired_correlation(F.array(F.lit(0.1), F.lit(0.1), F.lit(0.1)), F.col("r")).alias("flat"), F.size(products.price_changes(F.slice("c", 1, 0))).alias("none")).first()
+    assert got.v == [0.5, -1.0, 0.25, -0.5] and got.flat == 0 and got.none == 0
+    assert math.isclose(got.x, np.corrcoef([1, 3, 2], [1, 2, 9])[0, 1])
