@@ -17,6 +17,7 @@ made of pairs in the same way, with the add-one unigram P(w) beneath it.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import mmap
 from collections.abc import Callable, Iterator
@@ -40,6 +41,8 @@ MOST_HOT = 1_000_000
 COMMON = 1 << 16
 HELD = 1 << 22
 OFTEN = 16
+HEAD = 10  # bytes that tell of one array of a piece
+SMALL = 1 << 14
 
 
 class Mapped:
@@ -152,6 +155,42 @@ def unquantised(codes: np.ndarray, absent: float) -> np.ndarray:
     return np.where(codes == ABSENT, absent, 10.0 ** (-STEP * codes))
 
 
+def distances(codes: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """How far codes are below the expected ones, and of such distances the codes again; ABSENT stays."""
+    return np.where(codes == ABSENT, ABSENT, (expected.astype(np.int32) + ABSENT - codes) % ABSENT).astype(np.uint16)
+
+
+class Expected:
+    """The codes that most n-grams have: of a follower seen once, and of the mass left by a word or pair with one follower.
+
+    An answer holds ranks of distances from these, small numbers, as the codes themselves differ with how often the word or pair is seen.
+    under and left_under: those codes beneath a pair, by the distance of the pair's own code, which tells how often it is seen.
+    order: all distances, at first those of followers seen n times and of n followers, n from 1 on; rank: the place of each in it.
+    """
+
+    def __init__(self, discount: float):
+        self.taken, self.given = max(1 - discount, 1e-8), max(discount, 1e-8)
+        seen = np.rint(self.taken * 10.0 ** (STEP * np.arange(ABSENT + 1)) + discount)
+        self.under, self.left_under = self.once(seen), self.left(seen)
+        n = np.arange(1, 1 << 12)
+        likely = np.rint(np.log10(np.stack((n, np.maximum((n - discount) / self.taken, 1)), 1)) / STEP).astype(np.int64)
+        every = np.concatenate(([0, ABSENT], ((likely.reshape(-1, 1) + [0, -1, 1]) % ABSENT).ravel(), np.arange(ABSENT + 1)))
+        self.order = every[np.sort(np.unique(every, return_index=True)[1])].astype(np.uint16)
+        self.rank = np.empty(ABSENT + 1, np.uint32)
+        self.rank[self.order] = np.arange(ABSENT + 1)
+
+    @staticmethod
+    @functools.cache
+    def of(discount: float) -> Expected:
+        return Expected(discount)
+
+    def once(self, seen: np.ndarray) -> np.ndarray:
+        return quantised(np.log10(self.taken / np.maximum(1, seen)))
+
+    def left(self, seen: np.ndarray) -> np.ndarray:
+        return quantised(np.log10(self.given / np.maximum(1, seen)))
+
+
 @dataclass
 class Level:
     """The children of all nodes of the level above.
@@ -219,6 +258,11 @@ class Hot:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
+    def seen(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The words' training counts, of hot words the whole ones, whatever a shard holds of them."""
+        at = self.place(words)
+        return np.where(at >= 0, self.counts[at], counts) if len(self.words) else counts
+
     def with_pairs(self, keys: list[int], counts: list[int], limit: int) -> Hot:
         order = np.argsort(np.array(keys, np.uint64))
         counts = np.array(counts, np.int64)[order]
@@ -300,8 +344,8 @@ class Block:
     def of(cls, texts: pa.Array) -> Block:
         tokens = Tokens(texts)
         hashes = tokens.hashes()
-        words = np.unique(np.concatenate((hashes, np.array([START, END]))))
-        local = np.searchsorted(words, hashes).astype(np.int32)
+        words, local = np.unique(np.concatenate((hashes, np.array([START, END]))), return_inverse=True)
+        local = local[: len(hashes)].astype(np.int32)
         start, end = np.searchsorted(words, START), np.searchsorted(words, END)
         n = len(tokens.rows)
         token = np.empty(len(tokens.codes) + n, np.int32)
@@ -322,6 +366,14 @@ class Block:
         triple[later] = own
         return cls(words, pairs, triples, token, pair.astype(np.int32), triple, row)
 
+    def follower_ranks(self, common: Common) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pairs' and the triples' followers; each distinct word is looked up once."""
+        rank = common.ranks(self.words >> np.uint64(64 - int(FOLLOWER_BITS)))[self.token]
+        rank2, rank3 = np.empty(len(self.pairs), np.int32), np.empty(len(self.triples), np.int32)
+        rank2[self.pair] = rank
+        rank3[self.triple[self.triple >= 0]] = rank[self.triple >= 0]
+        return rank2, rank3
+
     def first(self) -> np.ndarray:
         return (self.pairs >> FOLLOWER_BITS).astype(np.int64)
 
@@ -362,57 +414,59 @@ class Block:
             if len(guests):
                 pairs, triples = np.union1d(pairs, parent[guests]), np.sort(np.concatenate((triples, guests)))
                 counts = np.bincount(np.searchsorted(pairs, parent[triples]), minlength=len(pairs))
-            words = np.union1d(np.arange(own[s], own[s + 1]), first[pairs])
-            yield int(s), words, np.bincount(np.searchsorted(words, first[pairs]), minlength=len(words)), pairs, counts, triples
+            words, parents = np.arange(own[s], own[s + 1]), first[pairs]
+            if len(parents) and (parents[0] < own[s] or parents[-1] >= own[s + 1]):  # of hot words, at home elsewhere
+                words = np.union1d(words, parents)
+            yield int(s), words, np.bincount(np.searchsorted(words, parents), minlength=len(words)), pairs, counts, triples
 
 
 def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
-    """Arrays in one compressed piece. 64-bit ones have as many bytes as the largest needs, byte by byte of all values; where it is shorter, 16-bit ones go by rank of frequency in the same way."""
-    heads, parts = [], []
-    coder = zstandard.ZstdCompressor(level=level)
+@functools.cache
+def compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
 
-    def planes(a: np.ndarray, used: int) -> bytes:
-        return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :used].T).tobytes()
 
+def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays in one piece. Whole numbers of more than 16 bits have as many bytes as the largest needs, byte by byte of all values.
+
+    Each is compressed by itself, as its values are like each other; those of a piece under SMALL bytes are compressed together, as beginnings of streams would be most of it.
+    """
+    heads, parts = [], []
     for a in arrays:
         a = np.ascontiguousarray(a)
         kind, used = b"p", a.itemsize
         if a.dtype != np.uint16 and a.dtype.kind in "iu" and a.itemsize > 1 and len(a) and a.min() >= 0:
-            used = max(1, (int(a.max()).bit_length() + 7) // 8)
-            kind, best = b"w", coder.compress(planes(a, used))
-        else:
-            best = coder.compress(a.tobytes())
-        if a.dtype == np.uint16 and len(a):
-            values, place, counts = np.unique(a, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(values), np.uint16)
-            rank[order] = np.arange(len(order))
-            other = coder.compress(len(order).to_bytes(4, "little") + values[order].tobytes() + planes(rank[place], 2))
-            kind, best = (b"r", other) if len(other) < len(best) else (kind, best)
-        heads.append(a.dtype.str.ljust(4).encode() + kind + bytes([used]) + len(a).to_bytes(5, "little") + len(best).to_bytes(5, "little"))
-        parts.append(best)
-    return b"".join([bytes([len(arrays)]), *heads, *parts])
+            kind, used = b"w", max(1, (int(a.max()).bit_length() + 7) // 8)
+        parts.append((np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :used].T) if kind == b"w" else a).tobytes())
+        heads.append(a.dtype.str.encode() + kind + bytes([used]) + len(a).to_bytes(5, "little"))
+    parts = [b"".join(parts)] if sum(map(len, parts)) < SMALL else parts
+    parts = [compressor(level).compress(part) for part in parts]
+    return b"".join([bytes([len(arrays), len(parts)]), *heads, *(len(part).to_bytes(5, "little") for part in parts), *parts])
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
-    found, at, coder = [], 1 + 16 * data[0], zstandard.ZstdDecompressor()
-    for k in range(data[0]):
-        head = data[1 + 16 * k : 17 + 16 * k]
-        dtype, kind, used, n, size = np.dtype(head[:4].decode().strip()), head[4:5], head[5], int.from_bytes(head[6:11], "little"), int.from_bytes(head[11:], "little")
-        plain = coder.decompress(data[at : at + size])
+    n, m = data[0], data[1]
+    at, coder, parts, found = 2 + HEAD * n + 5 * m, zstandard.ZstdDecompressor(), [], []
+    for k in range(m):
+        begin = 2 + HEAD * n + 5 * k
+        size = int.from_bytes(data[begin : begin + 5], "little")
+        parts.append(coder.decompress(data[at : at + size]))
         at += size
+    at = 0
+    for k in range(n):
+        head = data[2 + HEAD * k : 2 + HEAD * (k + 1)]
+        dtype, kind, used, size = np.dtype(head[:3].decode()), head[3:4], head[4], int.from_bytes(head[5:], "little")
+        plain = parts[k] if m == n else parts[0][at : at + used * size]
+        at += used * size
         if kind == b"p":
-            found.append(np.frombuffer(plain, dtype, n))
+            found.append(np.frombuffer(plain, dtype, size))
             continue
-        begin = 4 + 2 * int.from_bytes(plain[:4], "little") if kind == b"r" else 0
-        wide = np.zeros((n, dtype.itemsize), np.uint8)
-        wide[:, :used] = np.frombuffer(plain, np.uint8, used * n, begin).reshape(used, n).T
-        values = wide.reshape(-1).view(dtype)
-        found.append(np.frombuffer(plain, np.uint16, (begin - 4) // 2, 4)[values] if kind == b"r" else values)
+        wide = np.zeros((size, dtype.itemsize), np.uint8)
+        wide[:, :used] = np.frombuffer(plain, np.uint8).reshape(used, size).T
+        found.append(wide.reshape(-1).view(dtype))
     return found
 
 
@@ -426,13 +480,18 @@ class Common:
         self.rank = np.argsort(self.table)
         self.sorted = self.table[self.rank]
 
-    def coded(self, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits that tell the common ones, their ranks, and the others."""
+    def ranks(self, followers: np.ndarray) -> np.ndarray:
+        """Rank of each; -1 where it isn't common."""
         if not len(self.table):
-            return np.packbits(np.zeros(len(followers), bool)), np.zeros(0, np.uint16), followers
+            return np.full(len(followers), -1, np.int32)
         at = np.minimum(np.searchsorted(self.sorted, followers), len(self.sorted) - 1)
-        common = self.sorted[at] == followers
-        return np.packbits(common), self.rank[at[common]].astype(np.uint16), followers[~common]
+        return np.where(self.sorted[at] == followers, self.rank[at], -1).astype(np.int32)
+
+    def coded(self, followers: np.ndarray, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits that tell the common ones, their ranks, and the others."""
+        ranks = self.ranks(followers) if ranks is None else ranks
+        common = ranks >= 0
+        return np.packbits(common), ranks[common].astype(np.uint16), followers[~common]
 
     def decoded(self, n: int, bits: np.ndarray, ranks: np.ndarray, others: np.ndarray) -> np.ndarray:
         common, found = np.unpackbits(bits, count=n).astype(bool), np.empty(n, np.uint64)
@@ -574,20 +633,22 @@ def send(block: pa.Table, shards: int, hot: Hot, common: Common) -> pa.Table:
     counts = np.bincount(b.token, learnt, len(b.words)).astype(np.uint32)
     seen2 = np.bincount(b.pair, learnt, len(b.pairs)).astype(np.uint32)
     seen3 = np.bincount(b.triple[b.triple >= 0], learnt[b.triple >= 0], len(b.triples)).astype(np.uint32)
+    del texts, learnt
+    rank2, rank3 = b.follower_ranks(common)
     home, pair_home, sent = shard_of(b.words, shards), b.pair_homes(shards, hot), []
     for s, words, n2, pairs, n3, triples in b.shares(shards, hot):
         own = np.where(home[words] == s, counts[words], 0).astype(np.uint32)
-        sent.append((s, packed(b.words[words], own, n2.astype(np.uint32), *common.coded(b.pairs[pairs] & FOLLOWER), np.where(pair_home[pairs] == s, seen2[pairs], 0).astype(np.uint32), n3.astype(np.uint32), *common.coded(b.triples[triples] & FOLLOWER), seen3[triples])))
+        sent.append((s, packed(np.diff(b.words[words], prepend=np.uint64(0)), own, n2.astype(np.uint32), *common.coded(b.pairs[pairs] & FOLLOWER, rank2[pairs]), np.where(pair_home[pairs] == s, seen2[pairs], 0).astype(np.uint32), n3.astype(np.uint32), *common.coded(b.triples[triples] & FOLLOWER, rank3[triples]), seen3[triples])))
     number = block.column("block")[0].as_py()
     return pa.table({"shard": pa.array([s for s, _ in sent], pa.int64()), "block": pa.array([number] * len(sent), pa.int64()), "body": pa.array([x for _, x in sent], pa.binary())})
 
 
 def answer(sent: pa.Table, hot: Hot, common: Common, discount: float, min_count: int) -> pa.Table:
-    """The shard's trie is built from all blocks' rows, then asked for each n-gram once."""
+    """The shard's trie is built from all blocks' rows, then asked for each n-gram once. Its codes go as ranks of their distances from the expected ones."""
     blocks = sent.column("block").to_pylist()
     rows = []
     for words, counts, n2, *coded2, seen2, n3, bits3, ranks3, others3, seen3 in map(unpacked, sent.column("body").to_pylist()):
-        rows.append((words, counts, n2, common.decoded(len(seen2), *coded2), seen2, n3, common.decoded(len(seen3), bits3, ranks3, others3), seen3))
+        rows.append((np.cumsum(words), counts, n2, common.decoded(len(seen2), *coded2), seen2, n3, common.decoded(len(seen3), bits3, ranks3, others3), seen3))
     columns = list(zip(*rows, strict=True))
     words, counts, n2, follower2, seen2, n3, follower3, seen3 = (np.concatenate(c) for c in columns)
     sizes = [np.cumsum([0, *map(len, columns[k])]) for k in (0, 3, 6)]
@@ -597,32 +658,43 @@ def answer(sent: pa.Table, hot: Hot, common: Common, discount: float, min_count:
     triples, back3 = np.unique((np.repeat(back2, n3).astype(np.uint64) << FOLLOWER_BITS) | follower3, return_inverse=True)
     trie = Trie.build(known, np.bincount(place, counts, len(known)), pairs, np.bincount(back2, seen2, len(pairs)), triples, np.bincount(back3, seen3, len(triples)), hot, discount, min_count)
     code2, rest2, code3 = trie.codes(pairs, triples)
-    at = trie.words.find(words)
+    at = trie.words.find(known)[place]
     counts, rest1, code2, rest2, code3 = trie.data.counts[at], trie.data.rest[at], code2[back2], rest2[back2], code3[back3]
+    del trie, pairs, triples, back2, back3
+    expected, seen = Expected.of(discount), hot.seen(words, counts)
+    far2 = distances(code2, np.repeat(expected.once(seen), n2))
+    columns = counts, *(expected.rank[far] for far in (distances(rest1, expected.left(seen)), far2, distances(rest2, expected.left_under[far2]), distances(code3, np.repeat(expected.under[far2], n3))))
     bodies = []
     for k in range(len(blocks)):
         w, p, t = (slice(s[k], s[k + 1]) for s in sizes)
-        bodies.append(packed(counts[w], rest1[w], code2[p], rest2[p], code3[t]))
+        bodies.append(packed(*(c[part] for c, part in zip(columns, (w, w, p, p, t), strict=True))))
     shard = sent.column("shard")[0].as_py()
     return pa.table({"shard": pa.array([shard] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
 
-def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest: np.ndarray, pair_rest: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+def finish(block: pa.Table, answers: pa.Table, shards: int, hot: Hot, hot_rest: np.ndarray, pair_rest: np.ndarray, tokens: int, kinds: int, discount: float) -> pa.Table:
     """The scores of a block's texts."""
     if not block.num_rows:
         return pa.table({f: pa.array([], t) for f, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
     keys, texts, train = opened(block.column("body").to_pylist())
     b = Block.of(texts)
     got = dict(zip(answers.column("shard").to_pylist(), answers.column("body").to_pylist(), strict=True))
-    counts, rest1 = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16)
-    code2, rest2, code3 = np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.triples), ABSENT, np.uint16)
+    expected = Expected.of(discount)
+    counts, far1 = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.uint16)
+    far2, under2, far3 = np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.pairs), ABSENT, np.uint16), np.full(len(b.triples), ABSENT, np.uint16)
     home, pair_home = shard_of(b.words, shards), b.pair_homes(shards, hot)
     for s, words, _, pairs, _, triples in b.shares(shards, hot):
-        c, r, c2, r2, code3[triples] = unpacked(got[s])
+        c, *ranks = unpacked(got[s])
+        f1, f2, u2, far3[triples] = (expected.order[r] for r in ranks)
         own = pair_home[pairs] == s
-        code2[pairs[own]], rest2[pairs[own]] = c2[own], r2[own]
+        far2[pairs[own]], under2[pairs[own]] = f2[own], u2[own]
         own = home[words] == s
-        counts[words[own]], rest1[words[own]] = c[own], r[own]
+        counts[words[own]], far1[words[own]] = c[own], f1[own]
+    # A hot pair has the same distance in each shard that its followers are spread over, as its counts and its word's are the whole ones there.
+    seen = hot.seen(b.words, counts)
+    rest1, code2 = distances(far1, expected.left(seen)), distances(far2, expected.once(seen)[b.first()])
+    rest2, code3 = distances(under2, expected.left_under[far2]), distances(far3, expected.under[far2[(b.triples >> FOLLOWER_BITS).astype(np.int64)]])
+    del far1, far2, under2, far3, seen
     unigram = (counts + 1) / (tokens + kinds + 1)
     left1 = unquantised(rest1, 1.0)
     at = hot.place(b.words)
@@ -717,4 +789,4 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
     blocks = dealt.mapInArrow(pieces_of, BLOCKS).groupBy("block")
     sent = blocks.applyInArrow(lambda table: send(table, shards, *held.value), SENT)
     answers = sent.groupBy("shard").applyInArrow(lambda table: answer(table, *held.value, discount, min_count), SENT)
-    return blocks.cogroup(answers.groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value[0], *rest.value, tokens, kinds), SCORES)
+    return blocks.cogroup(answers.groupBy("block")).applyInArrow(lambda block, found: finish(block, found, shards, held.value[0], *rest.value, tokens, kinds, discount), SCORES)

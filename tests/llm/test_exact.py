@@ -445,6 +445,31 @@ def test_what_follows_a_hot_pair_is_spread(spark):
     assert len(alone) == 1 and sum(spread) == alone[0] > 1000 and len(spread) > 10 and max(spread) < alone[0] / 4
 
 
+def test_answers_do_not_grow_with_how_often_contexts_are_seen():
+    """Words seen 1 to 400 times, each time before another word: their codes all differ, what is answered doesn't, and the codes come back."""
+    rnd = random.Random(6)
+    lines = [f"w{k} x{rnd.randrange(1 << 40)}" for k in range(1, 400) for _ in range(k)]
+    rnd.shuffle(lines)
+    texts = [" ".join(lines[at : at + 100]) for at in range(0, len(lines), 100)]
+    body = lm.packed(np.arange(len(texts)), np.zeros(len(texts), np.uint8), np.ones(len(texts), np.uint8), np.array([len(t) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8))
+    block = pa.table({"block": pa.array([0], pa.int64()), "body": pa.array([body], pa.binary())})
+    b, common = lm.Block.of(pa.array(texts)), lm.Common(np.zeros(0, np.uint64))
+    some = b.words[[5, 50]]
+    for hot in (lm.Hot.of([], 1), lm.Hot(some, np.array([300, 7]), np.array([1, 1]))):
+        answered = lm.answer(lm.send(block, 1, hot, common), hot, common, 0.75, 1)
+        assert len(answered.column("body")[0].as_py()) < 0.5 * len(b.pairs)
+        done = lm.finish(block, answered, 1, hot, np.full(len(hot.words), 0.5), np.zeros(0), len(lines) * 2, len(b.words), 0.75)
+        assert done.column("n_known").to_pylist() == done.column("n_tokens").to_pylist() and np.isfinite(np.asarray(done.column("score"))).all()
+    codes = np.concatenate((np.arange(0, 1 << 16, 7), [lm.ABSENT, lm.ABSENT - 1])).astype(np.uint16)
+    for discount in (0.0, 0.1, 0.75, 1.0):
+        e = lm.Expected.of(discount)
+        assert sorted(e.order.tolist()) == list(range(1 << 16)) and (e.order[e.rank[codes]] == codes).all()
+        for seen in (0, 1, 12, 10**9):
+            for base in (e.once(np.array([seen])), e.left(np.array([seen]))):
+                far = lm.distances(codes, base)
+                assert (lm.distances(far, base) == codes).all() and ((far == lm.ABSENT) == (codes == lm.ABSENT)).all()
+
+
 def test_levels_find_children_by_their_pointers():
     rnd = np.random.default_rng(5)
     for nodes, n in ((1, 0), (1, 5), (50, 400), (3000, 2000)):
