@@ -113,7 +113,7 @@ SECTIONS = {
 }
 NEXT_ITEM = r"(?i)\n\s*item\s+\d+[a-z]?\."
 #: What follows a heading that isn't one of a table of contents: over 200 characters without a row of dots, with sentences among the first 500.
-PROSE = r"(?=.{201})(?!.{0,494}\.{6})(?=.{0,498}(?:\. [A-Z]|ollowing))"
+PROSE = r"(?=.{201})(?!.{0,494}?\.{6})(?=.{0,498}?(?:\. [A-Z]|ollowing))"
 
 
 def section(text: Column, name: str, most: int = 30_000) -> Column:
@@ -134,8 +134,11 @@ def section(text: Column, name: str, most: int = 30_000) -> Column:
 
 
 def _after(text: Column, pattern: str) -> Column:
-    """What is behind the first match, from one search; null if there is none."""
-    return F.get(F.split(text, pattern, 2), 1)
+    """What is behind the first match of a pattern that doesn't match at the end, from one search; null if there is none.
+
+    The pattern is compiled once and the search ends there; ``split`` compiles it for each row and looks for all matches.
+    """
+    return once(F.regexp_extract(text, f"{pattern}(.*)", 1), lambda behind: F.when(behind != "", behind))
 
 
 def row_macro(levels: DataFrame, *, key: str = "ticker", time: str = "date") -> DataFrame:

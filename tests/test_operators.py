@@ -400,3 +400,26 @@ def test_returns_paired_by_place(spark):
     got = rows.select(products.price_changes(F.col("c")).alias("v"), products.paired_correlation(F.array(F.lit(1.0), F.lit(3.0), F.lit(2.0)), F.col("r")).alias("x"), products.paired_correlation(F.array(F.lit(0.1), F.lit(0.1), F.lit(0.1)), F.col("r")).alias("flat"), F.size(products.price_changes(F.slice("c", 1, 0))).alias("none")).first()
     assert got.v == [0.5, -1.0, 0.25, -0.5] and got.flat == 0 and got.none == 0
     assert math.isclose(got.x, np.corrcoef([1, 3, 2], [1, 2, 9])[0, 1])
+
+
+def test_sections_are_found_by_one_compiled_search(spark):
+    """The same texts as by splitting, which compiles its pattern for each row and goes on behind the first match: nulls, none, two headings, tables of contents, characters of two code units."""
+    from finlark.plans import market_state as M
+
+    prose = "Some of the following may happen. " + "Prices move. " * 30
+    dots = "Item 1A. Risk Factors ......... 7\nItem 7. Management's Discussion and Analysis ......... 20\n"
+    texts = [
+        None, "", " ", dots, "Item 1A. Risk Factors", f"Item 1A. Risk Factors\n{prose[:200]}", f"Item 1A. Risk Factors\n{prose[:201]}", f"{dots}ITEM 1A - RISK  FACTORS\n{prose}\nItem 2. None.",
+        f"Risk Factors {prose} Item 7. Management\u2019s Discussion and Analysis\n{prose}\nItem 8. x", f"\U0001f600 risk factors \U0001f600{prose}\U0001f600 risk factors {prose}", f"risk factors {'x' * 488}...... {prose}", f"risk factors {'x' * 495}...... {prose}",
+        f"risk factors {'x' * 487}. Yes {'x' * 300}", f"risk factors {'x' * 500}. Yes", f"Item 7 management's discussion\r\n{prose}\n\n item 7A. {prose}",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    greedy = r"(?=.{201})(?!.{0,494}\.{6})(?=.{0,498}(?:\. [A-Z]|ollowing))"
+    every = [p for some in M.SECTIONS.values() for p in some]
+    found = rows.select("k", *[M._after(F.col("t"), f"(?s)(?i:{p}){M.PROSE}").alias(f"a{i}") for i, p in enumerate(every)], *[F.get(F.split("t", f"(?s)(?i:{p}){greedy}", 2), 1).alias(f"b{i}") for i, p in enumerate(every)])
+    got = found.collect()
+    for i in range(len(every)):
+        assert [r[f"a{i}"] for r in got] == [r[f"b{i}"] for r in got]
+        assert 0 < sum(r[f"a{i}"] is not None for r in got) < len(texts)
+    made = rows.select(M.section(F.col("t"), "risk_factors").alias("s"))
+    assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
