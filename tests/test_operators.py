@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -423,3 +424,33 @@ def test_sections_are_found_by_one_compiled_search(spark):
         assert 0 < sum(r[f"a{i}"] is not None for r in got) < len(texts)
     made = rows.select(M.section(F.col("t"), "risk_factors").alias("s"))
     assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_read_in_fewer_passes(spark):
+    """The same text as by a replacement for each entity and tag, one after another, over all texts of some pieces; what follows an & is looked at once."""
+    def plain(html):
+        out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+        for entity, value in X.ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(value))
+        for pattern, value in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)</div>", "\n"), (r"<[^>]+>", " "), (r"\t", " "), (" {2,}", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+            out = F.regexp_replace(out, pattern, value)
+        return out
+
+    def talk(html):
+        text = F.trim(F.regexp_replace(plain(html), r"\s+", " "))
+        start = F.regexp_instr(text, F.lit(X.DISCUSSION))
+        rest = F.when(start > 0, F.substring(text, start + F.length(F.regexp_substr(text, F.lit(X.DISCUSSION))), F.length(text)))
+        end = F.regexp_instr(rest, F.lit(r"(?i)\bitem\s+(?:3|7a|8)\b\.?|quantitative\s+and\s+qualitative\s+disclosures|financial\s+statements\s+and\s+supplementary"))
+        return F.trim(F.substring(F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest), 1, 15_000))
+
+    rnd = random.Random(8)
+    signs = [*[e for e, _ in X.ENTITIES], "&", "amp;", "lt;", "#39;", "&#", ";", "<", ">", "/", "<br", "<BR />", "</p>", "</DIV>", "<div>", "<b x='1'>", "<Script>", "</STYLE>", "x", "é", "\U0001f600", "\u00a0", "\u2028", "\x85", " ", "  ", "\t", "\n", "\r", "\x0b", "\f"]
+    words = [*signs, "Item 7. Management&#8217;s ", "discussion and analysis", "MANAGEMENT'S DISCUSSION\n AND ANALYSIS of financial condition", "item 7a", "xitem 8", " ITEM  3.", "Quantitative and qualitative disclosures", "financial statements  and supplementary"]
+    texts = [None, "", "&", "&amp;", "&amp;&lt;&amp;amp;lt;&amp;nbsp;&", *("".join(rnd.choices(signs, k=rnd.randrange(1, 14))) for _ in range(1500)), *("".join(rnd.choices(words, k=rnd.randrange(3, 30))) for _ in range(700)), *("management's discussion and analysis" + "".join(rnd.choices(words, k=12)) for _ in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    html = F.col("t")
+    got = rows.select("k", X.html_text(html).alias("a"), plain(html).alias("b"), X.discussion_text(html).alias("c"), talk(html).alias("d")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.c for r in got] == [r.d for r in got]
+    assert sum(r.c is not None for r in got) > 300
+    plan = rows.select(X.html_text(html).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<!regexp_)replace\(", plan)) == 1  # that of tabs
